@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .language_id import op8_language_id
+from .packing import op9_packing
+from .token_counts import op3_token_counts
+from .topk_search import OP1_SQL, op1_exact_topk
 
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op3_token_counts": op3_token_counts,
+    "op8_language_id": op8_language_id,
+    "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op1_exact_topk": OP1_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
