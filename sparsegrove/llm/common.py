@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,16 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def blocks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges whose sizes sum to at most `most`, or of one row."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit words over all of them (splitmix64's finaliser)."""
     x = x ^ (x >> np.uint64(30))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, table, utf8
+from .common import blocks, ranges, table, utf8
 
 #: Texts are parsed in pieces of so many bytes; a phrase ends with its piece. Every byte of a text is in a piece.
 PIECE = 512
@@ -142,12 +142,8 @@ def identify(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            at = 0
-            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
-            while at < batch.num_rows:  # blocks of whole texts
-                n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK)))
-                yield score(known, batch.slice(at, n))
-                at += n
+            for at, to in blocks(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), BLOCK):
+                yield score(known, batch.slice(at, to - at))
 
     def score(known: CrossParser, batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1)

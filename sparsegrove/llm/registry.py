@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .html_extract import op6_html_extract
+from .jaccard_join import op4_jaccard_join
 from .language_id import op8_language_id
 from .packing import op9_packing
+from .quality import op2_quality
 from .token_counts import op3_token_counts
 from .topk_search import OP1_SQL, op1_exact_topk
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_bpe": op5_bpe,
+    "op6_html_extract": op6_html_extract,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
