@@ -129,14 +129,16 @@ def cut(texts: list[str], most: int) -> bytes:
     return b" ".join(out)
 
 
-def identify(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score for every row.
+def identify(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, lang_pred, score for every row, and the columns named in carry.
 
     lang_pred is the language with the fewest phrases per byte (ties: the first by name); score is 1 minus the ratio of
     its phrases to the runner-up's, 1 when only one language is known. Defined cases: null texts, texts without a letter
     and all texts when no language is known give `und` with score 0; repeated rows and null ids each give a row; an
     empty table gives an empty result; other columns are not looked at.
     """
+    if set(carry) & {id_col, "lang_pred", "score"}:
+        raise ValueError("carried columns clash with the result's")
     shared = df.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +160,11 @@ def identify(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_co
             sure = 1 - ranked[0] / np.maximum(ranked[1], 1) if len(ranked) > 1 else np.ones(n)
         names = np.array([*known.langs, "und"], dtype=object)
         pred = names[np.where(letters, best, len(known.langs))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(np.where(letters, sure, 0.0))], names=[batch.schema.names[0], "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(np.where(letters, sure, 0.0)), *batch.columns[2:]], names=[id_col, "lang_pred", "score", *carry])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    shape = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carry).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double{shape}")
 
 
 def op8_language_id(spark, sf_dir):

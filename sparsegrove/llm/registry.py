@@ -9,6 +9,7 @@ from .jaccard_join import op4_jaccard_join
 from .language_id import op8_language_id
 from .packing import op9_packing
 from .quality import op2_quality
+from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op3_token_counts
 from .topk_search import OP1_SQL, op1_exact_topk
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
     "op6_html_extract": op6_html_extract,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
