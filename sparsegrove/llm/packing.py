@@ -15,14 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranges, segment_sums, splitmix, table, written
+from .common import blocks, ranges, segment_sums, splitmix, table, written
 
 DIMS, BITS = 4, 8
 #: Tokens of a bucket, and the most buckets that the driver keeps totals of; beyond that buckets grow.
 BUCKET_TOKENS, MOST_BUCKETS = 1 << 18, 1 << 14
+#: Bytes that a task encodes or cuts at once.
+BLOCK = 1 << 20
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -59,16 +62,18 @@ def encoded(df: DataFrame, id_col: str, text_col: str, end_id: int | None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokenizer import token_ids
 
-        signs = (splitmix((1 << 16) * DIMS, 5).reshape(-1, DIMS) >> np.uint64(63)).astype(np.float64) * 2 - 1
+        signs = (splitmix((1 << 16) * DIMS, 5).reshape(-1, DIMS) >> np.uint64(63)).astype(np.int8) * np.int8(2) - np.int8(1)
         end = [] if end_id is None else [end_id]
         for batch in batches:
-            found = token_ids([t or "" for t in batch.column(1).to_pylist()])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.fromiter((i for ids in found for i in ids), np.int64, int(offsets[-1]))
-            sums = np.stack([segment_sums(signs[flat, d], offsets) for d in range(DIMS)], 1) / np.sqrt(np.maximum(sizes, 1))[:, None]
-            ids = [np.array(x + end, "<u2").tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes + len(end)), pa.array(list(sums), pa.list_(pa.float64()))], names=["_id", "_ids", "_n", "_p"])
+            for lo, hi in blocks(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), BLOCK):
+                part = batch.slice(lo, hi - lo)
+                found = token_ids([t or "" for t in part.column(1).to_pylist()])
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                flat = np.fromiter((i for ids in found for i in ids), np.int32, int(offsets[-1]))
+                sums = np.stack([segment_sums(signs[flat, d], offsets) for d in range(DIMS)], 1) / np.sqrt(np.maximum(sizes, 1))[:, None]
+                ids = [np.array(x + end, "<u2").tobytes() for x in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(sizes + len(end)), pa.array(list(sums), pa.list_(pa.float64()))], names=["_id", "_ids", "_n", "_p"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _ids binary, _n long, _p array<double>")
@@ -150,23 +155,25 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, at = None, 0
-        for batch in batches:
-            buckets, sizes = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            before = np.concatenate([[0], np.cumsum(sizes)])
-            heads = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else []
-            start = np.zeros(len(buckets), np.int64)
-            for h, e in zip(heads, [*heads[1:], len(buckets)], strict=True):
-                if buckets[h] != current:
-                    current, at = buckets[h], begins.value[buckets[h]]
-                start[h:e] = at + before[h:e] - before[h]
-                at += before[e] - before[h]
-            row, begin, length, seq, offset = cut_pieces(start, sizes, tail, total, seq_len)
-            data = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").astype("<u4")
-            flat = data[ranges(before[row] + begin, length)]
-            ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int64) * 4
-            binary = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
-            columns = [batch.column(1).take(pa.array(row)), pa.array(begin), pa.array(length), binary, pa.array(sizes[row]), pa.array(seq), pa.array(offset)]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        for whole in batches:
+            for lo, hi in blocks(whole.column(3).to_numpy(), BLOCK):
+                batch = whole.slice(lo, hi - lo)
+                buckets, sizes = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+                before = np.concatenate([[0], np.cumsum(sizes)])
+                heads = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+                start = np.zeros(len(buckets), np.int64)
+                for h, e in zip(heads, [*heads[1:], len(buckets)], strict=True):
+                    if buckets[h] != current:
+                        current, at = buckets[h], begins.value[buckets[h]]
+                    start[h:e] = at + before[h:e] - before[h]
+                    at += before[e] - before[h]
+                row, begin, length, seq, offset = cut_pieces(start, sizes, tail, total, seq_len)
+                data = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").astype("<u4")
+                flat = data[ranges(before[row] + begin, length)]
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32) * 4
+                binary = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                columns = [batch.column(1).take(pa.array(row)), pa.array(begin), pa.array(length), binary, pa.array(sizes[row]), pa.array(seq), pa.array(offset)]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     kind = df.schema[id_col].dataType.simpleString()
     parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
