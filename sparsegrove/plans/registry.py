@@ -2,9 +2,545 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import lambda_label, soft_threshold
+from ..operators import balance, encode, fit, grid, groups, penalty, prox, score, screen, tree, view
+from ..operators.solver import Options
+from . import views
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+LEVELS = ("0.1", "0.3", "0.5", "0.7", "0.9")
+FEW = Options(iterations=30)
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r9(c):
+    return F.round(c, 9)
+
+
+# --- samples, characters, sites -------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS seq_id, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM labels WHERE quality IS NOT NULL")
+def trait_scan(spark, d):
+    return views.samples(spark, d)
+
+
+@query("SELECT doc_id, upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', '-', 'g')) AS seq FROM documents WHERE text IS NOT NULL")
+def char_normalize(spark, d):
+    docs = views.table(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", encode.normalize_sequence(F.col("text"), "protein").alias("seq"))
+
+
+@query(f"WITH {views.SQL_CELLS} SELECT gene, pos, ch, n FROM counts")
+def site_allele_counts(spark, d):
+    return encode.allele_counts(views.cells(spark, d))
+
+
+@query(f"WITH {views.SQL_CELLS} SELECT * FROM sites WHERE alleles >= 2")
+def variable_sites(spark, d):
+    return encode.variable_sites(encode.allele_counts(views.cells(spark, d)))
+
+
+@query(f"WITH {views.SQL_CELLS} SELECT * FROM sites WHERE alleles >= 2 AND total - most >= 2")
+def singleton_filter(spark, d):
+    return encode.without_singletons(encode.variable_sites(encode.allele_counts(views.cells(spark, d))))
+
+
+@query(f"WITH {views.SQL_CELLS} SELECT gene, pos, ch AS allele, n AS support FROM counts JOIN sites USING (gene, pos) WHERE alleles >= 2 AND total - most >= 3 AND n >= 3")
+def bit_count_filter(spark, d):
+    return encode.kept_bits(encode.allele_counts(views.cells(spark, d)), encode.EncodeOptions("protein", 3, True))
+
+
+@query(f"WITH {views.SQL_FEATURES} SELECT feature_id, gene, pos, allele, name, support FROM features")
+def feature_dictionary(spark, d):
+    return views.features(spark, d).select("feature_id", "gene", "pos", "allele", "name", "support")
+
+
+@query(f"WITH {views.SQL_FEATURES} SELECT feature_id, seq_id, 1.0::DOUBLE AS value FROM x")
+def onehot_coo(spark, d):
+    return views.design(spark, d)[0]
+
+
+@query(f"WITH {views.SQL_FEATURES} SELECT feature_id, count(*) AS carriers, round(1.0 / count(*), 9) AS value FROM x GROUP BY ALL HAVING count(*) >= 3")
+def feature_normalize(spark, d):
+    x = encode.normalize_columns(views.design(spark, d)[0], 3)
+    return x.groupBy("feature_id").agg(F.count(F.lit(1)).alias("carriers"), r9(F.max("value")).alias("value"))
+
+
+@query(f"WITH {views.SQL_FEATURES}, gaps AS (SELECT gene, pos, count(*) AS g FROM cells WHERE ch = '-' GROUP BY ALL) SELECT feature_id, support + coalesce(g, 0) AS cells, support + 0.5 * coalesce(g, 0)::DOUBLE AS total FROM features LEFT JOIN gaps USING (gene, pos)")
+def indel_fuzz(spark, d):
+    made = views.cells(spark, d)
+    fuzzy = encode.fuzz_gaps(made, views.features(spark, d, made=made))
+    return fuzzy.groupBy("feature_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
+
+
+@query(f"WITH {views.SQL_CELLS}, present AS (SELECT DISTINCT gene, seq_id FROM cells), genes AS (SELECT DISTINCT gene FROM present), n AS (SELECT count(*) AS m FROM samples) SELECT gene, m - count(*) AS missing FROM present, n GROUP BY gene, m HAVING m > count(*)")
+def missing_sequences(spark, d):
+    found = encode.missing_sequences(views.samples(spark, d), views.cells(spark, d).select("gene", "seq_id").distinct())
+    return found.groupBy("gene").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query(f"WITH {views.SQL_FEATURES} SELECT (SELECT count(*) FROM samples) AS samples, (SELECT count(*) FROM features) AS features")
+def feature_stats(spark, d):
+    return encode.feature_stats(views.samples(spark, d), views.features(spark, d))
+
+
+SQL_NUMERIC = "v AS (SELECT vec_id AS seq_id, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), n AS (SELECT 'e' || (p // 8) AS gene, CAST(p % 8 AS INTEGER) AS pos, seq_id, value::DOUBLE AS value FROM v)"
+
+
+@query(f"WITH {SQL_NUMERIC} SELECT gene, pos, min(value) AS lo, max(value) AS hi FROM n GROUP BY ALL HAVING min(value) < max(value)")
+def numeric_variable_columns(spark, d):
+    return encode.variable_columns(encode.numeric_cells(views.numeric(spark, d)))
+
+
+# --- groups ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {views.SQL_FEATURES} SELECT gene, size, weight FROM groups")
+def group_sizes_weights(spark, d):
+    return groups.gene_groups(views.features(spark, d))
+
+
+SQL_OVERLAP = views.SQL_FEATURES + """,
+og AS (SELECT DISTINCT CAST(substr(gene, 2) AS INTEGER) AS group_ord, 0 AS gene_ord, gene FROM features UNION ALL SELECT DISTINCT CAST(substr(gene, 2) AS INTEGER) - 1, 1, gene FROM features WHERE gene <> 'w0'),
+field AS (SELECT group_ord, row_number() OVER (PARTITION BY group_ord ORDER BY gene_ord, feature_id) AS slot, feature_id FROM og JOIN features USING (gene))"""
+
+
+@query(f"WITH {SQL_OVERLAP} SELECT group_ord, slot, feature_id FROM field")
+def field_overlap(spark, d):
+    found = views.features(spark, d)
+    return groups.field(found, views.overlap_groups(found))
+
+
+@query(f"WITH {SQL_OVERLAP}, s AS (SELECT group_ord, count(*) AS size FROM field GROUP BY ALL) SELECT group_ord, CAST(sum(size) OVER (ORDER BY group_ord) - size + 1 AS BIGINT) AS start, CAST(sum(size) OVER (ORDER BY group_ord) AS BIGINT) AS \"end\", sqrt(size) AS weight FROM s")
+def group_index_ranges(spark, d):
+    found = views.features(spark, d)
+    return groups.group_index(groups.field(found, views.overlap_groups(found)))
+
+
+# --- balancing ------------------------------------------------------------------------------------------------------
+
+SQL_RANKED = "s AS (SELECT doc_id AS seq_id, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM labels WHERE quality IS NOT NULL), t AS (SELECT sum(trait) AS st, count(*) FILTER (trait > 0) AS np, count(*) FILTER (trait < 0) AS nn FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY trait ORDER BY (seq_id * 2654435761) % 4294967296, seq_id) AS class_rank FROM s)"
+
+
+@query(f"WITH {SQL_RANKED} SELECT st AS sum_trait, np AS n_pos, nn AS n_neg FROM t")
+def class_imbalance(spark, d):
+    return balance.imbalance(views.samples(spark, d))
+
+
+@query(
+    f"WITH {SQL_RANKED}, p AS (SELECT CASE WHEN st < 0 THEN 1.0 ELSE -1.0 END AS sign, CASE WHEN st < 0 THEN np ELSE nn END AS n, CAST(ceil(abs(st)) AS BIGINT) AS d FROM t WHERE abs(st) >= 1), "
+    "c AS (SELECT sign, i, ((i + 1) * 2654435761 % 4294967296) % n + 1 AS class_rank FROM (SELECT *, unnest(range(d)) AS i FROM p WHERE n > 0)) "
+    "SELECT seq_id::VARCHAR AS seq_id, trait, seq_id::VARCHAR AS base_seq_id FROM s UNION ALL "
+    "SELECT seq_id || CASE WHEN sign > 0 THEN '_pos_dup' ELSE '_neg_dup' END || (-i), trait, seq_id::VARCHAR FROM c JOIN r ON r.trait = sign AND r.class_rank = c.class_rank"
+)
+def upsample(spark, d):
+    return balance.upsample(views.samples(spark, d))
+
+
+@query(f"WITH {SQL_RANKED} SELECT seq_id, trait FROM r, t WHERE trait <> sign(st) OR class_rank <= greatest(np, nn) - floor(abs(st))")
+def downsample(spark, d):
+    return balance.downsample(views.samples(spark, d))
+
+
+@query(f"WITH {SQL_RANKED} SELECT seq_id, trait, round(CASE WHEN trait = 1 THEN 1.0::DOUBLE / np ELSE 1.0::DOUBLE / nn END / (coalesce(np * (1.0::DOUBLE / nullif(np, 0)), 0) + coalesce(nn * (1.0::DOUBLE / nullif(nn, 0)), 0)), 9) AS weight FROM s, t")
+def sample_weights(spark, d):
+    return balance.sample_weights(views.samples(spark, d)).withColumn("weight", r9("weight"))
+
+
+# --- penalties and steps --------------------------------------------------------------------------------------------
+
+
+def gradient(spark, d, x=None):
+    people = views.samples(spark, d)
+    weights = people.join(F.broadcast(people.agg((1 / F.count(F.lit(1))).alias("weight"))))
+    return penalty.weighted_sums(views.design(spark, d)[0] if x is None else x, penalty.start_residual(weights))
+
+
+def parts(spark, d):
+    """Gradient at zero, its largest size, the genes as groups."""
+    x, found = views.design(spark, d)
+    atb = gradient(spark, d, x)
+    return atb, penalty.lambda1_max(atb), views.members(found)
+
+
+@query(f"WITH {views.SQL_ATB} SELECT feature_id, round(atb, 9) AS atb FROM atb")
+def atb_gradient(spark, d):
+    return gradient(spark, d).withColumn("atb", r9("atb"))
+
+
+@query(f"WITH {views.SQL_ATB} SELECT round(l1max, 9) AS lambda1_max FROM top")
+def lambda1_max(spark, d):
+    return penalty.lambda1_max(gradient(spark, d)).withColumn("lambda1_max", r9("lambda1_max"))
+
+
+def with_level(atb, top, share=0.1):
+    return atb.join(F.broadcast(top)).withColumn("_level", F.col("lambda1_max") * share)
+
+
+@query(f"WITH {views.SQL_ATB} SELECT round(l2max, 9) AS lambda2_max FROM top2")
+def lambda2_max(spark, d):
+    atb, top, members = parts(spark, d)
+    return penalty.lambda2_max(with_level(atb, top), members, F.col("_level")).withColumn("lambda2_max", r9("lambda2_max"))
+
+
+@query(f"WITH {views.SQL_ATB} SELECT feature_id, round(sign(atb) * greatest(abs(atb) - 0.1 * l1max, 0), 9) + 0.0 AS x FROM atb, top")
+def soft_thresholded(spark, d):
+    atb, top, _ = parts(spark, d)
+    return with_level(atb, top).select("feature_id", (r9(soft_threshold(F.col("atb"), F.col("_level"))) + 0.0).alias("x"))
+
+
+def first_step(spark, d, s1=0.1, s2=0.1):
+    """The first proximal step from zero with unit step size."""
+    atb, top, members = parts(spark, d)
+    level = with_level(atb, top, s1)
+    most = penalty.lambda2_max(level, members, F.col("_level"))
+    v = level.join(F.broadcast(most)).select("feature_id", F.col("atb").alias("v"), "_level", (F.col("lambda2_max") * s2).alias("_l2"))
+    return penalty.prox(v, members, F.col("_level"), F.col("_l2")), members
+
+
+SQL_STEP = views.SQL_ATB + ", u AS (SELECT feature_id, gene, weight, sign(atb) * greatest(abs(atb) - 0.1 * l1max, 0) AS u FROM atb JOIN features USING (feature_id) JOIN groups USING (gene), top), un AS (SELECT gene, sqrt(sum(u * u)) AS norm FROM u GROUP BY gene), x1 AS (SELECT feature_id, u.gene, weight, u * CASE WHEN norm > 0.1 * l2max * weight THEN 1 - 0.1 * l2max * weight / norm ELSE 0 END AS x FROM u JOIN un USING (gene), top2)"
+
+
+@query(f"WITH {SQL_STEP} SELECT feature_id, gene AS \"group\", round(x, 9) + 0.0 AS x FROM x1")
+def fista_first_step(spark, d):
+    return first_step(spark, d)[0].select("feature_id", "group", (r9("x") + 0.0).alias("x"))
+
+
+@query(f"WITH {SQL_STEP} SELECT gene AS \"group\", round(sqrt(sum(x * x)), 9) AS norm FROM x1 GROUP BY gene")
+def group_shrink(spark, d):
+    return first_step(spark, d)[0].groupBy("group").agg(r9(F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("norm"))
+
+
+@query(f"WITH {SQL_STEP}, g AS (SELECT gene, weight, sum(abs(x)) AS a, sqrt(sum(x * x)) AS b FROM x1 GROUP BY ALL) SELECT round(0.1 * sum(a) + 0.1 * sum(weight * b), 9) AS penalty FROM g")
+def tree_norm(spark, d):
+    x, members = first_step(spark, d)
+    return penalty.tree_norm(x.select("feature_id", "x"), members, F.lit(0.1), F.lit(0.1)).withColumn("penalty", r9("penalty"))
+
+
+@query(f"WITH {SQL_STEP} SELECT count(DISTINCT gene) AS nz_groups, count(*) AS nz_features FROM x1 WHERE x <> 0")
+def nonzero_groups(spark, d):
+    x, members = first_step(spark, d)
+    return penalty.nonzero_groups(x.select("feature_id", "x"), members)
+
+
+SQL_VEC = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda e: e::DOUBLE) AS u FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)"
+
+
+def vectors(spark, d):
+    return views.table(spark, d, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda e: e.cast("double")).alias("u"))
+
+
+@query(f"WITH {SQL_VEC}, n AS (SELECT id, sqrt(list_sum(list_transform(u, lambda e: e * e))) AS n, (id % 7 - 3) / 2.0::DOUBLE AS v FROM v) SELECT id, round(CASE WHEN n <= v THEN v WHEN n <= -v THEN 0 ELSE (n + v) / 2 END, 9) AS t, round(CASE WHEN n <= v THEN 1 WHEN n <= -v THEN 0 ELSE (n + v) / 2 / n END, 9) AS scale FROM n")
+def soc_projection(spark, d):
+    rows = vectors(spark, d).withColumn("v", (F.pmod("id", F.lit(7)) - 3) / 2.0)
+    return penalty.second_order_cone(rows).select("id", r9("t").alias("t"), r9("scale").alias("scale"))
+
+
+@query(f"WITH {SQL_VEC} SELECT id, round(pow(list_sum(list_transform(u, lambda e: pow(abs(e), 3))), 1.0 / 3), 9) AS norm3, round(list_max(list_transform(u, lambda e: abs(e))), 9) AS norm_max FROM v")
+def lp_norm(spark, d):
+    return vectors(spark, d).select("id", r9(penalty.p_norm(F.col("u"), 3.0)).alias("norm3"), r9(penalty.p_norm(F.col("u"), 1e6)).alias("norm_max"))
+
+
+@query(f"WITH {views.SQL_CONTRIB}, f AS (SELECT seq_id, response AS y, sps - 0.125 AS ax FROM sps) SELECT round(greatest((sum(ax * y) - 0.5) / sum(ax * ax), 0), 9) AS scale FROM f")
+def init_factor(spark, d):
+    made, people = scores_of(spark, d)
+    return penalty.warm_start_scale(people.select(F.col("response").alias("y"), (F.col("sps") - 0.125).alias("ax")), F.lit(0.5)).select(r9("scale").alias("scale"))
+
+
+def projected(spark, d, kind):
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            step = prox.l1_ball if kind == "ball" else lambda v, c: prox.p_prox(v, c, 1.5)
+            out = [step(u, 0.5) for u in b["u"].map(lambda u: u if len(u) else u)]
+            yield pd.DataFrame({"id": b["id"], "x": out})
+
+    return vectors(spark, d).mapInPandas(run, "id long, x array<double>")
+
+
+@query()
+def l1_ball_projection(spark, d):
+    return projected(spark, d, "ball").select("id", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
+
+
+@query()
+def lp_projection(spark, d):
+    return projected(spark, d, "lp").select("id", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
+
+
+# --- grids ----------------------------------------------------------------------------------------------------------
+
+
+def grid_frame(spark):
+    pairs = grid.penalty_grid(list(LEVELS), list(LEVELS))
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "grid_ord int, l1 string, l2 string")
+
+
+SQL_GRID = "lv AS (SELECT unnest(['0.1', '0.3', '0.5', '0.7', '0.9']) AS l, unnest(range(5)) AS i), gr AS (SELECT CAST(a.i * 5 + b.i AS INTEGER) AS grid_ord, a.l AS l1, b.l AS l2 FROM lv a, lv b)"
+
+
+@query(f"WITH {views.SQL_ATB}, {SQL_GRID} SELECT grid_ord, l1, l2, '_' || regexp_replace(l1, '^0\\.', '') || '_' || regexp_replace(l2, '^0\\.', '') AS label, round(l1::DOUBLE * l1max, 9) AS level FROM gr, top")
+def lambda_grid(spark, d):
+    top = penalty.lambda1_max(gradient(spark, d))
+    out = F.broadcast(grid_frame(spark)).join(top)
+    return out.select("grid_ord", "l1", "l2", F.concat(lambda_label(F.col("l1")), lambda_label(F.col("l2"))).alias("label"), r9(F.col("l1").cast("double") * F.col("lambda1_max")).alias("level"))
+
+
+def groups_by_pair(spark, d):
+    """nz_groups of the first step for every penalty pair."""
+    atb, top, members = parts(spark, d)
+    firsts = F.broadcast(grid_frame(spark).select("l1").distinct())
+    left = F.greatest(F.abs("atb") - F.col("l1").cast("double") * F.col("lambda1_max"), F.lit(0.0))
+    norms = atb.join(members, "feature_id").join(F.broadcast(top)).join(firsts).groupBy("l1", "group", "weight").agg((F.sqrt(F.sum(left * left)) / F.col("weight")).alias("_norm"))
+    most = norms.groupBy("l1").agg(F.max("_norm").alias("_most"))
+    every = norms.join(F.broadcast(most), "l1").join(F.broadcast(grid_frame(spark)), "l1")
+    return every.groupBy("grid_ord", "l1", "l2").agg(F.count_if(F.col("_norm") > F.col("l2").cast("double") * F.col("_most")).alias("nz_groups"))
+
+
+SQL_PAIRS = f"WITH {views.SQL_ATB}, {SQL_GRID}, nm AS (SELECT l AS l1, gene, sqrt(sum(greatest(abs(atb) - l::DOUBLE * l1max, 0) ** 2)) / weight AS norm FROM atb JOIN features USING (feature_id) JOIN groups USING (gene), top, lv GROUP BY l, gene, weight), mx AS (SELECT l1, max(norm) AS most FROM nm GROUP BY l1)"
+
+
+@query(f"{SQL_PAIRS} SELECT grid_ord, gr.l1, l2, count(*) FILTER (norm > l2::DOUBLE * most) AS nz_groups FROM gr JOIN nm ON nm.l1 = gr.l1 JOIN mx ON mx.l1 = gr.l1 GROUP BY ALL")
+def grid_group_counts(spark, d):
+    return groups_by_pair(spark, d)
+
+
+@query()
+def grid_skip_fold(spark, d):
+    rows = [(r["grid_ord"], float(r["l1"]), float(r["l2"]), r["nz_groups"]) for r in groups_by_pair(spark, d).collect()]
+    return spark.createDataFrame(grid.kept_pairs(rows, 3), "grid_ord int, below_min_groups boolean")
+
+
+@query("SELECT doc_id AS seq_id, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait, CAST(((doc_id * 2654435761) % 4294967296 // 65536) % 5 + 1 AS INTEGER) AS fold FROM labels WHERE quality IS NOT NULL")
+def cv_folds(spark, d):
+    return fit.cv_folds(views.samples(spark, d), 5)
+
+
+# --- models ---------------------------------------------------------------------------------------------------------
+
+
+def numbered_members(spark, found, overlapping=False):
+    """feature_id, group_ord, weight of genes, or of genes with their neighbours."""
+    if not overlapping:
+        return views.members(found).select("feature_id", F.substring("group", 2, 10).cast("int").alias("group_ord"), "weight")
+    field = groups.field(found, views.overlap_groups(found))
+    return field.join(groups.group_index(field).select("group_ord", "weight"), "group_ord").select("feature_id", "group_ord", "weight")
+
+
+def gene_table(found, models):
+    names = found.select("feature_id", "gene")
+    got = models.where("feature_id IS NOT NULL").join(names, "feature_id").groupBy("grid_ord", "fold", "gene").agg(F.round(F.sum(F.abs("beta")), 6).alias("gss"), F.count(F.lit(1)).alias("n_bits"))
+    empty = models.where("feature_id IS NULL").select("grid_ord", "fold", F.lit(None).cast("string").alias("gene"), F.lit(0.0).alias("gss"), F.lit(0).cast("long").alias("n_bits"))
+    return got.unionByName(empty)
+
+
+def fitted(spark, d, pairs, method="logistic", overlapping=False, folds=None, options=FEW):
+    x, found = views.design(spark, d)
+    return found, fit.fit_grid(spark, x, views.samples(spark, d), numbered_members(spark, found, overlapping), pairs, method, options, folds)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return gene_table(*fitted(spark, d, [(0.1, 0.1)]))
+
+
+@query()
+def sgl_logistic_fit(spark, d):
+    return flagship(spark, d)
+
+
+@query()
+def sgl_leastr_fit(spark, d):
+    return gene_table(*fitted(spark, d, [(0.1, 0.1)], "leastr"))
+
+
+@query()
+def ol_sgl_logistic_fit(spark, d):
+    return gene_table(*fitted(spark, d, [(0.2, 0.2)], overlapping=True, options=Options(iterations=15, inner_iterations=30)))
+
+
+@query()
+def ol_sgl_leastr_fit(spark, d):
+    return gene_table(*fitted(spark, d, [(0.2, 0.2)], "leastr", overlapping=True, options=Options(iterations=15, inner_iterations=30)))
+
+
+@query()
+def gl_logistic_fit(spark, d):
+    return gene_table(*fitted(spark, d, [(0.2, 0.0)], "gl_logistic"))
+
+
+@query()
+def sgl_grid_fit(spark, d):
+    return gene_table(*fitted(spark, d, [(a, b) for a in (0.2, 0.5, 0.8) for b in (0.2, 0.5, 0.8)], options=Options(iterations=15)))
+
+
+@query()
+def cv_fit(spark, d):
+    folds = fit.cv_folds(views.samples(spark, d), 3).toPandas().set_index("seq_id")["fold"]
+    return gene_table(*fitted(spark, d, [(0.3, 0.3)], folds=folds, options=Options(iterations=15)))
+
+
+@query()
+def screen_genes(spark, d):
+    x, found = views.design(spark, d)
+    named = found.withColumn("gene_ord", views.gene_number())
+    scores = screen.screen_groups(spark, x, views.samples(spark, d), named, numbered_members(spark, found), 3, [(0.2, 0.2)], Options(iterations=10))
+    return scores.select("gene", F.round("gss", 6).alias("gss"))
+
+
+# --- scores ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {views.SQL_MODEL} SELECT gene, pos, sum(abs(beta)) AS pss FROM model WHERE beta <> 0 GROUP BY ALL")
+def pss(spark, d):
+    return score.position_scores(views.model(views.features(spark, d)))
+
+
+@query(f"WITH {views.SQL_MODEL} SELECT gene, sum(abs(beta)) AS gss FROM model WHERE beta <> 0 GROUP BY ALL")
+def gss(spark, d):
+    return score.gene_scores(views.model(views.features(spark, d)))
+
+
+@query(f"WITH {views.SQL_MODEL} SELECT sum(abs(beta)) AS hss FROM model")
+def hss(spark, d):
+    return score.hypothesis_score(gss(spark, d))
+
+
+def contributions(spark, d):
+    made = views.cells(spark, d)
+    return score.contributions(made, views.model(views.features(spark, d, made=made)))
+
+
+@query(f"WITH {views.SQL_CONTRIB} SELECT seq_id, gene, contribution FROM contrib")
+def gsc(spark, d):
+    return contributions(spark, d)
+
+
+@query(f"WITH {views.SQL_CONTRIB} SELECT seq_id, CAST(substr(gene, 2) AS INTEGER) // 4 AS \"group\", sum(contribution) AS contribution FROM contrib GROUP BY ALL")
+def group_contributions(spark, d):
+    by_gene = contributions(spark, d)
+    names = by_gene.select("gene").distinct().select("gene", F.floor(views.gene_number() / 4).cast("int").alias("group"))
+    return score.group_contributions(by_gene, names)
+
+
+def scores_of(spark, d):
+    by_gene = contributions(spark, d)
+    people = views.samples(spark, d).select("seq_id", F.col("trait").alias("response"))
+    return by_gene, score.species_scores(people, by_gene, 0.125)
+
+
+@query(f"WITH {views.SQL_CONTRIB} SELECT seq_id, response, sps FROM sps")
+def sps(spark, d):
+    return scores_of(spark, d)[1]
+
+
+@query(f"WITH {views.SQL_CONTRIB} SELECT avg((sign(sps) = sign(response))::INTEGER)::DOUBLE AS accuracy, round(sqrt(avg((response - sps) ** 2)), 9) AS rmse FROM sps")
+def model_eval(spark, d):
+    return score.evaluate(sps(spark, d)).withColumn("rmse", r9("rmse"))
+
+
+@query(f"WITH {views.SQL_CONTRIB}, b AS (SELECT min(sps) AS lo, max(sps) - min(sps) AS span FROM sps), k AS (SELECT unnest(range(1, 99)) AS k) SELECT k, lo + k * span / 100 AS cutoff, count(*) FILTER (response > 0 AND sps >= lo + k * span / 100) / count(*) FILTER (response > 0)::DOUBLE AS tpr, count(*) FILTER (response < 0 AND sps >= lo + k * span / 100) / count(*) FILTER (response < 0)::DOUBLE AS fpr FROM sps, b, k GROUP BY ALL")
+def roc_points(spark, d):
+    return score.roc_points(sps(spark, d))
+
+
+@query(f"WITH {views.SQL_CONTRIB}, r AS (SELECT avg((sps >= 0)::INTEGER) FILTER (response > 0) AS p, avg((sps >= 0)::INTEGER) FILTER (response < 0) AS n FROM sps) SELECT round(p, 9) AS tpr, round(1 - n, 9) AS tnr, round(n, 9) AS fpr, round(1 - p, 9) AS fnr FROM r")
+def confusion_rates(spark, d):
+    return score.rates(sps(spark, d)).select(*[r9(c).alias(c) for c in ("tpr", "tnr", "fpr", "fnr")])
+
+
+@query(f"WITH {views.SQL_CONTRIB} SELECT gene, count(*) AS n_models, round(avg(contribution), 9) AS mean, median(contribution) AS median FROM contrib GROUP BY gene")
+def median_summary(spark, d):
+    return score.median_summary(contributions(spark, d), "gene", "contribution").withColumn("mean", r9("mean"))
+
+
+@query(f"WITH {views.SQL_MODEL}, g AS (SELECT gene, sum(abs(beta)) AS gss FROM model GROUP BY gene), c AS (SELECT gene, gss, sum(gss) OVER (ORDER BY gss DESC, gene) AS run, sum(gss) OVER () AS total FROM g WHERE gss > 0) SELECT gene, gss, run / total AS running_share FROM c WHERE run - gss < 0.9 * total")
+def gss_cumulative_select(spark, d):
+    return score.top_share(gss(spark, d), 0.9)
+
+
+# --- prediction tables ----------------------------------------------------------------------------------------------
+
+
+def people_of(spark, d):
+    long = views.predictions(spark, d)
+    totals = long.groupBy("seq_id", "response").agg(F.sum("contribution").alias("sps"))
+    return long, score.normalized_probabilities(totals)
+
+
+@query(f"WITH {views.SQL_PRED} SELECT seq_id, response, sps, round(spp, 7) AS spp FROM spp")
+def spp_normalized(spark, d):
+    return people_of(spark, d)[1].withColumn("spp", F.round("spp", 7))
+
+
+@query(f"WITH {views.SQL_PRED} SELECT field, sum(contribution * contribution) AS ssq, sum(contribution) AS total, avg(abs(contribution)) FILTER (response = 1) AS afgsc FROM pred GROUP BY field")
+def column_scores(spark, d):
+    return view.column_scores(views.predictions(spark, d))
+
+
+@query("WITH t AS (SELECT hour(ts) % 2 AS table_id, user_id AS seq_id, event_type AS field, sum(CAST(floor(coalesce(value, 0) * 64) AS BIGINT))::DOUBLE / 4096 AS contribution FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL) SELECT seq_id, field, avg(contribution) AS contribution FROM t GROUP BY ALL")
+def merge_predictions(spark, d):
+    return view.merge_predictions(views.tables_of_predictions(spark, d))
+
+
+@query(f"WITH {views.SQL_PRED}, c AS (SELECT field, sum(contribution * contribution) AS score FROM pred GROUP BY field) SELECT field, score, CAST(row_number() OVER (ORDER BY score DESC, field) AS INTEGER) AS col_ord FROM c ORDER BY score DESC, field LIMIT 3")
+def grid_top_genes(spark, d):
+    return view.top_fields(view.column_scores(views.predictions(spark, d)), 3)
+
+
+@query(f"WITH {views.SQL_PRED}, c AS (SELECT field, avg(abs(contribution)) FILTER (response = 1) AS score FROM pred GROUP BY field), f AS (SELECT field, row_number() OVER (ORDER BY score DESC, field) AS col_ord FROM c ORDER BY score DESC, field LIMIT 4), r AS (SELECT *, row_number() OVER (ORDER BY response DESC, coalesce(spp, 0) * response, seq_id) AS row_ord FROM spp WHERE response > 0.99), q AS (SELECT * FROM r WHERE row_ord <= 20) SELECT CAST(row_ord AS INTEGER) AS row_ord, CAST(col_ord AS INTEGER) AS col_ord, seq_id, field, contribution AS value, false AS missing, round(greatest(spp, 0), 7) AS label, max(abs(contribution)) OVER () AS bound FROM q JOIN pred USING (seq_id) JOIN f USING (field)")
+def mgrid_cells(spark, d):
+    long, people = people_of(spark, d)
+    fields = view.top_fields(view.column_scores(long), 4, "afgsc")
+    rows = view.ordered_rows(people, 20, m_grid=True)
+    return view.grid_cells(long, rows, fields).withColumn("label", F.round("label", 7))
+
+
+# --- trees ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {views.SQL_TREE} SELECT clade, leaf FROM members")
+def clade_members(spark, d):
+    return tree.clade_members(views.tree(spark, d))
+
+
+@query(f"WITH RECURSIVE {views.SQL_TREE} SELECT clade, count(*) AS n_leaves FROM members GROUP BY clade HAVING count(*) >= 5")
+def clade_sizes(spark, d):
+    return tree.clade_sizes(tree.clade_members(views.tree(spark, d)), 5)
+
+
+@query(f"WITH RECURSIVE {views.SQL_TREE}, s AS (SELECT ancestor_id, count(*) AS n, min(l.name) AS a, max(l.name) AS z FROM up JOIN nodes l ON l.node_id = up.node_id WHERE l.is_leaf GROUP BY ancestor_id) SELECT nodes.node_id, CASE WHEN NOT is_leaf AND n >= 1 THEN substr(a, 1, 12) || '_' || substr(z, 1, 12) || '_' || n ELSE name END AS name FROM nodes LEFT JOIN s ON s.ancestor_id = nodes.node_id")
+def auto_named_clades(spark, d):
+    bare = views.tree(spark, d).withColumn("name", F.when(F.col("is_leaf"), F.col("name")))
+    return tree.auto_name(bare, 1, 1 << 40, 12).select("node_id", "name")
+
+
+@query(f"WITH RECURSIVE {views.SQL_TREE}, c AS (SELECT clade, count(*) AS n FROM members GROUP BY clade ORDER BY n DESC, clade LIMIT 1) SELECT c_name AS seq_id, CASE WHEN c_name IN (SELECT leaf FROM members WHERE clade = (SELECT clade FROM c)) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM (SELECT DISTINCT c_name FROM customer)")
+def clade_hypothesis(spark, d):
+    members = tree.clade_members(views.tree(spark, d))
+    largest = tree.clade_sizes(members).orderBy(F.desc("n_leaves"), "clade").first()["clade"]
+    return tree.clade_hypothesis(members, views.table(spark, d, "customer").select(F.col("c_name").alias("leaf")), largest)
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("WITH s AS (SELECT n_name, n_regionkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), c AS (SELECT * FROM s ORDER BY n, n_name LIMIT 1), r AS (SELECT sum(s.n) AS n FROM s JOIN c USING (n_regionkey)) SELECT c_name AS seq_id, CASE WHEN n_name = (SELECT n_name FROM c) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = (SELECT n_regionkey FROM c) OR (SELECT n FROM r) < 2 * (SELECT n FROM c)")
+def phylo_sample(spark, d):
+    nations = views.table(spark, d, "nation").select(F.col("n_name").alias("clade"))
+    smallest = tree.clade_sizes(tree.clade_members(views.tree(spark, d))).join(nations, "clade").orderBy("n_leaves", "clade").first()["clade"]
+    return tree.near_outgroup(views.tree(spark, d), smallest)
