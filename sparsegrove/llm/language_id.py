@@ -56,7 +56,7 @@ def suffix_automaton(word: np.ndarray, width: int) -> np.ndarray:
                     jump[p][c] = copy
                     p = link[p]
         last = new
-    dense = np.full((len(jump), width), -1, np.int32)
+    dense = np.full((len(jump) + 1, width), -1, np.int32)  # the last state knows nothing: an unknown symbol leads to it
     for state, ways in enumerate(jump):
         if ways:
             dense[state, list(ways)] = list(ways.values())
@@ -95,7 +95,9 @@ class CrossParser:
                 stuck = np.flatnonzero(to < 0)
                 if len(stuck):
                     counts[k, stuck] += step > 0
-                    to[stuck] = np.maximum(ways[letter[stuck]], 0)
+                    again = ways[letter[stuck]]
+                    again[again < 0] = len(ways) // self.width - 1
+                    to[stuck] = again
                 states[k, :live] = to
         return np.stack([np.bincount(owner, weights=c, minlength=len(sizes)) for c in counts]) if len(self.langs) else np.zeros((0, len(sizes)))
 
