@@ -2,9 +2,12 @@
 
 Every string of `length` bytes that occurs again must meet its other occurrences in one suffix array, wherever its document
 lies. Each string is therefore owned by its anchor, the smallest-hashed k-gram in it, which is the same for equal strings;
-neighbouring strings of a document mostly share theirs. Anchors that occur once cannot hold a repeat and go no further.
-For the others the owned strings, with the bytes that they cover, go to the anchor's shard; an anchor that occurs very
-often is dealt to several shards.
+neighbouring strings of a document mostly share theirs. An anchor's strings in one place, with the bytes that they cover, are
+a piece. Anchors that occur once cannot hold a repeat and go no further. Pieces that are equal as a whole (128 bits of hash
+and their size) are one: all strings of all but the first start earlier too. They are put together within each block of
+texts first, so that a passage that very many documents share reaches its reducer once a block. Only anchors that then
+still have different pieces need their bytes; those go to the anchor's shard, and an anchor with very many pieces is dealt to
+several shards.
 
 A shard sorts its suffixes by Larsson and Sadakane's refinement: ranks of 8 bytes, then of twice as many, and only groups
 that are not yet sorted are sorted again. Kasai's argument gives the common prefixes of neighbours: where both step on by
@@ -19,17 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, ranges, table, utf8
+from .bpe import span_hashes
+from .common import blocks, mix, numbered, ranges, table, utf8, whole_groups, written
 
 GRAM = 24
 BLOCK = 1 << 21
 #: Suffixes that are sorted at once: three numbers below it fit a 63-bit key.
 INDEX_BITS = 21
-#: Occurrences of an anchor in one shard, beyond which it is dealt to several.
+#: Pieces of an anchor in one shard, beyond which they are dealt to several.
 SHARD = 1024
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -67,6 +70,35 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return h[anchor[heads]], row[heads], at[heads] - offsets[row[heads]], np.diff(np.concatenate([heads, [len(at)]]))
 
 
+def block_pieces(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, length: int) -> pa.RecordBatch:
+    """_span, _anchor, _hash, _id, _start, _count: the pieces of a block of texts; of equal ones the first stays, and the others
+    are spans whose key is their own."""
+    h, row, start, count = anchors(data, offsets, length)
+    begin = offsets[row] + start
+    piece = span_hashes(data, begin, begin + count + length - 1) if len(h) else h
+    key = mix(h ^ (piece * M1) ^ (count.astype(np.uint64) * M2))
+    order = np.argsort(key)
+    new = np.ones(len(order), bool)
+    for x in (h, piece, count):
+        new[1:] = (x[order[1:]] != x[order[:-1]]) if x is h else new[1:] | (x[order[1:]] != x[order[:-1]])
+    group = np.cumsum(new) - 1
+    span, drop = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    many = np.bincount(group, minlength=len(order))[group] > 1 if len(order) else new
+    if many.any():
+        at, of = order[many], group[many]
+        number, _ = numbered(pa.chunked_array([ids]))
+        by = np.lexsort((start[at], number[row[at]], of))
+        at, of = at[by], of[by]
+        later = np.zeros(len(at), bool)
+        later[1:] = of[1:] == of[:-1]
+        twice = np.zeros(len(at), bool)
+        twice[1:] = later[1:] & (number[row[at[1:]]] == number[row[at[:-1]]]) & (start[at[1:]] == start[at[:-1]])  # a row given twice
+        span[at], drop[at] = later, twice
+    anchor = np.where(span, mix(key + begin.astype(np.uint64) * M3), h).view(np.int64)
+    keep = ~drop
+    return pa.RecordBatch.from_arrays([pa.array(span[keep]), pa.array(anchor[keep]), pa.array(piece.view(np.int64)[keep]), ids.take(pa.array(row[keep])), pa.array(start[keep]), pa.array(count[keep].astype(np.int64))], names=["_span", "_anchor", "_hash", "_id", "_start", "_count"])
+
+
 def suffix_array(data: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
     """Positions whose room (bytes to the end of their text) is at least depth, sorted by their first depth bytes.
 
@@ -154,43 +186,6 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[np.concatenate([[0], cut + 1]).astype(np.int64)], values[np.concatenate([cut, [len(values) - 1]]).astype(np.int64)]
 
 
-def numbered(ids: pa.ChunkedArray) -> tuple[np.ndarray, list | None]:
-    """Ids as numbers of the same order, and what they stand for if they are not numbers themselves."""
-    if pa.types.is_integer(ids.type):
-        return ids.to_numpy(), None
-    values = ids.to_pylist()
-    ranked = sorted(set(values))
-    place = {v: i for i, v in enumerate(ranked)}
-    return np.array([place[v] for v in values], np.int64), ranked
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], text: str, most: int) -> Iterator[list[pa.RecordBatch]]:
-    """Batches sorted by keys, cut so that each part holds whole groups and at most `most` bytes of text, or one group."""
-    held: list[pa.RecordBatch] = []
-    size, last = 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-        new = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        new[0] = last != tuple(c[0] for c in columns)
-        last = tuple(c[-1] for c in columns)
-        before = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(text)))))])
-        heads, at = np.flatnonzero(new), 0
-        for h, stop in zip(heads, [*heads[1:], batch.num_rows], strict=True):
-            if size + before[stop] - before[at] > most and (held or h > at):
-                if h > at:
-                    held.append(batch.slice(at, h - at))
-                yield held
-                held, size, at = [], 0, h
-        held.append(batch.slice(at))
-        size += before[-1] - before[at]
-    if held:
-        yield held
-
-
 FOUND = "_key long, _shard long, _id {0}, _start long, _end long, _string binary"
 
 
@@ -277,12 +272,56 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for lo, hi in blocks(np.diff(offsets), BLOCK):
-                h, row, start, count = anchors(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row + lo)), pa.array(start << 8 | count)], names=["_anchor", "_id", "_owned"])
+                yield block_pieces(batch.column(0).slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
 
-    found = known.mapInArrow(find, f"_anchor long, _id {id_type}, _owned long")
-    often = found.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
-    several = found.join(often, "_anchor").groupBy("_id").agg(F.collect_set(F.struct("_owned", "_anchor", "_often")).alias("_pieces"))
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = ()
+        held: pa.Table | None = None  # the last piece, of which it is not known yet whether its anchor has another
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            span = t.column("_span").to_numpy()
+            yield from spans_of(t.filter(pa.array(span)), length)
+            t = t.filter(pa.array(~span))
+            if not t.num_rows:
+                continue
+            anchor, piece, start, size = (t.column(k).to_numpy() for k in ("_anchor", "_hash", "_start", "_count"))
+            number = t.column("_id").to_pylist()
+            fresh, again = np.ones(len(anchor), bool), np.zeros(len(anchor), bool)
+            same = (anchor[1:] == anchor[:-1]) & (piece[1:] == piece[:-1]) & (size[1:] == size[:-1])
+            fresh[1:] = ~same
+            again[1:] = same & np.array([a == b for a, b in zip(number[1:], number[:-1], strict=True)], bool) & (start[1:] == start[:-1])  # a row given twice
+            if last and last[:3] == (anchor[0], piece[0], size[0]):
+                fresh[0], again[0] = False, last[3:] == (number[0], start[0])
+            last = (anchor[-1], piece[-1], size[-1], number[-1], start[-1])
+            yield from spans_of(t.filter(pa.array(~fresh & ~again)), length)
+            kept = t.filter(pa.array(fresh)).append_column("_known", pa.array(np.zeros(int(fresh.sum()), bool)))
+            kept = kept if held is None else pa.concat_tables([held, kept])
+            if not kept.num_rows:
+                continue
+            of = kept.column("_anchor").to_numpy()
+            mixed = kept.column("_known").to_numpy().copy()
+            mixed[1:] |= of[1:] == of[:-1]
+            mixed[:-1] |= of[1:] == of[:-1]
+            held = kept.slice(kept.num_rows - 1).drop(["_known"]).append_column("_known", pa.array(mixed[-1:]))
+            yield from asked(kept.slice(0, kept.num_rows - 1).filter(pa.array(mixed[:-1])))
+        if held is not None:
+            yield from asked(held.filter(held.column("_known")))
+
+    def asked(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in t.to_batches():
+            yield pa.RecordBatch.from_arrays([b.column("_anchor"), b.column("_id"), b.column("_start"), b.column("_count")], names=["_anchor", "_id", "_start", "_count"])
+
+    def spans_of(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+        for b in t.to_batches():
+            yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column("_id"), b.column("_start"), b.column("_count")], names=["_anchor", "_id", "_start", "_count"])
+
+    order = ["_span", "_anchor", "_hash", "_count", "_id", "_start"]
+    found = known.select("_id", "_text").mapInArrow(find, f"_span boolean, _anchor long, _hash long, _id {id_type}, _start long, _count long")
+    settled = written(found.repartition("_anchor").sortWithinPartitions(*order).mapInArrow(settle, f"_anchor long, _id {id_type}, _start long, _count long"), "repeats")
+    whole = settled.where("_anchor IS NULL").select("_id", "_start", (F.col("_start") + F.col("_count") + length - 1).alias("_end"))
+    mixed = settled.where("_anchor IS NOT NULL")
+    often = mixed.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_often"))
+    several = mixed.join(often, "_anchor").groupBy("_id").agg(F.collect_set(F.struct("_start", "_count", "_anchor", "_often")).alias("_pieces"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,9 +329,9 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
             pieces = batch.column(2)
             counts = pieces.value_lengths().to_numpy(zero_copy_only=False)
             values = pieces.flatten()
-            owned, anchor, times = (values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            start, size, anchor, times = (values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             row = np.repeat(np.arange(batch.num_rows), counts)
-            start, size = owned >> 8, (owned & 255) + length - 1
+            size = size + length - 1
             good = start + size <= np.diff(offsets)[row]  # else it is from another text of this id
             row, start, size, anchor, times = row[good], start[good], size[good], anchor[good], times[good]
             for lo, hi in blocks(size, BLOCK):
@@ -338,7 +377,7 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     keyed = repeats.withColumn("_key", F.when(F.col("_string").isNotNull(), F.xxhash64("_string")).otherwise(F.xxhash64("_id")))
     spans = keyed.repartition("_key").sortWithinPartitions("_key").mapInArrow(merge, f"_id {id_type}, _start long, _end long")
-    lost = spans.groupBy("_id").agg(F.collect_set(F.struct("_start", "_end")).alias("_spans"))
+    lost = spans.unionByName(whole).groupBy("_id").agg(F.collect_set(F.struct("_start", "_end")).alias("_spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
