@@ -57,5 +57,5 @@ def lambda_label(text: Column) -> Column:
 
 
 def shared_hash(key: Column, seed: int = 0) -> Column:
-    """A hash that SQL engines can share: (key + seed) * 2654435761 mod 2^32."""
-    return F.pmod((F.pmod(key.cast("long"), F.lit(4294967296)) + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
+    """A hash that SQL engines can share: (key mod 2^31 + seed) * 2654435761 mod 2^32."""
+    return F.pmod((F.pmod(key.cast("long"), F.lit(2147483648)) + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))

@@ -1,0 +1,196 @@
+"""Fitting designs that are too large to broadcast.
+
+Features are dealt to parts by their group, so the proximal step of a part needs no other. A part is one row: its design by
+columns, and its state. Each pass over the parts computes the gradient of its features, the step, and the part's share of the
+fitted values; only vectors over the samples, summed in Spark slice by slice, and a few sums reach the driver. A part's size
+is bounded by the number of parts, which follows from the number of carriers.
+"""
+
+from __future__ import annotations
+
+import math
+import pickle
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import prox
+from .solver import Options, logistic_weights
+
+PART_CARRIERS = 2_000_000
+SLICE = 1 << 16
+STATE = "part int, state binary"
+
+
+def folder(spark: SparkSession) -> str:
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(path)
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    path = f"{folder(df.sparkSession)}/fit-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parted(x: DataFrame, samples: DataFrame, members: DataFrame, parts: int) -> DataFrame:
+    """part, design binary. samples: seq_id, ord; members: feature_id, group_ord, weight, each feature in one group."""
+    cells = x.join(members, "feature_id").join(samples.select("seq_id", "ord"), "seq_id").select(F.pmod(F.xxhash64("group_ord"), F.lit(parts)).cast("int").alias("part"), "feature_id", "group_ord", "weight", "ord", "value")
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["group_ord", "feature_id", "ord"])
+        ids, column = np.unique(own["feature_id"], return_inverse=True)
+        of = own.drop_duplicates("feature_id").set_index("feature_id").loc[ids]
+        names, group = np.unique(of["group_ord"], return_inverse=True)
+        weight = np.zeros(len(names))
+        weight[group] = of["weight"]
+        design = {"ids": ids, "column": column.astype(np.int32), "row": own["ord"].to_numpy(np.int32), "value": own["value"].to_numpy(float), "group": group, "weight": weight}
+        return pd.DataFrame({"part": [own["part"].iloc[0]], "state": [pickle.dumps(design)]})
+
+    return cells.groupBy("part").applyInPandas(pack, STATE)
+
+
+class Parts:
+    """Passes over the parts of a design."""
+
+    def __init__(self, spark: SparkSession, design: DataFrame, m: int):
+        self.spark, self.m, self.design = spark, m, design
+        self.state = stored(design.select("part", F.lit(None).cast("binary").alias("state")))
+
+    def run(self, work) -> tuple[np.ndarray, dict[str, float], DataFrame]:
+        """work(design, (x, before)) gives new x, its sums by name, and whether to add up fitted values. The sum of fitted values,
+        the sums (those named max_ as maxima) and the new states."""
+        m = self.m
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, sums = np.zeros(m), {}
+            for batch in batches:
+                for part, d, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    design = pickle.loads(d)
+                    n = len(design["ids"])
+                    x, before = pickle.loads(s) if s else (np.zeros(n), np.zeros(n))
+                    new, found = work(design, x, before)
+                    for k, v in found.items():
+                        sums[k] = max(sums.get(k, v), v) if k.startswith("max_") else sums.get(k, 0.0) + v
+                    if new is not None:
+                        total += np.bincount(design["row"], weights=design["value"] * new[design["column"]], minlength=m)
+                        yield row("state", part, pickle.dumps((new, x)))
+            yield row("sums", 0, pickle.dumps(sums))
+            for at in range(0, m, SLICE):
+                yield row("slice", at, total[at : at + SLICE].tobytes())
+
+        def row(kind: str, key: int, data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([key], pa.int64()), pa.array([data], pa.binary())], names=["kind", "key", "data"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    totals[key] = totals.get(key, 0) + np.frombuffer(data)
+            for key, v in totals.items():
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["key", "data"])
+
+        both = self.design.select("part", F.col("state").alias("design")).join(self.state, "part").select("part", "design", "state")
+        out = stored(both.mapInArrow(each, "kind string, key long, data binary"))
+        sums: dict[str, float] = {}
+        for r in out.where("kind = 'sums'").collect():
+            for k, v in pickle.loads(r["data"]).items():
+                sums[k] = max(sums.get(k, v), v) if k.startswith("max_") else sums.get(k, 0.0) + v
+        fitted = np.zeros(m)
+        for r in out.where("kind = 'slice'").select("key", "data").repartition("key").mapInArrow(add, "key long, data binary").collect():
+            fitted[r["key"] : r["key"] + SLICE] = np.frombuffer(r["data"])
+        return fitted, sums, out.where("kind = 'state'").select(F.col("key").cast("int").alias("part"), F.col("data").alias("state"))
+
+
+def gradient(d: dict, b: np.ndarray) -> np.ndarray:
+    return np.bincount(d["column"], weights=d["value"] * b[d["row"]], minlength=len(d["ids"]))
+
+
+def norms(d: dict, v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.bincount(d["group"], weights=v * v, minlength=len(d["weight"])))
+
+
+def solve_distributed(spark: SparkSession, x: DataFrame, samples: DataFrame, members: DataFrame, l1: float, l2: float, loss: str = "logistic", options: Options = Options(), parts: int | None = None) -> tuple[DataFrame, float]:
+    """feature_id, beta (non-zero) and the intercept of one model; the same steps as solver.solve, in passes over parts. Groups must
+    not overlap. The vectors over the samples must fit the driver."""
+    people = samples.select("seq_id", "trait").toPandas().sort_values("seq_id").reset_index(drop=True)
+    m = len(people)
+    ordered = spark.createDataFrame(people.assign(ord=np.arange(m))[["seq_id", "ord"]])
+    parts = parts or max(1, math.ceil(x.count() / PART_CARRIERS))
+    run = Parts(spark, stored(parted(x, ordered, members, parts)), m)
+    logistic, y = loss == "logistic", people["trait"].to_numpy(float)
+    if logistic:
+        y = np.where(y == 1, 1.0, -1.0)
+    s = logistic_weights(y, options.class_weights)
+    m1 = float(s[y == 1].sum()) if logistic else 0.5
+    b = np.where(y == 1, (1 - m1) * s, -m1 * s) if logistic else y
+    if options.relative:
+        level = l1 * run.run(lambda d, x, o: (None, {"max_a": float(np.abs(gradient(d, b)).max())}))[1].get("max_a", 0.0)
+        most = run.run(lambda d, x, o: (None, {"max_n": float((norms(d, np.maximum(np.abs(gradient(d, b)) - level, 0)) / d["weight"]).max())}))[1].get("max_n", 0.0)
+        l1, l2 = level, l2 * most
+    c = float(np.log(m1 / (1 - m1))) if logistic and 0 < m1 < 1 else 0.0
+    c_before, ax, ax_before, lip, a_old, a_new = c, np.zeros(m), np.zeros(m), (1 / max(1, m) if logistic else 1.0), 0.0, 1.0
+
+    def loss_at(fitted: np.ndarray, shift: float) -> tuple[float, np.ndarray]:
+        if not logistic:
+            return 0.5 * float(((fitted - y) ** 2).sum()), fitted - y
+        margin = -y * (fitted + shift)
+        return float((s * np.logaddexp(0, margin)).sum()), -s * y / (1 + np.exp(-margin))
+
+    for _ in range(options.iterations):
+        beta = (a_old - 1) / a_new
+        shift, fitted = c + beta * (c - c_before), ax + beta * (ax - ax_before)
+        at, residual = loss_at(fitted, shift)
+        gc = float(residual.sum()) if logistic else 0.0
+        while True:
+
+            def step(d, x, before, lip=lip, residual=residual, beta=beta):
+                g, point = gradient(d, residual), x + beta * (x - before)
+                new = prox.sparse_group(point - g / lip, d["group"], d["weight"], l1 / lip, l2 / lip)
+                move = new - point
+                return new, {"square": float(move @ move), "slope": float(move @ g)}
+
+            new_c = shift - gc / lip
+            new_ax, sums, state = run.run(step)
+            r = (sums.get("square", 0.0) + (new_c - shift) ** 2) / 2
+            gain = loss_at(new_ax, new_c)[0] - at - sums.get("slope", 0.0) - (new_c - shift) * gc
+            if r <= 1e-20 or gain <= r * lip or not options.exact_search and abs(gain - r * lip) < 1e-12:
+                break
+            lip = max(2 * lip, gain / r)
+        run.state = state
+        a_old, a_new = a_new, (1 + np.sqrt(4 * a_new * a_new + 1)) / 2
+        c_before, c, ax_before, ax = c, new_c, ax, new_ax
+        if r <= 1e-20:
+            break
+
+    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, s in zip(batch["design"], batch["state"], strict=True):
+                ids, x = pickle.loads(d)["ids"], pickle.loads(s)[0]
+                yield pd.DataFrame({"feature_id": ids[x != 0], "beta": x[x != 0]})
+
+    both = run.design.select("part", F.col("state").alias("design")).join(run.state, "part")
+    return both.mapInPandas(weights, "feature_id long, beta double"), float(c) if logistic else 0.0
+
+
+def fit_grid_distributed(spark: SparkSession, x: DataFrame, samples: DataFrame, members: DataFrame, grid: list[tuple[float, float]], method: str, options: Options) -> DataFrame:
+    """What fit.fit_grid returns, one model after the other; the objective is left out."""
+    out = None
+    for i, (a, b) in enumerate(grid):
+        found, intercept = solve_distributed(spark, x, samples, members, a, b, method, options)
+        found = stored(found)
+        groups = found.join(members.select("feature_id", "group_ord"), "feature_id").agg(F.count_distinct("group_ord")).first()[0]
+        empty = spark.createDataFrame([(None, None)] if not groups else [], "feature_id long, beta double")
+        rows = found.unionByName(empty).select(F.lit(0).alias("fold"), F.lit(i).alias("grid_ord"), F.lit(float(a)).alias("l1"), F.lit(float(b)).alias("l2"), "feature_id", "beta", F.lit(intercept).alias("intercept"), F.lit(groups).cast("long").alias("nz_groups"), F.lit(None).cast("double").alias("objective"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
