@@ -198,3 +198,69 @@ def read_newick(spark: SparkSession, path: str) -> DataFrame:
     """The nodes of a tree file."""
     text = spark.read.text(path, wholetext=True).first()["value"]
     return spark.createDataFrame(parse_newick(text), NODES)
+
+
+def read_clades(spark: SparkSession, path: str) -> DataFrame:
+    """name: one clade a line."""
+    return lines(spark, path).select(F.col("line").alias("name")).distinct()
+
+
+def read_folds(spark: SparkSession, path: str, samples: DataFrame) -> DataFrame:
+    """seq_id, trait, fold: one fold number a line (or separated by commas), in the order of the samples' ord column."""
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"[\s,]+")).alias("ord", "fold"))
+    joined = samples.join(text.select(F.col("ord").cast("long").alias("ord"), F.col("fold").cast("int").alias("fold")), "ord", "left")
+    if not joined.where("fold IS NULL").isEmpty():
+        raise ValueError("there are fewer folds than samples")
+    return joined.select("seq_id", "trait", "fold")
+
+
+def read_vector(spark: SparkSession, path: str) -> list[float]:
+    """One number a line, such as class weights."""
+    text = spark.read.text(path, wholetext=True).first()
+    return [float(x) for x in (text["value"] if text else "").split()]
+
+
+def read_group_index(spark: SparkSession, path: str) -> DataFrame:
+    """group_ord, start, end, weight from three lines of starts, ends and weights."""
+    rows = [[float(v) for v in line.replace(",", "\t").split("\t") if v.strip()] for line in spark.read.text(path, wholetext=True).first()["value"].splitlines() if line.strip()]
+    if len(rows) != 3 or len({len(r) for r in rows}) != 1:
+        raise ValueError("a group index has three lines of equal length")
+    return spark.createDataFrame([(i, int(a), int(b), w) for i, (a, b, w) in enumerate(zip(*rows, strict=True))], "group_ord int, start long, end long, weight double")
+
+
+def read_design(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """feature_id, ord, value of a dense table without header, a row for each sample in file order; zeros are left out."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "line")).where("trim(line) <> ''")
+    cells = rows.select("ord", F.posexplode(F.split("line", sep)).alias("_at", "v")).where("trim(v) <> ''")
+    return cells.select((F.col("_at") + 1).cast("long").alias("feature_id"), "ord", F.trim("v").cast("double").alias("value")).where("value <> 0")
+
+
+def write_table(df: DataFrame, path: str, columns: list[str], order: list[str] | None = None) -> None:
+    """Tab-separated rows without header, sorted within the whole table if an order is given."""
+    out = df.select(*[F.col(c).cast("string") for c in columns]) if order is None else df.orderBy(*order).select(*[F.col(c).cast("string") for c in columns])
+    out.write.option("sep", "\t").option("nullValue", "nan").csv(path)
+
+
+def write_response(samples: DataFrame, path: str) -> None:
+    """A trait a line, in the order of the samples."""
+    write_table(samples, path, ["trait"], ["ord"] if "ord" in samples.columns else ["seq_id"])
+
+
+def write_hypothesis(samples: DataFrame, path: str) -> None:
+    """Ids and traits after balancing."""
+    write_table(samples, path, ["seq_id", "trait"], ["seq_id"])
+
+
+def write_feature_map(features: DataFrame, path: str) -> None:
+    """Numbers and names of the features."""
+    write_table(features, path, ["feature_id", "name"], ["feature_id"])
+
+
+def write_missing(missing: DataFrame, path: str) -> None:
+    """Genes and the samples that they lack."""
+    write_table(missing, path, ["gene", "seq_id"])
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """seq_id, response, sps, spp."""
+    write_table(scores, path, ["seq_id", "response", "sps", "spp"])

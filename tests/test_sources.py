@@ -115,3 +115,23 @@ def test_stream(spark, tmp_path):
     finally:
         query.stop()
     assert got == {"s": pytest.approx(0.3), "t": pytest.approx(0.5)}
+
+
+def test_small_files(spark, tmp_path):
+    samples = spark.createDataFrame([("a", 1.0, 0), ("b", -1.0, 1), ("c", 1.0, 2)], "seq_id string, trait double, ord long")
+    folds = text.read_folds(spark, put(tmp_path, "f.txt", "1\n2\n1\n"), samples)
+    assert {(r["seq_id"], r["fold"]) for r in folds.collect()} == {("a", 1), ("b", 2), ("c", 1)}
+    with pytest.raises(ValueError):
+        text.read_folds(spark, put(tmp_path, "f2.txt", "1"), samples)
+    assert {r["name"] for r in text.read_clades(spark, put(tmp_path, "c.txt", "x\n\ny\nx\n")).collect()} == {"x", "y"}
+    assert text.read_vector(spark, put(tmp_path, "v.txt", "2\n0.5\n")) == [2.0, 0.5]
+    index = text.read_group_index(spark, put(tmp_path, "g.txt", "1,4\n3,5\n1.5,2\n")).collect()
+    assert [(r["start"], r["end"], r["weight"]) for r in index] == [(1, 3, 1.5), (4, 5, 2.0)]
+    with pytest.raises(ValueError):
+        text.read_group_index(spark, put(tmp_path, "g2.txt", "1,4\n3\n1,2\n"))
+    design = {(r["feature_id"], r["ord"], r["value"]) for r in text.read_design(spark, put(tmp_path, "x.csv", "1,0,0.5\n0,0,1\n")).collect()}
+    assert design == {(1, 0, 1.0), (3, 0, 0.5), (3, 1, 1.0)}
+    text.write_response(samples, str(tmp_path / "y"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "y")).collect()] == ["1.0", "-1.0", "1.0"]
+    text.write_hypothesis(samples, str(tmp_path / "h"))
+    assert text.read_traits(spark, str(tmp_path / "h")).count() == 3
