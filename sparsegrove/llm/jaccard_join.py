@@ -8,10 +8,12 @@ the frequent tokens. If no rare token is shared, t - r frequent ones may still b
 and the other document may have floor(n * (1 - p) / p) tokens of its own in between, each breaking k - 1; so
 k * (t - r) + (k - 1) * floor(n * (1 - p) / p) + k frequent tokens leave a combination that both documents index.
 
-Documents with equal sets are one class. Classes that share a signature are compared, not pair by pair but each with its
-signature's pivot, in rounds with new pivots; what a round links is one component from then on and needs no further
-comparison. When few pairs across components are left, all of them are verified, so no link is lost. Verification reads
-whole texts.
+Documents with equal sets are one class. Classes that share a signature are candidates, but never all pairs of a signature's
+list as rows. First each is compared with its signature's most central class, one that shares most with others, and takes
+that one's label if they link. Then the lists are read as groups: pairs with different labels and sizes that allow a link
+are compared by sketch, in blocks, first each member with one partner, then, with the labels that this gives, all with all. A sketch is a string of bits, of which each token flips one; two sketches differ in at most
+as many bits as the sets differ in tokens, so a pair whose sketches differ more than linked sets can is none, for certain.
+The pairs that are left are verified on their whole texts.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, blocks, mix, table, utf8, written
+from .common import GOLDEN, blocks, mix, numbered, ranges, table, utf8, whole_groups, written
 from .components import components
 from .words import shingles
 
 BLOCK = 1 << 21
 #: Counters of the token counts; a fixed size, whatever the input.
 COUNTERS, SLICE = 1 << 20, 1 << 12
+#: Bits of a sketch; members of a list that are compared in one block; pairs that are compared at once.
+SKETCH, LIST, PAIRS = 2048, 1024, 1 << 16
 
 
 def distinct_per_text(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -81,6 +85,18 @@ def missing(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """SKETCH bits; each token flips one. The bits in which two sketches differ are at most the tokens in which two sets do."""
+    flips = np.bincount(((tokens >> np.uint64(20)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m tokens that differ in `apart` or more can link: with d tokens in one only, the similarity is
+    (n + m - d) / (n + m + d)."""
+    return apart * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def signatures(tokens: np.ndarray, counters: np.ndarray, rare: float, percent: int, k: int) -> np.ndarray:
     """The signatures of one set: single rare tokens, then combinations of k frequent ones."""
     n = len(tokens)
@@ -104,7 +120,7 @@ def signatures(tokens: np.ndarray, counters: np.ndarray, rare: float, percent: i
 
 
 def signed(docs: DataFrame, counters: np.ndarray, size: int, percent: int, k: int, id_type: str) -> DataFrame:
-    """_id, _n (set size), _set (128-bit digest of the set, null if empty), _signatures."""
+    """_id, _n (set size), _set (128-bit digest of the set, null if empty), _sketch, _signatures."""
     mean = counters.sum() / COUNTERS
     rare = mean + 8 * np.sqrt(mean) + 32
     shared = docs.sparkSession.sparkContext.broadcast(counters)
@@ -117,9 +133,9 @@ def signed(docs: DataFrame, counters: np.ndarray, size: int, percent: int, k: in
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 marks = [signatures(s, shared.value, rare, percent, k).view(np.int64) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(m) for m in marks])])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)))], names=["_id", "_n", "_set", "_signatures"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([sketch(x) if len(m) else None for x, m in zip(sets, marks, strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)))], names=["_id", "_n", "_set", "_sketch", "_signatures"])
 
-    return docs.select("_id", "_text").mapInArrow(run, f"_id {id_type}, _n long, _set binary, _signatures array<long>")
+    return docs.select("_id", "_text").mapInArrow(run, f"_id {id_type}, _n long, _set binary, _sketch binary, _signatures array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, id_type: str, together: int = 128) -> DataFrame:
@@ -151,6 +167,70 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, id_typ
     return dealt.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
+def close_pairs(lists: DataFrame, percent: int, id_type: str, first_only: bool) -> DataFrame:
+    """a, b, _mark: pairs of lists' members whose labels differ and whose sketches allow a link. With first_only each member comes
+    with one earlier member at most, and a row with _mark alone tells that a list has more pairs. lists: _mark, _often, _id, _n,
+    _label, _sketch. A list of more than LIST members is dealt in blocks, and each two blocks meet in a group of their own."""
+    parts = F.ceil(F.col("_often") / LIST).cast("int")
+    own = lists.withColumn("_own", F.pmod(F.xxhash64("_id"), parts.cast("long")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_other"))
+    dealt = own.select("_mark", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "_label", "_own", "_id", "_n", "_sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, ["_mark", "_lo", "_hi"], "_sketch", 1 << 23):
+            t = pa.Table.from_batches(rows)
+            ids, (label, _) = t.column("_id").combine_chunks(), numbered(t.column("_label"))
+            mark, lo, hi, own, n = (t.column(k).to_numpy() for k in ("_mark", "_lo", "_hi", "_own", "_n"))
+            bits = np.frombuffer(b"".join(t.column("_sketch").to_pylist()), np.uint64).reshape(len(n), -1)
+            other_group = np.concatenate([[True], (mark[1:] != mark[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            other_label = other_group | np.concatenate([[True], label[1:] != label[:-1]])
+            end, begin = next_head(other_group), next_head(other_label)  # partners: from the next label on, in the group
+            taken, found, more = np.zeros(len(n), bool), [], []
+            for at, to in blocks(end - begin, PAIRS):
+                first, second = np.repeat(np.arange(at, to), (end - begin)[at:to]), ranges(begin[at:to], (end - begin)[at:to])
+                fits = (lo[first] == hi[first]) | (own[first] != own[second])
+                fits &= 100 * np.minimum(n[first], n[second]) >= percent * np.maximum(n[first], n[second])
+                first, second = first[fits], second[fits]
+                apart = np.bitwise_count(bits[first] ^ bits[second]).sum(1, dtype=np.int64)
+                near = may_link(n[first], n[second], apart, percent)
+                first, second = first[near], second[near]
+                if first_only and len(second):
+                    order = np.argsort(second, kind="stable")
+                    new = np.zeros(len(second), bool)
+                    new[order] = np.concatenate([[True], second[order[1:]] != second[order[:-1]]])
+                    new &= ~taken[second]
+                    more.append(mark[second[~new]])
+                    first, second = first[new], second[new]
+                    taken[second] = True
+                found.append((first, second))
+            first, second = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            left = np.unique(np.concatenate(more)) if more else mark[:0]
+            pairs = pa.Table.from_arrays([ids.take(pa.array(first)), ids.take(pa.array(second))], names=["a", "b"]).group_by(["a", "b"]).aggregate([])
+            yield from pairs.append_column("_mark", pa.nulls(pairs.num_rows, pa.int64())).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(left), ids.type), pa.nulls(len(left), ids.type), pa.array(left)], names=["a", "b", "_mark"])
+
+    near = dealt.repartition("_mark", "_lo", "_hi").sortWithinPartitions("_mark", "_lo", "_hi", "_label").mapInArrow(run, f"a {id_type}, b {id_type}, _mark long")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "_mark").where("_mark IS NOT NULL OR a <> b").distinct()
+
+
+def next_head(heads: np.ndarray) -> np.ndarray:
+    """For each place the next one that is a head, or the length."""
+    at = np.flatnonzero(heads)
+    return np.repeat(np.concatenate([at[1:], [len(heads)]]), np.diff(np.concatenate([at, [len(heads)]])))
+
+
+def near_sketches(pairs: DataFrame, percent: int, id_type: str) -> DataFrame:
+    """a, b of the pairs (a, an, a_bits, b, bn, b_bits) whose sketches allow a link, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 5))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            near = may_link(batch.column(1).to_numpy(), batch.column(4).to_numpy(), apart, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(near))
+
+    return pairs.select("a", "an", "a_bits", "b", "bn", "b_bits").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if len(x) > len(y):
         x, y = y, x
@@ -161,7 +241,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_token: int = 5, percent: int = 80, combination: int = 2, rounds: int = 6) -> DataFrame:
+def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_token: int = 5, percent: int = 80, combination: int = 2) -> DataFrame:
     """id, n_shingles, component_id for every row: the set's size and the smallest id reachable by links.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets (percent from 80 on). Defined
@@ -177,41 +257,39 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     sets = written(signed(docs, token_counters(docs, words_per_token), words_per_token, percent, combination, id_type), "jaccard-sets")
     classes = sets.where("_set IS NOT NULL").groupBy("_set").agg(F.min("_id").alias("_class"))
-    firsts = sets.where("size(_signatures) > 0").join(classes, [sets["_set"] == classes["_set"], sets["_id"] == classes["_class"]], "left_semi").select("_id", "_n", F.explode("_signatures").alias("_mark"))
-    common = firsts.groupBy("_mark").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1").select("_mark")
-    marks = written(firsts.join(common, "_mark").select("_mark", "_id", "_n").distinct(), "jaccard-marks")
-    some = marks.select("_id").distinct()
-    texts = written(docs.join(some, "_id", "left_semi"), "jaccard-texts")
-    labels, tested, done = written(some.select("_id", F.col("_id").alias("_label")), "jaccard-labels"), None, 0
-    while True:
-        known = marks.join(labels, "_id")
-        pivot = F.min_by(F.struct("_id", "_n", "_label"), F.struct(F.xxhash64("_id", F.lit(done)), "_id"))
-        open_marks = written(known.groupBy("_mark").agg(F.count(F.lit(1)).alias("_often"), F.min("_label").alias("_lo"), F.max("_label").alias("_hi"), pivot.alias("_pivot")).where("_lo <> _hi"), "jaccard-open")
-        n, work = open_marks.agg(F.count(F.lit(1)), F.sum((F.col("_often") * (F.col("_often") - 1) / 2).cast("decimal(38,0)"))).first()
-        if not n:
-            break
-        last = done >= rounds or work <= 4 * open_marks.agg(F.sum("_often")).first()[0]
-        if last:  # all pairs across components that share a signature
-            here = known.join(open_marks.select("_mark"), "_mark")
-            left = here.select("_mark", F.col("_id").alias("a"), F.col("_n").alias("an"), F.col("_label").alias("al"))
-            right = here.select("_mark", F.col("_id").alias("b"), F.col("_n").alias("bn"), F.col("_label").alias("bl"))
-            pairs = left.join(right, "_mark").where("a < b AND al <> bl")
-        else:
-            pairs = known.join(open_marks.select("_mark", "_pivot"), "_mark").select(F.col("_id").alias("a"), F.col("_n").alias("an"), F.col("_label").alias("al"), F.col("_pivot._id").alias("b"), F.col("_pivot._n").alias("bn"), F.col("_pivot._label").alias("bl")).where("al <> bl")
-        pairs = pairs.where(100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
-        links = written(verified(pairs, texts, words_per_token, percent, id_type), "jaccard-links")
-        tried = pairs if last else pairs.union(pairs.select("b", "a"))
-        tested = tried if tested is None else tested.union(tried)
-        to_label = links.join(labels.select(F.col("_id").alias("a"), F.col("_label").alias("al")), "a").join(labels.select(F.col("_id").alias("b"), F.col("_label").alias("bl")), "b")
-        merged = components(to_label, "al", "bl").select(F.col("node").alias("_label"), F.col("label").alias("_new"))
-        labels = written(labels.join(merged, "_label", "left").select("_id", F.coalesce("_new", "_label").alias("_label")), "jaccard-labels")
-        if last:
-            break
-        done += 1
-    of_class = classes.join(labels.withColumnRenamed("_id", "_class"), "_class", "left").select("_set", F.coalesce("_label", "_class").alias("_component"))
+    firsts = sets.where("size(_signatures) > 0").join(classes, [sets["_set"] == classes["_set"], sets["_id"] == classes["_class"]], "left_semi")
+    single = firsts.select("_id", "_n", F.explode("_signatures").alias("_mark"))
+    common = single.groupBy("_mark").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
+    marks = written(single.join(common.hint("merge"), "_mark").select("_mark", "_often", "_id", "_n"), "jaccard-marks")
+    central = written(marks.groupBy("_id").agg((F.sum("_often") / F.max("_n")).alias("_weight")), "jaccard-weights")
+    texts = written(docs.join(central.select("_id").hint("merge"), "_id", "left_semi"), "jaccard-texts")
+    bits = written(sets.where("_sketch IS NOT NULL").select("_id", "_sketch").join(central.select("_id").hint("merge"), "_id", "left_semi"), "jaccard-bits")
+    pivots = marks.join(central, "_id").groupBy("_mark").agg(F.max_by(F.struct("_id", "_n"), F.struct("_weight", "_id")).alias("_pivot"))
+    to_pivot = marks.join(pivots, "_mark").select(F.col("_id").alias("a"), F.col("_n").alias("an"), F.col("_pivot._id").alias("b"), F.col("_pivot._n").alias("bn"))
+    to_pivot = to_pivot.where("a <> b").where(100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")).distinct()
+    side = lambda k: bits.select(F.col("_id").alias(k), F.col("_sketch").alias(f"{k}_bits"))
+    stars = written(near_sketches(to_pivot.join(side("a"), "a").join(side("b"), "b"), percent, id_type), "jaccard-stars")
+    check = lambda pairs: written(verified(pairs, texts, words_per_token, percent, id_type), "jaccard-links")
+
+    def lists(of: DataFrame, labels: DataFrame) -> DataFrame:
+        """The lists of marks that hold several labels, with sketches."""
+        known = of.join(labels, "_id")
+        mixed = known.groupBy("_mark").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).where("_lo <> _hi").select("_mark")
+        return known.join(mixed, "_mark", "left_semi").join(bits, "_id")
+
+    links = check(stars)
+    labels = central.select("_id").join(links.groupBy(F.col("a").alias("_id")).agg(F.max("b").alias("_label")), "_id", "left").select("_id", F.coalesce("_label", "_id").alias("_label"))
+    some = written(close_pairs(lists(marks, labels), percent, id_type, True), "jaccard-pairs")
+    links = links.union(check(some.where("_mark IS NULL").select("a", "b")))
+    labelled = components(links, "a", "b").select(F.col("node").alias("_class"), F.col("label").alias("_label"))
+    more = some.where("_mark IS NOT NULL").select("_mark").distinct()
+    if not more.isEmpty():
+        labels = central.select("_id").join(labelled.withColumnRenamed("_class", "_id"), "_id", "left").select("_id", F.coalesce("_label", "_id").alias("_label"))
+        rest = close_pairs(lists(marks.join(more, "_mark", "left_semi"), labels), percent, id_type, False).select("a", "b")
+        rest = written(rest.join(some.where("_mark IS NULL").select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+        links = links.union(check(rest))
+        labelled = components(links, "a", "b").select(F.col("node").alias("_class"), F.col("label").alias("_label"))
+    of_class = classes.join(labelled, "_class", "left").select("_set", F.coalesce("_label", "_class").alias("_component"))
     return sets.select("_id", "_n", "_set").join(of_class, "_set", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
 
 
