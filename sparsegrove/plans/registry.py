@@ -466,9 +466,9 @@ def confusion_rates(spark, d):
     return score.rates(sps(spark, d)).select(*[r9(c).alias(c) for c in ("tpr", "tnr", "fpr", "fnr")])
 
 
-@query(f"WITH {views.SQL_CONTRIB} SELECT gene, count(*) AS n_models, round(avg(contribution), 9) AS mean, median(contribution) AS median FROM contrib GROUP BY gene")
+@query(f"WITH {views.SQL_CONTRIB} SELECT gene, count(*) AS n_models, avg(contribution) AS mean, median(contribution) AS median FROM contrib GROUP BY gene")
 def median_summary(spark, d):
-    return score.median_summary(contributions(spark, d), "gene", "contribution").withColumn("mean", r9("mean"))
+    return score.median_summary(contributions(spark, d), "gene", "contribution")
 
 
 @query(f"WITH {views.SQL_MODEL}, g AS (SELECT gene, sum(abs(beta)) AS gss FROM model GROUP BY gene), c AS (SELECT gene, gss, sum(gss) OVER (ORDER BY gss DESC, gene) AS run, sum(gss) OVER () AS total FROM g WHERE gss > 0) SELECT gene, gss, run / total AS running_share FROM c WHERE run - gss < 0.9 * total")
