@@ -69,7 +69,7 @@ class Settings:
     subsets: int | None = None
     seed: int = 0
     inclusive: bool = True
-    slep: dict[str, str] = field(default_factory=dict)
+    solver_options: dict[str, str] = field(default_factory=dict)
 
     def grid(self) -> list[tuple[str, str]]:
         if (self.l1_grid is None) != (self.l2_grid is None):

@@ -85,7 +85,7 @@ class Training:
         pairs = [(float(a), float(b)) for a, b in s.grid()]
         if members.select("group_ord").distinct().count() == 1:  # one group: no group penalty
             pairs = [(a, 0.0) for a in dict.fromkeys(a for a, _ in pairs)]
-        options = Options.parse(s.slep)
+        options = Options.parse(s.solver_options)
         if balance.KINDS[s.class_balance] == "weighted":
             n = balance.imbalance(self.people).first()
             if n["n_pos"] and n["n_neg"]:
