@@ -55,7 +55,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(BLOCK * 2, 1 << int(size).bit_length()))
+    return _powers(1 << max(16, int(size).bit_length()))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from .common import GOLDEN, blocks, mix, numbered, ranges, table, utf8, whole_gr
 from .components import components
 from .words import shingles
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Counters of the token counts; a fixed size, whatever the input.
 COUNTERS, SLICE = 1 << 20, 1 << 12
 #: Bits of a sketch; members of a list that are compared in one block; pairs that are compared at once.

@@ -21,7 +21,7 @@ from .common import blocks, ranges, table, utf8
 #: Texts are parsed in pieces of so many bytes; a phrase ends with its piece. Every byte of a text is in a piece.
 PIECE = 512
 #: Bytes that are stepped through at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 LETTER = r"\pL"
 
 

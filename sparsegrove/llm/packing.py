@@ -79,17 +79,19 @@ def encoded(df: DataFrame, id_col: str, text_col: str, end_id: int | None) -> Da
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _ids binary, _n long, _p array<double>")
 
 
-def curve_key(moments: list[tuple[float, float]]) -> Column:
-    """The 63-bit sort key: the Hilbert place of the standardised vector, then hashed bits of the id."""
+def curve_key(moments: list[tuple[float, float]], bounds: np.ndarray) -> Column:
+    """key and bucket: the 63-bit sort key, which is the Hilbert place of the standardised vector, then hashed bits of the id, and
+    its place among the bounds. One call gives both, so that a task needs one worker."""
     mean, spread = np.array([m for m, _ in moments]), np.array([max(s, 1e-9) for _, s in moments])
 
-    @F.pandas_udf("long")
-    def place(p: pd.Series) -> pd.Series:
+    @F.pandas_udf("key long, bucket int")
+    def place(p: pd.Series, low: pd.Series) -> pd.DataFrame:
         z = (np.array(p.tolist()).reshape(-1, DIMS) - mean) / spread
         cells = ((np.tanh(z * 0.8) + 1) * (1 << (BITS - 1))).astype(np.int64).clip(0, (1 << BITS) - 1)
-        return pd.Series(hilbert(cells))
+        key = hilbert(cells) << 31 | low.to_numpy()
+        return pd.DataFrame({"key": key, "bucket": np.searchsorted(bounds, key, "right").astype(np.int32)})
 
-    return F.shiftleft(place("_p"), 31).bitwiseOR(F.shiftrightunsigned(F.xxhash64("_id"), 33))
+    return place("_p", F.shiftrightunsigned(F.xxhash64("_id"), 33))
 
 
 def tail_cuts(total: int, seq_len: int) -> np.ndarray:
@@ -137,16 +139,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len:
     first = ids.agg(F.sum("_n"), *[f(x) for x in each for f in (F.avg, F.stddev_pop)]).first()
     total = first[0] or 0
     moments = [(first[1 + 2 * d] or 0.0, first[2 + 2 * d] or 0.0) for d in range(DIMS)]
-    keyed = ids.withColumn("_key", curve_key(moments))
     n = max(1, math.ceil(total / max(BUCKET_TOKENS, total / MOST_BUCKETS)))
-    cuts = keyed.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 and total else []
+    keys = ids.select(curve_key(moments, np.zeros(0, np.int64))["key"].alias("_key"))
+    cuts = keys.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 and total else []
     bounds = np.array(sorted(set(cuts or [])), np.int64)
-
-    @F.pandas_udf("int")
-    def bucket(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), "right").astype(np.int32))
-
-    dealt = keyed.withColumn("_bucket", bucket("_key"))
+    dealt = ids.withColumn("_at", curve_key(moments, bounds)).select("_id", "_ids", "_n", F.col("_at.key").alias("_key"), F.col("_at.bucket").alias("_bucket"))
     sums = {r["_bucket"]: r["_sum"] for r in dealt.groupBy("_bucket").agg(F.sum("_n").alias("_sum")).collect()}
     begins, at = {}, 0
     for b in sorted(sums):

@@ -29,7 +29,7 @@ from .bpe import span_hashes
 from .common import blocks, mix, numbered, ranges, table, utf8, whole_groups, written
 
 GRAM = 24
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Suffixes that are sorted at once: three numbers below it fit a 63-bit key.
 INDEX_BITS = 21
 #: Pieces of an anchor in one shard, beyond which they are dealt to several.
