@@ -14,7 +14,6 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 LEVELS = ("0.1", "0.3", "0.5", "0.7", "0.9")
-FEW = Options(iterations=30)
 
 
 def query(sql: str | None = None):
@@ -352,7 +351,7 @@ def gene_table(found, models):
     return got.unionByName(empty)
 
 
-def fitted(spark, d, pairs, method="logistic", overlapping=False, folds=None, options=FEW):
+def fitted(spark, d, pairs, method="logistic", overlapping=False, folds=None, options=Options()):
     x, found = views.design(spark, d)
     return found, fit.fit_grid(spark, x, views.samples(spark, d), numbered_members(spark, found, overlapping), pairs, method, options, folds)
 
@@ -373,12 +372,12 @@ def sgl_leastr_fit(spark, d):
 
 @query()
 def ol_sgl_logistic_fit(spark, d):
-    return gene_table(*fitted(spark, d, [(0.2, 0.2)], overlapping=True, options=Options(iterations=15, inner_iterations=30)))
+    return gene_table(*fitted(spark, d, [(0.2, 0.2)], overlapping=True))
 
 
 @query()
 def ol_sgl_leastr_fit(spark, d):
-    return gene_table(*fitted(spark, d, [(0.2, 0.2)], "leastr", overlapping=True, options=Options(iterations=15, inner_iterations=30)))
+    return gene_table(*fitted(spark, d, [(0.2, 0.2)], "leastr", overlapping=True))
 
 
 @query()
@@ -388,20 +387,20 @@ def gl_logistic_fit(spark, d):
 
 @query()
 def sgl_grid_fit(spark, d):
-    return gene_table(*fitted(spark, d, [(a, b) for a in (0.2, 0.5, 0.8) for b in (0.2, 0.5, 0.8)], options=Options(iterations=15)))
+    return gene_table(*fitted(spark, d, [(a, b) for a in (0.2, 0.5, 0.8) for b in (0.2, 0.5, 0.8)]))
 
 
 @query()
 def cv_fit(spark, d):
     folds = fit.cv_folds(views.samples(spark, d), 3).toPandas().set_index("seq_id")["fold"]
-    return gene_table(*fitted(spark, d, [(0.3, 0.3)], folds=folds, options=Options(iterations=15)))
+    return gene_table(*fitted(spark, d, [(0.3, 0.3)], folds=folds))
 
 
 @query()
 def screen_genes(spark, d):
     x, found = views.design(spark, d)
     named = found.withColumn("gene_ord", views.gene_number())
-    scores = screen.screen_groups(spark, x, views.samples(spark, d), named, numbered_members(spark, found), 3, [(0.2, 0.2)], Options(iterations=10))
+    scores = screen.screen_groups(spark, x, views.samples(spark, d), named, numbered_members(spark, found), 3, [(0.2, 0.2)])
     return scores.select("gene", F.round("gss", 6).alias("gss"))
 
 
