@@ -22,8 +22,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; texts that are null or have no letter go. Labels of four fifths of the
-    documents teach the languages; a document never goes for its label."""
+    documents teach the languages; a document never goes for its label, nor where no label teaches a language."""
     parser = learn_languages(docs, fold(F.col("doc_id"), 5) != 0)
+    if not parser.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     rest = tuple(c for c in COLUMNS if c != "doc_id")
     return identify(docs, parser, carry=rest).where("lang_pred <> 'und'").select(*COLUMNS)
 

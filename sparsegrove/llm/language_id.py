@@ -108,15 +108,20 @@ def fold(text_id: Column, folds: int) -> Column:
 
 
 def learn_languages(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 64, sample_bytes: int = 32768, longest_doc: int = 16384) -> CrossParser:
-    """Automata from a sample of the rows where learn holds: of each language the texts of at most longest_doc characters
-    whose hashed id is the smallest of its bucket, in sample_docs buckets, whole, until sample_bytes bytes are reached.
+    """Automata from a sample of the rows where learn holds: of each language the text whose hashed id is the smallest of its
+    bucket, in sample_docs buckets, until sample_bytes bytes are reached. Texts of at most longest_doc characters come
+    first and whole; a longer one counts where a bucket has no other, with its first longest_doc characters from a letter on.
 
     The buckets are summed up before the shuffle, so that no task gathers a language. What comes to the driver is bounded
     by sample_docs * longest_doc for each language."""
-    fit = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= longest_doc)).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(id_col).alias("_order"))
-    first = [r["_least"] for r in fit.groupBy("_lang", F.pmod("_order", F.lit(sample_docs))).agg(F.min("_order").alias("_least")).collect()]
-    texts: dict[str, list[str]] = {}
-    for row in sorted(fit.where(F.col("_order").isin(first)).collect()) if first else []:
+    long = F.length(text_col) > longest_doc
+    part = F.when(long, F.left(F.regexp_replace(text_col, r"^\P{L}+", ""), F.lit(longest_doc))).otherwise(F.col(text_col))
+    hashed = F.xxhash64(id_col)
+    order = F.shiftright(hashed, 1) + F.when(long, F.lit(1 << 62)).otherwise(F.lit(-(1 << 62)))  # long texts after all others
+    fit = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("_lang"), part.alias("_text"), order.alias("_order"), F.pmod(hashed, F.lit(sample_docs)).alias("_bucket"))
+    first = [r["_least"] for r in fit.groupBy("_lang", "_bucket").agg(F.min("_order").alias("_least")).collect()]
+    texts: dict[str, list[tuple[int, str]]] = {}
+    for row in fit.where(F.col("_order").isin(first)).select("_lang", "_text", "_order").collect() if first else []:
         texts.setdefault(row["_lang"], []).append((row["_order"], row["_text"].lower()))
     return CrossParser({k: cut([t for _, t in sorted(set(v))], sample_bytes) for k, v in texts.items()})
 

@@ -56,5 +56,15 @@ def test_held_out_accuracy_and_edge_cases(make_docs):
     assert {r["lang_pred"] for r in identify(docs, one).collect()} == {"aa"}
 
 
+def test_languages_of_long_texts_are_learnt(make_docs):
+    rng = random.Random(3)
+    books = ["1 " * 9000 + prose(rng, "la me ni qu est pour".split(), 9000) for _ in range(3)]
+    short = [prose(rng, "sch ein ung zu der mit".split(), 60) for _ in range(6)]
+    docs = make_docs(books + short, langs=["aa"] * 3 + ["bb"] * 6)
+    parser = learn_languages(docs, F.lit(True))
+    assert parser.langs == ["aa", "bb"]
+    assert [r["lang_pred"] for r in identify(docs, parser).orderBy("doc_id").collect()] == ["aa"] * 3 + ["bb"] * 6
+
+
 def test_cut_takes_whole_texts():
     assert cut(["abc", "de", "f"], 5) == b"abc de" and cut(["abcdefgh", "x"], 3) == b"abcdefgh"

@@ -47,3 +47,8 @@ def test_empty_documents_and_nulls(spark, make_docs, tmp_path):
     make_docs([text, text, None, text], [None, 1, 2, 1], ["en", None, "en", "en"]).write.parquet(str(tmp_path / "b/documents.parquet"))
     got = cp.run(spark, str(tmp_path / "b"))
     assert {r["doc_id"] for r in got.collect()} == {1}
+
+
+def test_documents_stay_where_no_language_is_known(spark, make_docs, tmp_path):
+    docs = make_docs(["some words", None, "12 !!", "été"], [1, 2, 3, None])
+    assert {r["text"] for r in cp.language_id(spark, docs, str(tmp_path)).collect()} == {"some words", "été"}
