@@ -4,10 +4,14 @@ Features are dealt to parts by their group, so the proximal step of a part needs
 columns, and its state. Each pass over the parts computes the gradient of its features, the step, and the part's share of the
 fitted values; only vectors over the samples, summed in Spark slice by slice, and a few sums reach the driver. A part's size
 is bounded by the number of parts, which follows from the number of carriers.
+
+Overlapping groups can connect all features, and group lasso has norms of its own: their models are solved by solver.py on a
+FarDesign, whose cells lie in parts dealt by feature and slice of samples. There vectors over the features are in the driver too.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import pickle
 import tempfile
@@ -20,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import prox
-from .solver import Options, logistic_weights
+from . import prox, solver
+from .solver import ROUNDING, Design, Options, logistic_weights
 
 PART_CARRIERS = 2_000_000
 SLICE = 1 << 16
@@ -121,8 +125,10 @@ def norms(d: dict, v: np.ndarray) -> np.ndarray:
 
 
 def solve_distributed(spark: SparkSession, x: DataFrame, samples: DataFrame, members: DataFrame, l1: float, l2: float, loss: str = "logistic", options: Options = Options(), parts: int | None = None) -> tuple[DataFrame, float]:
-    """feature_id, beta (non-zero) and the intercept of one model; the same steps as solver.solve, in passes over parts. Groups must
-    not overlap. The vectors over the samples must fit the driver."""
+    """feature_id, beta (non-zero) and the intercept of one model; the same steps as solver.solve, in passes over parts. Overlapping
+    groups are an error here. The vectors over the samples must fit the driver."""
+    if overlapping(members):
+        raise ValueError("groups overlap: use fit_grid_distributed")
     people = samples.select("seq_id", "trait").toPandas().sort_values("seq_id").reset_index(drop=True)
     m = len(people)
     ordered = spark.createDataFrame(people.assign(ord=np.arange(m))[["seq_id", "ord"]])
@@ -177,20 +183,147 @@ def solve_distributed(spark: SparkSession, x: DataFrame, samples: DataFrame, mem
         for batch in batches:
             for d, s in zip(batch["design"], batch["state"], strict=True):
                 ids, x = pickle.loads(d)["ids"], pickle.loads(s)[0]
-                yield pd.DataFrame({"feature_id": ids[x != 0], "beta": x[x != 0]})
+                some = np.abs(x) > ROUNDING
+                yield pd.DataFrame({"feature_id": ids[some], "beta": x[some]})
 
     both = run.design.select("part", F.col("state").alias("design")).join(run.state, "part")
     return both.mapInPandas(weights, "feature_id long, beta double"), float(c) if logistic else 0.0
 
 
-def fit_grid_distributed(spark: SparkSession, x: DataFrame, samples: DataFrame, members: DataFrame, grid: list[tuple[float, float]], method: str, options: Options) -> DataFrame:
-    """What fit.fit_grid returns, one model after the other; the objective is left out."""
+def overlapping(members: DataFrame) -> bool:
+    """Whether a feature is in several groups, or in one twice."""
+    return not members.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+class FarDesign(Design):
+    """A design for solver.py whose cells stay in Spark: products with it are passes over parts. Parts hold the cells of some
+    features and slices of samples; their shares of a product are summed up."""
+
+    def __init__(self, spark: SparkSession, x: DataFrame, people: pd.DataFrame, members: DataFrame, parts: int):
+        self.spark, self.y, self.keep = spark, people["trait"].to_numpy(float), None
+        ordered = spark.createDataFrame(people.assign(ord=np.arange(len(people)))[["seq_id", "ord"]])
+        cells = x.join(ordered, "seq_id").select(F.pmod(F.xxhash64("feature_id", F.floor(F.col("ord") / SLICE)), F.lit(parts)).cast("int").alias("part"), "feature_id", "ord", "value")
+
+        def pack(own: pd.DataFrame) -> pd.DataFrame:
+            ids, column = np.unique(own["feature_id"], return_inverse=True)
+            held = {"ids": ids, "column": column.astype(np.int32), "row": own["ord"].to_numpy(np.int32), "value": own["value"].to_numpy(float)}
+            return pd.DataFrame({"part": [own["part"].iloc[0]], "state": [pickle.dumps(held)]})
+
+        self.cells, self.m = stored(cells.groupBy("part").applyInPandas(pack, STATE)), len(people)
+        self.ids = np.sort(cells.select("feature_id").distinct().toPandas()["feature_id"].to_numpy(np.int64))
+        of = members.select("feature_id", "group_ord", "weight").toPandas()
+        of = of[of["feature_id"].isin(self.ids)].sort_values(["group_ord", "feature_id"])
+        names, self.group = np.unique(of["group_ord"], return_inverse=True)
+        self.weight = np.zeros(len(names))
+        self.weight[self.group] = of["weight"].to_numpy()
+        self.slot = np.searchsorted(self.ids, of["feature_id"].to_numpy())
+
+    @property
+    def n(self) -> int:
+        return len(self.ids)
+
+    def product(self, work) -> dict[int, np.ndarray]:
+        """The sums over all parts of work(part), {start of a slice: values}."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for data in batch.column(0):
+                    for at, v in work(pickle.loads(data.as_py())):
+                        total[at] = total[at] + v if at in total else v
+            yield from packed(total)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    v = np.frombuffer(data)
+                    total[at] = total[at] + v if at in total else v
+            yield from packed(total)
+
+        def packed(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for at, v in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["key", "data"])
+
+        shape = "key long, data binary"
+        return {r["key"]: np.frombuffer(r["data"]) for r in self.cells.select("state").mapInArrow(each, shape).repartition("key").mapInArrow(add, shape).collect()}
+
+    def summed(self, size: int, given: tuple[np.ndarray, np.ndarray], work) -> np.ndarray:
+        """work(part, given) gives positions (sorted and distinct) and values of each part's share of a vector of that size."""
+        shared = self.spark.sparkContext.broadcast(given)
+
+        def slices(d: dict) -> Iterator[tuple[int, np.ndarray]]:
+            where, values = work(d, shared.value)
+            for at in np.unique(where // SLICE) * SLICE:
+                own = slice(*np.searchsorted(where, [at, at + SLICE]))
+                dense = np.zeros(min(SLICE, size - at))
+                dense[where[own] - at] = values[own]
+                yield int(at), dense
+
+        out = np.zeros(size)
+        for at, v in self.product(slices).items():
+            out[at : at + len(v)] = v
+        shared.destroy()
+        return out
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        ids, some = self.ids[x != 0], x[x != 0]
+
+        def share(d, given):
+            names, values = given
+            at = np.searchsorted(names, d["ids"])
+            known = np.flatnonzero(at < len(names))
+            known = known[names[at[known]] == d["ids"][known]]
+            own = np.zeros(len(d["ids"]))
+            own[known] = values[at[known]]
+            rows, of = np.unique(d["row"], return_inverse=True)
+            return rows.astype(np.int64), np.bincount(of, weights=d["value"] * own[d["column"]], minlength=len(rows))
+
+        out = self.summed(self.m, (ids, some), share) if len(ids) else np.zeros(self.m)
+        return out if self.keep is None else out[self.keep]
+
+    def transposed_times(self, b: np.ndarray) -> np.ndarray:
+        if self.keep is not None:
+            b, own = np.zeros(self.m), b
+            b[self.keep] = own
+
+        def share(d, given):
+            names, values = given
+            return np.searchsorted(names, d["ids"]), np.bincount(d["column"], weights=d["value"] * values[d["row"]], minlength=len(d["ids"]))
+
+        return self.summed(self.n, (self.ids, b), share)
+
+    def subset(self, keep: np.ndarray) -> FarDesign:
+        """The design of the samples where keep holds; keep is over all samples."""
+        out = copy.copy(self)
+        out.keep, out.y = keep, self.y[keep]
+        return out
+
+
+def fit_grid_distributed(spark: SparkSession, x: DataFrame, samples: DataFrame, members: DataFrame, grid: list[tuple[float, float]], method: str, options: Options, folds: pd.Series | None = None, parts: int | None = None) -> DataFrame:
+    """What fit.fit_grid returns, one model after the other; the objective is left out of logistic and leastr models of groups
+    that do not overlap."""
+    people = samples.select("seq_id", "trait").toPandas().sort_values("seq_id").reset_index(drop=True)
+    fold_of = None if folds is None else folds.reindex(people["seq_id"]).to_numpy()
+    far = method == "gl_logistic" or overlapping(members)
+    parts = parts or max(1, math.ceil(x.count() / PART_CARRIERS))
+    whole = FarDesign(spark, x, people, members, parts) if far else None
     out = None
-    for i, (a, b) in enumerate(grid):
-        found, intercept = solve_distributed(spark, x, samples, members, a, b, method, options)
-        found = stored(found)
-        groups = found.join(members.select("feature_id", "group_ord"), "feature_id").agg(F.count_distinct("group_ord")).first()[0]
-        empty = spark.createDataFrame([(None, None)] if not groups else [], "feature_id long, beta double")
-        rows = found.unionByName(empty).select(F.lit(0).alias("fold"), F.lit(i).alias("grid_ord"), F.lit(float(a)).alias("l1"), F.lit(float(b)).alias("l2"), "feature_id", "beta", F.lit(intercept).alias("intercept"), F.lit(groups).cast("long").alias("nz_groups"), F.lit(None).cast("double").alias("objective"))
-        out = rows if out is None else out.unionByName(rows)
+    for fold in [0] if folds is None else sorted(set(folds.dropna().astype(int))):
+        keep = np.ones(len(people), bool) if folds is None else fold_of != fold
+        for i, (a, b) in enumerate(grid):
+            if far:
+                own = whole if folds is None else whole.subset(keep)
+                fitted = solver.solve_group_lasso(own, a, options) if method == "gl_logistic" else solver.solve(own, a, b, method, options)
+                intercept, groups, objective = float(fitted.intercept), fitted.nz_groups, float(fitted.objective)
+                some = np.flatnonzero(fitted.x)
+                found = stored(spark.createDataFrame(pd.DataFrame({"feature_id": whole.ids[some], "beta": fitted.x[some]}), "feature_id long, beta double"))
+            else:
+                own = samples if folds is None else spark.createDataFrame(people[keep])
+                found, intercept = solve_distributed(spark, x, own, members, a, b, method, options, parts)
+                found, objective = stored(found), None
+                groups = found.join(members.select("feature_id", "group_ord"), "feature_id").agg(F.count_distinct("group_ord")).first()[0]
+            empty = spark.createDataFrame([(None, None)] if found.isEmpty() else [], "feature_id long, beta double")
+            rows = found.unionByName(empty).select(F.lit(fold).cast("int").alias("fold"), F.lit(i).alias("grid_ord"), F.lit(float(a)).alias("l1"), F.lit(float(b)).alias("l2"), "feature_id", "beta", F.lit(intercept).alias("intercept"), F.lit(groups).cast("long").alias("nz_groups"), F.lit(objective).cast("double").alias("objective"))
+            out = rows if out is None else out.unionByName(rows)
     return out
