@@ -37,22 +37,35 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "_own"]).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, null for null ids: the id, or where an id is given again, numbers of the ids' texts that follow the
+    order of the ids and then of the texts' hashes. Rows of equal id and text have equal keys."""
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return docs.select(*COLUMNS, F.col("doc_id").alias("row_key"))
+    own = docs.select(*COLUMNS).withColumn("_own", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    ordered = own.where("doc_id IS NOT NULL").select("doc_id", "_own").distinct().repartitionByRange("doc_id", "_own").sortWithinPartitions("doc_id", "_own")
+    numbers = written(ordered.withColumn("row_key", F.monotonically_increasing_id()), "pipeline-numbers")
+    return written(own.join(numbers, ["doc_id", "_own"], "left").select(*COLUMNS, "row_key"), "pipeline-keyed")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, directly or through
-    others, the one with the smallest id stays."""
-    goes = jaccard_join(docs, words_per_token=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(goes, "doc_id", "left_anti").select(*COLUMNS)
+    others, the one with the smallest id stays. Texts that share an id are documents of their own."""
+    rows = keyed(docs)
+    goes = jaccard_join(rows, id_col="row_key", words_per_token=5, percent=80).where("component_id <> row_key").select("row_key").distinct()
+    return rows.join(goes, "row_key", "left_anti").select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte of a string of 100 bytes that also starts earlier goes; bytes that then are no character go with it, and
-    a document of which nothing is left. n_chars is that of the text that stays."""
+    a document of which nothing is left. n_chars is that of the text that stays. Texts that share an id are documents of
+    their own."""
 
     @F.pandas_udf("string")
     def characters(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
-    left = remove_repeats(docs, carry=("lang", "source")).where("octet_length(kept) > 0").select("doc_id", characters("kept").alias("text"), "lang", "source")
+    left = remove_repeats(keyed(docs), id_col="row_key", carry=("doc_id", "lang", "source")).where("octet_length(kept) > 0").select("doc_id", characters("kept").alias("text"), "lang", "source")
     return left.where("text <> ''").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -52,3 +52,14 @@ def test_empty_documents_and_nulls(spark, make_docs, tmp_path):
 def test_documents_stay_where_no_language_is_known(spark, make_docs, tmp_path):
     docs = make_docs(["some words", None, "12 !!", "été"], [1, 2, 3, None])
     assert {r["text"] for r in cp.language_id(spark, docs, str(tmp_path)).collect()} == {"some words", "été"}
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, make_docs, words, tmp_path):
+    rng = random.Random(8)
+    base, other, passage = (prose(rng, words, 150) for _ in range(3))
+    near = make_docs([base, base + " end", other, other, other[::-1]], [1, 5, 5, 5, None])
+    assert {(r["doc_id"], r["text"]) for r in cp.near_copies(spark, near, str(tmp_path)).collect()} == {(1, base), (5, other), (None, other[::-1])}
+    after = prose(rng, words, 150)
+    repeats_in = make_docs([passage, passage + after, other], [1, 5, 5])
+    got = {(r["doc_id"], r["text"]) for r in cp.repeated_strings(spark, repeats_in, str(tmp_path)).collect()}
+    assert got == {(1, passage), (5, after), (5, other)}
