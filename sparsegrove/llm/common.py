@@ -127,7 +127,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], text: str,
         last = tuple(c[-1] for c in columns)
         before = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(text)))))])
         heads, at = np.flatnonzero(new), 0
-        for h, stop in zip(heads, [*heads[1:], batch.num_rows], strict=True):
+        for h, stop in zip(heads, [*heads, batch.num_rows][1:], strict=True):  # no head: the whole batch goes on with its group
             if size + before[stop] - before[at] > most and (held or h > at):
                 if h > at:
                     held.append(batch.slice(at, h - at))
