@@ -14,7 +14,6 @@ from __future__ import annotations
 import copy
 import math
 import pickle
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from . import prox, solver
 from .solver import ROUNDING, Design, Options, logistic_weights
 
@@ -32,17 +32,8 @@ SLICE = 1 << 16
 STATE = "part int, state binary"
 
 
-def folder(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def stored(df: DataFrame) -> DataFrame:
-    path = f"{folder(df.sparkSession)}/fit-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/fit-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
