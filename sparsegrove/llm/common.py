@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -20,25 +22,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+class Scratch:
+    """An operator's tables in the shared folder: lineage ends at each, and lost executors cost no recomputation. A table that
+    nothing needs any more is dropped; what a lazy result still reads stays, and the session's owner clears it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{len(self.tables)}"
+        with shuffles_go(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in (p for t, p in self.tables if any(t is x for x in tables)):
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it has ended: its result is a table, and nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    return Scratch(df.sparkSession, name).write(df, name)
+
 
+MOST_HEAVY = 1 << 16
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def heavy_keys(df: DataFrame, key: str, least: int) -> DataFrame:
+    """key, _parts of the keys that have more than `least` rows of df and more than their 65536th share: so there are at most 65536
+    of them, and they may be broadcast. _parts is the number of groups that a key's rows are dealt to."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    most = max(least, -(-df.count() // MOST_HEAVY))
+    return counts.where(F.col("_rows") > most).select(key, F.ceil(F.col("_rows") / most).alias("_parts"))
+
+
+def salted(df: DataFrame, heavy: DataFrame, key: str, other: str) -> DataFrame:
+    """df with _salt: rows of a heavy key are dealt out by another column."""
+    return df.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
+
+
+def for_each_salt(df: DataFrame, heavy: DataFrame, key: str) -> DataFrame:
+    """df, which has one row for each key, once for each salt of salted()."""
+    parts = F.coalesce(F.col("_parts"), F.lit(1).cast("long"))
+    return df.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -81,6 +123,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one big-endian number; zeros follow the end."""
+    x = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for width in (1, 2, 4):
+        x = (x[: len(x) - width] << np.uint64(8 * width)) | x[width:]
+    return x[: len(data)]
+
+
 def splitmix(n: int, seed: int) -> np.ndarray:
     """n fixed pseudo-random words from a rule."""
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * GOLDEN)
@@ -114,8 +164,9 @@ def numbered(ids: pa.ChunkedArray) -> tuple[np.ndarray, list | None]:
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], text: str, most: int) -> Iterator[list[pa.RecordBatch]]:
     """Batches sorted by keys, cut so that each part holds whole groups and at most `most` bytes of text, or one group."""
-    held: list[pa.RecordBatch] = []
-    size, last = 0, None
+    ready: list[pa.RecordBatch] = []  # whole groups
+    going: list[pa.RecordBatch] = []  # the last group, which the next batch may go on with
+    size, going_size, last = 0, 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -125,15 +176,30 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], text: str,
             new[1:] |= c[1:] != c[:-1]
         new[0] = last != tuple(c[0] for c in columns)
         last = tuple(c[-1] for c in columns)
-        before = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index(text)))))])
-        heads, at = np.flatnonzero(new), 0
-        for h, stop in zip(heads, [*heads, batch.num_rows][1:], strict=True):  # no head: the whole batch goes on with its group
-            if size + before[stop] - before[at] > most and (held or h > at):
-                if h > at:
-                    held.append(batch.slice(at, h - at))
-                yield held
-                held, size, at = [], 0, h
-        held.append(batch.slice(at))
-        size += before[-1] - before[at]
-    if held:
-        yield held
+        before = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)))])
+        heads = np.flatnonzero(new)
+        if not len(heads):
+            going.append(batch)
+            going_size += before[-1]
+            continue
+        at = heads[0]
+        if at:
+            going.append(batch.slice(0, at))
+            going_size += before[at]
+        if ready and size + going_size > most:
+            yield ready
+            ready, size = [], 0
+        ready, size = ready + going, size + going_size
+        for h, stop in zip(heads[:-1], heads[1:], strict=True):
+            if size + before[stop] - before[at] > most and (ready or h > at):
+                yield ready + ([batch.slice(at, h - at)] if h > at else [])
+                ready, size, at = [], 0, h
+        if heads[-1] > at:
+            ready.append(batch.slice(at, heads[-1] - at))
+            size += before[heads[-1]] - before[at]
+        going, going_size = [batch.slice(heads[-1])], before[-1] - before[heads[-1]]
+    if ready and size + going_size > most:
+        yield ready
+        ready = []
+    if ready or going:
+        yield ready + going
