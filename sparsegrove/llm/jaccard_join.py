@@ -8,7 +8,7 @@ the frequent tokens. If no rare token is shared, t - r frequent ones may still b
 and the other document may have floor(n * (1 - p) / p) tokens of its own in between, each breaking k - 1; so
 k * (t - r) + (k - 1) * floor(n * (1 - p) / p) + k frequent tokens leave a combination that both documents index.
 
-Documents with equal sets are one class. Classes that share a signature are candidates, but never all pairs of a signature's
+Documents of the same words are one class. Classes that share a signature are candidates, but never all pairs of a signature's
 list as rows. First each is compared with its signature's most central class, one that shares most with others, and takes
 that one's label if they link. Then the lists are read as groups: pairs with different labels and sizes that allow a link
 are compared by sketch, in blocks, first each member with one partner, then, with the labels that this gives, all with all. A sketch is a string of bits, of which each token flips one; two sketches differ in at most
@@ -26,25 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, blocks, mix, numbered, ranges, table, utf8, whole_groups, written
+from .common import GOLDEN, MOST_HEAVY, Scratch, blocks, for_each_salt, heavy_keys, mix, numbered, ranges, salted, table, utf8, whole_groups
 from .components import components
-from .words import shingles
+from .words import exact_shingles, shingle_sets, shingles
 
 BLOCK = 1 << 20
 #: Counters of the token counts; a fixed size, whatever the input.
 COUNTERS, SLICE = 1 << 20, 1 << 12
 #: Bits of a sketch; members of a list that are compared in one block; pairs that are compared at once.
 SKETCH, LIST, PAIRS = 2048, 1024, 1 << 16
-
-
-def distinct_per_text(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
-    """The sorted shingle set of each text."""
-    flat, ends = shingles(data, offsets, size)
-    out = []
-    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        s = np.sort(flat[lo:hi])
-        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) > 1 else s)
-    return out
+#: Rows of a heavy mark in one group.
+SPREAD = 4096
 
 
 def token_counters(docs: DataFrame, size: int) -> np.ndarray:
@@ -97,12 +89,14 @@ def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, percent: int) -> n
     return apart * (100 + percent) <= (n + m) * (100 - percent)
 
 
-def signatures(tokens: np.ndarray, counters: np.ndarray, rare: float, percent: int, k: int) -> np.ndarray:
-    """The signatures of one set: single rare tokens, then combinations of k frequent ones."""
-    n = len(tokens)
+def signatures(tokens: np.ndarray, n: int, counters: np.ndarray, rare: float, percent: int, k: int) -> np.ndarray:
+    """The signatures of a set of n shingles with these distinct hashes: single rare tokens, then combinations of k frequent ones.
+    Where shingles share a hash there are fewer tokens than n; bounds hold with n all the same, as a hash that two sets do not
+    share stands for at least one shingle that they do not share. A set too small to link to any but an equal one has one
+    signature, of the whole."""
     t = missing(n, percent)
     if 100 * n < percent * (n + 1):
-        return tokens[:0]  # too small to link to another set
+        return mix(np.bitwise_xor.reduce(mix(tokens + GOLDEN)) + np.uint64([n])) if n else tokens
     often = counters[(tokens % np.uint64(COUNTERS)).astype(np.int64)]
     order = np.lexsort((tokens, often))
     r = int((often <= rare).sum())
@@ -120,7 +114,7 @@ def signatures(tokens: np.ndarray, counters: np.ndarray, rare: float, percent: i
 
 
 def signed(docs: DataFrame, counters: np.ndarray, size: int, percent: int, k: int, id_type: str) -> DataFrame:
-    """_id, _n (set size), _set (128-bit digest of the set, null if empty), _sketch, _signatures."""
+    """_id, _n (set size), _words (128-bit digest of the words, null if there are none), _sketch, _signatures."""
     mean = counters.sum() / COUNTERS
     rare = mean + 8 * np.sqrt(mean) + 32
     shared = docs.sparkSession.sparkContext.broadcast(counters)
@@ -129,37 +123,62 @@ def signed(docs: DataFrame, counters: np.ndarray, size: int, percent: int, k: in
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for lo, hi in blocks(np.diff(offsets), BLOCK):
-                sets = distinct_per_text(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                marks = [signatures(s, shared.value, rare, percent, k).view(np.int64) for s in sets]
+                sets, sizes, _ = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                raw = data[offsets[lo] : offsets[hi]].tobytes()
+                own = [raw[a:b] for a, b in zip((offsets[lo:hi] - offsets[lo]).tolist(), (offsets[lo + 1 : hi + 1] - offsets[lo]).tolist(), strict=True)]
+                digests = [hashlib.blake2b(b" ".join(t.lower().split()), digest_size=16).digest() if n else None for t, n in zip(own, sizes, strict=True)]
+                marks = [signatures(s, int(n), shared.value, rare, percent, k).view(np.int64) for s, n in zip(sets, sizes, strict=True)]
                 ends = np.concatenate([[0], np.cumsum([len(m) for m in marks])])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([sketch(x) if len(m) else None for x, m in zip(sets, marks, strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)))], names=["_id", "_n", "_set", "_sketch", "_signatures"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(digests, pa.binary()), pa.array([sketch(x) if len(m) else None for x, m in zip(sets, marks, strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks)))], names=["_id", "_n", "_words", "_sketch", "_signatures"])
+
+    return docs.select("_id", "_text").mapInArrow(run, f"_id {id_type}, _n long, _words binary, _sketch binary, _signatures array<long>")
+
+
+class Text:
+    """A text with its set of hashes, and the set itself where it is asked for."""
+
+    def __init__(self, raw: bytes, tokens: np.ndarray, shared: bool, size: int):
+        self.raw, self.tokens, self.shared, self.size = raw, tokens, shared, size
+        self._exact: set | None = None
 
-    return docs.select("_id", "_text").mapInArrow(run, f"_id {id_type}, _n long, _set binary, _sketch binary, _signatures array<long>")
+    @property
+    def exact(self) -> set:
+        if self._exact is None:
+            self._exact = exact_shingles(self.raw, self.size)
+        return self._exact
+
+    def links(self, other: Text, percent: int) -> bool:
+        """Whether the sets link. Hashes can only find more in common than there is, unless shingles of one text share a hash; so
+        hashes decide on no, and the words themselves on yes and on such texts."""
+        if not (self.shared or other.shared or linked(self.tokens, other.tokens, percent)):
+            return False
+        both = len(self.exact & other.exact)
+        return both > 0 and 100 * both >= percent * (len(self.exact) + len(other.exact) - both)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, id_type: str, together: int = 128) -> DataFrame:
-    """a, b of the pairs whose sets link. Each b's text goes once to a group of at most about `together` of its a's; groups
-    are read as a stream, b's text first, so a popular b neither fills a task nor its memory."""
-    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("_k"))
-    salt = F.pmod(F.xxhash64("a"), F.col("_k").cast("long")).cast("int")
-    members = pairs.join(shares, "b").select("a", "b", salt.alias("_salt")).join(texts.select(F.col("_id").alias("a"), "_text"), "a").select("b", "_salt", F.col("a"), "_text")
-    heads = shares.join(texts.select(F.col("_id").alias("b"), "_text"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_salt"), F.lit(None).cast(id_type).alias("a"), "_text")
+    """a, b of the pairs whose sets link. b's text goes with a group of its a's; a popular b gets several groups. Groups are read as
+    a stream, b's text first, so they fill no memory."""
+    heavy = heavy_keys(pairs, "b", together)
+    dealt_out = salted(pairs, heavy, "b", "a").select("a", "b", "_salt")
+    members = dealt_out.join(texts.select(F.col("_id").alias("a"), "_text"), "a").select("b", "_salt", F.col("a"), "_text")
+    heads = dealt_out.select("b", "_salt").distinct().join(texts.select(F.col("_id").alias("b"), "_text"), "b").select("b", "_salt", F.lit(None).cast(id_type).alias("a"), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, pivots = None, []
         for batch in batches:
             data, offsets = utf8(batch.column(3))
             for lo, hi in blocks(np.diff(offsets), BLOCK):
-                sets = distinct_per_text(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+                sets, _, shared = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
                 found = []
                 for i, s in enumerate(sets, lo):
                     b, share, a = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                    text = Text(data[offsets[i] : offsets[i + 1]].tobytes(), s, shared[i - lo], size)
                     if (b, share) != current:
                         current, pivots = (b, share), []
                     if a is None:
-                        pivots.append(s)
-                    elif any(linked(s, p, percent) for p in pivots):
+                        pivots.append(text)
+                    elif any(text.links(p, percent) for p in pivots):
                         found.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], batch.schema.field(0).type) for k in (0, 1)], names=["a", "b"])
 
@@ -167,13 +186,22 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, id_typ
     return dealt.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
+def in_blocks(lists: DataFrame) -> DataFrame:
+    """Members of lists in blocks of about LIST, of which each two that need comparing meet in a group of their own. lists: _mark, _id,
+    _n, _label, _sketch, _first (whether the member has the list's commonest label), _with and _without (members that have
+    it, or not). Blocks of the commonest label, whose members are known to hang together, only meet the others. So there are
+    rows in proportion to the members as long as few lack the label, however many have it."""
+    others, most = (F.ceil(F.col(k) / LIST).cast("int") for k in ("_without", "_with"))
+    hashed = F.xxhash64("_id")
+    own = F.when(F.col("_first"), others + F.pmod(hashed, most)).otherwise(F.pmod(hashed, others)).cast("int")
+    last = F.when(F.col("_first"), others - 1).otherwise(others + most - 1)
+    own = lists.withColumn("_own", own).select("*", F.explode(F.sequence(F.lit(0), last)).alias("_other"))
+    return own.select("_mark", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "_label", "_own", "_id", "_n", "_sketch")
+
+
 def close_pairs(lists: DataFrame, percent: int, id_type: str, first_only: bool) -> DataFrame:
     """a, b, _mark: pairs of lists' members whose labels differ and whose sketches allow a link. With first_only each member comes
-    with one earlier member at most, and a row with _mark alone tells that a list has more pairs. lists: _mark, _often, _id, _n,
-    _label, _sketch. A list of more than LIST members is dealt in blocks, and each two blocks meet in a group of their own."""
-    parts = F.ceil(F.col("_often") / LIST).cast("int")
-    own = lists.withColumn("_own", F.pmod(F.xxhash64("_id"), parts.cast("long")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_other"))
-    dealt = own.select("_mark", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "_label", "_own", "_id", "_n", "_sketch")
+    with one earlier member at most, and a row with _mark alone tells that a list has more pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ["_mark", "_lo", "_hi"], "_sketch", 1 << 23):
@@ -208,7 +236,7 @@ def close_pairs(lists: DataFrame, percent: int, id_type: str, first_only: bool)
             yield from pairs.append_column("_mark", pa.nulls(pairs.num_rows, pa.int64())).combine_chunks().to_batches()
             yield pa.RecordBatch.from_arrays([pa.nulls(len(left), ids.type), pa.nulls(len(left), ids.type), pa.array(left)], names=["a", "b", "_mark"])
 
-    near = dealt.repartition("_mark", "_lo", "_hi").sortWithinPartitions("_mark", "_lo", "_hi", "_label").mapInArrow(run, f"a {id_type}, b {id_type}, _mark long")
+    near = in_blocks(lists).repartition("_mark", "_lo", "_hi").sortWithinPartitions("_mark", "_lo", "_hi", "_label").mapInArrow(run, f"a {id_type}, b {id_type}, _mark long")
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "_mark").where("_mark IS NOT NULL OR a <> b").distinct()
 
 
@@ -255,42 +283,62 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("combinations are of 2 tokens, or of 3 from 90 percent on: longer ones outgrow small sets")
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sets = written(signed(docs, token_counters(docs, words_per_token), words_per_token, percent, combination, id_type), "jaccard-sets")
-    classes = sets.where("_set IS NOT NULL").groupBy("_set").agg(F.min("_id").alias("_class"))
-    firsts = sets.where("size(_signatures) > 0").join(classes, [sets["_set"] == classes["_set"], sets["_id"] == classes["_class"]], "left_semi")
+    scratch = Scratch(df.sparkSession, "jaccard")
+    made = scratch.write(signed(docs, token_counters(docs, words_per_token), words_per_token, percent, combination, id_type), "signed")
+    sets = scratch.write(made.select("_id", "_n", "_words"), "sets")
+    classes = scratch.write(sets.where("_words IS NOT NULL").groupBy("_words").agg(F.min("_id").alias("_class")), "classes")
+    firsts = made.where("size(_signatures) > 0").join(classes, [made["_words"] == classes["_words"], made["_id"] == classes["_class"]], "left_semi")
     single = firsts.select("_id", "_n", F.explode("_signatures").alias("_mark"))
-    common = single.groupBy("_mark").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
-    marks = written(single.join(common.hint("merge"), "_mark").select("_mark", "_often", "_id", "_n"), "jaccard-marks")
-    central = written(marks.groupBy("_id").agg((F.sum("_often") / F.max("_n")).alias("_weight")), "jaccard-weights")
-    texts = written(docs.join(central.select("_id").hint("merge"), "_id", "left_semi"), "jaccard-texts")
-    bits = written(sets.where("_sketch IS NOT NULL").select("_id", "_sketch").join(central.select("_id").hint("merge"), "_id", "left_semi"), "jaccard-bits")
+    common = scratch.write(single.groupBy("_mark").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1"), "common")
+    least = max(SPREAD, -(-(common.agg(F.sum("_often")).first()[0] or 0) // MOST_HEAVY))
+    heavy = common.where(F.col("_often") > least).select("_mark", F.ceil(F.col("_often") / least).alias("_parts"))  # at most MOST_HEAVY
+    of_marks = lambda members, marks, how: members.join(for_each_salt(marks, heavy, "_mark"), ["_mark", "_salt"], how)
+    marks = scratch.write(of_marks(salted(single, heavy, "_mark", "_id"), common, "inner").select("_mark", "_salt", "_often", "_id", "_n"), "marks")
+    central = scratch.write(marks.groupBy("_id").agg((F.sum("_often") / F.max("_n")).alias("_weight")), "central")
+    bits = scratch.write(made.where("_sketch IS NOT NULL").select("_id", "_sketch").join(central.select("_id").hint("merge"), "_id", "left_semi"), "bits")
+    scratch.drop(made)
     pivots = marks.join(central, "_id").groupBy("_mark").agg(F.max_by(F.struct("_id", "_n"), F.struct("_weight", "_id")).alias("_pivot"))
-    to_pivot = marks.join(pivots, "_mark").select(F.col("_id").alias("a"), F.col("_n").alias("an"), F.col("_pivot._id").alias("b"), F.col("_pivot._n").alias("bn"))
+    to_pivot = of_marks(marks, pivots, "inner").select(F.col("_id").alias("a"), F.col("_n").alias("an"), F.col("_pivot._id").alias("b"), F.col("_pivot._n").alias("bn"))
     to_pivot = to_pivot.where("a <> b").where(100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")).distinct()
     side = lambda k: bits.select(F.col("_id").alias(k), F.col("_sketch").alias(f"{k}_bits"))
-    stars = written(near_sketches(to_pivot.join(side("a"), "a").join(side("b"), "b"), percent, id_type), "jaccard-stars")
-    check = lambda pairs: written(verified(pairs, texts, words_per_token, percent, id_type), "jaccard-links")
+    stars = scratch.write(near_sketches(to_pivot.join(side("a"), "a").join(side("b"), "b"), percent, id_type), "pairs")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """The pairs that link. The texts that they need are written once, for all that reads them."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        texts = scratch.write(docs.join(needed.hint("merge"), "_id", "left_semi"), "texts")
+        found = scratch.write(verified(pairs, texts, words_per_token, percent, id_type), "links")
+        scratch.drop(texts)
+        return found
 
     def lists(of: DataFrame, labels: DataFrame) -> DataFrame:
         """The lists of marks that hold several labels, with sketches."""
         known = of.join(labels, "_id")
-        mixed = known.groupBy("_mark").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).where("_lo <> _hi").select("_mark")
-        return known.join(mixed, "_mark", "left_semi").join(bits, "_id")
+        each = known.groupBy("_mark", "_label").agg(F.count(F.lit(1)).alias("_members"))
+        mixed = each.groupBy("_mark").agg(F.max(F.struct("_members", "_label")).alias("_top"), F.sum("_members").alias("_all")).where("_all > _top._members")
+        mixed = mixed.select("_mark", F.col("_top._label").alias("_top"), F.col("_top._members").alias("_with"), (F.col("_all") - F.col("_top._members")).alias("_without"))
+        return of_marks(known, mixed, "inner").withColumn("_first", F.col("_label") == F.col("_top")).join(bits, "_id")
+
+    def labels_of(found: DataFrame) -> DataFrame:
+        return central.select("_id").join(found, "_id", "left").select("_id", F.coalesce("_label", "_id").alias("_label"))
 
     links = check(stars)
-    labels = central.select("_id").join(links.groupBy(F.col("a").alias("_id")).agg(F.max("b").alias("_label")), "_id", "left").select("_id", F.coalesce("_label", "_id").alias("_label"))
-    some = written(close_pairs(lists(marks, labels), percent, id_type, True), "jaccard-pairs")
+    scratch.drop(stars)
+    some = scratch.write(close_pairs(lists(marks, labels_of(links.groupBy(F.col("a").alias("_id")).agg(F.max("b").alias("_label")))), percent, id_type, True), "pairs")
     links = links.union(check(some.where("_mark IS NULL").select("a", "b")))
-    labelled = components(links, "a", "b").select(F.col("node").alias("_class"), F.col("label").alias("_label"))
+    labelled = components(links, "a", "b", scratch).select(F.col("node").alias("_class"), F.col("label").alias("_label"))
     more = some.where("_mark IS NOT NULL").select("_mark").distinct()
     if not more.isEmpty():
-        labels = central.select("_id").join(labelled.withColumnRenamed("_class", "_id"), "_id", "left").select("_id", F.coalesce("_label", "_id").alias("_label"))
-        rest = close_pairs(lists(marks.join(more, "_mark", "left_semi"), labels), percent, id_type, False).select("a", "b")
-        rest = written(rest.join(some.where("_mark IS NULL").select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
+        rest = close_pairs(lists(of_marks(marks, more, "left_semi"), labels_of(labelled.withColumnRenamed("_class", "_id"))), percent, id_type, False).select("a", "b")
+        rest = scratch.write(rest.join(some.where("_mark IS NULL").select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         links = links.union(check(rest))
-        labelled = components(links, "a", "b").select(F.col("node").alias("_class"), F.col("label").alias("_label"))
-    of_class = classes.join(labelled, "_class", "left").select("_set", F.coalesce("_label", "_class").alias("_component"))
-    return sets.select("_id", "_n", "_set").join(of_class, "_set", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("component_id"))
+        scratch.drop(rest)
+        labelled = components(links, "a", "b", scratch).select(F.col("node").alias("_class"), F.col("label").alias("_label"))
+    scratch.drop(marks, bits, common, central, some)
+    of_class = classes.join(labelled, "_class", "left").select("_words", F.coalesce("_label", "_class").alias("_component"))
+    out = scratch.write(sets.join(of_class, "_words", "left").select("_id", "_n", F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("_component")), "components")
+    scratch.drop(sets, classes)
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"))
 
 
 def op4_jaccard_join(spark, sf_dir):

@@ -37,7 +37,7 @@ def test_frequent_tokens_only(make_docs, monkeypatch, words):
     base = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(3)]
     texts = [edited(rng, rng.choice(base), words, 9) for _ in range(90)]
     plain = jj.signatures
-    monkeypatch.setattr(jj, "signatures", lambda tokens, counters, rare, percent, k: plain(tokens, counters, -1.0, percent, k))
+    monkeypatch.setattr(jj, "signatures", lambda tokens, n, counters, rare, percent, k: plain(tokens, n, counters, -1.0, percent, k))
     monkeypatch.setattr(jj, "LIST", 8)
     monkeypatch.setattr(jj, "PAIRS", 16)
     assert found(make_docs(texts), words_per_token=3, percent=90) == components(dict(enumerate(texts)), 3, 90)
@@ -64,3 +64,47 @@ def test_null_ids_repeats_and_empty_tables(make_docs):
     for bad in ({"percent": 70}, {"combination": 4}):
         with pytest.raises(ValueError):
             jj.jaccard_join(docs, **bad)
+
+
+def test_small_arrow_batches(make_docs, words, small_batches):
+    rng = random.Random(small_batches)
+    base = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(3)]
+    texts = [edited(rng, rng.choice(base), words, 4) for _ in range(60)]
+    assert found(make_docs(texts), words_per_token=3, percent=90) == components(dict(enumerate(texts)), 3, 90)
+
+
+def test_words_of_one_hash_are_told_apart(make_docs, words, one_hash):
+    x, y = one_hash
+    rest = " ".join(words[:50])
+    texts = [x, y, f"{x} {y}", f"{rest} {x}", f"{rest} {y}", f"{x} {y} {x} {y}", " ".join([x] * 30 + [y] * 30), " ".join([x] * 30 + [y] * 29)]
+    for size, percent in ((1, 80), (3, 90)):
+        assert found(make_docs(texts), words_per_token=size, percent=percent) == components(dict(enumerate(texts)), size, percent)
+
+
+def test_equal_small_sets_of_other_words_link(make_docs):
+    texts = ["a a a a", "a a a a a a", "b b b", "a b c", "A  b\tc", "b"]
+    assert found(make_docs(texts), words_per_token=3, percent=90) == components(dict(enumerate(texts)), 3, 90)
+
+
+def test_other_ids_and_a_long_text(spark, words):
+    rng = random.Random(4)
+    long = " ".join(rng.choice(words) for _ in range(120_000))
+    docs = spark.createDataFrame([("b", long), ("a", long + " end"), ("c", "other words"), ("d", None)], "doc_id string, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jj.jaccard_join(docs).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "d"}
+
+
+def test_rows_of_a_long_list_stay_in_proportion(spark):
+    """A mark of 20000 members, of which 100 lack the commonest label."""
+    rows = spark.range(20_000).selectExpr("0L AS _mark", "id AS _id", "100L AS _n", "if(id < 100, id + 1, 0) AS _label", "cast('' AS binary) AS _sketch", "id >= 100 AS _first", "19900L AS _with", "100L AS _without")
+    dealt = jj.in_blocks(rows)
+    assert dealt.count() <= 2 * 20_000 + 100 * 21
+    assert dealt.groupBy("_lo", "_hi").count().agg(F.max("count")).first()[0] < 2 * jj.LIST
+
+
+def test_a_very_large_group_of_near_copies(make_docs, words, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(jj, "SPREAD", 64)
+    base = " ".join(rng.choice(words) for _ in range(80))
+    texts = [edited(rng, base, words, 2) for _ in range(400)] + [edited(rng, base, words, 30) for _ in range(60)]
+    assert found(make_docs(texts), words_per_token=3, percent=90) == components(dict(enumerate(texts)), 3, 90)
