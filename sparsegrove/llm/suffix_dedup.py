@@ -3,8 +3,8 @@
 Every string of `length` bytes that occurs again must meet its other occurrences in one suffix array, wherever its document
 lies. Each string is therefore owned by its anchor, the smallest-hashed k-gram in it, which is the same for equal strings;
 neighbouring strings of a document mostly share theirs. An anchor's strings in one place, with the bytes that they cover, are
-a piece. Anchors that occur once cannot hold a repeat and go no further. Pieces that are equal as a whole (128 bits of hash
-and their size) are one: all strings of all but the first start earlier too. They are put together within each block of
+a piece. Anchors that occur once cannot hold a repeat and go no further. Pieces that are equal as a whole (128 bits of BLAKE2b,
+salted anew for each run) are one: all strings of all but the first start earlier too. They are put together within each block of
 texts first, so that a passage that very many documents share reaches its reducer once a block. Only anchors that then
 still have different pieces need their bytes; those go to the anchor's shard, and an anchor with very many pieces is dealt to
 several shards.
@@ -18,33 +18,26 @@ against the others' by binary search in their sorted lists.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import span_hashes
-from .common import blocks, mix, numbered, ranges, table, utf8, whole_groups, written
+from .common import Scratch, blocks, eight_bytes, for_each_salt, heavy_keys, mix, numbered, ranges, salted, table, utf8, whole_groups
 
 GRAM = 24
 BLOCK = 1 << 20
 #: Suffixes that are sorted at once: three numbers below it fit a 63-bit key.
 INDEX_BITS = 21
-#: Pieces of an anchor in one shard, beyond which they are dealt to several.
-SHARD = 1024
+#: Pieces of an anchor in one shard, beyond which they are dealt to several; and bytes, of which two strings have at most as many.
+SHARD, SHARD_BYTES = 1024, 1 << 19
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def eight_bytes(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as one big-endian number; zeros follow the end."""
-    x = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for width in (1, 2, 4):
-        x = (x[: len(x) - width] << np.uint64(8 * width)) | x[width:]
-    return x[: len(data)]
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of the anchor, text's row, first owned start in the text and number of owned starts, for each anchor."""
     sizes = np.diff(offsets)
@@ -70,16 +63,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return h[anchor[heads]], row[heads], at[heads] - offsets[row[heads]], np.diff(np.concatenate([heads, [len(at)]]))
 
 
-def block_pieces(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, length: int) -> pa.RecordBatch:
-    """_span, _anchor, _hash, _id, _start, _count: the pieces of a block of texts; of equal ones the first stays, and the others
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of each span, as two numbers."""
+    raw = data.tobytes()
+    found = b"".join([blake2b(raw[a:b], digest_size=16, salt=salt).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    both = np.frombuffer(found, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def block_pieces(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, length: int, salt: bytes) -> pa.RecordBatch:
+    """_span, _anchor, _hash, _more, _id, _start, _count: the pieces of a block of texts; of equal ones the first stays, and the others
     are spans whose key is their own."""
     h, row, start, count = anchors(data, offsets, length)
     begin = offsets[row] + start
-    piece = span_hashes(data, begin, begin + count + length - 1) if len(h) else h
-    key = mix(h ^ (piece * M1) ^ (count.astype(np.uint64) * M2))
+    piece, more = digests(data, begin, begin + count + length - 1, salt)
+    key = mix(h ^ piece)
     order = np.argsort(key)
     new = np.ones(len(order), bool)
-    for x in (h, piece, count):
+    for x in (h, piece, more):
         new[1:] = (x[order[1:]] != x[order[:-1]]) if x is h else new[1:] | (x[order[1:]] != x[order[:-1]])
     group = np.cumsum(new) - 1
     span, drop = np.zeros(len(h), bool), np.zeros(len(h), bool)
@@ -96,7 +97,7 @@ def block_pieces(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, length: i
         span[at], drop[at] = later, twice
     anchor = np.where(span, mix(key + begin.astype(np.uint64) * M3), h).view(np.int64)
     keep = ~drop
-    return pa.RecordBatch.from_arrays([pa.array(span[keep]), pa.array(anchor[keep]), pa.array(piece.view(np.int64)[keep]), ids.take(pa.array(row[keep])), pa.array(start[keep]), pa.array(count[keep].astype(np.int64))], names=["_span", "_anchor", "_hash", "_id", "_start", "_count"])
+    return pa.RecordBatch.from_arrays([pa.array(span[keep]), pa.array(anchor[keep]), pa.array(piece.view(np.int64)[keep]), pa.array(more.view(np.int64)[keep]), ids.take(pa.array(row[keep])), pa.array(start[keep]), pa.array(count[keep].astype(np.int64))], names=["_span", "_anchor", "_hash", "_more", "_id", "_start", "_count"])
 
 
 def suffix_array(data: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
@@ -260,19 +261,21 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     both come back alike; an id with several texts loses in each what was found for the id; an empty table gives an empty
     result; other columns are not looked at.
     """
-    if length < GRAM:
-        raise ValueError(f"length is at least {GRAM}")
+    if not GRAM <= length <= SHARD_BYTES >> 5:
+        raise ValueError(f"length is from {GRAM} to {SHARD_BYTES >> 5}")
     id_type = df.schema[id_col].dataType.simpleString()
     if set(carry) & {id_col, "n_bytes", "spans", "kept"}:
         raise ValueError("carried columns clash with the result's")
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(f"_carry_{c}") for c in carry])
-    known = docs.where("_id IS NOT NULL")  # both joins deal it out alike, so it is shuffled once
+    known = docs.where("_id IS NOT NULL")
+    scratch, salt = Scratch(df.sparkSession, "repeats"), os.urandom(16)
+    most = min(SHARD, SHARD_BYTES // (2 * length))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for lo, hi in blocks(np.diff(offsets), BLOCK):
-                yield block_pieces(batch.column(0).slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
+                yield block_pieces(batch.column(0).slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, salt)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = ()
@@ -284,15 +287,15 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
             t = t.filter(pa.array(~span))
             if not t.num_rows:
                 continue
-            anchor, piece, start, size = (t.column(k).to_numpy() for k in ("_anchor", "_hash", "_start", "_count"))
+            anchor, piece, more, start = (t.column(k).to_numpy() for k in ("_anchor", "_hash", "_more", "_start"))
             number = t.column("_id").to_pylist()
             fresh, again = np.ones(len(anchor), bool), np.zeros(len(anchor), bool)
-            same = (anchor[1:] == anchor[:-1]) & (piece[1:] == piece[:-1]) & (size[1:] == size[:-1])
+            same = (anchor[1:] == anchor[:-1]) & (piece[1:] == piece[:-1]) & (more[1:] == more[:-1])
             fresh[1:] = ~same
             again[1:] = same & np.array([a == b for a, b in zip(number[1:], number[:-1], strict=True)], bool) & (start[1:] == start[:-1])  # a row given twice
-            if last and last[:3] == (anchor[0], piece[0], size[0]):
+            if last and last[:3] == (anchor[0], piece[0], more[0]):
                 fresh[0], again[0] = False, last[3:] == (number[0], start[0])
-            last = (anchor[-1], piece[-1], size[-1], number[-1], start[-1])
+            last = (anchor[-1], piece[-1], more[-1], number[-1], start[-1])
             yield from spans_of(t.filter(pa.array(~fresh & ~again)), length)
             kept = t.filter(pa.array(fresh)).append_column("_known", pa.array(np.zeros(int(fresh.sum()), bool)))
             kept = kept if held is None else pa.concat_tables([held, kept])
@@ -315,13 +318,14 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         for b in t.to_batches():
             yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column("_id"), b.column("_start"), b.column("_count")], names=["_anchor", "_id", "_start", "_count"])
 
-    order = ["_span", "_anchor", "_hash", "_count", "_id", "_start"]
-    found = known.select("_id", "_text").mapInArrow(find, f"_span boolean, _anchor long, _hash long, _id {id_type}, _start long, _count long")
-    settled = written(found.repartition("_anchor").sortWithinPartitions(*order).mapInArrow(settle, f"_anchor long, _id {id_type}, _start long, _count long"), "repeats")
+    order = ["_span", "_anchor", "_hash", "_more", "_id", "_start"]
+    found = known.select("_id", "_text").mapInArrow(find, f"_span boolean, _anchor long, _hash long, _more long, _id {id_type}, _start long, _count long")
+    settled = scratch.write(found.repartition("_anchor").sortWithinPartitions(*order).mapInArrow(settle, f"_anchor long, _id {id_type}, _start long, _count long"), "settled")
     whole = settled.where("_anchor IS NULL").select("_id", "_start", (F.col("_start") + F.col("_count") + length - 1).alias("_end"))
     mixed = settled.where("_anchor IS NOT NULL")
     often = mixed.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_often"))
-    several = mixed.join(often, "_anchor").groupBy("_id").agg(F.collect_set(F.struct("_start", "_count", "_anchor", "_often")).alias("_pieces"))
+    heavy = heavy_keys(mixed, "_anchor", 4096)
+    several = salted(mixed, heavy, "_anchor", "_id").join(for_each_salt(often, heavy, "_anchor"), ["_anchor", "_salt"]).groupBy("_id").agg(F.collect_set(F.struct("_start", "_count", "_anchor", "_often")).alias("_pieces"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,14 +345,14 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[lo:hi]), pa.array(times[lo:hi]), batch.column(0).take(pa.array(row[lo:hi])), pa.array(start[lo:hi]), text], names=["_anchor", "_often", "_id", "_start", "_piece"])
 
     carried = [f"_carry_{c}" for c in carry]
-    pieces = known.join(several, "_id").select("_id", "_text", "_pieces", *carried).mapInArrow(cut, f"_anchor long, _often long, _id {id_type}, _start long, _piece binary")
-    shard = F.when(F.col("_often") > SHARD, F.pmod(F.xxhash64("_id", "_start"), F.ceil(F.col("_often") / SHARD))).otherwise(F.lit(0)).cast("long")
+    pieces = known.select("_id", "_text").join(several, "_id").select("_id", "_text", "_pieces").mapInArrow(cut, f"_anchor long, _often long, _id {id_type}, _start long, _piece binary")
+    shard = F.when(F.col("_often") > most, F.pmod(F.xxhash64("_id", "_start"), F.ceil(F.col("_often") / most))).otherwise(F.lit(0)).cast("long")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(rows)
             number, ranked = numbered(t.column("_id"))
-            out = shard_repeats(number, t.column("_start").to_numpy(), t.column("_piece").to_pylist(), t.column("_often").to_numpy() > SHARD, t.column("_shard").to_numpy(), length)
+            out = shard_repeats(number, t.column("_start").to_numpy(), t.column("_piece").to_pylist(), t.column("_often").to_numpy() > most, t.column("_shard").to_numpy(), length)
             if ranked is not None:
                 out["_id"] = [ranked[i] for i in out["_id"]]
             kinds = [pa.int64(), pa.int64(), t.schema.field("_id").type, pa.int64(), pa.int64(), pa.binary()]
@@ -377,7 +381,8 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
 
     keyed = repeats.withColumn("_key", F.when(F.col("_string").isNotNull(), F.xxhash64("_string")).otherwise(F.xxhash64("_id")))
     spans = keyed.repartition("_key").sortWithinPartitions("_key").mapInArrow(merge, f"_id {id_type}, _start long, _end long")
-    lost = spans.unionByName(whole).groupBy("_id").agg(F.collect_set(F.struct("_start", "_end")).alias("_spans"))
+    lost = scratch.write(spans.unionByName(whole).groupBy("_id").agg(F.collect_set(F.struct("_start", "_end")).alias("_spans")), "spans")
+    scratch.drop(settled)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -36,6 +36,31 @@ def corpus(rng, n):
     return texts
 
 
+def test_small_arrow_batches(make_docs, small_batches):
+    texts = corpus(random.Random(small_batches), 30)
+    covers = repeats(dict(enumerate(texts)), 100)
+    for r in sd.remove_repeats(make_docs(texts)).collect():
+        assert bytes(r["kept"]) == kept(texts[r["doc_id"]], covers[r["doc_id"]])
+
+
+def test_pieces_of_one_polynomial_hash(make_docs, one_hash):
+    rng = random.Random(5)
+    x, y = one_hash
+    texts = ["".join(rng.choice("cdef") for _ in range(50)) + t + "." * 3 for t in (x, y, x, y)]
+    covers = repeats(dict(enumerate(texts)), 100)
+    for r in sd.remove_repeats(make_docs(texts)).collect():
+        assert bytes(r["kept"]) == kept(texts[r["doc_id"]], covers[r["doc_id"]])
+
+
+def test_long_strings(make_docs):
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh") for _ in range(9000))
+    texts = [base[i : i + 6000] for i in range(0, 3000, 100)]
+    covers = repeats(dict(enumerate(texts)), 4000)
+    for r in sd.remove_repeats(make_docs(texts), length=4000).collect():
+        assert bytes(r["kept"]) == kept(texts[r["doc_id"]], covers[r["doc_id"]])
+
+
 @pytest.mark.parametrize("shard", [1024, 2])
 def test_against_brute_force(make_docs, monkeypatch, shard):
     monkeypatch.setattr(sd, "SHARD", shard)
