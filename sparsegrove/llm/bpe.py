@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a two-tier lookup.
 
 Texts are split into pre-tokens on their UTF-8 bytes, whole blocks at a time. A minimal perfect hash of the vocabulary
-resolves every pre-token that is a token as it stands, and its bytes are compared. The misses are made distinct, looked
-up in a worker's bounded memory of earlier ones, and the rest are merged one by one: a heap of byte pairs by rank over
+resolves every pre-token that is a token as it stands, and its bytes are compared. The misses are made distinct by their
+bytes, looked up in a worker's bounded memory of earlier ones, and the rest are merged one by one: a heap of byte pairs by rank over
 linked byte positions.
 """
 
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, blocks, mix, ranges, table, utf8
+from .common import GOLDEN, blocks, mix, ranges, segment_sums, table, utf8
 from .tokenizer import ranks
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 BASE = np.uint64(0xD6E8FEB86659FD93)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Misses a worker remembers; the memory is emptied when full.
@@ -59,7 +59,7 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
+    """A 64-bit hash of the bytes of each span. Spans can be built that share one, so it only routes."""
     up, down = powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
@@ -76,6 +76,12 @@ def edges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return first, last
 
 
+def differ(data: np.ndarray, one: np.ndarray, two: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the spans of these sizes that start at one and at two differ."""
+    apart = data[ranges(one, sizes)] != data[ranges(two, sizes)]
+    return segment_sums(apart, np.concatenate([[0], np.cumsum(sizes)])) > 0
+
+
 class PerfectHash:
     """A minimal perfect hash: n keys, n slots. Keys are dealt to buckets; each bucket, the largest first, gets the first
     seed that sends its keys to free slots; a bucket of one key names its slot instead."""
@@ -238,6 +244,8 @@ class Encoder:
         new = np.ones(len(order), bool)
         for x in (keys, sizes, first, last):
             new[1:] = (x[order[1:]] != x[order[:-1]]) if x is keys else new[1:] | (x[order[1:]] != x[order[:-1]])
+        long = np.flatnonzero(~new & (sizes[order] > 16))  # the two edges hold all bytes of the others
+        new[long] = differ(data, starts[order[long]], starts[order[long - 1]], sizes[order[long]])
         heads = order[new]
         merged: list[list[int]] = []
         seen = self.seen

@@ -69,3 +69,14 @@ def test_query(spark):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(of[r["doc_id"]].encode()).hexdigest()
     assert len(ranks()) == 50256
+
+
+def test_pieces_of_one_hash_are_told_apart(encoder, one_hash):
+    x, y = one_hash
+    texts = [f"q{'b' * 9}{t}{'b' * 9}" for t in (x, y, x, y, y, x)]
+    assert encode(encoder, texts) == [by_ranks().encode_ordinary(t) for t in texts]
+
+
+def test_clashing_columns(make_docs):
+    docs = make_docs(["some text"]).selectExpr("doc_id", "text", "1 AS ids", "2 AS decoded")
+    assert bpe_encode(docs).first()["ids"] == by_ranks().encode_ordinary("some text")
