@@ -77,6 +77,11 @@ def matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     return out
 
 
+def check_range(queries: np.ndarray, vectors: np.ndarray) -> None:
+    if np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * queries.shape[1] >= 2.0**53:
+        raise ValueError("scores may reach 2**53: use a smaller scale")
+
+
 def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, shard_rows: int = 8192, chunk_rows: int = 2048) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row where is_query holds, the k other rows with the highest inner
     product of the integer vectors.
@@ -85,7 +90,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     null or empty vectors and vectors with null or non-finite components take no part; vectors of unlike lengths are
     multiplied over their common components; every row with the query's own id is left out of its candidates; a row
     given twice is a candidate twice, and a query given twice is asked once (by the smaller vector); an empty table
-    gives an empty result. Scores must stay below 2**53, where doubles are exact. Cells hold at most about shard_rows
+    gives an empty result; scores that might reach 2**53, from where doubles are not exact, are an error. Cells hold at most about shard_rows
     candidates and chunk_rows queries.
     """
     rows = df.select(id_col, vector_col, F.coalesce(is_query, F.lit(False)).alias("_query"))
@@ -102,6 +107,7 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         dims = max(q["_v"].map(len).max(), d["_v"].map(len).max())
         queries, blocks = matrix(q["_v"], dims), Blocks(d["_id"].to_numpy(), matrix(d["_v"], dims))
+        check_range(queries, blocks.vectors)
         bounds = np.maximum(queries, 0) @ blocks.high.T + np.minimum(queries, 0) @ blocks.low.T
         own = q["_id"].to_numpy()
         found = [blocks.search(queries[i], own[i], bounds[i], k) for i in range(len(q))]

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparsegrove.llm.topk_search import Blocks, exact_top_k
@@ -44,3 +45,9 @@ def test_blocks_are_left_out():
     everything[0] = -1e9
     assert scores.tolist() == np.sort(everything)[::-1][:10].tolist()
     assert (bounds[0] < scores[-1]).sum() > len(blocks.starts) / 2  # never scored
+
+
+def test_scores_beyond_exact_doubles_are_an_error(spark):
+    df = spark.createDataFrame([(20, [1e7, 1.0]), (40, [1e7, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="2\\*\\*53"):
+        exact_top_k(df, F.lit(True)).collect()
