@@ -1,7 +1,7 @@
 """Exact token counts by a length histogram.
 
-Every document is encoded once; its length goes to a histogram that Spark sums up before the shuffle. The histogram has
-a row for each length that occurs, however many documents there are. Suffix sums over it answer totals, quantiles and
+Every document is encoded once; its length goes to a histogram that Spark sums up before the shuffle, and that is written.
+The histogram has a row for each length that occurs, however many documents there are. Suffix sums over it answer totals, quantiles and
 totals cut at any context limit, without another look at the texts.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: Lengths whose sums are taken together first.
 SPAN = 512
@@ -81,7 +81,7 @@ def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
 def token_counts(df: DataFrame, text_col: str = "text", rank_path: str | None = None) -> DataFrame:
     """The suffix sums of the lengths of all texts. Null and empty texts have length 0; repeated rows count each; an
     empty table gives no rows; no other column is looked at."""
-    return suffix_sums(length_histogram(df, text_col, rank_path))
+    return suffix_sums(written(length_histogram(df, text_col, rank_path), "lengths"))
 
 
 def op3_token_counts(spark, sf_dir):

@@ -21,3 +21,8 @@ def test_against_all_lengths(make_docs, words):
 def test_empty_table(make_docs):
     sums = token_counts(make_docs([]).where("false"))
     assert sums.count() == 0 and truncated_totals(sums, [5]).first()["total_tokens"] == 0
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    docs = spark.createDataFrame([("word " * 200_000, 7), (None, 8)], "text string, n_tokens int")
+    assert {(r["n_tokens"], r["n_docs"]) for r in token_counts(docs).collect()} == {(len(by_ranks().encode_ordinary("word " * 200_000)), 1), (0, 1)}
