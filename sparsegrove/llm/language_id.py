@@ -3,7 +3,8 @@
 One suffix automaton per language, of a bounded sample of its labelled documents, recognises every substring of that
 sample. A text is parsed greedily into the longest phrases that the automaton knows (Ziv and Merhav's cross parsing);
 the language that needs the fewest phrases per byte wins. The automata are dense transition tables, so that one numpy
-step advances thousands of pieces of text by one byte at once.
+step advances thousands of pieces of text by one byte at once; where a phrase crosses into the next piece, it is followed
+there until both parses begin a phrase at the same byte, from where on they are one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, ranges, table, utf8
 
-#: Texts are parsed in pieces of so many bytes; a phrase ends with its piece. Every byte of a text is in a piece.
+#: Texts are parsed in pieces of so many bytes, and the pieces' parses joined.
 PIECE = 512
 #: Bytes that are stepped through at once.
 BLOCK = 1 << 20
@@ -85,21 +86,68 @@ class CrossParser:
         order = np.argsort(-lengths, kind="stable")
         owner, starts, lengths = owner[order], starts[order], lengths[order]
         word = self.of[data].astype(np.int32)
-        counts = np.ones((len(self.langs), len(starts)), np.int64)
-        states = np.zeros((len(self.langs), len(starts)), np.int32)
-        for step in range(int(lengths[0]) if len(lengths) else 0):
-            live = int(np.searchsorted(-lengths, -step, "left"))  # lengths > step come first
-            letter = word[starts[:live] + step]
-            for k, ways in enumerate(self.tables):
-                to = ways[states[k, :live] * self.width + letter]
+        counts = np.zeros((len(self.langs), len(sizes)), np.int64)
+        for k, ways in enumerate(self.tables):
+            begins = np.zeros(len(data), bool)  # where the pieces' own parses begin a phrase
+            begins[starts] = True
+            states = np.zeros(len(starts), np.int32)
+            for step in range(int(lengths[0]) if len(lengths) else 0):
+                live = int(np.searchsorted(-lengths, -step, "left"))  # lengths > step come first
+                letter = word[starts[:live] + step]
+                to = ways[states[:live] * self.width + letter]
                 stuck = np.flatnonzero(to < 0)
                 if len(stuck):
-                    counts[k, stuck] += step > 0
-                    again = ways[letter[stuck]]
-                    again[again < 0] = len(ways) // self.width - 1
-                    to[stuck] = again
-                states[k, :live] = to
-        return np.stack([np.bincount(owner, weights=c, minlength=len(sizes)) for c in counts]) if len(self.langs) else np.zeros((0, len(sizes)))
+                    begins[starts[stuck] + step] = True
+                    to[stuck] = self.anew(ways, letter[stuck])
+                states[:live] = to
+            counts[k] = self.joined(ways, word, offsets, owner, starts, lengths, begins, states)
+        return counts
+
+    def anew(self, ways: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The states of phrases that begin with these letters."""
+        to = ways[letter]
+        to[to < 0] = len(ways) // self.width - 1
+        return to
+
+    def joined(self, ways: np.ndarray, word: np.ndarray, offsets: np.ndarray, owner: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """The phrases of each text, from its pieces' own parses: the last phrase of a piece is followed into the next one until a
+        phrase begins where that piece's own parse has one begin, too. A text with a piece in which that never happens is
+        parsed from its first byte to its last."""
+        upto = np.concatenate([[0], np.cumsum(begins)])
+        true = upto[starts + lengths] - upto[starts]
+        place = np.argsort(starts)  # pieces in the order of the text
+        later = place[np.flatnonzero(starts[place] != offsets[owner[place]])]
+        before = place[np.flatnonzero(starts[place] != offsets[owner[place]]) - 1]
+        live, state, met, step = later, states[before], np.zeros(len(later), np.int64), 0
+        while len(live):
+            ended = lengths[live] == step
+            if ended.any():
+                for text in np.unique(owner[live[ended]]).tolist():  # never met
+                    true[owner == text] = 0
+                    true[np.flatnonzero(owner == text)[0]] = self.one_by_one(ways, word[offsets[text] : offsets[text + 1]].tolist())
+                    going = owner[live] != text
+                    live, state, met, ended = live[going], state[going], met[going], ended[going]
+                continue
+            at = starts[live] + step
+            to = ways[state * self.width + word[at]]
+            stuck = to < 0
+            done = stuck & begins[at]
+            true[live[done]] = met[done] + upto[(starts + lengths)[live[done]]] - upto[at[done]]
+            met += stuck & ~done
+            to[stuck] = self.anew(ways, word[at[stuck]])
+            live, state, met, step = live[~done], to[~done], met[~done], step + 1
+        return np.bincount(owner, weights=true, minlength=len(offsets) - 1).astype(np.int64)
+
+    def one_by_one(self, ways: np.ndarray, letters: list[int]) -> int:
+        """The phrases of one text."""
+        state, count, dead = -1, 0, len(ways) // self.width - 1
+        for letter in letters:
+            to = -1 if state < 0 else int(ways[state * self.width + letter])
+            if to < 0:
+                count, to = count + 1, int(ways[letter])
+                to = dead if to < 0 else to
+            state = to
+        return count
 
 
 def fold(text_id: Column, folds: int) -> Column:
@@ -121,7 +169,8 @@ def learn_languages(df: DataFrame, learn: Column, id_col: str = "doc_id", text_c
     fit = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("_lang"), part.alias("_text"), order.alias("_order"), F.pmod(hashed, F.lit(sample_docs)).alias("_bucket"))
     first = [r["_least"] for r in fit.groupBy("_lang", "_bucket").agg(F.min("_order").alias("_least")).collect()]
     texts: dict[str, list[tuple[int, str]]] = {}
-    for row in fit.where(F.col("_order").isin(first)).select("_lang", "_text", "_order").collect() if first else []:
+    picked = fit.where(F.col("_order").isin(first)).groupBy("_lang", "_order").agg(F.min("_text").alias("_text"))  # one text for each id
+    for row in picked.collect() if first else []:
         texts.setdefault(row["_lang"], []).append((row["_order"], row["_text"].lower()))
     return CrossParser({k: cut([t for _, t in sorted(set(v))], sample_bytes) for k, v in texts.items()})
 

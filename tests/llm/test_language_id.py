@@ -2,22 +2,22 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sparsegrove.llm.common import utf8
-from sparsegrove.llm.language_id import PIECE, CrossParser, cut, identify, learn_languages
+from sparsegrove.llm import language_id
+from sparsegrove.llm.language_id import CrossParser, cut, identify, learn_languages
 
 
 def phrases(text, sample):
-    """Greedy longest matches, in pieces of PIECE bytes."""
-    n = 0
-    for at in range(0, len(text), PIECE):
-        piece, i = text[at : at + PIECE], 0
-        while i < len(piece):
-            k = i
-            while k < len(piece) and piece[i : k + 1] in sample:
-                k += 1
-            n, i = n + 1, max(k, i + 1)
+    """Greedy longest matches."""
+    n = i = 0
+    while i < len(text):
+        k = i
+        while k < len(text) and text[i : k + 1] in sample:
+            k += 1
+        n, i = n + 1, max(k, i + 1)
     return n
 
 
@@ -32,6 +32,33 @@ def test_phrases_are_longest_matches():
         assert got[1].tolist() == [phrases(t, other) for t in texts]
 
 
+@pytest.mark.parametrize("piece", [3, 8, 40])
+def test_phrases_over_pieces(monkeypatch, piece):
+    """Pieces so short that phrases span several, and periodic texts whose parses never meet."""
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    rng = random.Random(piece)
+    for _ in range(30):
+        sample = rng.choice((b"ab" * 60, b"abc" * 50, bytes(rng.choice(b"abc ") for _ in range(150))))
+        texts = [bytes(rng.choice(b"abcd ") for _ in range(rng.choice((0, 1, 50, 300)))) for _ in range(5)] + [b"ab" * 200, b"abc" * 99, sample * 3, b"d" * 70, b"abcab" * 40]
+        got = CrossParser({"x": sample}).phrases(*utf8(pa.array(texts, pa.binary())))
+        assert got[0].tolist() == [phrases(t, sample) for t in texts]
+
+
+def test_whole_predictions(make_docs):
+    """Labels and scores from counts that plain Python makes, with the parser's own samples."""
+    rng = random.Random(9)
+    samples = {k: prose(rng, parts.split(), 300).encode() for k, parts in (("aa", "la me ni qu est pour"), ("bb", "sch ein ung zu der mit"), ("cc", "la me sch ein"))}
+    texts = [prose(rng, "la me ni sch ein zu est".split(), rng.randint(1, 400)) for _ in range(25)]
+    for r in identify(make_docs(texts), CrossParser(samples)).collect():
+        counts = sorted((phrases(texts[r["doc_id"]].encode(), s), k) for k, s in samples.items())
+        assert r["lang_pred"] == counts[0][1] and abs(r["score"] - (1 - counts[0][0] / counts[1][0])) < 1e-12
+
+
+def test_a_text_that_is_given_very_often_is_learnt_once(make_docs, monkeypatch):
+    docs = make_docs(["la me ni"] * 200, [1] * 200, langs=["aa"] * 200)
+    assert learn_languages(docs, F.lit(True)).langs == ["aa"]
+
+
 def prose(rng, parts, n):
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
