@@ -9,8 +9,8 @@ batches), and a page is decoded by Viterbi. The labelled pages come from a rule:
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
-from functools import lru_cache
 from html import escape
 from html.parser import HTMLParser
 
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BLOCK_TAGS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK_TAGS = set("address article aside audio blockquote body br button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript object ol optgroup option p pre section summary svg table tbody td tfoot th thead tr ul video".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = set("head title script style template svg math iframe object textarea select button canvas audio video noframes".split())
+SILENT_TAGS = set("head title script style template iframe textarea select noframes annotation annotation-xml desc metadata".split())
 #: An opening tag closes an open one of these below the nearest boundary.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDARY = set("article aside body div footer form header html main nav section table ul ol dl td th".split())
@@ -45,28 +45,65 @@ OF_WORD = {w: k for k, words in reversed(LEXICON.items()) for w in words.split()
 CLUTTER_TAGS = {"nav": "menu", "header": "top", "footer": "foot", "aside": "side", "form": "form", "menu": "menu", "dialog": "notice", "noscript": "notice", "fieldset": "form", "article": "content", "main": "content"}
 
 
+class Node:
+    """An open tag, and what its path says: the innermost kinds, and the features of all its tags. A node that says nothing new
+    shares its parent's set, so that deep pages need no more memory than flat ones."""
+
+    __slots__ = ("tag", "label", "kind", "clutter", "content", "said")
+
+    def __init__(self, parent: Node | None, tag: str, words: list[str], label: str | None, known: dict | None):
+        self.tag, self.label = tag, label or (parent.label if parent else None)
+        self.kind, self.clutter, self.content, said = (parent.kind, parent.clutter, parent.content, parent.said) if parent else ("none", "none", False, frozenset())
+        own = {CLUTTER_TAGS[tag]} if tag in CLUTTER_TAGS else set()
+        names = {f"tag={tag}"}
+        for w in words:
+            kind = OF_WORD.get(w) or OF_WORD.get(w.rstrip("0123456789"))
+            names.add(f"kind={kind}" if kind else f"word={w}")
+            if kind:
+                own.add(kind)
+        kinds = sorted(own - {"content"}) or sorted(own)
+        names |= {f"kind={k}" for k in kinds}
+        if kinds:
+            self.kind = kinds[-1]
+            if kinds == ["content"]:
+                self.content = True
+            else:
+                self.clutter = "inside content" if self.content else "outside content"
+        if known is not None:
+            names = {x for x in names if x in known}
+        self.said = said if names <= said else said | names
+
+    def features(self) -> list[str]:
+        """What the ancestors say: tags, class words, the kinds of both, and the innermost kinds."""
+        return [*self.said, f"parent={self.tag}", f"inner={self.kind}", f"clutter={self.clutter}", "content" if self.content else "no content"]
+
+
 class Blocks(HTMLParser):
-    """Collects the leaf blocks of a page: (text, ancestors, characters in links, label)."""
+    """Collects the leaf blocks of a page: (text, node, characters in links, label). known: the features that matter, or all."""
 
-    def __init__(self):
+    def __init__(self, known: dict | None = None):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...], str | None]] = []
+        self.known = known
+        self.outside = Node(None, "none", [], None, {})
+        self.stack: list[Node] = []
+        self.open: dict[str, int] = {}
         self.parts: list[str] = []
         self.linked = self.silent = self.links = 0
-        self.path: tuple = ()
-        self.found: list[tuple[str, tuple, int, str | None]] = []
+        self.node = self.outside
+        self.found: list[tuple[str, Node, int, str | None]] = []
 
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.found.append((text, self.path, self.linked, next((x[2] for x in reversed(self.path) if x[2]), None)))
+                self.found.append((text, self.node, self.linked, self.node.label))
             self.parts, self.linked = [], 0
 
     def pop_to(self, depth: int):
-        for tag, _, _ in self.stack[depth:]:
-            self.silent -= tag in SILENT_TAGS
-            self.links -= tag == "a"
+        for node in self.stack[depth:]:
+            self.silent -= node.tag in SILENT_TAGS
+            self.links -= node.tag == "a"
+            self.open[node.tag] -= 1
         del self.stack[depth:]
 
     def handle_starttag(self, tag, attrs):
@@ -74,7 +111,7 @@ class Blocks(HTMLParser):
             self.flush()
             closing = CLOSES.get(tag, set()) if tag in CLOSES else {"p"}
             for depth in range(len(self.stack) - 1, -1, -1):
-                open_tag = self.stack[depth][0]
+                open_tag = self.stack[depth].tag
                 if open_tag in closing or open_tag == "p":
                     if tag != "br":
                         self.pop_to(depth)
@@ -82,10 +119,10 @@ class Blocks(HTMLParser):
                         break
                 elif open_tag in BOUNDARY:
                     break
-        elif self.stack and self.stack[-1][0] == "head" and tag not in SILENT_TAGS | VOID_TAGS | {"noscript"}:
+        elif self.stack and self.stack[-1].tag == "head" and tag not in SILENT_TAGS | VOID_TAGS | {"noscript"}:
             self.pop_to(len(self.stack) - 1)
-        if tag == "body":  # an unclosed head ends here
-            self.pop_to(next((d for d, x in enumerate(self.stack) if x[0] == "head"), len(self.stack)))
+        if tag == "body" and self.open.get("head"):  # an unclosed head ends here
+            self.pop_to(next(d for d, x in enumerate(self.stack) if x.tag == "head"))
         if tag in VOID_TAGS:
             return
         words, label = [], None
@@ -96,7 +133,8 @@ class Blocks(HTMLParser):
                 words.append("hidden")
             elif key == "data-block-label":
                 label = value
-        self.stack.append((tag, tuple(words), label))
+        self.stack.append(Node(self.stack[-1] if self.stack else self.outside, tag, words, label, self.known))
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.silent += tag in SILENT_TAGS
         self.links += tag == "a"
 
@@ -108,65 +146,52 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.flush()
+        if not self.open.get(tag):
+            return
         for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == tag:
+            if self.stack[depth].tag == tag:
                 self.pop_to(depth)
                 return
-            if self.stack[depth][0] in BOUNDARY and tag not in BLOCK_TAGS:
+            if self.stack[depth].tag in BOUNDARY and tag not in BLOCK_TAGS:
                 return
 
     def handle_data(self, data):
         if not self.silent:
             if not self.parts:
-                self.path = tuple(self.stack)
+                self.node = self.stack[-1] if self.stack else self.outside
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
 
 
-def blocks_of(html: str) -> list[tuple[str, tuple, int, str | None]]:
-    """The leaf blocks of a page in order; a page that cannot be parsed further ends there."""
-    parser = Blocks()
+INTERNAL_SUBSET = re.compile(r"<!doctype[^>\[]*\[[^\]]*\]\s*>", re.IGNORECASE)
+
+
+def blocks_of(html: str, known: dict | None = None) -> list[tuple[str, Node, int, str | None]]:
+    """The leaf blocks of a page in order. Tags may be unclosed or unopened; a comment that is not closed goes on to the end."""
+    html = INTERNAL_SUBSET.sub("", html, count=1)
+    comment = html.rfind("<!--")
+    if comment >= 0 and html.find("-->", comment) < 0 and html.rfind("<script", 0, comment) <= html.rfind("</script", 0, comment):
+        html = html[:comment]
+    parser = Blocks(known)
     parser.feed(html)
     parser.close()
     parser.flush()
     return parser.found
 
 
-@lru_cache(maxsize=4096)
-def path_features(path: tuple) -> tuple[str, ...]:
-    """What the ancestors say: tags, class words, the kinds of both, and the innermost kinds."""
-    out, kinds = set(), []
-    for tag, words, _ in path:
-        out.add(f"tag={tag}")
-        own = {CLUTTER_TAGS[tag]} if tag in CLUTTER_TAGS else set()
-        for w in words:
-            kind = OF_WORD.get(w) or OF_WORD.get(w.rstrip("0123456789"))
-            out.add(f"kind={kind}" if kind else f"word={w}")
-            if kind:
-                own.add(kind)
-        kinds += sorted(own - {"content"}) if own - {"content"} else sorted(own)
-    out |= {f"kind={k}" for k in kinds}
-    clutter = [k for k in kinds if k != "content"]
-    out.add(f"parent={path[-1][0]}" if path else "parent=none")
-    out.add(f"inner={kinds[-1]}" if kinds else "inner=none")
-    out.add("clutter=" + ("none" if not clutter else "inside content" if "content" in kinds and kinds.index("content") < len(kinds) - 1 - kinds[::-1].index(clutter[-1]) else "outside content"))
-    out.add("content" if "content" in kinds else "no content")
-    return tuple(out)
-
-
 #: Marks of clutter in a text.
 PHRASES = ("©", "copyright", "all rights reserved", "cookie", "subscribe", "newsletter", "sign in", "log in", "sign up", "advert", "sponsored", "comments", "reply", "share", "read more", "privacy policy", "terms of")
 
 
 def text_features(text: str, linked: int) -> list[str]:
     words = text.count(" ") + 1
-    low = text[:400].lower()
+    low = text.lower()
     out = ["words=" + ("1" if words == 1 else "2-4" if words < 5 else "5-12" if words < 13 else "13-40" if words < 41 else "41+")]
     share = linked / max(1, len(text))
     out.append("links=" + ("none" if share == 0 else "some" if share < 0.5 else "most"))
     out.append("ends=" + ("stop" if text[-1] in ".!?…\"'”»)" else "colon" if text[-1] == ":" else "letter"))
-    out += [f"says={p}" for p in PHRASES if p in low]
+    out += [f"says={p}" if 400 * low.count(p) >= len(low) else f"mentions={p}" for p in PHRASES if p in low]
     return out
 
 
@@ -177,12 +202,12 @@ class ChainField:
         self.index = {name: i for i, name in enumerate(names)}
         self.weights, self.steps, self.begin = np.zeros((len(names) + 1, 2)), np.zeros((2, 2)), np.zeros(2)
 
-    def active(self, page: list[tuple[str, tuple, int, str | None]]) -> list[list[int]]:
+    def active(self, page: list[tuple[str, Node, int, str | None]]) -> list[list[int]]:
         of = self.index.get
         none = len(self.index)
         out = []
-        for i, (text, path, linked, _) in enumerate(page):
-            names = [*path_features(path), *text_features(text, linked), "bias", "first" if i == 0 else "last" if i == len(page) - 1 else "between"]
+        for i, (text, node, linked, _) in enumerate(page):
+            names = [*node.features(), *text_features(text, linked), "bias", "first" if i == 0 else "last" if i == len(page) - 1 else "between"]
             out.append([k for k in (of(x, none) for x in names) if k != none])
         return out
 
@@ -261,7 +286,7 @@ def labelled_page(rng: random.Random) -> str:
         return escape(" ".join(sentence() for _ in range(rng.choice((1, 1, 2, 4, 9)))))
 
     def inline(text: str) -> str:
-        return rng.choice((text, text, f"<b>{text}</b>", f'{text} <a href="/x">{word()}</a> {word()}.', f"{text}<br>{prose()}"))
+        return rng.choice((text, text, f"<b>{text}</b>", f'{text} <a href="/x">{word()}</a> {word()}.', f"{text}<br>{prose()}", f"{text} <math><mi>{word()}</mi><mo>=</mo><mn>{rng.randint(0, 99)}</mn></math> {word()}."))
 
     def named(k: str, tags: str = "div div section") -> tuple[str, str]:
         tag = rng.choice(tags.split())
@@ -290,6 +315,10 @@ def labelled_page(rng: random.Random) -> str:
     body = []
     for _ in range(rng.choice((1, 1, 2, 4, 8, 14))):
         body.append(rng.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}<p>{}", "<h2>{}</h2>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<ul><li>{}</li><li>{}</li></ul>", "<pre>{}</pre>", "<table><tr><td>{}</td></tr></table>")).replace("{}", "\0"))
+        if rng.random() < 0.08:
+            body.append(rng.choice((f"<svg><text>{word()}</text></svg>", f"<figure><object>{prose()}</object><figcaption>{prose()}</figcaption></figure>")))
+        if rng.random() < 0.08:
+            body.append(rng.choice((f'<button data-block-label="0">{word()}</button>', f'<video data-block-label="0">{sentence(3, 9)}</video>', f'<audio data-block-label="0">{sentence(3, 9)}</audio>', f'<canvas data-block-label="0">{sentence(2, 6)}</canvas>')))
         if rng.random() < 0.12:
             body.append(clutter(rng.choice(("advert", "side", "share", "form", "notice"))))
     text = "".join(body)
@@ -313,8 +342,8 @@ def trained_field(pages: int = 400, seed: int = 5) -> ChainField:
     made = [p for p in (blocks_of(labelled_page(rng)) for _ in range(pages)) if p]
     often: dict[str, int] = {}
     for page in made:
-        for text, path, linked, _ in page:
-            for name in {*path_features(path), *text_features(text, linked)}:
+        for text, node, linked, _ in page:
+            for name in {*node.features(), *text_features(text, linked)}:
                 often[name] = often.get(name, 0) + 1
     return ChainField(sorted({k for k, c in often.items() if c >= 5} | {"bias", "first", "last", "between"})).train(made)
 
@@ -333,7 +362,7 @@ def extract_main_text(df: DataFrame, field: ChainField | None = None, id_col: st
         for batch in batches:
             texts = []
             for html in batch.column(2):
-                page = blocks_of(html.as_py() or "")
+                page = blocks_of(html.as_py() or "", chain.index)
                 texts.append(" ".join(block[0] for block, keep in zip(page, chain.decode(page), strict=True) if keep))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[*batch.schema.names[:2], "text"])
 

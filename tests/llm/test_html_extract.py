@@ -30,7 +30,7 @@ def test_viterbi_finds_the_best_chain(field):
 
 def test_training_raises_the_likelihood():
     pages = [blocks_of(labelled_page(random.Random(i))) for i in range(10)]
-    names = sorted({"bias", "first", "last", "between", *(n for p in pages for b in p for n in ("tag=" + t[0] for t in b[1]))})
+    names = sorted({"bias", "first", "last", "between", *(n for p in pages for b in p for n in b[1].features())})
     trained = ChainField(names).train([p for p in pages if p], rounds=60)
     right = [(b[3] == "1") == y for p in pages for b, y in zip(p, trained.decode(p))]
     assert np.mean(right) > 0.9
@@ -53,3 +53,29 @@ def test_pages_and_edge_cases(spark, field):
     got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), field).collect()}
     assert got[1] == got[None] == "T & U One two three Fourteen." and got[2] == got[3] == "" and len(got[5]) == 5 * 60_000 - 1
     assert extract_main_text(pages.where("false"), field).count() == 0
+
+
+def test_a_deep_page_needs_memory_and_time_in_proportion(field):
+    import tracemalloc
+
+    deep = "<body><article>" + "".join(f"<div class='c{i % 7} body'>a{i} <b>" for i in range(80_000))
+    tracemalloc.start()
+    page = blocks_of(deep, field.index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(deep) > 2_000_000 and len(page) == 80_000 and peak < 250e6 and len(field.decode(page)) == 80_000
+    assert len(blocks_of("<div>" * 30_000 + "x" + "</section>" * 30_000, field.index)) == 1
+
+
+def test_math_comments_doctypes_and_long_blocks(spark, field):
+    long = " ".join(["The story goes on and on about many things."] * 30 + ["A cookie was eaten, and comments were made."])
+    rows = [
+        (1, "<body><article><p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> shows.</p></article>"),
+        (2, "<body><article><p>Said and done.</p></article><!-- not <p>closed"),
+        (3, "<!DOCTYPE html [ <!ENTITY a 'b'> ]><html><body><article><p>Said and done.</p></article>"),
+        (4, f"<body><nav><a href=/>Menu</a></nav><article><h1>Title</h1><p>{long}</p></article>"),
+        (5, "<body><script>if (a <!-- b) {}</script><article><p>Said and done.</p></article>"),
+    ]
+    clash = spark.createDataFrame([(i, "u", h, "x") for i, h in rows], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in extract_main_text(clash, field).collect()}
+    assert got == {1: "As x=2 shows.", 2: "Said and done.", 3: "Said and done.", 4: "Title " + long, 5: "Said and done."}
