@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays; a row that is given several times stays once."""
-    kept = exact_dedup(docs, keep="largest").where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    kept = written(exact_dedup(docs, keep="largest").where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "pipeline-kept")
     own = docs.select(*COLUMNS).withColumn("_own", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     return own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "_own"]).select(*COLUMNS)
 
