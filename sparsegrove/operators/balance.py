@@ -34,7 +34,9 @@ def upsample(samples: DataFrame, seed: int = 0) -> DataFrame:
     small = F.when(F.col("sum_trait") <= -1, F.lit(1.0)).when(F.col("sum_trait") >= 1, F.lit(-1.0))
     size = F.when(F.col("sum_trait") <= -1, F.col("n_pos")).otherwise(F.col("n_neg"))
     plan = totals.select(small.alias("_sign"), size.alias("_n"), F.ceil(F.abs("sum_trait")).cast("long").alias("_d")).where("_sign IS NOT NULL AND _n > 0")
-    picks = plan.select("_sign", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_d") - 1)).alias("_i")).select("_sign", "_i", (F.pmod(shared_hash(F.col("_i"), seed + 1), F.col("_n")) + 1).alias("class_rank"))
+    step = 1 << 16  # clones of one row are numbered in ranges, which are dealt out
+    starts = plan.select("_sign", "_n", "_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_d") - 1, F.lit(step).cast("long"))).alias("_from")).repartition("_from")
+    picks = starts.select("_sign", "_n", F.explode(F.sequence("_from", F.least(F.col("_from") + step, F.col("_d")) - 1)).alias("_i")).select("_sign", "_i", (F.pmod(shared_hash(F.col("_i"), seed + 1), F.col("_n")) + 1).alias("class_rank"))
     tag = F.when(F.col("_sign") > 0, F.lit("_pos_dup")).otherwise(F.lit("_neg_dup"))
     own = F.col("seq_id").cast("string")
     clones = ranked(samples, seed).join(picks, ["_sign", "class_rank"]).select(F.concat(own, tag, (-F.col("_i")).cast("string")).alias("seq_id"), F.col("_sign").alias("trait"), own.alias("base_seq_id"))

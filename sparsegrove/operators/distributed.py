@@ -14,7 +14,6 @@ from __future__ import annotations
 import copy
 import math
 import pickle
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,21 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import stored
 from . import prox, solver
-from .solver import ROUNDING, Design, Options, logistic_weights
+from .solver import ROUNDING, Design, Options, logistic_loss, logistic_weights
 
 PART_CARRIERS = 2_000_000
 SLICE = 1 << 16
 STATE = "part int, state binary"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    path = f"{shared_folder(df.sparkSession)}/fit-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def parted(x: DataFrame, samples: DataFrame, members: DataFrame, parts: int) -> DataFrame:
     """part, design binary. samples: seq_id, ord; members: feature_id, group_ord, weight, each feature in one group."""
     cells = x.join(members, "feature_id").join(samples.select("seq_id", "ord"), "seq_id").select(F.pmod(F.xxhash64("group_ord"), F.lit(parts)).cast("int").alias("part"), "feature_id", "group_ord", "weight", "ord", "value")
@@ -141,8 +134,7 @@ def solve_distributed(spark: SparkSession, x: DataFrame, samples: DataFrame, mem
     def loss_at(fitted: np.ndarray, shift: float) -> tuple[float, np.ndarray]:
         if not logistic:
             return 0.5 * float(((fitted - y) ** 2).sum()), fitted - y
-        margin = -y * (fitted + shift)
-        return float((s * np.logaddexp(0, margin)).sum()), -s * y / (1 + np.exp(-margin))
+        return logistic_loss(fitted, shift, y, s)
 
     for _ in range(options.iterations):
         beta = (a_old - 1) / a_new

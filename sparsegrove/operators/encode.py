@@ -1,7 +1,8 @@
 """From aligned sequences to sparse one-hot features grouped by gene.
 
-Cells are (gene, pos, seq_id, ch); they only exist between an explode and the aggregate above it. Sites and alleles are
-filtered by two levels of counts, so no distinct is needed. Features are numbered within their gene and shifted by the
+Cells are (gene, pos, seq_id, ch); they only exist between an explode and the aggregate or filter above it, and are never
+shuffled. What is joined to sequences is one row a gene: an array over its sites, with the bits that count. Sites and alleles
+are filtered by two levels of counts, so no distinct is needed. Features are numbered within their gene and shifted by the
 sizes of the genes before, so no window spans the feature table.
 """
 
@@ -29,17 +30,44 @@ class EncodeOptions:
         return self.bit_count if self.bit_count is not None else (2 if self.drop_singletons else 1)
 
 
-def explode_cells(alignment: DataFrame, data_type: str = "universal") -> DataFrame:
-    """gene, pos (from 0), seq_id, ch of an alignment (gene, seq_id, seq); null sequences have no cells."""
-    chars = F.split(normalize_sequence(F.col("seq"), data_type), "")
-    return alignment.select("gene", "seq_id", F.posexplode(chars).alias("pos", "ch")).where("ch <> ''")
+def explode_cells(alignment: DataFrame, data_type: str | None = "universal") -> DataFrame:
+    """gene, pos (from 0), seq_id, ch of an alignment (gene, seq_id, seq); null sequences have no cells. data_type None: the sequences
+    are normalised already."""
+    seq = F.col("seq") if data_type is None else normalize_sequence(F.col("seq"), data_type)
+    return alignment.select("gene", "seq_id", F.posexplode(F.split(seq, "")).alias("pos", "ch")).where("ch <> ''")
+
+
+def pieces(texts: DataFrame, width: int = 40, seq_id: str = "seq_id", text: str = "text", data_type: str = "universal") -> DataFrame:
+    """gene, seq_id, seq: whole texts, normalised and cut into genes w0, w1, ... of `width` characters."""
+    parts = F.regexp_extract_all(normalize_sequence(F.col(text), data_type), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    cut = texts.select(F.col(seq_id).alias("seq_id"), F.posexplode(parts).alias("_at", "seq"))
+    return cut.select(F.concat(F.lit("w"), F.col("_at").cast("string")).alias("gene"), "seq_id", "seq")
 
 
 def windows(texts: DataFrame, width: int = 40, seq_id: str = "seq_id", text: str = "text", data_type: str = "universal") -> DataFrame:
-    """Cells of whole texts cut into genes w0, w1, ... of `width` characters."""
-    chars = F.split(normalize_sequence(F.col(text), data_type), "")
-    at = texts.select(F.col(seq_id).alias("seq_id"), F.posexplode(chars).alias("_at", "ch")).where("ch <> ''")
-    return at.select(F.concat(F.lit("w"), F.floor(F.col("_at") / width).cast("string")).alias("gene"), F.pmod("_at", F.lit(width)).alias("pos"), "seq_id", "ch")
+    """Cells of pieces()."""
+    return explode_cells(pieces(texts, width, seq_id, text, data_type), None)
+
+
+def indexed_sites(bits: DataFrame, column: str) -> DataFrame:
+    """gene, sites: an array over the gene's positions of pos, alleles (the bits' alleles as one string, null for none) and values
+    (the column's values, in the same order). bits: gene, pos, allele and the column."""
+    each = bits.groupBy("gene", "pos").agg(F.sort_array(F.collect_list(F.struct("allele", F.col(column).alias("value")))).alias("_bits"))
+    every = each.groupBy("gene").agg(F.max("pos").alias("_last")).select("gene", F.explode(F.sequence(F.lit(0), "_last")).alias("pos"))
+    site = F.struct("pos", F.array_join("_bits.allele", "").alias("alleles"), F.col("_bits.value").alias("values"))
+    return every.join(each, ["gene", "pos"], "left").groupBy("gene").agg(F.sort_array(F.collect_list(site)).alias("sites"))
+
+
+def hits(alignment: DataFrame, bits: DataFrame, column: str, data_type: str | None = None, salts: int = 1) -> DataFrame:
+    """gene, seq_id, pos and the column's value for every bit that a sequence carries. The sequences meet their gene's sites as one row,
+    and the characters that match no bit go no further. salts: the groups that a gene's sequences are dealt to."""
+    sites = indexed_sites(bits, column)
+    salted = alignment.withColumn("_salt", F.pmod(F.xxhash64("seq_id"), F.lit(salts)))
+    met = salted.join(sites.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["gene", "_salt"])
+    seq = F.col("seq") if data_type is None else normalize_sequence(F.col("seq"), data_type)
+    place = "instr(get(sites, pos).alleles, ch)"
+    cells = met.select("gene", "seq_id", "sites", F.posexplode(F.split(seq, "")).alias("pos", "ch")).where(f"ch <> '' AND {place} > 0")
+    return cells.select("gene", "seq_id", "pos", F.expr(f"get(get(sites, pos).values, {place} - 1)").alias(column))
 
 
 def allele_counts(cells: DataFrame) -> DataFrame:
@@ -81,17 +109,16 @@ def number_features(bits: DataFrame, gene_order: Column | None = None) -> DataFr
     return numbered.select((F.col("_before") + F.col("_within")).alias("feature_id"), "gene", "pos", "allele", feature_name(F.col("gene"), F.col("pos"), F.col("allele")).alias("name"), "support")
 
 
-def one_hot(cells: DataFrame, features: DataFrame) -> DataFrame:
+def one_hot(alignment: DataFrame, features: DataFrame, data_type: str | None = None, salts: int = 1) -> DataFrame:
     """feature_id, seq_id, value 1.0 for every carrier of a kept bit."""
-    keys = features.select("feature_id", "gene", "pos", F.col("allele").alias("ch"))
-    return cells.where(F.col("ch") != GAP).join(keys, ["gene", "pos", "ch"]).select("feature_id", "seq_id", F.lit(1.0).alias("value"))
+    return hits(alignment, features, "feature_id", data_type, salts).select("feature_id", "seq_id", F.lit(1.0).alias("value"))
 
 
-def fuzz_gaps(cells: DataFrame, features: DataFrame) -> DataFrame:
+def fuzz_gaps(alignment: DataFrame, features: DataFrame, data_type: str | None = None, salts: int = 1) -> DataFrame:
     """one_hot with 0.5 in every bit of a site for the samples that have a gap there."""
-    sites = features.select("feature_id", "gene", "pos")
-    gaps = cells.where(F.col("ch") == GAP).join(sites, ["gene", "pos"]).select("feature_id", "seq_id", F.lit(0.5).alias("value"))
-    return one_hot(cells, features).unionByName(gaps)
+    at_gap = features.groupBy("gene", "pos").agg(F.collect_list("feature_id").alias("feature_ids")).withColumn("allele", F.lit(GAP))
+    gaps = hits(alignment, at_gap, "feature_ids", data_type, salts).select(F.explode("feature_ids").alias("feature_id"), "seq_id", F.lit(0.5).alias("value"))
+    return one_hot(alignment, features, data_type, salts).unionByName(gaps)
 
 
 def normalize_columns(x: DataFrame, threshold: float = 1.0) -> DataFrame:
@@ -110,12 +137,30 @@ def variable_columns(cells: DataFrame) -> DataFrame:
     return cells.groupBy("gene", "pos").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi")
 
 
-def missing_sequences(samples: DataFrame, alignment: DataFrame) -> DataFrame:
-    """gene, seq_id of samples that a gene's alignment lacks. Every gene needs the samples: one row for each gene and
-    sample is what the log is made of."""
-    genes = alignment.select("gene").distinct()
-    every = genes.withColumn("_k", F.lit(1)).join(samples.select("seq_id").withColumn("_k", F.lit(1)), "_k").select("gene", "seq_id")
-    return every.join(alignment.select("gene", "seq_id").distinct(), ["gene", "seq_id"], "left_anti")
+def missing_counts(samples: DataFrame, alignment: DataFrame) -> DataFrame:
+    """gene, missing: how many of the samples a gene's alignment lacks, for genes that lack some."""
+    own = samples.select("seq_id").distinct()
+    present = alignment.select("gene", "seq_id").distinct().join(own, "seq_id", "left_semi")
+    total = own.agg(F.count(F.lit(1)).alias("_all"))
+    some = present.groupBy("gene").agg(F.count(F.lit(1)).alias("_n"))
+    every = alignment.select("gene").distinct().join(some, "gene", "left")
+    return every.join(F.broadcast(total)).select("gene", (F.col("_all") - F.coalesce("_n", F.lit(0))).alias("missing")).where("missing > 0")
+
+
+def missing_sequences(samples: DataFrame, alignment: DataFrame, together: int = 1024) -> DataFrame:
+    """gene, seq_id of samples that a gene's alignment lacks. Samples are dealt to buckets of about `together`; a gene and a bucket meet as
+    counts first, and ids are only compared where they differ."""
+    own = samples.select("seq_id").distinct()
+    buckets = max(1, -(-own.count() // together))
+    bucket = F.pmod(F.xxhash64("seq_id"), F.lit(buckets)).alias("_bucket")
+    people = own.select("seq_id", bucket).groupBy("_bucket").agg(F.collect_list("seq_id").alias("_ids"))
+    present = alignment.select("gene", "seq_id").distinct().join(own, "seq_id", "left_semi").select("gene", "seq_id", bucket)
+    have = present.groupBy("gene", "_bucket").agg(F.collect_list("seq_id").alias("_have"))
+    pairs = alignment.select("gene").distinct().select("gene", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("_bucket"))
+    sizes = people.select("_bucket", F.size("_ids").alias("_n"))
+    short = pairs.join(sizes, "_bucket").join(have, ["gene", "_bucket"], "left").where(F.coalesce(F.size("_have"), F.lit(0)) < F.col("_n"))
+    none = F.array().cast(people.schema["_ids"].dataType)
+    return short.join(people, "_bucket").select("gene", F.explode(F.array_except("_ids", F.coalesce("_have", none))).alias("seq_id"))
 
 
 def feature_stats(samples: DataFrame, features: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from decimal import Decimal
 
+from .score import STATISTICS
+
 
 def penalty_range(low: str, high: str, step: str, inclusive: bool = True) -> list[str]:
     """low, low + step, ... up to high, as exact decimals in text."""
@@ -23,22 +25,43 @@ def penalty_grid(first: list[str], second: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for a in first for b in second]
 
 
-def kept_pairs(rows: list[tuple[int, float, float, int]], min_groups: int) -> list[tuple[int, bool]]:
-    """grid_ord and below_min_groups of the pairs that a sequential search would fit. rows: grid_ord, l1, l2, nz_groups.
+@dataclass
+class Skip:
+    """The rule of a sequential search over a grid, taken in grid order.
 
-    Pairs come in grid order. A pair with at most min_groups groups sets the limit for later second penalties; above it
-    pairs are left out; if its second penalty is the smallest so far, the search ends."""
-    least = limit = 1.0
-    out = []
+    A pair with at most min_groups groups sets the limit for later second penalties; above it pairs are left out; if its
+    second penalty is the smallest so far, the search ends."""
+
+    min_groups: int
+    least: float = 1.0
+    limit: float = 1.0
+    ended: bool = False
+
+    def may(self, l2: float) -> bool:
+        return not self.ended and l2 <= self.limit
+
+    def takes(self, l2: float, groups: int) -> tuple[bool, bool]:
+        """Whether the search fits the pair, and whether it then has at most min_groups groups."""
+        if self.ended:
+            return False, False
+        self.least = min(self.least, l2)
+        if l2 > self.limit:
+            return False, False
+        below = groups <= self.min_groups
+        if below and l2 == self.least:
+            self.ended = True
+        elif below:
+            self.limit = l2
+        return True, below
+
+
+def kept_pairs(rows: list[tuple[int, float, float, int]], min_groups: int) -> list[tuple[int, bool]]:
+    """grid_ord and below_min_groups of the pairs that a sequential search would fit. rows: grid_ord, l1, l2, nz_groups."""
+    rule, out = Skip(min_groups), []
     for ord_, _, l2, groups in sorted(rows):
-        least = min(least, l2)
-        if l2 > limit:
-            continue
-        out.append((ord_, groups <= min_groups))
-        if groups <= min_groups:
-            if l2 == least:
-                break
-            limit = l2
+        fits, below = rule.takes(l2, groups)
+        if fits:
+            out.append((ord_, below))
     return out
 
 
@@ -71,6 +94,12 @@ class Settings:
     inclusive: bool = True
     solver_options: dict[str, str] = field(default_factory=dict)
 
+    def __post_init__(self):
+        if set(self.stats) - set(STATISTICS):
+            raise ValueError(f"stats are letters of {''.join(STATISTICS)}")
+        if self.subsets is not None and self.subsets < 2:
+            raise ValueError("there are at least two subsets")
+
     def grid(self) -> list[tuple[str, str]]:
         if (self.l1_grid is None) != (self.l2_grid is None):
             raise ValueError("give both penalty grids or none")

@@ -37,3 +37,9 @@ def group_weights(index: DataFrame, weights: DataFrame, group_names: DataFrame |
 def overlaps(groups: DataFrame) -> bool:
     """Whether a gene is in more than one group."""
     return not groups.groupBy("gene").agg(F.count_distinct("group_ord").alias("n")).where("n > 1").isEmpty()
+
+
+def whole_groups(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """group_ord, gene_ord, gene of the groups in which any gene is chosen, with all their genes. chosen: gene."""
+    own = lines.join(chosen.select("gene").distinct(), "gene", "left_semi").select("group_ord").distinct()
+    return lines.join(own, "group_ord", "left_semi").select("group_ord", "gene_ord", "gene")

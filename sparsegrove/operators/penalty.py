@@ -62,6 +62,20 @@ def second_order_cone(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", norm).select("id", F.when(inside, F.col("v")).when(below, F.lit(0.0)).otherwise(mid).alias("t"), F.when(inside, F.lit(1.0)).when(below, F.lit(0.0)).otherwise(mid / F.col("_n")).alias("scale"))
 
 
+def l1_ball(vector, radius: float):
+    """The nearest array with an absolute sum of at most radius. With the sizes in falling order the threshold is the largest of
+    (sum of the first k - radius) / k, and 0 if that is negative."""
+    falling = F.sort_array(F.transform(vector, F.abs), asc=False)
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("k"), F.lit(0.0).alias("level"))
+
+    def add(a, x):
+        total, k = a["sum"] + x, a["k"] + 1.0
+        return F.struct(total.alias("sum"), k.alias("k"), F.greatest(a["level"], (total - radius) / k).alias("level"))
+
+    level = F.aggregate(falling, start, add)["level"]
+    return F.transform(vector, lambda x: F.signum(x) * F.greatest(F.abs(x) - level, F.lit(0.0)))
+
+
 def p_norm(vector, p: float):
     """The p-norm of an array column; p from 1e6 on is the largest absolute value."""
     if p >= 1e6:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import sigmoid
+from .encode import hits
 
 
 def position_scores(model: DataFrame) -> DataFrame:
@@ -23,11 +24,11 @@ def hypothesis_score(genes: DataFrame) -> DataFrame:
     return genes.agg(F.sum("gss").alias("hss"))
 
 
-def contributions(cells: DataFrame, model: DataFrame) -> DataFrame:
+def contributions(alignment: DataFrame, model: DataFrame, data_type: str | None = None, salts: int = 1) -> DataFrame:
     """seq_id, gene, contribution: summed beta of the alleles that a sequence carries; genes of the model without a match are
-    not listed. cells: gene, pos, seq_id, ch."""
-    weights = model.where("beta <> 0").select("gene", "pos", F.col("allele").alias("ch"), "beta")
-    return cells.join(weights, ["gene", "pos", "ch"]).groupBy("seq_id", "gene").agg(F.sum("beta").alias("contribution"))
+    not listed. alignment: gene, seq_id, seq, normalised if no data_type is given."""
+    carried = hits(alignment, model.where("beta <> 0").select("gene", "pos", "allele", "beta"), "beta", data_type, salts)
+    return carried.groupBy("seq_id", "gene").agg(F.sum("beta").alias("contribution"))
 
 
 def check_genes(model: DataFrame, alignment_genes: DataFrame) -> None:
@@ -94,6 +95,21 @@ def median_summary(scores: DataFrame, key: str, value: str) -> DataFrame:
     return scores.groupBy(key).agg(F.count(F.lit(1)).alias("n_models"), F.avg(value).alias("mean"), F.median(value).alias("median"))
 
 
+#: The letters of the statistics that a run can be asked for, their tables and what a summary's rows are keyed by.
+STATISTICS = {"P": ("pss", ("gene", "pos")), "G": ("gss", ("gene",)), "H": ("hss", ()), "S": ("sps", ("seq_id",)), "C": ("gsc", ("seq_id", "gene"))}
+VALUES = {"gsc": "contribution"}
+
+
+def summaries(tables: dict[str, DataFrame], letters: str = "PGHSC") -> dict[str, DataFrame]:
+    """For each letter the table's n_models, mean and median over the models, as <name>_summary."""
+    out = {}
+    for letter in letters:
+        name, keys = STATISTICS[letter]
+        value = VALUES.get(name, name)
+        out[f"{name}_summary"] = tables[name].groupBy(*keys).agg(F.count(F.lit(1)).alias("n_models"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    return out
+
+
 def passing_models(evaluations: DataFrame, rmse_cutoff: float = 100.0, accuracy_cutoff: float = 0.0) -> DataFrame:
     """Models whose rmse is at most and whose accuracy is at least the cutoff."""
     return evaluations.where((F.col("rmse") <= rmse_cutoff) & (F.col("accuracy") >= accuracy_cutoff))

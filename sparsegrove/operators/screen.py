@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import shared_hash
+from ..session import stored
 from .fit import fit_grid
+from .groups import whole_groups
 from .score import top_share
 from .solver import Options
 
@@ -40,3 +42,13 @@ def screen_groups(spark: SparkSession, x: DataFrame, samples: DataFrame, feature
         got = found.where("feature_id IS NOT NULL").join(own, "feature_id").groupBy("gene").agg(F.sum(F.abs("beta")).alias("gss"))
         scores = got if scores is None else scores.unionByName(got)
     return scores.groupBy("gene").agg(F.sum("gss").alias("gss"))
+
+
+def screened(spark: SparkSession, x: DataFrame, samples: DataFrame, features: DataFrame, members: DataFrame, sizes: DataFrame, parts: int, grid: list[tuple[float, float]], options: Options = Options(), lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """feature_id, gene of the genes that the screening keeps, and the genes' scores: the best genes whose bytes are at most one part of
+    all, with all genes of a group (lines: group_ord, gene_ord, gene) if one of it is kept. sizes: gene, bytes."""
+    scores = stored(screen_groups(spark, x, samples, features, members, parts, grid, options), "screening")
+    chosen = selected_genes(scores, sizes, parts)
+    if lines is not None:
+        chosen = whole_groups(lines, chosen).select("gene").distinct()
+    return features.select("feature_id", "gene").join(chosen, "gene", "left_semi"), scores

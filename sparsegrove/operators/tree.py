@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def ancestors(nodes: DataFrame, most_depth: int = 10_000) -> DataFrame:
     """node_id, ancestor_id for every node and each node above it, itself included, by pointer doubling: the joins are as many
-    as the depth has binary digits. A cycle is an error."""
+    as the depth has binary digits, and each step's jumps are a table of their own. A cycle is an error: a path longer than
+    most_depth."""
     jump = nodes.select("node_id", F.col("parent_id").alias("up")).where("up IS NOT NULL")
     closure = nodes.select("node_id", F.col("node_id").alias("ancestor_id"))
     depth = 1
@@ -17,7 +20,7 @@ def ancestors(nodes: DataFrame, most_depth: int = 10_000) -> DataFrame:
             raise ValueError("the tree has a cycle")
         further = closure.join(jump.select(F.col("node_id").alias("ancestor_id"), "up"), "ancestor_id").select("node_id", F.col("up").alias("ancestor_id"))
         closure = closure.union(further)
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a.up") == F.col("b.node_id")).select(F.col("a.node_id"), F.col("b.up"))
+        jump = stored(jump.alias("a").join(jump.alias("b"), F.col("a.up") == F.col("b.node_id")).select(F.col("a.node_id"), F.col("b.up")), "jumps")
         depth *= 2
     return closure
 
@@ -61,7 +64,8 @@ def near_outgroup(nodes: DataFrame, clade: str, level: int = 3) -> DataFrame:
     own = nodes.where(F.col("name") == clade).where("NOT is_leaf").select("node_id")
     around = up.join(own, "node_id").where("ancestor_id <> node_id").select("ancestor_id").join(sizes, "ancestor_id")
     size = sizes.join(own.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id").select(F.col("_n").alias("_own"))
-    ranked = around.join(F.broadcast(size)).orderBy("_n").limit(level if level < 3 else 1_000_000)
+    ranked = around.join(F.broadcast(size))
+    ranked = ranked.orderBy("_n").limit(level) if level < 3 else ranked
     enough = ranked.agg(F.coalesce(F.min_by("ancestor_id", F.when(F.col("_n") >= 2 * F.col("_own"), F.col("_n"))), F.max_by("ancestor_id", "_n")).alias("ancestor_id"))
     inside = below.join(own.withColumnRenamed("node_id", "ancestor_id"), "ancestor_id").select("seq_id", F.lit(1.0).alias("trait"))
     outside = below.join(F.broadcast(enough), "ancestor_id").select("seq_id").join(inside.select("seq_id"), "seq_id", "left_anti").select("seq_id", F.lit(-1.0).alias("trait"))

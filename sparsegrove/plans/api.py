@@ -7,29 +7,34 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import balance, encode, fit, grid, groups, score, tree, view
+from ..operators import balance, encode, fit, groups, score, screen, tree, view
 from ..operators.grid import Settings
 from ..operators.solver import Options
+from ..session import stored
 
 
 @dataclass
 class Training:
-    """One hypothesis. Every step returns the run itself or a DataFrame."""
+    """One hypothesis. Every step returns the run itself or a DataFrame. seconds: the wall-clock time of the phases so far."""
 
     spark: SparkSession
     settings: Settings = field(default_factory=Settings)
     people: DataFrame | None = None
     sequences: DataFrame | None = None
     lines: DataFrame | None = None
+    seconds: dict[str, float] = field(default_factory=dict)
 
     def samples(self, traits: DataFrame) -> Training:
         """seq_id, trait; zeros are left out. Balances the classes as the settings say."""
+        if self.people is not None:
+            raise ValueError("the hypothesis is given already: by classes or by a clade of a tree, not both")
         kind = balance.KINDS.get(self.settings.class_balance)
         if kind is None:
             raise ValueError(f"class_balance is one of {sorted(balance.KINDS)}")
@@ -46,6 +51,10 @@ class Training:
 
     def clade(self, nodes: DataFrame, name: str) -> Training:
         """The clade of a tree as hypothesis, with all other leaves or, for phylo balancing, near ones."""
+        if self.people is not None:
+            raise ValueError("the hypothesis is given already: by classes or by a clade of a tree, not both")
+        if self.settings.kfold > 1:
+            raise ValueError("folds need classes, not a clade")
         kind = balance.KINDS.get(self.settings.class_balance, "none")
         if kind.startswith("phylo"):
             self.people = tree.near_outgroup(nodes, name, {"phylo_1": 1, "phylo_2": 2}.get(kind, 3)).withColumn("base_seq_id", F.col("seq_id"))
@@ -69,7 +78,7 @@ class Training:
         cells = encode.explode_cells(self.sequences, s.data_type)
         options = encode.EncodeOptions(s.data_type, s.bit_count, s.drop_singletons)
         found = encode.number_features(encode.kept_bits(encode.allele_counts(cells), options))
-        x = encode.one_hot(cells, found)
+        x = encode.one_hot(self.sequences, found, s.data_type)
         if self.lines is None:
             lines = found.select("gene").distinct().select(F.xxhash64("gene").alias("group_ord"), F.lit(0).alias("gene_ord"), "gene")
         else:
@@ -79,9 +88,13 @@ class Training:
         return x, found, members.join(weights, "group_ord").select("feature_id", "group_ord", "weight")
 
     def fit(self) -> DataFrame:
-        """The models of the grid that the skip rule keeps, with their gene, pos, allele and the flag below_min_groups."""
+        """The models of the grid that the skip rule keeps, with their gene, pos, allele and the flag below_min_groups, as a table. With
+        subsets the genes are screened first, and the grid is fitted on those that are kept."""
         s = self.settings
-        x, found, members = self.encoded()
+        began = time.perf_counter()
+        x, found, members = (stored(t, "encoded") for t in self.encoded())
+        self.seconds["preprocessing"] = time.perf_counter() - began
+        began = time.perf_counter()
         pairs = [(float(a), float(b)) for a, b in s.grid()]
         if members.select("group_ord").distinct().count() == 1:  # one group: no group penalty
             pairs = [(a, 0.0) for a in dict.fromkeys(a for a, _ in pairs)]
@@ -95,34 +108,49 @@ class Training:
             picked = fit.cv_folds(self.people.select(F.xxhash64("seq_id").alias("seq_id"), "trait", F.col("seq_id").alias("_name")).select("seq_id", "trait"), s.kfold).toPandas()
             names = self.people.select(F.xxhash64("seq_id").alias("_h"), "seq_id").toPandas().set_index("_h")["seq_id"]
             folds = pd.Series(picked["fold"].to_numpy(), index=names.loc[picked["seq_id"]].to_numpy())
-        models = fit.fit_grid(self.spark, x, self.people.select("seq_id", "trait"), members, pairs, s.method, options, folds)
-        sizes = models.where("fold = 0").select("grid_ord", "l1", "l2", "nz_groups").distinct().collect()
-        kept = grid.kept_pairs([(r["grid_ord"], r["l1"], r["l2"], r["nz_groups"]) for r in sizes], s.min_groups) if folds is None else [(i, False) for i in range(len(pairs))]
+        people = self.people.select("seq_id", "trait")
+        if s.subsets is not None:
+            sizes = self.sequences.groupBy("gene").agg(F.sum(F.octet_length("seq")).alias("bytes"))
+            kept_bits, _ = screen.screened(self.spark, x, people, found.withColumn("gene_ord", F.xxhash64("gene")), members, sizes, s.subsets, pairs, options, self.lines)
+            kept_bits = stored(kept_bits.select("feature_id"), "screened")
+            x, members = x.join(kept_bits, "feature_id", "left_semi"), members.join(kept_bits, "feature_id", "left_semi")
+        if folds is None and s.min_groups >= 0:
+            models, kept = fit.fit_sequential(self.spark, x, people, members, pairs, s.min_groups, s.method, options)
+        else:
+            models, kept = fit.fit_grid(self.spark, x, people, members, pairs, s.method, options, folds), [(i, False) for i in range(len(pairs))]
         table = self.spark.createDataFrame(kept, "grid_ord int, below_min_groups boolean")
-        return models.join(F.broadcast(table), "grid_ord").join(found.select("feature_id", "gene", "pos", "allele"), "feature_id", "left")
+        out = stored(models.join(F.broadcast(table), "grid_ord").join(found.select("feature_id", "gene", "pos", "allele"), "feature_id", "left"), "models")
+        self.seconds["fit"] = time.perf_counter() - began
+        return out
 
     def scores(self, models: DataFrame) -> dict[str, DataFrame]:
-        """Long tables over all models: pss, gss, hss, sps, gsc, evaluation, and the medians of gss."""
+        """Long tables over all models: pss, gss, hss, sps, gsc and evaluation, and the summaries of those models that pass the quality
+        cutoffs. Settings.stats picks tables by letter (all by default); with summary_only there are summaries and evaluation only."""
         model = ["fold", "grid_ord"]
         bits = models.where("feature_id IS NOT NULL")
         pss = bits.groupBy(*model, "gene", "pos").agg(F.sum(F.abs("beta")).alias("pss"))
         gss = bits.groupBy(*model, "gene").agg(F.sum(F.abs("beta")).alias("gss"))
-        cells = encode.explode_cells(self.sequences, self.settings.data_type)
-        gsc = cells.join(bits.select(*model, "gene", "pos", F.col("allele").alias("ch"), "beta"), ["gene", "pos", "ch"]).groupBy(*model, "seq_id", "gene").agg(F.sum("beta").alias("contribution"))
+        weights = bits.groupBy("gene", "pos", "allele").agg(F.collect_list(F.struct(*model, "beta")).alias("weights"))
+        carried = encode.hits(self.sequences, weights, "weights", self.settings.data_type).select("seq_id", "gene", F.inline("weights"))
+        gsc = carried.groupBy(*model, "seq_id", "gene").agg(F.sum("beta").alias("contribution"))
         shifts = F.broadcast(models.select(*model, "intercept").distinct().withColumn("_k", F.lit(1)))
         every = self.people.select("seq_id", F.col("trait").alias("response"), F.lit(1).alias("_k")).join(shifts, "_k").drop("_k")
         totals = gsc.groupBy(*model, "seq_id").agg(F.sum("contribution").alias("_sum"))
         sps = every.join(totals, [*model, "seq_id"], "left").select(*model, "seq_id", "response", (F.coalesce("_sum", F.lit(0.0)) + F.col("intercept")).alias("sps"))
         quality = sps.groupBy(*model).agg(F.avg((F.signum("sps") == F.signum("response")).cast("double")).alias("accuracy"), F.sqrt(F.avg(F.pow(F.col("response") - F.col("sps"), F.lit(2.0)))).alias("rmse"))
         passed = score.passing_models(quality, self.settings.rmse_cutoff, self.settings.accuracy_cutoff)
-        return {"pss": pss, "gss": gss, "hss": gss.groupBy(*model).agg(F.sum("gss").alias("hss")), "gsc": gsc, "sps": sps, "evaluation": passed, "gss_summary": score.median_summary(gss.join(passed.select(*model), model), "gene", "gss")}
+        tables = {"pss": pss, "gss": gss, "hss": gss.groupBy(*model).agg(F.sum("gss").alias("hss")), "gsc": gsc, "sps": sps}
+        letters = self.settings.stats or "".join(score.STATISTICS)
+        short = score.summaries({k: t.join(passed.select(*model), model) for k, t in tables.items()}, letters)
+        asked = {} if self.settings.summary_only else {score.STATISTICS[k][0]: tables[score.STATISTICS[k][0]] for k in letters}
+        return asked | {"evaluation": passed} | short
 
 
-def predict(sequences: DataFrame, model: DataFrame, intercept: float, groups_of: DataFrame | None = None, response: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def predict(sequences: DataFrame, model: DataFrame, intercept: float, groups_of: DataFrame | None = None, response: DataFrame | None = None, data_type: str = "universal") -> tuple[DataFrame, DataFrame]:
     """Scores of new sequences (seq_id, response, sps) and their contributions (seq_id, group, contribution). With a response table
-    only its sequences with a response stay. Genes of the model that the input lacks are an error."""
+    only its sequences with a response stay. Genes of the model that the input lacks are an error. data_type is that of the training."""
     score.check_genes(model, sequences)
-    by_gene = score.contributions(encode.explode_cells(sequences), model)
+    by_gene = score.contributions(sequences, model, data_type)
     names = model.select("gene").distinct().select("gene", F.col("gene").alias("group")) if groups_of is None else groups_of
     by_group = score.group_contributions(by_gene, names)
     people = sequences.select("seq_id").distinct()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import lambda_label, soft_threshold
 from ..operators import balance, encode, fit, grid, groups, penalty, prox, score, screen, tree, view
 from ..operators.solver import Options
+from ..session import shared_folder, stored
+from ..sources import text
 from . import views
 
 QUERIES: dict = {}
@@ -84,15 +88,21 @@ def feature_normalize(spark, d):
 
 @query(f"WITH {views.SQL_FEATURES}, gaps AS (SELECT gene, pos, count(*) AS g FROM cells WHERE ch = '-' GROUP BY ALL) SELECT feature_id, support + coalesce(g, 0) AS cells, support + 0.5 * coalesce(g, 0)::DOUBLE AS total FROM features LEFT JOIN gaps USING (gene, pos)")
 def indel_fuzz(spark, d):
-    made = views.cells(spark, d)
-    fuzzy = encode.fuzz_gaps(made, views.features(spark, d, made=made))
+    fuzzy = encode.fuzz_gaps(views.pieces(spark, d), stored(views.features(spark, d), "features"), salts=views.salts(spark, d))
     return fuzzy.groupBy("feature_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
 
 
 @query(f"WITH {views.SQL_CELLS}, present AS (SELECT DISTINCT gene, seq_id FROM cells), genes AS (SELECT DISTINCT gene FROM present), n AS (SELECT count(*) AS m FROM samples) SELECT gene, m - count(*) AS missing FROM present, n GROUP BY gene, m HAVING m > count(*)")
 def missing_sequences(spark, d):
-    found = encode.missing_sequences(views.samples(spark, d), views.cells(spark, d).select("gene", "seq_id").distinct())
-    return found.groupBy("gene").agg(F.count(F.lit(1)).alias("missing"))
+    return encode.missing_counts(views.samples(spark, d), views.pieces(spark, d))
+
+
+@query(f"WITH {views.SQL_CELLS}, present AS (SELECT DISTINCT gene, seq_id FROM cells), genes AS (SELECT gene FROM present GROUP BY gene HAVING count(*) * 2 > (SELECT count(*) FROM samples)) SELECT g.gene, s.seq_id FROM genes g, samples s ANTI JOIN present p ON p.gene = g.gene AND p.seq_id = s.seq_id")
+def missing_log(spark, d):
+    """Genes that most samples have, and the samples that they lack."""
+    people, aligned = views.samples(spark, d), views.pieces(spark, d)
+    common = aligned.select("gene", "seq_id").distinct().groupBy("gene").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(people.agg(F.count(F.lit(1)).alias("m")))).where("2 * n > m")
+    return encode.missing_sequences(people, aligned.join(common.select("gene"), "gene", "left_semi"))
 
 
 @query(f"WITH {views.SQL_FEATURES} SELECT (SELECT count(*) FROM samples) AS samples, (SELECT count(*) FROM features) AS features")
@@ -263,26 +273,26 @@ def init_factor(spark, d):
     return penalty.warm_start_scale(people.select(F.col("response").alias("y"), (F.col("sps") - 0.125).alias("ax")), F.lit(0.5)).select(r9("scale").alias("scale"))
 
 
-def projected(spark, d, kind):
-    import pandas as pd
-
-    def run(batches):
-        for b in batches:
-            step = prox.l1_ball if kind == "ball" else lambda v, c: prox.p_prox(v, c, 1.5)
-            out = [step(u, 0.5) for u in b["u"].map(lambda u: u if len(u) else u)]
-            yield pd.DataFrame({"id": b["id"], "x": out})
-
-    return vectors(spark, d).mapInPandas(run, "id long, x array<double>")
+SQL_BALL = SQL_VEC + ", f AS (SELECT id, u, list_reverse_sort(list_transform(u, lambda e: abs(e))) AS a FROM v), k AS (SELECT id, u, greatest(0, list_max(list_transform(range(1, len(a) + 1), lambda k: (list_sum(a[1:k]) - 0.5) / k))) AS level FROM f)"
 
 
-@query()
+@query(f"WITH {SQL_BALL} SELECT id, list_transform(u, lambda e: round(sign(e) * greatest(abs(e) - level, 0), 6) + 0.0) AS x FROM k")
 def l1_ball_projection(spark, d):
-    return projected(spark, d, "ball").select("id", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
+    return vectors(spark, d).select("id", F.transform(penalty.l1_ball(F.col("u"), 0.5), lambda e: F.round(e, 6) + 0.0).alias("x"))
 
 
 @query()
 def lp_projection(spark, d):
-    return projected(spark, d, "lp").select("id", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            for _, own in b.groupby(b["u"].map(len)):  # vectors of one length at once
+                rows = np.array(own["u"].tolist(), float).reshape(len(own), -1)
+                yield pd.DataFrame({"id": own["id"], "x": list(prox.p_prox_rows(rows, 0.5, 1.5)) if rows.size else own["u"]})
+
+    return vectors(spark, d).mapInPandas(run, "id long, x array<double>").select("id", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
 
 
 # --- grids ----------------------------------------------------------------------------------------------------------
@@ -397,11 +407,37 @@ def cv_fit(spark, d):
 
 
 @query()
-def screen_genes(spark, d):
+def sgl_grid_early_stop(spark, d):
+    """The 9 x 9 grid as a sequential search: from a pair with at most three groups on, larger second penalties are left out."""
     x, found = views.design(spark, d)
-    named = found.withColumn("gene_ord", views.gene_number())
-    scores = screen.screen_groups(spark, x, views.samples(spark, d), named, numbered_members(spark, found), 3, [(0.2, 0.2)])
-    return scores.select("gene", F.round("gss", 6).alias("gss"))
+    pairs = [(a / 10, b / 10) for a in range(1, 10) for b in range(1, 10)]
+    models, kept = fit.fit_sequential(spark, x, views.samples(spark, d), numbered_members(spark, found), pairs, 3)
+    flags = F.broadcast(spark.createDataFrame(kept, "grid_ord int, below_min_groups boolean"))
+    return models.groupBy("grid_ord", "l1", "l2", "nz_groups").agg(F.count("feature_id").alias("n_bits"), F.round(F.sum(F.abs("beta")), 6).alias("hss")).join(flags, "grid_ord")
+
+
+def screening(spark, d):
+    """The design of all genes, and the features that the screening by three parts keeps. Genes come in files of four, which stay whole."""
+    x, found = (stored(t, "design") for t in views.design(spark, d))
+    members = stored(numbered_members(spark, found), "members")
+    sizes = views.pieces(spark, d).groupBy("gene").agg(F.sum(F.octet_length("seq")).alias("bytes"))
+    kept, scores = screen.screened(spark, x, views.samples(spark, d), found.withColumn("gene_ord", views.gene_number()), members, sizes, 3, [(0.2, 0.2), (0.2, 0.5), (0.5, 0.2)], lines=views.gene_lines(found))
+    return x, found, members, stored(kept, "screened"), scores
+
+
+@query()
+def screen_genes(spark, d):
+    _, _, _, kept, scores = screening(spark, d)
+    chosen = kept.select("gene").distinct().withColumn("chosen", F.lit(True))
+    return scores.join(chosen, "gene", "full").select("gene", F.round(F.coalesce("gss", F.lit(0.0)), 6).alias("gss"), F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@query()
+def screen_refit(spark, d):
+    """The final model, on the genes that the screening keeps."""
+    x, found, members, kept, _ = screening(spark, d)
+    own = kept.select("feature_id")
+    return gene_table(found, fit.fit_grid(spark, x.join(own, "feature_id", "left_semi"), views.samples(spark, d), members.join(own, "feature_id", "left_semi"), [(0.1, 0.1)]))
 
 
 # --- scores ---------------------------------------------------------------------------------------------------------
@@ -423,8 +459,7 @@ def hss(spark, d):
 
 
 def contributions(spark, d):
-    made = views.cells(spark, d)
-    return score.contributions(made, views.model(views.features(spark, d, made=made)))
+    return score.contributions(views.pieces(spark, d), views.model(views.features(spark, d)), salts=views.salts(spark, d))
 
 
 @query(f"WITH {views.SQL_CONTRIB} SELECT seq_id, gene, contribution FROM contrib")
@@ -475,6 +510,31 @@ def gss_cumulative_select(spark, d):
     return score.top_share(gss(spark, d), 0.9)
 
 
+@query(f"WITH {views.SQL_MODEL}, g AS (SELECT gene, sum(abs(beta)) AS gss FROM model GROUP BY gene), c AS (SELECT gene, gss, sum(gss) OVER (ORDER BY gss DESC, gene) AS run, sum(gss) OVER () AS total FROM g WHERE gss > 0), ch AS (SELECT CAST(substr(gene, 2) AS INTEGER) AS n FROM c WHERE run - gss < 0.05 * total), ln AS (SELECT DISTINCT gene, CAST(substr(gene, 2) AS INTEGER) AS n FROM features) SELECT n // 4 AS group_ord, n % 4 AS gene_ord, gene FROM ln WHERE n // 4 IN (SELECT n // 4 FROM ch)")
+def whole_file_groups(spark, d):
+    found = stored(views.features(spark, d), "features")
+    chosen = score.top_share(score.gene_scores(views.model(found)), 0.05)
+    return groups.whole_groups(views.gene_lines(found), chosen)
+
+
+@query(f"WITH {views.SQL_APPLY} SELECT doc_id AS seq_id, CASE WHEN quality = 1 THEN 1.0::DOUBLE WHEN quality IS NOT NULL THEN -1.0::DOUBLE END AS response, coalesce(total, 0) + 0.125 AS sps FROM (SELECT doc_id FROM documents WHERE text <> '') LEFT JOIN labels USING (doc_id) LEFT JOIN applied ON seq_id = doc_id")
+def apply_model(spark, d):
+    """All documents, labelled or not, scored by the model."""
+    from . import api
+
+    found = stored(views.features(spark, d), "features")
+    sps, _ = api.predict(views.alignment(spark, d), views.model(found), 0.125, data_type="protein")
+    return sps.drop("response").join(views.samples(spark, d).select("seq_id", F.col("trait").alias("response")), "seq_id", "left").select("seq_id", "response", "sps")
+
+
+@query(f"WITH {views.SQL_CONTRIB}, m AS (SELECT seq_id, gene, contribution, 1 AS k FROM contrib UNION ALL SELECT seq_id, gene, contribution * 2, 2 FROM contrib), h AS (SELECT seq_id, k, sum(contribution) AS sps FROM m GROUP BY ALL) SELECT seq_id, count(*) AS n_models, avg(sps) AS mean, median(sps) AS median FROM h GROUP BY seq_id")
+def sps_summary(spark, d):
+    """The scores of two models, the second with doubled weights, over the models."""
+    one = contributions(spark, d)
+    every = one.withColumn("k", F.lit(1)).unionByName(one.withColumn("contribution", F.col("contribution") * 2).withColumn("k", F.lit(2)))
+    return score.summaries({"sps": every.groupBy("seq_id", "k").agg(F.sum("contribution").alias("sps"))}, "S")["sps_summary"]
+
+
 # --- prediction tables ----------------------------------------------------------------------------------------------
 
 
@@ -512,6 +572,13 @@ def mgrid_cells(spark, d):
     return view.grid_cells(long, rows, fields).withColumn("label", F.round("label", 7))
 
 
+@query(f"WITH {views.SQL_PRED}, c AS (SELECT field, sum(contribution * contribution) AS score FROM pred GROUP BY field), f AS (SELECT field, row_number() OVER (ORDER BY score DESC, field) AS col_ord FROM c ORDER BY score DESC, field LIMIT 3), q AS (SELECT *, row_number() OVER (ORDER BY response DESC, coalesce(spp, 0) * response DESC, seq_id) AS row_ord FROM spp), t AS (SELECT * FROM q WHERE row_ord <= 40) SELECT CAST(row_ord AS INTEGER) AS row_ord, CAST(col_ord AS INTEGER) AS col_ord, seq_id, field, contribution AS value, false AS missing, round(greatest(coalesce(spp, 0), 0), 7) AS label, max(abs(contribution)) OVER () AS bound FROM t JOIN pred USING (seq_id) JOIN f USING (field)")
+def contribution_grid(spark, d):
+    long, people = people_of(spark, d)
+    cells = view.grid_cells(long, view.ordered_rows(people, 40), view.top_fields(view.column_scores(long), 3))
+    return cells.withColumn("label", F.round("label", 7))
+
+
 # --- trees ----------------------------------------------------------------------------------------------------------
 
 
@@ -538,8 +605,90 @@ def clade_hypothesis(spark, d):
     return tree.clade_hypothesis(members, views.table(spark, d, "customer").select(F.col("c_name").alias("leaf")), largest)
 
 
-@query("WITH s AS (SELECT n_name, n_regionkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), c AS (SELECT * FROM s ORDER BY n, n_name LIMIT 1), r AS (SELECT sum(s.n) AS n FROM s JOIN c USING (n_regionkey)) SELECT c_name AS seq_id, CASE WHEN n_name = (SELECT n_name FROM c) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = (SELECT n_regionkey FROM c) OR (SELECT n FROM r) < 2 * (SELECT n FROM c)")
-def phylo_sample(spark, d):
+SQL_PHYLO = """WITH s AS (SELECT n_name, n_regionkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), c AS (SELECT * FROM s ORDER BY n, n_name LIMIT 1), r AS (SELECT sum(s.n) AS n FROM s JOIN c USING (n_regionkey))
+SELECT c_name AS seq_id, CASE WHEN n_name = (SELECT n_name FROM c) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = (SELECT n_regionkey FROM c)"""
+
+
+def phylo(spark, d, level):
     nations = views.table(spark, d, "nation").select(F.col("n_name").alias("clade"))
     smallest = tree.clade_sizes(tree.clade_members(views.tree(spark, d))).join(nations, "clade").orderBy("n_leaves", "clade").first()["clade"]
-    return tree.near_outgroup(views.tree(spark, d), smallest)
+    return tree.near_outgroup(views.tree(spark, d), smallest, level)
+
+
+@query(f"{SQL_PHYLO} OR (SELECT n FROM r) < 2 * (SELECT n FROM c)")
+def phylo_sample(spark, d):
+    return phylo(spark, d, 3)
+
+
+@query(SQL_PHYLO)
+def phylo_sample_1(spark, d):
+    """Only the next clade around the nation, its region."""
+    return phylo(spark, d, 1)
+
+
+@query(f"{SQL_PHYLO} OR (SELECT n FROM r) < 2 * (SELECT n FROM c)")
+def phylo_sample_2(spark, d):
+    """Up to the second clade around the nation, the root."""
+    return phylo(spark, d, 2)
+
+
+# --- files ----------------------------------------------------------------------------------------------------------
+
+
+def file(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id::VARCHAR AS seq_id, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM labels WHERE quality IS NOT NULL")
+def trait_file(spark, d):
+    path = file(spark, "traits")
+    views.samples(spark, d).select(F.concat_ws("\t", F.col("seq_id").cast("string"), F.col("trait").cast("string"))).write.text(path)
+    return text.read_traits(spark, path)
+
+
+@query("SELECT vec_id::VARCHAR AS seq_id, list_transform(embedding, lambda x: x::DOUBLE) AS vals FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0")
+def numeric_file(spark, d):
+    path = file(spark, "numbers")
+    rows = views.table(spark, d, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
+    rows.select(F.concat_ws("\t", F.col("vec_id").cast("string"), F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), "\t"))).write.text(path)
+    return text.read_numeric(spark, path).select("seq_id", "vals")
+
+
+@query(f"WITH {views.SQL_MODEL} SELECT gene, pos, allele, beta FROM model WHERE beta <> 0 UNION ALL SELECT NULL, NULL, 'Intercept', 0.125")
+def model_file(spark, d):
+    path = file(spark, "model")
+    text.write_model(views.model(views.features(spark, d)), 0.125, path)
+    bits, intercept = text.read_model(spark, path)
+    last = spark.createDataFrame([(None, None, "Intercept", intercept)], "gene string, pos int, allele string, beta double")
+    return bits.select("gene", "pos", "allele", "beta").unionByName(last)
+
+
+@query(f"WITH {views.SQL_MODEL} SELECT name AS feature, beta, 0.1::DOUBLE AS lambda1, 0.2::DOUBLE AS lambda2, 0.125::DOUBLE AS intercept FROM model")
+def model_xml_file(spark, d):
+    path = file(spark, "xml")
+    text.write_model_xml(views.model(views.features(spark, d)), 0.1, 0.2, 0.125, path)
+    return spark.read.format("xml").option("rowTag", "weight").schema("feature string, beta double, lambda1 double, lambda2 double, intercept double").load(path)
+
+
+@query(f"WITH {views.SQL_PRED}, fields AS (SELECT DISTINCT field FROM pred) SELECT s.seq_id::VARCHAR AS seq_id, s.response, s.sps AS prediction, 0.5::DOUBLE AS intercept, f.field, coalesce(p.contribution, 0) AS contribution FROM people s CROSS JOIN fields f LEFT JOIN pred p ON p.seq_id = s.seq_id AND p.field = f.field")
+def prediction_file(spark, d):
+    path = file(spark, "predictions")
+    long, people = people_of(spark, d)
+    fields = [r[0] for r in long.select("field").distinct().orderBy("field").collect()]  # the event types: a handful
+    text.write_predictions(people.select("seq_id", "response", "sps"), long.withColumnRenamed("field", "group"), 0.5, fields, path)
+    return text.read_predictions(spark, path)
+
+
+@query(f"WITH {views.SQL_FEATURES} SELECT feature_id::VARCHAR AS feature_id, name FROM features")
+def feature_map_file(spark, d):
+    path = file(spark, "map")
+    text.write_feature_map(views.features(spark, d), path)
+    return spark.read.option("sep", "\t").schema("feature_id string, name string").csv(path)
+
+
+@query(f"WITH {views.SQL_PRED} SELECT seq_id::VARCHAR AS seq_id, response, sps, round(spp, 7) AS spp FROM spp")
+def scores_file(spark, d):
+    path = file(spark, "scores")
+    text.write_scores(people_of(spark, d)[1], path)
+    rows = spark.read.option("sep", "\t").option("nullValue", "nan").schema("seq_id string, response double, sps double, spp double").csv(path)
+    return rows.withColumn("spp", F.round("spp", 7))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import encode, groups
+from ..session import stored
 
 WIDTH, BIT_COUNT = 40, 2
 OPTIONS = encode.EncodeOptions("protein", BIT_COUNT)
@@ -28,25 +29,46 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(samples(spark, d), "seq_id").select("seq_id", "text")
 
 
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    """gene, seq_id, seq: the whole texts of the samples, normalised, in genes of 40 characters."""
+    return encode.pieces(texts(spark, d), WIDTH, data_type="protein")
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    """gene, pos, seq_id, ch: the whole texts of the samples in genes of 40 characters."""
-    return encode.windows(texts(spark, d), WIDTH, data_type="protein")
+    """gene, pos, seq_id, ch of the pieces."""
+    return encode.explode_cells(pieces(spark, d), None)
+
+
+def salts(spark: SparkSession, d: str) -> int:
+    """A gene has at most one piece of each sample: groups of at most about 100000."""
+    return max(1, -(-table(spark, d, "labels").count() // 100_000))
+
+
+def alignment(spark: SparkSession, d: str) -> DataFrame:
+    """gene, seq_id, seq: the whole texts of all documents, labelled or not, in genes of 40 characters."""
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("seq_id"), "text")
+    return encode.pieces(docs, WIDTH, data_type="protein")
+
+
+def gene_lines(found: DataFrame, together: int = 4) -> DataFrame:
+    """group_ord, gene_ord, gene: genes in files of four."""
+    genes = found.select("gene", gene_number().alias("_g")).distinct()
+    return genes.select(F.floor(F.col("_g") / together).cast("int").alias("group_ord"), F.pmod("_g", F.lit(together)).alias("gene_ord"), "gene")
 
 
 def gene_number(gene="gene"):
     return F.substring(gene, 2, 10).cast("int")
 
 
-def features(spark: SparkSession, d: str, options: encode.EncodeOptions = OPTIONS, made: DataFrame | None = None) -> DataFrame:
-    bits = encode.kept_bits(encode.allele_counts(cells(spark, d) if made is None else made), options)
+def features(spark: SparkSession, d: str, options: encode.EncodeOptions = OPTIONS) -> DataFrame:
+    bits = encode.kept_bits(encode.allele_counts(cells(spark, d)), options)
     return encode.number_features(bits.withColumn("gene_ord", gene_number()), F.col("gene_ord"))
 
 
 def design(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The one-hot design and its features."""
-    made = cells(spark, d)
-    found = features(spark, d, made=made)
-    return encode.one_hot(made, found), found
+    """The one-hot design and its features, which are a table, as several steps read them."""
+    found = stored(features(spark, d), "features")
+    return encode.one_hot(pieces(spark, d), found, salts=salts(spark, d)), found
 
 
 def members(found: DataFrame) -> DataFrame:
@@ -127,6 +149,9 @@ top2 AS (SELECT max(norm) AS l2max FROM norms)"""
 SQL_CONTRIB = SQL_MODEL + """,
 contrib AS (SELECT seq_id, m.gene, sum(beta) AS contribution FROM x JOIN model m USING (feature_id) WHERE beta <> 0 GROUP BY ALL),
 sps AS (SELECT s.seq_id, s.trait AS response, coalesce(sum(contribution), 0) + 0.125 AS sps FROM samples s LEFT JOIN contrib USING (seq_id) GROUP BY ALL)"""
+SQL_APPLY = SQL_MODEL + """,
+new_pairs AS (SELECT seq_id, unnest(a) AS ch, generate_subscripts(a, 1) - 1 AS p FROM (SELECT doc_id AS seq_id, string_split(upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', '-', 'g')), '') AS a FROM documents WHERE text <> '')),
+applied AS (SELECT n.seq_id, sum(beta) AS total FROM new_pairs n JOIN model m ON m.gene = 'w' || (p // 40) AND m.pos = p % 40 AND m.allele = n.ch WHERE beta <> 0 GROUP BY n.seq_id)"""
 SQL_TREE = """
 nodes AS (
   SELECT 0::BIGINT AS node_id, NULL::BIGINT AS parent_id, NULL AS name, false AS is_leaf

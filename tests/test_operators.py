@@ -30,9 +30,10 @@ def test_site_filters(spark):
 def test_gap_fuzz_and_normalisation(spark):
     made = cells(spark, "AC-")
     found = encode.number_features(encode.kept_bits(encode.allele_counts(made)))
-    values = {(r["feature_id"], r["seq_id"]): r["value"] for r in encode.fuzz_gaps(made, found).collect()}
+    aligned = spark.createDataFrame([("g", i, c) for i, c in enumerate("AC-")], "gene string, seq_id int, seq string")
+    values = {(r["feature_id"], r["seq_id"]): r["value"] for r in encode.fuzz_gaps(aligned, found).collect()}
     assert values == {(1, 0): 1.0, (1, 2): 0.5, (2, 1): 1.0, (2, 2): 0.5}
-    sums = encode.normalize_columns(encode.fuzz_gaps(made, found)).groupBy("feature_id").agg(F.sum("value").alias("s")).collect()
+    sums = encode.normalize_columns(encode.fuzz_gaps(aligned, found, salts=3)).groupBy("feature_id").agg(F.sum("value").alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-12 for r in sums)
 
 
@@ -129,7 +130,7 @@ def test_overlapping_step_is_the_minimum():
 def test_scores(spark):
     model = spark.createDataFrame([("g", 0, "A", 0.5), ("g", 2, "C", -0.2)], "gene string, pos int, allele string, beta double")
     alignment = spark.createDataFrame([("g", "s", "ATC"), ("g", "t", "AAA")], "gene string, seq_id string, seq string")
-    got = {r["seq_id"]: r["contribution"] for r in score.contributions(encode.explode_cells(alignment), model).collect()}
+    got = {r["seq_id"]: r["contribution"] for r in score.contributions(alignment, model, "universal").collect()}
     assert got == {"s": pytest.approx(0.3), "t": pytest.approx(0.5)}
     with pytest.raises(ValueError):
         score.check_genes(model, spark.createDataFrame([("h",)], "gene string"))
@@ -181,3 +182,69 @@ def test_roc(spark):
     y, s = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     for r in score.roc_points(people).collect():
         assert r["tpr"] == pytest.approx((s[y > 0] >= r["cutoff"]).mean()) and r["fpr"] == pytest.approx((s[y < 0] >= r["cutoff"]).mean())
+
+
+def test_hits_are_those_of_a_join(spark):
+    """Against cells joined one by one; sites without bits, characters of several bytes, short sequences and salts."""
+    rng = np.random.default_rng(6)
+    rows = [(g, i, "".join(rng.choice(list("ACG-é漢?"), rng.integers(0, 9)))) for g in ("g", "h", "none") for i in range(40)] + [("g", 99, None)]
+    aligned = spark.createDataFrame(rows, "gene string, seq_id int, seq string")
+    cells = encode.explode_cells(aligned)
+    found = encode.number_features(encode.kept_bits(encode.allele_counts(cells.where("gene <> 'none' AND pos NOT IN (1, 4)"))))
+    want = {(r["gene"], r["seq_id"], r["pos"], r["feature_id"]) for r in cells.join(found.withColumnRenamed("allele", "ch"), ["gene", "pos", "ch"]).collect()}
+    for salts in (1, 4):
+        got = encode.hits(aligned, found, "feature_id", "universal", salts).collect()
+        assert {(r["gene"], r["seq_id"], r["pos"], r["feature_id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_pieces_of_whole_texts(spark):
+    texts = spark.createDataFrame([(1, "abcdefg\nhié漢"), (2, ""), (3, None)], "seq_id int, text string")
+    got = sorted((r["gene"], r["seq_id"], r["seq"]) for r in encode.pieces(texts, 4).collect())
+    assert got == [("w0", 1, "abcd"), ("w1", 1, "efg\n"), ("w2", 1, "hié漢")]
+
+
+def test_missing_sequences(spark):
+    people = spark.createDataFrame([(i,) for i in range(50)], "seq_id int")
+    aligned = spark.createDataFrame([("g", i, "A") for i in range(50)] + [("h", i, "A") for i in range(0, 50, 3)] + [("i", 99, "A")], "gene string, seq_id int, seq string")
+    want = {("h", i) for i in range(50) if i % 3} | {("i", i) for i in range(50)}
+    for together in (7, 1024):
+        assert {(r["gene"], r["seq_id"]) for r in encode.missing_sequences(people, aligned, together).collect()} == want
+    assert {(r["gene"], r["missing"]) for r in encode.missing_counts(people, aligned).collect()} == {("h", 33), ("i", 50)}
+
+
+def test_files_of_chosen_genes_stay_whole(spark):
+    lines = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (2, 0, "b"), (2, 1, "d")], "group_ord int, gene_ord int, gene string")
+    chosen = spark.createDataFrame([("b",), ("x",)], "gene string")
+    assert sorted((r["group_ord"], r["gene"]) for r in groups.whole_groups(lines, chosen).collect()) == [(0, "a"), (0, "b"), (2, "b"), (2, "d")]
+
+
+def test_selected_genes_fit_their_share(spark):
+    from sparsegrove.operators.screen import selected_genes
+
+    scores = spark.createDataFrame([(f"g{i}", float(2**-i)) for i in range(8)] + [("zero", 0.0)], "gene string, gss double")
+    sizes = spark.createDataFrame([(f"g{i}", 10 + i) for i in range(8)] + [("zero", 500)], "gene string, bytes long")
+    chosen = {r["gene"] for r in selected_genes(scores, sizes, 20).collect()}
+    assert chosen == {"g0", "g1"}  # 608 / 20 bytes
+    assert {r["gene"] for r in selected_genes(scores, sizes, 2).collect()} == {f"g{i}" for i in range(8)}
+
+
+def test_l1_ball_column(spark):
+    from sparsegrove.operators import penalty
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 9).round(2).tolist()) for i in range(30)] + [(98, [0.1, -0.1]), (99, [])]
+    got = spark.createDataFrame(rows, "id int, u array<double>").select("id", penalty.l1_ball(F.col("u"), 0.5).alias("x")).collect()
+    for r in got:
+        assert np.allclose(r["x"], prox.l1_ball(np.array(dict(rows)[r["id"]]), 0.5))
+
+
+def test_upsampling_by_many_clones(spark):
+    people = spark.createDataFrame([(0, 1.0)], "seq_id long, trait double").unionByName(spark.range(1, 70_002).select(F.col("id").alias("seq_id"), F.lit(-1.0).alias("trait")))
+    up = balance.upsample(people)
+    assert up.count() == 140_002 and up.where("base_seq_id = '0'").select("seq_id").distinct().count() == 70_001
+
+
+def test_cycles_in_trees(spark):
+    nodes = spark.createDataFrame([(1, 2, "a", True), (2, 1, "b", False)], "node_id long, parent_id long, name string, is_leaf boolean")
+    with pytest.raises(ValueError):
+        tree.ancestors(nodes, 100)

@@ -97,8 +97,21 @@ def test_training_and_prediction(spark):
     assert len(cells) == 3 and {c["field"] for c in cells} == {"g"}
     folds = Training(spark, Settings(kfold=3)).samples(traits).alignment(sequences).fit()
     assert {r["fold"] for r in folds.select("fold").distinct().collect()} == {1, 2, 3}
+    assert set(run.seconds) == {"preprocessing", "fit"}
+    short = Training(spark, Settings(stats="GH", summary_only=True)).samples(traits).alignment(sequences)
+    assert set(short.scores(short.fit())) == {"evaluation", "gss_summary", "hss_summary"}
+    early = Training(spark, Settings(l1_grid=("0.1", "0.9", "0.4"), l2_grid=("0.1", "0.9", "0.4"), min_groups=1)).samples(traits).alignment(sequences).fit()
+    assert 0 < early.select("grid_ord").distinct().count() < 9 and early.where("below_min_groups").count() > 0
+    screened = Training(spark, Settings(subsets=2)).samples(traits).alignment(sequences).fit()
+    assert {r["gene"] for r in screened.where("feature_id IS NOT NULL").select("gene").distinct().collect()} <= {"g", "h"}
     with pytest.raises(ValueError):
         Training(spark, Settings(class_balance="odd")).samples(traits)
+    with pytest.raises(ValueError):
+        run.samples(traits)
+    with pytest.raises(ValueError):
+        Settings(stats="X")
+    with pytest.raises(ValueError):
+        Training(spark, Settings(kfold=2)).clade(None, "c")
     with pytest.raises(ValueError):
         predict(sequences.where("gene = 'h'"), one, shift)
 
