@@ -91,11 +91,13 @@ def without_singletons(sites: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def kept_bits(counts: DataFrame, options: EncodeOptions = EncodeOptions()) -> DataFrame:
-    """gene, pos, allele, support of the bits that stay."""
-    sites = variable_sites(counts)
+    """gene, pos, allele, support of the bits that stay. A site's alleles are judged together as one row; the counts are dealt out by gene, so
+    that what numbers features within their gene needs no other shuffle."""
+    least = options.threshold
+    sites = counts.repartition("gene").groupBy("gene", "pos").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.collect_list(F.struct(F.col("ch").alias("allele"), F.col("n").alias("support"))).alias("_bits")).where(F.size("_bits") >= 2)
     if options.drop_singletons:
-        sites = without_singletons(sites, options.threshold)
-    return counts.where(F.col("n") >= options.threshold).join(sites.select("gene", "pos"), ["gene", "pos"], "left_semi").select("gene", "pos", F.col("ch").alias("allele"), F.col("n").alias("support"))
+        sites = without_singletons(sites, least)
+    return sites.select("gene", "pos", F.inline(F.filter("_bits", lambda b: b["support"] >= least)))
 
 
 def number_features(bits: DataFrame, gene_order: Column | None = None) -> DataFrame:

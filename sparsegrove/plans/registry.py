@@ -183,9 +183,9 @@ def gradient(spark, d, x=None):
 
 
 def parts(spark, d):
-    """Gradient at zero, its largest size, the genes as groups."""
+    """Gradient at zero, its largest size, the genes as groups. The gradient is a table, as each step reads it."""
     x, found = views.design(spark, d)
-    atb = gradient(spark, d, x)
+    atb = stored(gradient(spark, d, x), "gradient")
     return atb, penalty.lambda1_max(atb), views.members(found)
 
 
@@ -459,7 +459,7 @@ def hss(spark, d):
 
 
 def contributions(spark, d):
-    return score.contributions(views.pieces(spark, d), views.model(views.features(spark, d)), salts=views.salts(spark, d))
+    return score.contributions(views.pieces(spark, d), views.model(stored(views.features(spark, d), "features")), salts=views.salts(spark, d))
 
 
 @query(f"WITH {views.SQL_CONTRIB} SELECT seq_id, gene, contribution FROM contrib")
