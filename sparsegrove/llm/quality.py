@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ranges, table, utf8
+from .common import blocks, lean, ranges, table, utf8
 from .language_id import fold
 from .words import words
 
@@ -155,7 +155,7 @@ def feature_rows(df: DataFrame, id_col: str, text_col: str, chars_col: str) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), pa.array(x.indices, pa.int32())), pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), pa.array(x.values)), pa.array(list(x.statistics), pa.list_(pa.float64()))], names=["_id", "_index", "_value", "_statistics"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(chars_col).alias("_chars")).mapInArrow(run, f"_id {kind}, _index array<int>, _value array<double>, _statistics array<double>")
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(chars_col).alias("_chars")).mapInArrow(lean(run), f"_id {kind}, _index array<int>, _value array<double>, _statistics array<double>")
 
 
 def fit_quality(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", label_col: str = "quality", sample_rows: int = 4096, rank: int = 8, epochs: int | None = None) -> FactorisationMachine:
@@ -165,7 +165,8 @@ def fit_quality(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learn)
     sample = usable.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("double").alias("_y")).orderBy(F.xxhash64("_label_id"), "_y").limit(sample_rows)
     picked = df.select(F.col(id_col), F.col(text_col), F.col(chars_col)).join(F.broadcast(sample), F.col(id_col) == F.col("_label_id"), "left_semi")
-    found = feature_rows(picked, id_col, text_col, chars_col).join(F.broadcast(sample), F.col("_id") == F.col("_label_id")).select("_id", "_y", "_index", "_value", "_statistics").toPandas().sort_values(["_id", "_y"])
+    found = feature_rows(picked, id_col, text_col, chars_col).join(F.broadcast(sample), F.col("_id") == F.col("_label_id")).groupBy("_id", "_y").agg(F.min(F.struct("_index", "_value", "_statistics")).alias("_x"))  # one row for each id
+    found = found.select("_id", "_y", "_x._index", "_x._value", "_x._statistics").toPandas().sort_values(["_id", "_y"])
     machine = FactorisationMachine(rank)
     if not len(found):
         return machine
@@ -192,7 +193,7 @@ def score_quality(df: DataFrame, machine: FactorisationMachine, threshold: float
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[batch.schema.names[0], "score", "predicted"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col), F.col(chars_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    return df.select(F.col(id_col), F.col(text_col), F.col(chars_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, score double, predicted int")
 
 
 def op2_quality(spark, sf_dir):

@@ -1,11 +1,15 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparsegrove.llm.common import utf8
-from sparsegrove.llm.quality import FactorisationMachine, features, fit_quality, score_quality
+from sparsegrove.llm.words import words as hashed_words
+from sparsegrove.llm.quality import BUCKETS, STATISTICS, FactorisationMachine, features, fit_quality, score_quality
 
 
 def test_interactions_by_the_sum_of_squares():
@@ -37,3 +41,42 @@ def test_held_out_accuracy_and_edge_cases(spark, make_docs, words):
     assert score_quality(docs, unlearned).count() == 300
     alike = fit_quality(docs, labels.where("quality = 1"), F.lit(True))
     assert all(r["predicted"] == 1 for r in score_quality(docs, alike).collect())
+
+
+def plain_score(m, text, n_chars):
+    """One text's score, word by word and pair by pair."""
+    data = (text or "").encode()
+    own = re.findall(rb"[^\x20\x09-\x0d]+", bytes(b + 32 if 65 <= b <= 90 else b for b in data))
+    bucket = [int(hashed_words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) % BUCKETS for w in own]
+    often = Counter(bucket)
+    values = {b: 1 + math.log(n) for b, n in often.items()}
+    norm = math.sqrt(sum(v * v for v in values.values()))
+    x = [(b, v / norm) for b, v in sorted(values.items())]
+    capital, digit, space, high = (lambda b: 65 <= b <= 90), (lambda b: 48 <= b <= 57), (lambda b: b == 32 or 9 <= b <= 13), (lambda b: b >= 128)
+    letter = lambda b: capital(b) or 97 <= b <= 122 or high(b)
+    kinds = [letter, digit, capital, lambda b: not (letter(b) or digit(b) or space(b)), space, high]
+    n, some, lines = len(data), max(len(own), 1), data.count(b"\n") + bool(data)
+    stats = [math.log1p(n), math.log1p(len(own)), sum(map(len, own)) / some, *(sum(map(k, data)) / max(n, 1) for k in kinds), math.log1p(lines), len(own) / max(lines, 1)]
+    stats += [len(often) / some, max(often.values(), default=0) / some, sum(a == b for a, b in zip(own, own[1:])) / some, math.log1p(n_chars)]
+    x += [(BUCKETS + i, min(6, max(-6, (s - m.mean[i]) / m.spread[i])) / math.sqrt(len(stats))) for i, s in enumerate(stats)]
+    total = m.bias + sum(m.linear[i] * v for i, v in x) + sum(m.factors[i] @ m.factors[j] * v * w for k, (i, v) in enumerate(x) for j, w in x[:k])
+    return 1 / (1 + math.exp(-total))
+
+
+def test_whole_scores(make_docs, words):
+    rng = random.Random(7)
+    texts = ["", None, "One  one\nTWO two 3 $ é", *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(20))]
+    m, draw = FactorisationMachine(), np.random.default_rng(2)
+    m.bias, m.linear = 0.3, draw.normal(0, 0.5, len(m.linear))
+    m.factors = draw.normal(0, 0.2, m.factors.shape)
+    m.mean, m.spread = draw.normal(0, 1, len(STATISTICS)), draw.uniform(0.5, 2, len(STATISTICS))
+    for r in score_quality(make_docs(texts), m).collect():
+        text = texts[r["doc_id"]]
+        assert abs(r["score"] - plain_score(m, text, len(text or ""))) < 1e-9
+
+
+def test_an_id_that_is_given_very_often(spark, make_docs):
+    docs = make_docs(["some words", "some words", "other words"], [1, 1, 2])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    once = fit_quality(docs.dropDuplicates(["doc_id"]), labels, F.lit(True))
+    assert np.array_equal(fit_quality(docs, labels, F.lit(True)).linear, once.linear)
