@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, blocks, mix, ranges, segment_sums, table, utf8
+from .common import GOLDEN, blocks, lean, mix, ranges, segment_sums, table, utf8
 from .tokenizer import ranks
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
@@ -292,7 +292,7 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=[batch.schema.names[0], "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", rank_path: str | None = None) -> DataFrame:
@@ -309,7 +309,7 @@ def bpe_decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", ra
             texts = [None if null[i] else b"".join(map(of, flat[offsets[i] : offsets[i + 1]].tolist())) for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out_col])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def op5_bpe(spark, sf_dir):

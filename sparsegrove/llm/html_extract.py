@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 BLOCK_TAGS = set("address article aside audio blockquote body br button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noscript object ol optgroup option p pre section summary svg table tbody td tfoot th thead tr ul video".split())
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -367,7 +367,7 @@ def extract_main_text(df: DataFrame, field: ChainField | None = None, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[*batch.schema.names[:2], "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string")
+    return df.select(id_col, url_col, html_col).mapInArrow(lean(run), f"`{id_col}` {kind}, `{url_col}` string, text string")
 
 
 def op6_html_extract(spark, sf_dir):

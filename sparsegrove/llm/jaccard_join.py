@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MOST_HEAVY, Scratch, blocks, for_each_salt, heavy_keys, mix, numbered, ranges, salted, table, utf8, whole_groups
+from .common import GOLDEN, MOST_HEAVY, Scratch, blocks, for_each_salt, heavy_keys, lean, mix, numbered, ranges, salted, table, utf8, whole_groups
 from .components import components
 from .words import exact_shingles, shingle_sets, shingles
 
@@ -66,7 +66,7 @@ def token_counters(docs: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["slice", "counts"])
 
     out = np.zeros((COUNTERS // SLICE, SLICE), np.int64)
-    parts = docs.select("_text").mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
+    parts = docs.select("_text").mapInArrow(lean(count), "slice int, counts binary").repartition("slice").mapInArrow(lean(add), "slice int, counts binary")
     for row in parts.collect():
         out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
     return out.ravel()
@@ -131,7 +131,7 @@ def signed(docs: DataFrame, counters: np.ndarray, size: int, percent: int, k: in
                 ends = np.concatenate([[0], np.cumsum([len(m) for m in marks])])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(digests, pa.binary()), pa.array([sketch(x) if len(m) else None for x, m in zip(sets, marks, strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(marks)))], names=["_id", "_n", "_words", "_sketch", "_signatures"])
 
-    return docs.select("_id", "_text").mapInArrow(run, f"_id {id_type}, _n long, _words binary, _sketch binary, _signatures array<long>")
+    return docs.select("_id", "_text").mapInArrow(lean(run), f"_id {id_type}, _n long, _words binary, _sketch binary, _signatures array<long>")
 
 
 class Text:
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, id_typ
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], batch.schema.field(0).type) for k in (0, 1)], names=["a", "b"])
 
     dealt = members.unionByName(heads).repartition("b", "_salt").sortWithinPartitions("b", "_salt", F.col("a").asc_nulls_first())
-    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}")
+    return dealt.mapInArrow(lean(run), f"a {id_type}, b {id_type}")
 
 
 def in_blocks(lists: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def close_pairs(lists: DataFrame, percent: int, id_type: str, first_only: bool)
             yield from pairs.append_column("_mark", pa.nulls(pairs.num_rows, pa.int64())).combine_chunks().to_batches()
             yield pa.RecordBatch.from_arrays([pa.nulls(len(left), ids.type), pa.nulls(len(left), ids.type), pa.array(left)], names=["a", "b", "_mark"])
 
-    near = in_blocks(lists).repartition("_mark", "_lo", "_hi").sortWithinPartitions("_mark", "_lo", "_hi", "_label").mapInArrow(run, f"a {id_type}, b {id_type}, _mark long")
+    near = in_blocks(lists).repartition("_mark", "_lo", "_hi").sortWithinPartitions("_mark", "_lo", "_hi", "_label").mapInArrow(lean(run), f"a {id_type}, b {id_type}, _mark long")
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "_mark").where("_mark IS NOT NULL OR a <> b").distinct()
 
 
@@ -256,7 +256,7 @@ def near_sketches(pairs: DataFrame, percent: int, id_type: str) -> DataFrame:
             near = may_link(batch.column(1).to_numpy(), batch.column(4).to_numpy(), apart, percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(near))
 
-    return pairs.select("a", "an", "a_bits", "b", "bn", "b_bits").mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    return pairs.select("a", "an", "a_bits", "b", "bn", "b_bits").mapInArrow(lean(run), f"a {id_type}, b {id_type}").distinct()
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ranges, table, utf8
+from .common import blocks, lean, ranges, table, utf8
 
 #: Texts are parsed in pieces of so many bytes, and the pieces' parses joined.
 PIECE = 512
@@ -220,7 +220,7 @@ def identify(df: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_co
 
     kind = df.schema[id_col].dataType.simpleString()
     shape = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carry).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double{shape}")
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *carry).mapInArrow(lean(run), f"`{id_col}` {kind}, lang_pred string, score double{shape}")
 
 
 def op8_language_id(spark, sf_dir):

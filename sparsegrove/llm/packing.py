@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, ranges, segment_sums, splitmix, table, written
+from .common import blocks, lean, ranges, segment_sums, splitmix, table, written
 
 DIMS, BITS = 4, 8
 #: Tokens of a bucket, and the most buckets that the driver keeps totals of; beyond that buckets grow.
@@ -76,7 +76,7 @@ def encoded(df: DataFrame, id_col: str, text_col: str, end_id: int | None) -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(sizes + len(end)), pa.array(list(sums), pa.list_(pa.float64()))], names=["_id", "_ids", "_n", "_p"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _ids binary, _n long, _p array<double>")
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(lean(run), f"_id {kind}, _ids binary, _n long, _p array<double>")
 
 
 def curve_key(moments: list[tuple[float, float]], bounds: np.ndarray) -> Column:
@@ -175,7 +175,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seq_len:
     kind = df.schema[id_col].dataType.simpleString()
     parts = max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     placed = dealt.select("_bucket", "_id", "_ids", "_n", "_key").repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_key", "_id", "_ids")
-    return placed.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(lean(run), f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op9_packing(spark, sf_dir):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, eight_bytes, for_each_salt, heavy_keys, mix, numbered, ranges, salted, table, utf8, whole_groups
+from .common import Scratch, blocks, eight_bytes, for_each_salt, heavy_keys, lean, mix, numbered, ranges, salted, table, utf8, whole_groups
 
 GRAM = 24
 BLOCK = 1 << 20
@@ -251,9 +251,9 @@ def merged_firsts(shard: np.ndarray, ids: np.ndarray, starts: np.ndarray, string
     return lost
 
 
-def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """id, n_bytes, spans array<struct<start, end>> (removed bytes, maximal and in order), kept binary, for every row, and
-    the columns named in carry.
+    the columns named in carry. With characters kept is a string instead: bytes that no longer are a character go, too.
 
     A byte of a text's UTF-8 is removed if a string of `length` bytes covers it that also starts earlier: in a row with a
     smaller id, or earlier in the same text. Strings are judged on the input. Defined cases: null and shorter texts lose
@@ -319,8 +319,8 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column("_id"), b.column("_start"), b.column("_count")], names=["_anchor", "_id", "_start", "_count"])
 
     order = ["_span", "_anchor", "_hash", "_more", "_id", "_start"]
-    found = known.select("_id", "_text").mapInArrow(find, f"_span boolean, _anchor long, _hash long, _more long, _id {id_type}, _start long, _count long")
-    settled = scratch.write(found.repartition("_anchor").sortWithinPartitions(*order).mapInArrow(settle, f"_anchor long, _id {id_type}, _start long, _count long"), "settled")
+    found = known.select("_id", "_text").mapInArrow(lean(find), f"_span boolean, _anchor long, _hash long, _more long, _id {id_type}, _start long, _count long")
+    settled = scratch.write(found.repartition("_anchor").sortWithinPartitions(*order).mapInArrow(lean(settle), f"_anchor long, _id {id_type}, _start long, _count long"), "settled")
     whole = settled.where("_anchor IS NULL").select("_id", "_start", (F.col("_start") + F.col("_count") + length - 1).alias("_end"))
     mixed = settled.where("_anchor IS NOT NULL")
     often = mixed.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_often"))
@@ -345,7 +345,7 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[lo:hi]), pa.array(times[lo:hi]), batch.column(0).take(pa.array(row[lo:hi])), pa.array(start[lo:hi]), text], names=["_anchor", "_often", "_id", "_start", "_piece"])
 
     carried = [f"_carry_{c}" for c in carry]
-    pieces = known.select("_id", "_text").join(several, "_id").select("_id", "_text", "_pieces").mapInArrow(cut, f"_anchor long, _often long, _id {id_type}, _start long, _piece binary")
+    pieces = known.select("_id", "_text").join(several, "_id").select("_id", "_text", "_pieces").mapInArrow(lean(cut), f"_anchor long, _often long, _id {id_type}, _start long, _piece binary")
     shard = F.when(F.col("_often") > most, F.pmod(F.xxhash64("_id", "_start"), F.ceil(F.col("_often") / most))).otherwise(F.lit(0)).cast("long")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +361,7 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         yield from map(done, whole_groups(batches, ["_anchor", "_shard"], "_piece", 1 << (INDEX_BITS - 1)))
 
     dealt = pieces.select("_anchor", shard.alias("_shard"), "_often", "_id", "_start", "_piece").repartition("_anchor", "_shard").sortWithinPartitions("_anchor", "_shard")
-    repeats = dealt.mapInArrow(sort, FOUND.format(id_type))
+    repeats = dealt.mapInArrow(lean(sort), FOUND.format(id_type))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def passed(batches: Iterator[pa.RecordBatch], out: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +380,7 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         yield from ready
 
     keyed = repeats.withColumn("_key", F.when(F.col("_string").isNotNull(), F.xxhash64("_string")).otherwise(F.xxhash64("_id")))
-    spans = keyed.repartition("_key").sortWithinPartitions("_key").mapInArrow(merge, f"_id {id_type}, _start long, _end long")
+    spans = keyed.repartition("_key").sortWithinPartitions("_key").mapInArrow(lean(merge), f"_id {id_type}, _start long, _end long")
     lost = scratch.write(spans.unionByName(whole).groupBy("_id").agg(F.collect_set(F.struct("_start", "_end")).alias("_spans")), "spans")
     scratch.drop(settled)
 
@@ -403,12 +403,12 @@ def remove_repeats(df: DataFrame, length: int = 100, id_col: str = "doc_id", tex
                 raw = own.tobytes()
                 kept.append(b"".join(raw[edge[k] : edge[k + 1]] for k in range(0, len(edge), 2)))
                 all_spans.append([{"start": lo, "end": hi} for lo, hi in merged])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(all_spans, kind), pa.array(kept, pa.binary()), *batch.columns[3:]], names=[id_col, "n_bytes", "spans", "kept", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(all_spans, kind), pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if characters else pa.array(kept, pa.binary()), *batch.columns[3:]], names=[id_col, "n_bytes", "spans", "kept", *carry])
 
     nameless = docs.where("_id IS NULL").select("*", F.lit(None).cast(lost.schema["_spans"].dataType).alias("_spans"))
     every = known.join(lost, "_id", "left").unionByName(nameless).select("_id", "_text", "_spans", *carried)
     shape = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
-    return every.mapInArrow(keep, f"`{id_col}` {id_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary{shape}")
+    return every.mapInArrow(lean(keep), f"`{id_col}` {id_type}, n_bytes long, spans array<struct<start:long,end:long>>, kept {'string' if characters else 'binary'}{shape}")
 
 
 def op7_suffix_dedup(spark, sf_dir):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, written
 
 #: Lengths whose sums are taken together first.
 SPAN = 512
@@ -30,7 +30,7 @@ def encoded_lengths(df: DataFrame, text_col: str = "text", rank_path: str | None
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.fromiter((len(encode(t)) if t else 0 for t in batch.column(0).to_pylist()), np.int64, batch.num_rows))], names=["n_tokens"])
 
-    return df.select(F.col(text_col).alias("_text")).mapInArrow(run, "n_tokens long")
+    return df.select(F.col(text_col).alias("_text")).mapInArrow(lean(run), "n_tokens long")
 
 
 def length_histogram(df: DataFrame, text_col: str = "text", rank_path: str | None = None) -> DataFrame:

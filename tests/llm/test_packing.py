@@ -38,3 +38,9 @@ def test_every_id_is_in_one_piece(make_docs, words):
 def test_empty_tables_and_no_end(make_docs):
     assert pack(make_docs([]).where("false")).count() == 0
     assert {r["doc_id"] for r in pack(make_docs(["a b", "", None]), end_id=None).collect()} == {0}
+
+
+def test_a_very_long_text(make_docs, words):
+    text = " ".join(words * 500)
+    own = pack(make_docs([text, "short"])).where("doc_id = 0").toPandas().sort_values("start")
+    assert np.frombuffer(b"".join(own["ids"]), "<u4").tolist() == by_json().encode(text, add_special_tokens=False).ids + [0]

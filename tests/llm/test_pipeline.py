@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as cp
+from sparsegrove.llm.tokenizer import by_json
 from tests.llm.brute import components, kept, repeats
 
 COLUMNS = list(cp.COLUMNS)
@@ -36,6 +39,9 @@ def test_stages_against_brute_force(spark, make_docs, words, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     pieces = cp.run(spark, str(tmp_path)).toPandas()
     assert set(pieces["doc_id"]) == set(got)
+    for i, own in pieces.groupby("doc_id"):
+        own = own.sort_values("start")
+        assert np.frombuffer(b"".join(own["ids"]), "<u4").tolist() == by_json().encode(got[i]["text"], add_special_tokens=False).ids + [0]
     sizes = pieces.groupby("sequence_id")["length"].sum()
     assert all(n & (n - 1) == 0 for n in sizes)
 
@@ -44,9 +50,11 @@ def test_empty_documents_and_nulls(spark, make_docs, tmp_path):
     make_docs([]).where("false").write.parquet(str(tmp_path / "a/documents.parquet"))
     assert cp.run(spark, str(tmp_path / "a")).count() == 0
     text = "some words that are said twice and then once more for good measure, as it were, in a text of some length"
-    make_docs([text, text, None, text], [None, 1, 2, 1], ["en", None, "en", "en"]).write.parquet(str(tmp_path / "b/documents.parquet"))
+    long = " ".join(f"w{i}" for i in range(40_000))
+    clash = make_docs([text, text, None, text, long], [None, 1, 2, 1, 3], ["en", None, "en", "en", "en"]).selectExpr("*", "1 AS row_key", "'x' AS _id", "2 AS kept", "3 AS component_id")
+    clash.write.parquet(str(tmp_path / "b/documents.parquet"))
     got = cp.run(spark, str(tmp_path / "b"))
-    assert {r["doc_id"] for r in got.collect()} == {1}
+    assert {r["doc_id"] for r in got.collect()} == {1, 3}
 
 
 def test_documents_stay_where_no_language_is_known(spark, make_docs, tmp_path):

@@ -94,3 +94,12 @@ def test_a_long_text(make_docs):
     text = "".join(unit if i % 2 else "".join(rng.choice("klmnop") for _ in range(3000)) for i in range(300))
     cover = repeats({0: text}, 100)[0]
     assert bytes(sd.remove_repeats(make_docs([text])).first()["kept"]) == kept(text, cover)
+
+
+def test_kept_characters(make_docs):
+    """A removed string that ends within a character takes the rest of it along."""
+    shared = "x" + "é" * 60
+    texts = ["ab" + shared, "cd" + shared[:50] + "è" + "end"]
+    covers = repeats(dict(enumerate(texts)), 100)
+    for r in sd.remove_repeats(make_docs(texts), characters=True).collect():
+        assert r["kept"] == kept(texts[r["doc_id"]], covers[r["doc_id"]]).decode("utf-8", "ignore")
