@@ -6,7 +6,6 @@ reads again as the next stage's documents. All but the last return the columns o
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +59,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Every byte of a string of 100 bytes that also starts earlier goes; bytes that then are no character go with it, and
     a document of which nothing is left. n_chars is that of the text that stays. Texts that share an id are documents of
     their own."""
-
-    @F.pandas_udf("string")
-    def characters(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    left = remove_repeats(keyed(docs), id_col="row_key", carry=("doc_id", "lang", "source")).where("octet_length(kept) > 0").select("doc_id", characters("kept").alias("text"), "lang", "source")
-    return left.where("text <> ''").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    left = remove_repeats(keyed(docs), id_col="row_key", carry=("doc_id", "lang", "source"), characters=True).where("kept <> ''")
+    return left.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
