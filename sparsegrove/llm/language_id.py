@@ -86,22 +86,22 @@ class CrossParser:
         order = np.argsort(-lengths, kind="stable")
         owner, starts, lengths = owner[order], starts[order], lengths[order]
         word = self.of[data].astype(np.int32)
-        counts = np.zeros((len(self.langs), len(sizes)), np.int64)
-        for k, ways in enumerate(self.tables):
-            begins = np.zeros(len(data), bool)  # where the pieces' own parses begin a phrase
-            begins[starts] = True
-            states = np.zeros(len(starts), np.int32)
-            for step in range(int(lengths[0]) if len(lengths) else 0):
-                live = int(np.searchsorted(-lengths, -step, "left"))  # lengths > step come first
-                letter = word[starts[:live] + step]
-                to = ways[states[:live] * self.width + letter]
+        begins = np.zeros((len(self.langs), len(data)), bool)  # where the pieces' own parses begin a phrase
+        begins[:, starts] = True
+        states = np.zeros((len(self.langs), len(starts)), np.int32)
+        for step in range(int(lengths[0]) if len(lengths) else 0):
+            live = int(np.searchsorted(-lengths, -step, "left"))  # lengths > step come first
+            at = starts[:live] + step
+            letter = word[at]
+            for k, ways in enumerate(self.tables):
+                to = ways[states[k, :live] * self.width + letter]
                 stuck = np.flatnonzero(to < 0)
                 if len(stuck):
-                    begins[starts[stuck] + step] = True
+                    begins[k, at[stuck]] = True
                     to[stuck] = self.anew(ways, letter[stuck])
-                states[:live] = to
-            counts[k] = self.joined(ways, word, offsets, owner, starts, lengths, begins, states)
-        return counts
+                states[k, :live] = to
+        counts = [self.joined(ways, word, offsets, owner, starts, lengths, begins[k], states[k]) for k, ways in enumerate(self.tables)]
+        return np.stack(counts) if counts else np.zeros((0, len(sizes)), np.int64)
 
     def anew(self, ways: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The states of phrases that begin with these letters."""
@@ -111,8 +111,8 @@ class CrossParser:
 
     def joined(self, ways: np.ndarray, word: np.ndarray, offsets: np.ndarray, owner: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins: np.ndarray, states: np.ndarray) -> np.ndarray:
         """The phrases of each text, from its pieces' own parses: the last phrase of a piece is followed into the next one until a
-        phrase begins where that piece's own parse has one begin, too. A text with a piece in which that never happens is
-        parsed from its first byte to its last."""
+        phrase begins where that piece's own parse has one begin, too. A text with a piece but the last in which that never happens
+        is parsed from its first byte to its last."""
         upto = np.concatenate([[0], np.cumsum(begins)])
         true = upto[starts + lengths] - upto[starts]
         place = np.argsort(starts)  # pieces in the order of the text
@@ -121,13 +121,18 @@ class CrossParser:
         live, state, met, step = later, states[before], np.zeros(len(later), np.int64), 0
         while len(live):
             ended = lengths[live] == step
+            if ended.any():
+                last = ended & ((starts + lengths)[live] == offsets[owner[live] + 1])  # with the text
+                true[live[last]] = met[last]
+                live, state, met, ended = live[~last], state[~last], met[~last], ended[~last]
             if ended.any():
                 for text in np.unique(owner[live[ended]]).tolist():  # never met
                     true[owner == text] = 0
                     true[np.flatnonzero(owner == text)[0]] = self.one_by_one(ways, word[offsets[text] : offsets[text + 1]].tolist())
                     going = owner[live] != text
                     live, state, met, ended = live[going], state[going], met[going], ended[going]
-                continue
+            if not len(live):
+                break
             at = starts[live] + step
             to = ways[state * self.width + word[at]]
             stuck = to < 0
