@@ -332,7 +332,18 @@ def grid_group_counts(spark, d):
     return groups_by_pair(spark, d)
 
 
-@query()
+SQL_SKIP = SQL_PAIRS.replace("WITH", "WITH RECURSIVE", 1) + """,
+p AS MATERIALIZED (SELECT grid_ord, l2::DOUBLE AS l2, count(*) FILTER (norm > l2::DOUBLE * most) AS nz FROM gr JOIN nm ON nm.l1 = gr.l1 JOIN mx ON mx.l1 = gr.l1 GROUP BY ALL),
+walk AS (
+  SELECT -1 AS grid_ord, 1.0::DOUBLE AS least, 1.0::DOUBLE AS lim, false AS ended, false AS fits, false AS below
+  UNION ALL
+  SELECT p.grid_ord, least(w.least, p.l2), CASE WHEN NOT w.ended AND p.l2 <= w.lim AND p.nz <= 3 AND p.l2 > w.least THEN p.l2 ELSE w.lim END,
+    w.ended OR (p.l2 <= w.lim AND p.nz <= 3 AND p.l2 <= w.least), NOT w.ended AND p.l2 <= w.lim, p.nz <= 3
+  FROM walk w JOIN p ON p.grid_ord = w.grid_ord + 1)
+SELECT grid_ord, below AS below_min_groups FROM walk WHERE fits"""
+
+
+@query(SQL_SKIP)
 def grid_skip_fold(spark, d):
     rows = [(r["grid_ord"], float(r["l1"]), float(r["l2"]), r["nz_groups"]) for r in groups_by_pair(spark, d).collect()]
     return spark.createDataFrame(grid.kept_pairs(rows, 3), "grid_ord int, below_min_groups boolean")
