@@ -78,8 +78,38 @@ class Node:
         return [*self.said, f"parent={self.tag}", f"inner={self.kind}", f"clutter={self.clutter}", "content" if self.content else "no content"]
 
 
+#: Elements whose content is text up to their end tag.
+RAW_TAGS = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")
+
+
+class RawEnd:
+    """Finds the end tag of an element with raw text. In a script that holds `<!--`, `<script` up to `</script` nests, until `-->`."""
+
+    def __init__(self, tag: str):
+        self.mark = re.compile(rf"<!--|-->|<(/?){tag}(?=[\s/>])", re.IGNORECASE)
+        self.script = tag == "script"
+
+    def search(self, raw: str, at: int):
+        escaped = nested = False
+        for m in self.mark.finditer(raw, at):
+            if m[0] == "<!--":
+                escaped = True
+            elif m[0] == "-->":
+                escaped = nested = False
+            elif not m[1]:
+                nested = escaped and self.script
+            elif nested:
+                nested = False
+            else:
+                return m
+        return None
+
+
 class Blocks(HTMLParser):
-    """Collects the leaf blocks of a page: (text, node, characters in links, label). known: the features that matter, or all."""
+    """Collects the leaf blocks of a page: (text, node, characters in links, label). known: the features that matter, or all. The page is fed
+    whole, so that what is not closed is known to go on to the end."""
+
+    CDATA_CONTENT_ELEMENTS = RAW_TAGS
 
     def __init__(self, known: dict | None = None):
         super().__init__(convert_charrefs=True)
@@ -92,6 +122,41 @@ class Blocks(HTMLParser):
         self.node = self.outside
         self.found: list[tuple[str, Node, int, str | None]] = []
 
+    def set_cdata_mode(self, elem):
+        """Scripts and styles go on to the end where they are not closed; other raw text is then read as markup, as it hides a whole page."""
+        end = RawEnd(elem)
+        if elem in ("script", "style") or end.search(self.rawdata, self.rawdata.find(">", self.began)):
+            self.cdata_elem, self.interesting = elem, end
+
+    def parse_starttag(self, i):
+        self.began = i
+        return super().parse_starttag(i)
+
+    def parse_endtag(self, i):
+        if self.cdata_elem is None:
+            return super().parse_endtag(i)
+        elem, end = self.cdata_elem, self.rawdata.find(">", i)
+        self.clear_cdata_mode()
+        self.handle_endtag(elem)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i, report=1):
+        """Closed by `-->` or `--!>`; `<!-->` and `<!--->` are whole comments. Met between tags only: the parser knows where it stands."""
+        end = re.compile(r"-?>").match(self.rawdata, i + 4) or re.compile(r"--!?>").search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        """To the next `>`, CDATA too; within SVG and MathML CDATA is text."""
+        if self.rawdata.startswith("<![CDATA[", i) and (self.open.get("svg") or self.open.get("math")):
+            end = self.rawdata.find("]]>", i)
+            self.handle_data(self.rawdata[i + 9 : end] if end >= 0 else self.rawdata[i + 9 :])
+            return end + 3 if end >= 0 else len(self.rawdata)
+        return self.parse_pi(i)
+
+    def parse_pi(self, i):
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
     def flush(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
@@ -170,9 +235,6 @@ INTERNAL_SUBSET = re.compile(r"<!doctype[^>\[]*\[[^\]]*\]\s*>", re.IGNORECASE)
 def blocks_of(html: str, known: dict | None = None) -> list[tuple[str, Node, int, str | None]]:
     """The leaf blocks of a page in order. Tags may be unclosed or unopened; a comment that is not closed goes on to the end."""
     html = INTERNAL_SUBSET.sub("", html, count=1)
-    comment = html.rfind("<!--")
-    if comment >= 0 and html.find("-->", comment) < 0 and html.rfind("<script", 0, comment) <= html.rfind("</script", 0, comment):
-        html = html[:comment]
     parser = Blocks(known)
     parser.feed(html)
     parser.close()

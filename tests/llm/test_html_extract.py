@@ -79,3 +79,41 @@ def test_math_comments_doctypes_and_long_blocks(spark, field):
     clash = spark.createDataFrame([(i, "u", h, "x") for i, h in rows], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r["text"] for r in extract_main_text(clash, field).collect()}
     assert got == {1: "As x=2 shows.", 2: "Said and done.", 3: "Said and done.", 4: "Title " + long, 5: "Said and done."}
+
+
+ARTICLE = "<article><h1>Title</h1><p>One two three four five six seven.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        '<div title="a <!-- b"></div>',
+        "<style><!-- p{} </style>",
+        "<form><textarea><!-- x</textarea></form>",
+        "<!-- x --!>",
+        "<!-->",
+        "<!--->",
+        "<!---->",
+        "<script>var a = '<!-- b';</script>",
+        "<script><!-- document.write('<script>x</script>'); --></script>",
+        "<script>//<![CDATA[\nvar x = '<p>';//]]></script>",
+        "<style>p{}</style x='1'>",
+        "<![CDATA[ hidden ]]>",
+        "<![foo[ hidden ]]>",
+        "<! hidden>",
+        "<?php hidden ?>",
+        "<![ 5>",
+        "<title>A <!-- title</title>",
+        "<iframe><!-- none</iframe>",
+    ],
+)
+def test_marks_of_comments_elsewhere_hide_nothing(field, before):
+    page = blocks_of(f"<html><body>{before}{ARTICLE}</body></html>", field.index)
+    assert " ".join(b[0] for b, keep in zip(page, field.decode(page)) if keep) == "Title One two three four five six seven."
+
+
+def test_comments_hide_what_they_hold():
+    texts = lambda html: [b[0] for b in blocks_of(html)]
+    assert texts("<p>a</p><!-- <p>b</p> --><p>c</p>") == ["a", "c"] and texts("<p>a</p><!-- <p>b</p>") == ["a"]
+    assert texts("<p>a<!-- x --!>b</p>") == ["ab"] and texts("<svg><text><![CDATA[a<b]]></text></svg>") == ["a<b"]
+    assert texts("<p>a</p><script>b") == ["a"] and texts("<textarea>x<p>open</p>") == [] and texts("<p>a</p><!doctype") == ["a"]
