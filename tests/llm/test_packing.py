@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparsegrove.llm.packing import cut_pieces, hilbert, pack, tail_cuts
-from sparsegrove.llm.tokenizer import by_json
+from sparsegrove.llm.tokenizer import by_json, token_ids
 
 
 def test_hilbert_steps_are_one_cell():
@@ -44,3 +44,21 @@ def test_a_very_long_text(make_docs, words):
     text = " ".join(words * 500)
     own = pack(make_docs([text, "short"])).where("doc_id = 0").toPandas().sort_values("start")
     assert np.frombuffer(b"".join(own["ids"]), "<u4").tolist() == by_json().encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_ids_are_those_of_an_unmodified_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", "x\n<|endoftext|>漢", "plain text, plain text", ""]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert token_ids(texts) == want and any(50256 in ids for ids in want[:1])
+
+
+def test_small_batches_give_the_same_pieces(make_docs, words, small_batches):
+    texts = [" ".join(words[i : i + 9 * i]) for i in range(20)] + [None, ""]
+    own = pack(make_docs(texts)).toPandas()
+    for i, t in enumerate(texts):
+        ids = np.frombuffer(b"".join(own[own.doc_id == i].sort_values("start")["ids"]), "<u4").tolist()
+        assert ids == by_json().encode(t or "", add_special_tokens=False).ids + [0]
