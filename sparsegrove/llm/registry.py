@@ -14,6 +14,7 @@ from .quality import op2_quality
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op3_token_counts
 from .topk_search import OP1_SQL, op1_exact_topk
+from .turn_repair import op12_turn_repair
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_turn_repair": op12_turn_repair,
     "op13_chat_format": op13_chat_format,
 }
 
