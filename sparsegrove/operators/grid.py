@@ -67,7 +67,8 @@ def kept_pairs(rows: list[tuple[int, float, float, int]], min_groups: int) -> li
 
 @dataclass(frozen=True)
 class Settings:
-    """The parameters of a training run."""
+    """The parameters of a training run. subsets: parts for the screening, 0 for as many as two of them fit memory (bytes). pairs: penalties
+    in place of single ones and grids."""
 
     l1: str = "0.1"
     l2: str = "0.1"
@@ -90,6 +91,8 @@ class Settings:
     gene_cutoff: float = 0.0
     species_limit: int = 100
     subsets: int | None = None
+    memory: int = 4 << 30
+    pairs: tuple[tuple[str, str], ...] | None = None
     seed: int = 0
     inclusive: bool = True
     solver_options: dict[str, str] = field(default_factory=dict)
@@ -97,13 +100,15 @@ class Settings:
     def __post_init__(self):
         if set(self.stats) - set(STATISTICS):
             raise ValueError(f"stats are letters of {''.join(STATISTICS)}")
-        if self.subsets is not None and self.subsets < 2:
-            raise ValueError("there are at least two subsets")
+        if self.subsets is not None and self.subsets != 0 and self.subsets < 2:
+            raise ValueError("there are at least two subsets, or 0 for as many as memory needs")
 
     def grid(self) -> list[tuple[str, str]]:
         if (self.l1_grid is None) != (self.l2_grid is None):
             raise ValueError("give both penalty grids or none")
-        if self.l1_grid is None:
+        if self.pairs is not None:
+            pairs = list(self.pairs)
+        elif self.l1_grid is None:
             pairs = [(self.l1, self.l2)]
         else:
             pairs = penalty_grid(penalty_range(*self.l1_grid, self.inclusive), penalty_range(*self.l2_grid, self.inclusive))

@@ -83,6 +83,64 @@ def p_norm(vector, p: float):
     return F.pow(F.aggregate(vector, F.lit(0.0), lambda a, x: a + F.pow(F.abs(x), F.lit(p))), F.lit(1.0 / p))
 
 
+def p_prox(vector, level: float, p: float, steps: int = 60, inner: int = 10):
+    """argmin of |x - v|^2 / 2 + level * |x|_p for an array column v and p between 1 and infinity, by fixed numbers of steps.
+
+    The point is zero iff the dual norm of v is at most level. Else x solves x + c x^(p-1) = |v| with c = level * |x|_p^(1-p): log c is
+    found by halving, from its lower bound at |x|_p = |v|_p on, and each coordinate by Newton from an upper bound, in x for p from 2 on
+    and in x^(p-1) below, where the left side is convex."""
+    if not 1 < p < 1e6 or level <= 0:
+        raise ValueError("p lies between 1 and 1e6, and the level is positive")
+    e, q = p - 1.0, p / (p - 1.0)
+    r = F.lit(1.0 / e)
+    count = lambda n: F.sequence(F.lit(1), F.lit(n))
+
+    def root(a, c):
+        if e >= 1:
+            step = lambda x, _: F.greatest(x - (x + c * F.pow(x, F.lit(e)) - a) / (1 + c * e * F.pow(x, F.lit(e - 1))), F.lit(0.0))
+            return F.aggregate(count(inner), F.least(a, F.pow(a / c, r)), step)
+        step = lambda u, _: F.greatest(u - (F.pow(u, r) + c * u - a) / (c + r * F.pow(u, r - 1)), F.lit(0.0))
+        return F.pow(F.aggregate(count(inner), F.least(a / c, F.pow(a, F.lit(e))), step), r)
+
+    sizes = F.transform(vector, F.abs)
+
+    def halved(ends, _):
+        mid = (ends["low"] + ends["high"]) / 2
+        c = F.exp(mid)
+        norm = F.pow(F.aggregate(F.transform(sizes, lambda a: F.pow(root(a, c), F.lit(p))), F.lit(0.0), lambda t, x: t + x), F.lit(e / p))
+        below = c * norm < level
+        return F.struct(F.when(below, mid).otherwise(ends["low"]).alias("low"), F.when(below, ends["high"]).otherwise(mid).alias("high"))
+
+    low = F.log(F.lit(level)) - e * F.log(p_norm(vector, p))
+    ends = F.aggregate(count(steps), F.struct(low.alias("low"), (low + 50).alias("high")), halved)
+    found = F.transform(F.array(ends), lambda b: F.transform(vector, lambda v: F.signum(v) * root(F.abs(v), F.exp((b["low"] + b["high"]) / 2))))[0]
+    return F.when(p_norm(vector, q) > level, found).otherwise(F.transform(vector, lambda v: v * 0.0))
+
+
+def loss_slope(fitted: DataFrame, loss: str = "logistic") -> DataFrame:
+    """seq_id, b: the slope of the loss in the fitted values. fitted: seq_id, trait, fitted; all samples weigh the same."""
+    if loss == "leastr":
+        return fitted.select("seq_id", (F.col("fitted") - F.col("trait")).alias("b"))
+    y = F.when(F.col("trait") == 1, 1.0).otherwise(-1.0)
+    n = F.broadcast(fitted.agg(F.count(F.lit(1)).alias("_n")))
+    return fitted.join(n).select("seq_id", (-y / (1 + F.exp(y * F.col("fitted"))) / F.col("_n")).alias("b"))
+
+
+def optimality(gradient: DataFrame, beta: DataFrame, members: DataFrame, l1, l2) -> DataFrame:
+    """group, violation: how far each group is from the conditions of a minimum. gradient: feature_id, atb of the loss; beta: feature_id, beta of
+    the weights that are not zero; members: feature_id, group, weight, each feature in one group.
+
+    A group of zeros needs |soft(gradient, l1)| <= l2 * weight. In others, weights need gradient + l1 * sign + l2 * weight * beta / |beta| to be
+    zero, and zeros |gradient| <= l1."""
+    rows = members.join(gradient, "feature_id", "left").join(beta, "feature_id", "left").na.fill(0.0, ["atb", "beta"])
+    left = F.greatest(F.abs("atb") - l1, F.lit(0.0))
+    sums = rows.groupBy("group", "weight").agg(F.sqrt(F.sum(F.col("beta") * F.col("beta"))).alias("_norm"), F.sqrt(F.sum(left * left)).alias("_left"))
+    each = rows.join(sums.drop("weight"), "group")
+    gap = F.abs(F.col("atb") + l1 * F.signum("beta") + l2 * F.col("weight") * F.col("beta") / F.col("_norm"))
+    own = F.when(F.col("_norm") == 0, F.greatest(F.col("_left") - l2 * F.col("weight"), F.lit(0.0))).when(F.col("beta") != 0, gap).otherwise(left)
+    return each.groupBy("group").agg(F.max(own).alias("violation"))
+
+
 def warm_start_scale(fitted: DataFrame, penalty, kind: str = "leastr") -> DataFrame:
     """scale: the factor that best scales a start x. fitted: y, ax (A x) a row for each sample; penalty: its penalty term, the
     squared radius for `leastc`, the product of the data for `nonnegative` kinds is cut at 0."""

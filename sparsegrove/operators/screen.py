@@ -7,10 +7,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import shared_hash
 from ..session import stored
-from .fit import fit_grid
 from .groups import whole_groups
+from .passes import Model, fit_models
 from .score import top_share
 from .solver import Options
 
@@ -31,23 +30,35 @@ def selected_genes(scores: DataFrame, sizes: DataFrame, parts: int, share: float
         share *= shrink
 
 
-def screen_groups(spark: SparkSession, x: DataFrame, samples: DataFrame, features: DataFrame, members: DataFrame, parts: int, grid: list[tuple[float, float]], options: Options = Options()) -> DataFrame:
-    """gene, gss: genes are dealt to parts by hash, each pair of parts is fitted over the grid, and a gene's score is the sum of
-    its |beta| over these fits. features: feature_id, gene, gene_ord; members: feature_id, group_ord, weight."""
-    part = features.select("feature_id", "gene", F.pmod(F.floor(shared_hash(F.col("gene_ord")) / 65536), F.lit(parts)).alias("_part"))
-    scores = None
-    for a, b in subset_pairs(parts):
-        own = part.where(F.col("_part").isin(a, b)).select("feature_id", "gene")
-        found = fit_grid(spark, x.join(own.select("feature_id"), "feature_id", "left_semi"), samples, members, grid, options=options)
-        got = found.where("feature_id IS NOT NULL").join(own, "feature_id").groupBy("gene").agg(F.sum(F.abs("beta")).alias("gss"))
-        scores = got if scores is None else scores.unionByName(got)
-    return scores.groupBy("gene").agg(F.sum("gss").alias("gss"))
+def dealt(sizes: DataFrame, parts: int) -> DataFrame:
+    """gene, part: genes dealt to parts of nearly equal bytes, the largest first and in turns that go forth and back, so that two parts
+    differ by at most the largest gene. sizes: gene, bytes."""
+    place = F.expr("row_number() OVER (ORDER BY bytes DESC, gene) - 1")  # one row a gene
+    ranked = sizes.select("gene", place.alias("_at"))
+    turn, at = F.floor(F.col("_at") / parts), F.pmod("_at", F.lit(parts))
+    return ranked.select("gene", F.when(F.pmod(turn, F.lit(2)) == 0, at).otherwise(parts - 1 - at).cast("int").alias("part"))
 
 
-def screened(spark: SparkSession, x: DataFrame, samples: DataFrame, features: DataFrame, members: DataFrame, sizes: DataFrame, parts: int, grid: list[tuple[float, float]], options: Options = Options(), lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def parts_needed(cells: int, features: int, budget: int) -> int:
+    """The number of parts from which on two of them at once fit a budget of bytes: 8 for a cell and 64 for a feature's state."""
+    held = 8 * cells + 64 * features
+    return 1 if held <= budget else max(2, -(-2 * held // budget))
+
+
+def screen_groups(spark: SparkSession, x: DataFrame, samples: DataFrame, features: DataFrame, members: DataFrame, sizes: DataFrame, parts: int, grid: list[tuple[float, float]], method: str = "logistic", options: Options = Options()) -> DataFrame:
+    """gene, gss: genes are dealt to parts by bytes, each pair of parts is fitted over the grid, all of them side by side, and a gene's score
+    is the sum of its |beta| over these fits. features: feature_id, gene; members: feature_id, group_ord, weight; sizes: gene, bytes."""
+    of = features.select("feature_id", "gene").join(dealt(sizes, parts), "gene")
+    models = [Model(float(a), float(b), grid_ord=i, subsets=pair) for pair in subset_pairs(parts) for i, (a, b) in enumerate(grid)]
+    people = samples.select("seq_id", F.array(F.col("trait").cast("double")).alias("traits"), F.lit(0).alias("fold"))
+    found = fit_models(x, people, members.join(of.select("feature_id", F.col("part").alias("subset")), "feature_id"), models, method, options)
+    return found.where("feature_id IS NOT NULL").join(of, "feature_id").groupBy("gene").agg(F.sum(F.abs("beta")).alias("gss"))
+
+
+def screened(spark: SparkSession, x: DataFrame, samples: DataFrame, features: DataFrame, members: DataFrame, sizes: DataFrame, parts: int, grid: list[tuple[float, float]], method: str = "logistic", options: Options = Options(), lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """feature_id, gene of the genes that the screening keeps, and the genes' scores: the best genes whose bytes are at most one part of
     all, with all genes of a group (lines: group_ord, gene_ord, gene) if one of it is kept. sizes: gene, bytes."""
-    scores = stored(screen_groups(spark, x, samples, features, members, parts, grid, options), "screening")
+    scores = stored(screen_groups(spark, x, samples, features, members, sizes, parts, grid, method, options), "screening")
     chosen = selected_genes(scores, sizes, parts)
     if lines is not None:
         chosen = whole_groups(lines, chosen).select("gene").distinct()

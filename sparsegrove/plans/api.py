@@ -8,16 +8,17 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import shared_hash
 from ..operators import balance, encode, fit, groups, score, screen, tree, view
 from ..operators.grid import Settings
 from ..operators.solver import Options
 from ..session import stored
+from ..sources import text
 
 
 @dataclass
@@ -29,6 +30,8 @@ class Training:
     people: DataFrame | None = None
     sequences: DataFrame | None = None
     lines: DataFrame | None = None
+    folds: DataFrame | None = None
+    penalties: DataFrame | None = None
     seconds: dict[str, float] = field(default_factory=dict)
 
     def samples(self, traits: DataFrame) -> Training:
@@ -72,6 +75,26 @@ class Training:
         self.lines = lines
         return self
 
+    def given(self, folds: DataFrame | None = None, group_weights: DataFrame | None = None) -> Training:
+        """Folds (seq_id, fold from 1 on) and penalty weights of groups (group_ord, weight, or group, weight with genes as groups' names)."""
+        self.folds, self.penalties = folds or self.folds, group_weights or self.penalties
+        return self
+
+    def files(self, lambda_list: str | None = None, solver_options: str | None = None, group_weights: str | None = None, folds: str | None = None) -> Training:
+        """Penalty pairs, solver options, group weights and folds from files. Folds are in the order of the samples' ids."""
+        if lambda_list is not None:
+            self.settings = replace(self.settings, pairs=tuple(text.read_grid(self.spark, lambda_list)))
+        if solver_options is not None:
+            self.settings = replace(self.settings, solver_options=text.read_options(self.spark, solver_options))
+        if group_weights is not None:
+            self.penalties = text.read_group_weights(self.spark, group_weights)
+        if folds is not None:
+            if self.people is None:
+                raise ValueError("samples come first")
+            order = self.people.select("seq_id", "trait", F.expr("row_number() OVER (ORDER BY seq_id) - 1").cast("long").alias("ord"))
+            self.folds = text.read_folds(self.spark, folds, order).select("seq_id", "fold")
+        return self
+
     def encoded(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The design, its features and the membership of groups with weights."""
         s = self.settings
@@ -84,7 +107,10 @@ class Training:
         else:
             lines = self.lines
         members = groups.field(found, lines)
-        weights = groups.group_index(members).select("group_ord", "weight")
+        index = groups.group_index(members)
+        if self.penalties is not None:
+            index = groups.group_weights(index, self.penalties, lines.select("group_ord", F.col("gene").alias("group")).distinct())
+        weights = index.select("group_ord", "weight")
         return x, found, members.join(weights, "group_ord").select("feature_id", "group_ord", "weight")
 
     def fit(self) -> DataFrame:
@@ -100,18 +126,16 @@ class Training:
             pairs = [(a, 0.0) for a in dict.fromkeys(a for a, _ in pairs)]
         options = Options.parse(s.solver_options)
         if balance.KINDS[s.class_balance] == "weighted":
-            n = balance.imbalance(self.people).first()
-            if n["n_pos"] and n["n_neg"]:
-                options = Options(**{**options.__dict__, "class_weights": (1 / n["n_pos"], 1 / n["n_neg"])})
-        folds = None
-        if s.kfold > 1:
-            picked = fit.cv_folds(self.people.select(F.xxhash64("seq_id").alias("seq_id"), "trait", F.col("seq_id").alias("_name")).select("seq_id", "trait"), s.kfold).toPandas()
-            names = self.people.select(F.xxhash64("seq_id").alias("_h"), "seq_id").toPandas().set_index("_h")["seq_id"]
-            folds = pd.Series(picked["fold"].to_numpy(), index=names.loc[picked["seq_id"]].to_numpy())
+            options = replace(options, balanced=True)
+        folds = self.folds
+        if folds is None and s.kfold > 1:
+            fold = F.pmod(F.floor(shared_hash(F.xxhash64("seq_id")) / 65536), F.lit(s.kfold)) + 1
+            folds = self.people.select("seq_id", fold.cast("int").alias("fold"))
         people = self.people.select("seq_id", "trait")
-        if s.subsets is not None:
+        subsets = screen.parts_needed(x.count(), found.count(), s.memory) if s.subsets == 0 else s.subsets
+        if subsets is not None and subsets > 1:
             sizes = self.sequences.groupBy("gene").agg(F.sum(F.octet_length("seq")).alias("bytes"))
-            kept_bits, _ = screen.screened(self.spark, x, people, found.withColumn("gene_ord", F.xxhash64("gene")), members, sizes, s.subsets, pairs, options, self.lines)
+            kept_bits, _ = screen.screened(self.spark, x, people, found, members, sizes, subsets, pairs, s.method, options, self.lines)
             kept_bits = stored(kept_bits.select("feature_id"), "screened")
             x, members = x.join(kept_bits, "feature_id", "left_semi"), members.join(kept_bits, "feature_id", "left_semi")
         if folds is None and s.min_groups >= 0:
@@ -126,6 +150,7 @@ class Training:
     def scores(self, models: DataFrame) -> dict[str, DataFrame]:
         """Long tables over all models: pss, gss, hss, sps, gsc and evaluation, and the summaries of those models that pass the quality
         cutoffs. Settings.stats picks tables by letter (all by default); with summary_only there are summaries and evaluation only."""
+        began = time.perf_counter()
         model = ["fold", "grid_ord"]
         bits = models.where("feature_id IS NOT NULL")
         pss = bits.groupBy(*model, "gene", "pos").agg(F.sum(F.abs("beta")).alias("pss"))
@@ -133,8 +158,8 @@ class Training:
         weights = bits.groupBy("gene", "pos", "allele").agg(F.collect_list(F.struct(*model, "beta")).alias("weights"))
         carried = encode.hits(self.sequences, weights, "weights", self.settings.data_type).select("seq_id", "gene", F.inline("weights"))
         gsc = carried.groupBy(*model, "seq_id", "gene").agg(F.sum("beta").alias("contribution"))
-        shifts = F.broadcast(models.select(*model, "intercept").distinct().withColumn("_k", F.lit(1)))
-        every = self.people.select("seq_id", F.col("trait").alias("response"), F.lit(1).alias("_k")).join(shifts, "_k").drop("_k")
+        shifts = F.broadcast(models.select(*model, "intercept").distinct())  # one row a model
+        every = self.people.select("seq_id", F.col("trait").alias("response")).join(shifts)
         totals = gsc.groupBy(*model, "seq_id").agg(F.sum("contribution").alias("_sum"))
         sps = every.join(totals, [*model, "seq_id"], "left").select(*model, "seq_id", "response", (F.coalesce("_sum", F.lit(0.0)) + F.col("intercept")).alias("sps"))
         quality = sps.groupBy(*model).agg(F.avg((F.signum("sps") == F.signum("response")).cast("double")).alias("accuracy"), F.sqrt(F.avg(F.pow(F.col("response") - F.col("sps"), F.lit(2.0)))).alias("rmse"))
@@ -143,6 +168,7 @@ class Training:
         letters = self.settings.stats or "".join(score.STATISTICS)
         short = score.summaries({k: t.join(passed.select(*model), model) for k, t in tables.items()}, letters)
         asked = {} if self.settings.summary_only else {score.STATISTICS[k][0]: tables[score.STATISTICS[k][0]] for k in letters}
+        self.seconds["analysis"] = time.perf_counter() - began
         return asked | {"evaluation": passed} | short
 
 

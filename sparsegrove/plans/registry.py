@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import lambda_label, soft_threshold
-from ..operators import balance, encode, fit, grid, groups, penalty, prox, score, screen, tree, view
+from ..operators import balance, encode, fit, grid, groups, penalty, score, screen, tree, view
 from ..operators.solver import Options
 from ..session import shared_folder, stored
 from ..sources import text
@@ -97,12 +97,10 @@ def missing_sequences(spark, d):
     return encode.missing_counts(views.samples(spark, d), views.pieces(spark, d))
 
 
-@query(f"WITH {views.SQL_CELLS}, present AS (SELECT DISTINCT gene, seq_id FROM cells), genes AS (SELECT gene FROM present GROUP BY gene HAVING count(*) * 2 > (SELECT count(*) FROM samples)) SELECT g.gene, s.seq_id FROM genes g, samples s ANTI JOIN present p ON p.gene = g.gene AND p.seq_id = s.seq_id")
+@query(f"WITH {views.SQL_CELLS}, present AS (SELECT DISTINCT gene, seq_id FROM cells), genes AS (SELECT DISTINCT gene FROM present) SELECT g.gene, s.seq_id FROM genes g, samples s ANTI JOIN present p ON p.gene = g.gene AND p.seq_id = s.seq_id")
 def missing_log(spark, d):
-    """Genes that most samples have, and the samples that they lack."""
-    people, aligned = views.samples(spark, d), views.pieces(spark, d)
-    common = aligned.select("gene", "seq_id").distinct().groupBy("gene").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(people.agg(F.count(F.lit(1)).alias("m")))).where("2 * n > m")
-    return encode.missing_sequences(people, aligned.join(common.select("gene"), "gene", "left_semi"))
+    """Every gene and the samples that it lacks."""
+    return encode.missing_sequences(views.samples(spark, d), views.pieces(spark, d))
 
 
 @query(f"WITH {views.SQL_FEATURES} SELECT (SELECT count(*) FROM samples) AS samples, (SELECT count(*) FROM features) AS features")
@@ -281,18 +279,19 @@ def l1_ball_projection(spark, d):
     return vectors(spark, d).select("id", F.transform(penalty.l1_ball(F.col("u"), 0.5), lambda e: F.round(e, 6) + 0.0).alias("x"))
 
 
-@query()
-def lp_projection(spark, d):
-    import numpy as np
-    import pandas as pd
+#: For p = 1.5 a coordinate is a square: x + c sqrt(x) = a.
+SQL_PROX = "WITH RECURSIVE " + SQL_VEC + """,
+n AS (SELECT id, u, list_transform(u, lambda e: abs(e)) AS a, pow(list_sum(list_transform(u, lambda e: pow(abs(e), 1.5))), 1 / 1.5) AS norm, pow(list_sum(list_transform(u, lambda e: pow(abs(e), 3))), 1 / 3.0) AS dual FROM v),
+h AS (SELECT id, a, ln(0.5) - 0.5 * ln(norm) AS low, ln(0.5) - 0.5 * ln(norm) + 50 AS high, 0 AS k FROM n WHERE dual > 0.5
+  UNION ALL SELECT id, a, CASE WHEN below THEN mid ELSE low END, CASE WHEN below THEN high ELSE mid END, k + 1
+  FROM (SELECT *, (low + high) / 2 AS mid, exp((low + high) / 2) * pow(list_sum(list_transform(a, lambda e: pow((sqrt(exp(low + high) + 4 * e) - exp((low + high) / 2)) / 2, 3))), 0.5 / 1.5) < 0.5 AS below FROM h WHERE k < 60)),
+c AS (SELECT id, exp((low + high) / 2) AS c FROM h WHERE k = 60)
+SELECT n.id, list_transform(u, lambda e: round(CASE WHEN c IS NULL THEN 0 ELSE sign(e) * pow((sqrt(c * c + 4 * abs(e)) - c) / 2, 2) END, 6) + 0.0) AS x FROM n LEFT JOIN c USING (id)"""
 
-    def run(batches):
-        for b in batches:
-            for _, own in b.groupby(b["u"].map(len)):  # vectors of one length at once
-                rows = np.array(own["u"].tolist(), float).reshape(len(own), -1)
-                yield pd.DataFrame({"id": own["id"], "x": list(prox.p_prox_rows(rows, 0.5, 1.5)) if rows.size else own["u"]})
 
-    return vectors(spark, d).mapInPandas(run, "id long, x array<double>").select("id", F.transform("x", lambda e: F.round(e, 6)).alias("x"))
+@query(SQL_PROX)
+def lp_projection(spark, d):
+    return vectors(spark, d).select("id", F.transform(penalty.p_prox(F.col("u"), 0.5, 1.5), lambda e: F.round(e, 6) + 0.0).alias("x"))
 
 
 # --- grids ----------------------------------------------------------------------------------------------------------
@@ -391,6 +390,37 @@ def sgl_leastr_fit(spark, d):
     return gene_table(*fitted(spark, d, [(0.1, 0.1)], "leastr"))
 
 
+def optimality(spark, d, loss, share, options):
+    """gene, optimal: whether the conditions of a minimum hold in each gene, to a millionth of the site penalty, for a fitted model. Its residuals,
+    gradient and conditions are computed anew from the tables."""
+    x, found = views.design(spark, d)
+    x, people, members = stored(x, "design"), views.samples(spark, d), views.members(found)
+    model = stored(fit.fit_grid(spark, x, people, numbered_members(spark, found), [(share, share)], loss, options), "model")
+    start = gradient(spark, d, x) if loss == "logistic" else penalty.weighted_sums(x, people.select("seq_id", F.col("trait").alias("b")))
+    level = with_level(stored(start, "gradient"), penalty.lambda1_max(start), share)
+    most = penalty.lambda2_max(level, members, F.col("_level"))
+    levels = penalty.lambda1_max(start).join(most).select((F.col("lambda1_max") * share).alias("l1"), (F.col("lambda2_max") * share).alias("l2"))
+    l1, l2 = levels.first()
+    beta = model.where("feature_id IS NOT NULL").select("feature_id", "beta")
+    sums = x.join(beta, "feature_id").groupBy("seq_id").agg(F.sum(F.col("value") * F.col("beta")).alias("_ax"))
+    fitted_ = people.join(sums, "seq_id", "left").join(F.broadcast(model.select("intercept").distinct())).select("seq_id", "trait", (F.coalesce("_ax", F.lit(0.0)) + F.col("intercept")).alias("fitted"))
+    slopes = penalty.weighted_sums(x, penalty.loss_slope(fitted_, loss))
+    return penalty.optimality(slopes, beta, members, F.lit(l1), F.lit(l2)).select(F.col("group").alias("gene"), (F.col("violation") <= 1e-6 * l1).alias("optimal"))
+
+
+SQL_OPTIMAL = f"WITH {views.SQL_FEATURES} SELECT gene, true AS optimal FROM groups"
+
+
+@query(SQL_OPTIMAL)
+def sgl_logistic_optimality(spark, d):
+    return optimality(spark, d, "logistic", 0.6, Options(iterations=400, stop=4, tolerance=1e-10))
+
+
+@query(SQL_OPTIMAL)
+def sgl_leastr_optimality(spark, d):
+    return optimality(spark, d, "leastr", 0.6, Options(iterations=400, stop=4, tolerance=1e-10))
+
+
 @query()
 def ol_sgl_logistic_fit(spark, d):
     return gene_table(*fitted(spark, d, [(0.2, 0.2)], overlapping=True))
@@ -413,8 +443,8 @@ def sgl_grid_fit(spark, d):
 
 @query()
 def cv_fit(spark, d):
-    folds = fit.cv_folds(views.samples(spark, d), 3).toPandas().set_index("seq_id")["fold"]
-    return gene_table(*fitted(spark, d, [(0.3, 0.3)], folds=folds))
+    """A model for each fold that is left out, and one on all samples (fold 0)."""
+    return gene_table(*fitted(spark, d, [(0.3, 0.3)], folds=fit.cv_folds(views.samples(spark, d), 3)))
 
 
 @query()
@@ -432,7 +462,7 @@ def screening(spark, d):
     x, found = (stored(t, "design") for t in views.design(spark, d))
     members = stored(numbered_members(spark, found), "members")
     sizes = views.pieces(spark, d).groupBy("gene").agg(F.sum(F.octet_length("seq")).alias("bytes"))
-    kept, scores = screen.screened(spark, x, views.samples(spark, d), found.withColumn("gene_ord", views.gene_number()), members, sizes, 3, [(0.2, 0.2), (0.2, 0.5), (0.5, 0.2)], lines=views.gene_lines(found))
+    kept, scores = screen.screened(spark, x, views.samples(spark, d), found, members, sizes, 3, [(0.2, 0.2), (0.2, 0.5), (0.5, 0.2)], lines=views.gene_lines(found))
     return x, found, members, stored(kept, "screened"), scores
 
 
@@ -600,7 +630,7 @@ def clade_members(spark, d):
 
 @query(f"WITH RECURSIVE {views.SQL_TREE} SELECT clade, count(*) AS n_leaves FROM members GROUP BY clade HAVING count(*) >= 5")
 def clade_sizes(spark, d):
-    return tree.clade_sizes(tree.clade_members(views.tree(spark, d)), 5)
+    return tree.clade_sizes(views.tree(spark, d), 5)
 
 
 @query(f"WITH RECURSIVE {views.SQL_TREE}, s AS (SELECT ancestor_id, count(*) AS n, min(l.name) AS a, max(l.name) AS z FROM up JOIN nodes l ON l.node_id = up.node_id WHERE l.is_leaf GROUP BY ancestor_id) SELECT nodes.node_id, CASE WHEN NOT is_leaf AND n >= 1 THEN substr(a, 1, 12) || '_' || substr(z, 1, 12) || '_' || n ELSE name END AS name FROM nodes LEFT JOIN s ON s.ancestor_id = nodes.node_id")
@@ -612,35 +642,30 @@ def auto_named_clades(spark, d):
 @query(f"WITH RECURSIVE {views.SQL_TREE}, c AS (SELECT clade, count(*) AS n FROM members GROUP BY clade ORDER BY n DESC, clade LIMIT 1) SELECT c_name AS seq_id, CASE WHEN c_name IN (SELECT leaf FROM members WHERE clade = (SELECT clade FROM c)) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM (SELECT DISTINCT c_name FROM customer)")
 def clade_hypothesis(spark, d):
     members = tree.clade_members(views.tree(spark, d))
-    largest = tree.clade_sizes(members).orderBy(F.desc("n_leaves"), "clade").first()["clade"]
+    largest = tree.clade_sizes(views.tree(spark, d)).orderBy(F.desc("n_leaves"), "clade").first()["clade"]
     return tree.clade_hypothesis(members, views.table(spark, d, "customer").select(F.col("c_name").alias("leaf")), largest)
 
 
-SQL_PHYLO = """WITH s AS (SELECT n_name, n_regionkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), c AS (SELECT * FROM s ORDER BY n, n_name LIMIT 1), r AS (SELECT sum(s.n) AS n FROM s JOIN c USING (n_regionkey))
-SELECT c_name AS seq_id, CASE WHEN n_name = (SELECT n_name FROM c) THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = (SELECT n_regionkey FROM c)"""
-
-
-def phylo(spark, d, level):
-    nations = views.table(spark, d, "nation").select(F.col("n_name").alias("clade"))
-    smallest = tree.clade_sizes(tree.clade_members(views.tree(spark, d))).join(nations, "clade").orderBy("n_leaves", "clade").first()["clade"]
-    return tree.near_outgroup(views.tree(spark, d), smallest, level)
+SQL_PHYLO = """WITH n AS (SELECT k, (SELECT count(*) FROM customer WHERE c_nationkey >= k) AS n FROM (SELECT n_nationkey AS k FROM nation)), held AS (%s)
+SELECT c_name AS seq_id, CASE WHEN c_nationkey >= 20 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM customer WHERE c_nationkey >= (SELECT k FROM held)"""
 
 
-@query(f"{SQL_PHYLO} OR (SELECT n FROM r) < 2 * (SELECT n FROM c)")
+@query(SQL_PHYLO % "SELECT coalesce(max(k) FILTER (n >= 2 * (SELECT n FROM n WHERE k = 20)), 0) AS k FROM n WHERE k < 20")
 def phylo_sample(spark, d):
-    return phylo(spark, d, 3)
+    """As many steps of the ladder around step 20 as it takes for as many leaves outside as inside."""
+    return tree.near_outgroup(views.ladder(spark, d), "step20", 3)
 
 
-@query(SQL_PHYLO)
+@query(SQL_PHYLO % "SELECT 19 AS k")
 def phylo_sample_1(spark, d):
-    """Only the next clade around the nation, its region."""
-    return phylo(spark, d, 1)
+    """Only the next step around it."""
+    return tree.near_outgroup(views.ladder(spark, d), "step20", 1)
 
 
-@query(f"{SQL_PHYLO} OR (SELECT n FROM r) < 2 * (SELECT n FROM c)")
+@query(SQL_PHYLO % "SELECT 18 AS k")
 def phylo_sample_2(spark, d):
-    """Up to the second clade around the nation, the root."""
-    return phylo(spark, d, 2)
+    """Up to the second step around it."""
+    return tree.near_outgroup(views.ladder(spark, d), "step20", 2)
 
 
 # --- files ----------------------------------------------------------------------------------------------------------

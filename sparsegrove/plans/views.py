@@ -105,6 +105,15 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     return root.unionByName(region).unionByName(nation).unionByName(customer)
 
 
+def ladder(spark: SparkSession, d: str) -> DataFrame:
+    """A tree as deep as there are nations: step k holds the customers of nation k and step k + 1, so that its leaves are the customers of
+    the nations from k on."""
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    step = nation.select((F.col("k") + 1).alias("node_id"), F.when(F.col("k") > 0, F.col("k")).alias("parent_id"), F.concat(F.lit("step"), F.col("k").cast("string")).alias("name"), F.lit(False).alias("is_leaf"))
+    leaf = table(spark, d, "customer").select((F.col("c_custkey") + 1000).alias("node_id"), (F.col("c_nationkey").cast("long") + 1).alias("parent_id"), F.col("c_name").alias("name"), F.lit(True).alias("is_leaf"))
+    return step.unionByName(leaf)
+
+
 def tables_of_predictions(spark: SparkSession, d: str) -> DataFrame:
     """table_id, seq_id, field, contribution: users' events by type, a table for even and one for odd hours."""
     e = table(spark, d, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL")

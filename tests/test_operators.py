@@ -166,7 +166,7 @@ def test_trees(spark):
     assert {(r["seq_id"], r["trait"]) for r in hypothesis.collect()} == {("l1", 1), ("l2", 1), ("l4", 1), ("l3", -1)}
     near = tree.near_outgroup(nodes.withColumn("name", F.when(F.col("node_id") == 4, "y").otherwise(F.col("name"))), "y", 1)
     assert {(r["seq_id"], r["trait"]) for r in near.collect()} == {("l2", 1), ("l4", 1), ("l1", -1)}
-    assert tree.clade_sizes(tree.clade_members(nodes), 0, 2).count() == 0
+    assert tree.clade_sizes(nodes, 0, 2).count() == 0 and [tuple(r) for r in tree.clade_sizes(nodes).collect()] == [("x", 3)]
 
 
 def test_top_share(spark):
@@ -247,4 +247,57 @@ def test_upsampling_by_many_clones(spark):
 def test_cycles_in_trees(spark):
     nodes = spark.createDataFrame([(1, 2, "a", True), (2, 1, "b", False)], "node_id long, parent_id long, name string, is_leaf boolean")
     with pytest.raises(ValueError):
-        tree.ancestors(nodes, 100)
+        tree.leaf_ranges(nodes)
+
+
+def test_a_deep_ladder(spark):
+    """Step k holds leaf k and step k + 1: as deep as it has leaves."""
+    n = 5_000
+    steps = spark.range(n).select((2 * F.col("id")).alias("node_id"), F.when(F.col("id") > 0, 2 * F.col("id") - 2).alias("parent_id"), F.when(F.col("id") % 1000 == 0, F.concat(F.lit("s"), F.col("id").cast("string"))).alias("name"), F.lit(False).alias("is_leaf"))
+    leaves = spark.range(n).select((2 * F.col("id") + 1).alias("node_id"), (2 * F.col("id")).alias("parent_id"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("name"), F.lit(True).alias("is_leaf"))
+    ladder = steps.unionByName(leaves)
+    assert {r["clade"]: r["n_leaves"] for r in tree.clade_sizes(ladder).collect()} == {f"s{k}": n - k for k in range(0, n, 1000)}
+    near = tree.near_outgroup(ladder, f"s{n - 1000}", 3).groupBy("trait").count().collect()
+    assert {r["trait"]: r["count"] for r in near} == {1.0: 1000, -1.0: 1000}
+    assert tree.near_outgroup(ladder, f"s{n - 1000}", 2).count() == 1002
+
+
+def test_random_trees(spark):
+    rng = np.random.default_rng(1)
+    for size in (1, 60):
+        parent = [None] + [int(rng.integers(max(0, i - 6), i)) for i in range(1, size)]
+        inner = set(parent)
+        nodes = spark.createDataFrame([(i, p, f"n{i}", i not in inner) for i, p in enumerate(parent)], "node_id long, parent_id long, name string, is_leaf boolean")
+        want = set()
+        for i in range(size):
+            at = parent[i]
+            while i not in inner and at is not None:
+                want.add((f"n{at}", f"n{i}"))
+                at = parent[at]
+        assert {(r["clade"], r["leaf"]) for r in tree.clade_members(nodes).collect()} == want
+        named = {r["node_id"]: r["name"] for r in tree.auto_name(nodes.withColumn("name", F.when(F.col("is_leaf"), F.col("name"))), 1, 1000, 9).where("NOT is_leaf").collect()}
+        for i in inner - {None}:
+            below = sorted(b for a, b in want if a == f"n{i}")
+            assert named[i] == f"{below[0]}_{below[-1]}_{len(below)}"
+        chosen = [f"n{i}" for i in sorted(inner - {None})[:3]]
+        for r in tree.all_hypotheses(nodes, chosen).collect():
+            assert r["traits"] == [1.0 if (c, r["seq_id"]) in want else -1.0 for c in chosen]
+
+
+def test_p_prox_column(spark):
+    from sparsegrove.operators import penalty
+
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(0, 1, 7).tolist()) for i in range(12)] + [(50, [0.1, -0.1, 0.0]), (51, [3.0, 0.0, -1e-9]), (52, [])]
+    for p in (1.2, 1.5, 2.0, 3.5):
+        for r in spark.createDataFrame(rows, "id int, u array<double>").select("id", penalty.p_prox(F.col("u"), 0.7, p).alias("x")).collect():
+            assert np.allclose(r["x"], prox.p_prox(np.array(dict(rows)[r["id"]]), 0.7, p), atol=1e-9), (p, r["id"])
+
+
+def test_genes_dealt_by_bytes(spark):
+    from sparsegrove.operators.screen import dealt, parts_needed
+
+    sizes = spark.createDataFrame([(f"g{i}", 100 + i) for i in range(301)], "gene string, bytes long")
+    held = [r[1] for r in dealt(sizes, 7).join(sizes, "gene").groupBy("part").agg(F.sum("bytes")).collect()]
+    assert len(held) == 7 and max(held) - min(held) <= 400 and max(held) <= 1.05 * min(held)
+    assert parts_needed(10, 10, 1 << 20) == 1 and parts_needed(1 << 20, 0, 1 << 22) == 4

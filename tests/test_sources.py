@@ -9,6 +9,9 @@ from sparsegrove.sources import text
 from sparsegrove.streaming.apply import score_stream
 
 
+FEW = {"maxIter": "4"}
+
+
 def put(folder, name, content):
     path = folder / name
     path.write_text(content)
@@ -81,7 +84,7 @@ def test_training_and_prediction(spark):
         rows += [("g", f"s{i}", first + "ACG"[i % 3] + "T"), ("h", f"s{i}", "GGT"[i % 3] + "A")]
     sequences = spark.createDataFrame(rows, "gene string, seq_id string, seq string")
     traits = spark.createDataFrame([(f"s{i}", 1.0 if i < 6 else -1.0) for i in range(12)] + [("zero", 0.0)], "seq_id string, trait double")
-    run = Training(spark, Settings(l1_grid=("0.1", "0.3", "0.2"), l2_grid=("0.1", "0.3", "0.2"), class_balance="weighted")).samples(traits).alignment(sequences)
+    run = Training(spark, Settings(l1_grid=("0.1", "0.3", "0.2"), l2_grid=("0.1", "0.3", "0.2"), class_balance="weighted", solver_options=FEW)).samples(traits).alignment(sequences)
     models = run.fit().cache()
     assert {r["grid_ord"] for r in models.select("grid_ord").distinct().collect()} == {0, 1, 2, 3}
     tables = run.scores(models)
@@ -95,14 +98,14 @@ def test_training_and_prediction(spark):
     assert all(abs(r["sps"] - want[r["seq_id"]]) < 1e-9 for r in scores.collect())
     cells = contribution_grid(scores, by_group, Settings(m_grid=(3, 1))).collect()
     assert len(cells) == 3 and {c["field"] for c in cells} == {"g"}
-    folds = Training(spark, Settings(kfold=3)).samples(traits).alignment(sequences).fit()
+    folds = Training(spark, Settings(kfold=3, solver_options=FEW)).samples(traits).alignment(sequences).fit()
     assert {r["fold"] for r in folds.select("fold").distinct().collect()} == {1, 2, 3}
     assert set(run.seconds) == {"preprocessing", "fit"}
-    short = Training(spark, Settings(stats="GH", summary_only=True)).samples(traits).alignment(sequences)
+    short = Training(spark, Settings(stats="GH", summary_only=True, solver_options=FEW)).samples(traits).alignment(sequences)
     assert set(short.scores(short.fit())) == {"evaluation", "gss_summary", "hss_summary"}
-    early = Training(spark, Settings(l1_grid=("0.1", "0.9", "0.4"), l2_grid=("0.1", "0.9", "0.4"), min_groups=1)).samples(traits).alignment(sequences).fit()
+    early = Training(spark, Settings(l1_grid=("0.1", "0.9", "0.4"), l2_grid=("0.1", "0.9", "0.4"), min_groups=1, solver_options=FEW)).samples(traits).alignment(sequences).fit()
     assert 0 < early.select("grid_ord").distinct().count() < 9 and early.where("below_min_groups").count() > 0
-    screened = Training(spark, Settings(subsets=2)).samples(traits).alignment(sequences).fit()
+    screened = Training(spark, Settings(subsets=2, solver_options=FEW)).samples(traits).alignment(sequences).fit()
     assert {r["gene"] for r in screened.where("feature_id IS NOT NULL").select("gene").distinct().collect()} <= {"g", "h"}
     with pytest.raises(ValueError):
         Training(spark, Settings(class_balance="odd")).samples(traits)
