@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import lambda_label, soft_threshold
 from ..operators import balance, encode, fit, grid, groups, penalty, score, screen, tree, view
+from ..operators.passes import Model, fit_models
 from ..operators.solver import Options
 from ..session import shared_folder, stored
 from ..sources import text
@@ -284,14 +285,15 @@ SQL_PROX = "WITH RECURSIVE " + SQL_VEC + """,
 n AS (SELECT id, u, list_transform(u, lambda e: abs(e)) AS a, pow(list_sum(list_transform(u, lambda e: pow(abs(e), 1.5))), 1 / 1.5) AS norm, pow(list_sum(list_transform(u, lambda e: pow(abs(e), 3))), 1 / 3.0) AS dual FROM v),
 h AS (SELECT id, a, ln(0.5) - 0.5 * ln(norm) AS low, ln(0.5) - 0.5 * ln(norm) + 50 AS high, 0 AS k FROM n WHERE dual > 0.5
   UNION ALL SELECT id, a, CASE WHEN below THEN mid ELSE low END, CASE WHEN below THEN high ELSE mid END, k + 1
-  FROM (SELECT *, (low + high) / 2 AS mid, exp((low + high) / 2) * pow(list_sum(list_transform(a, lambda e: pow((sqrt(exp(low + high) + 4 * e) - exp((low + high) / 2)) / 2, 3))), 0.5 / 1.5) < 0.5 AS below FROM h WHERE k < 60)),
+  FROM (SELECT *, (low + high) / 2 AS mid, exp((low + high) / 2) * pow(list_sum(list_transform(a, lambda e: pow(2 * e / (sqrt(exp(low + high) + 4 * e) + exp((low + high) / 2)), 3))), 0.5 / 1.5) < 0.5 AS below FROM h WHERE k < 60)),
 c AS (SELECT id, exp((low + high) / 2) AS c FROM h WHERE k = 60)
-SELECT n.id, list_transform(u, lambda e: round(CASE WHEN c IS NULL THEN 0 ELSE sign(e) * pow((sqrt(c * c + 4 * abs(e)) - c) / 2, 2) END, 6) + 0.0) AS x FROM n LEFT JOIN c USING (id)"""
+SELECT n.id, list_transform(u, lambda e: round(CASE WHEN c IS NULL THEN 0 ELSE sign(e) * pow(2 * abs(e) / (sqrt(c * c + 4 * abs(e)) + c), 2) END, 6) + 0.0) AS x FROM n LEFT JOIN c USING (id)"""
 
 
 @query(SQL_PROX)
 def lp_projection(spark, d):
-    return vectors(spark, d).select("id", F.transform(penalty.p_prox(F.col("u"), 0.5, 1.5), lambda e: F.round(e, 6) + 0.0).alias("x"))
+    rows = vectors(spark, d).repartition("id")  # a few rows, each of them much work
+    return rows.select("id", F.transform(penalty.p_prox(F.col("u"), 0.5, 1.5), lambda e: F.round(e, 6) + 0.0).alias("x"))
 
 
 # --- grids ----------------------------------------------------------------------------------------------------------
@@ -413,7 +415,7 @@ SQL_OPTIMAL = f"WITH {views.SQL_FEATURES} SELECT gene, true AS optimal FROM grou
 
 @query(SQL_OPTIMAL)
 def sgl_logistic_optimality(spark, d):
-    return optimality(spark, d, "logistic", 0.6, Options(iterations=400, stop=4, tolerance=1e-10))
+    return optimality(spark, d, "logistic", 0.8, Options(iterations=200, stop=4, tolerance=1e-10))
 
 
 @query(SQL_OPTIMAL)
@@ -457,6 +459,21 @@ def sgl_grid_early_stop(spark, d):
     return models.groupBy("grid_ord", "l1", "l2", "nz_groups").agg(F.count("feature_id").alias("n_bits"), F.round(F.sum(F.abs("beta")), 6).alias("hss")).join(flags, "grid_ord")
 
 
+@query()
+def all_clades_fit(spark, d):
+    """A model for every named clade of the customers' tree, each a hypothesis of its own over one design."""
+    nodes, aligned = views.tree(spark, d), views.customer_alignment(spark, d)
+    names = [r[0] for r in tree.clade_sizes(nodes, 2).orderBy("clade").select("clade").collect()]  # named inner nodes: regions and nations
+    found = stored(encode.number_features(encode.kept_bits(encode.allele_counts(encode.explode_cells(aligned)), encode.EncodeOptions(bit_count=2))), "features")
+    sizes = groups.gene_groups(found).select("gene", F.xxhash64("gene").alias("group_ord"), "weight")
+    members = found.select("feature_id", "gene").join(sizes, "gene").select("feature_id", "group_ord", "weight")
+    people = tree.all_hypotheses(nodes, names).withColumn("fold", F.lit(0))
+    models = [Model(0.1, 0.1, hypothesis=i) for i in range(len(names))]
+    fitted_ = fit_models(stored(encode.one_hot(aligned, found), "design"), people, members, models, options=Options(balanced=True))
+    clade = F.get(F.array(*[F.lit(n) for n in names]), F.col("hypothesis"))
+    return fitted_.join(found.select("feature_id", "gene"), "feature_id", "left").groupBy(clade.alias("clade"), "nz_groups", "gene").agg(F.round(F.sum(F.abs("beta")), 6).alias("gss"), F.count("feature_id").alias("n_bits"))
+
+
 def screening(spark, d):
     """The design of all genes, and the features that the screening by three parts keeps. Genes come in files of four, which stay whole."""
     x, found = (stored(t, "design") for t in views.design(spark, d))

@@ -105,6 +105,14 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     return root.unionByName(region).unionByName(nation).unionByName(customer)
 
 
+def customer_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """gene, seq_id, seq of the customers: their market segment, and the digits of their balance and number as two genes."""
+    c = table(spark, d, "customer")
+    digits = lambda v: F.lpad(v.cast("string"), 9, "0")
+    genes = F.create_map(F.lit("segment"), F.rpad("c_mktsegment", 10, "-"), F.lit("balance"), digits(F.abs(F.round(F.col("c_acctbal") * 100).cast("long"))), F.lit("number"), digits(F.col("c_custkey")))
+    return c.select(F.col("c_name").alias("seq_id"), F.explode(genes).alias("gene", "seq")).select("gene", "seq_id", "seq")
+
+
 def ladder(spark: SparkSession, d: str) -> DataFrame:
     """A tree as deep as there are nations: step k holds the customers of nation k and step k + 1, so that its leaves are the customers of
     the nations from k on."""
