@@ -9,7 +9,7 @@ from sparsegrove.sources import text
 from sparsegrove.streaming.apply import score_stream
 
 
-FEW = {"maxIter": "4"}
+FEW = {"maxIter": "2"}
 
 
 def put(folder, name, content):
@@ -99,8 +99,8 @@ def test_training_and_prediction(spark):
     cells = contribution_grid(scores, by_group, Settings(m_grid=(3, 1))).collect()
     assert len(cells) == 3 and {c["field"] for c in cells} == {"g"}
     folds = Training(spark, Settings(kfold=3, solver_options=FEW)).samples(traits).alignment(sequences).fit()
-    assert {r["fold"] for r in folds.select("fold").distinct().collect()} == {1, 2, 3}
-    assert set(run.seconds) == {"preprocessing", "fit"}
+    assert {r["fold"] for r in folds.select("fold").distinct().collect()} == {0, 1, 2, 3}  # and one on all samples
+    assert set(run.seconds) == {"preprocessing", "fit", "analysis"}
     short = Training(spark, Settings(stats="GH", summary_only=True, solver_options=FEW)).samples(traits).alignment(sequences)
     assert set(short.scores(short.fit())) == {"evaluation", "gss_summary", "hss_summary"}
     early = Training(spark, Settings(l1_grid=("0.1", "0.9", "0.4"), l2_grid=("0.1", "0.9", "0.4"), min_groups=1, solver_options=FEW)).samples(traits).alignment(sequences).fit()
@@ -119,6 +119,22 @@ def test_training_and_prediction(spark):
         predict(sequences.where("gene = 'h'"), one, shift)
 
 
+def test_inputs_of_a_run_by_path(spark, tmp_path):
+    rows = [(g, f"s{i}", ("A" if (i < 4) == (g == "g") else "C") + "ACG"[i % 3]) for i in range(8) for g in ("g", "h")]
+    sequences = spark.createDataFrame(rows, "gene string, seq_id string, seq string")
+    traits = spark.createDataFrame([(f"s{i}", 1.0 if i < 4 else -1.0) for i in range(8)], "seq_id string, trait double")
+    lines = spark.createDataFrame([(0, 0, "g"), (1, 0, "h")], "group_ord int, gene_ord int, gene string")
+    plain = Training(spark, Settings(solver_options={"maxIter": "3"})).samples(traits)
+    run = plain.files(put(tmp_path, "l.txt", "0.2\t0.1\n0.3\t0.1\n"), put(tmp_path, "o.txt", "maxIter\t2\nnote\n"), put(tmp_path, "w.txt", "g\t9\nh\t0.5\n"), put(tmp_path, "f.txt", "1\n2\n1\n2\n1\n2\n1\n2\n"))
+    run.alignment(sequences, lines)
+    assert run.settings.grid() == [("0.2", "0.1"), ("0.3", "0.1")] and run.settings.solver_options == {"maxIter": "2"}
+    assert {(r["group_ord"], r["weight"]) for r in run.encoded()[2].select("group_ord", "weight").distinct().collect()} == {(0, 9.0), (1, 0.5)}
+    models = run.fit()
+    assert {(r["fold"], r["grid_ord"]) for r in models.select("fold", "grid_ord").distinct().collect()} == {(f, g) for f in (0, 1, 2) for g in (0, 1)}
+    with pytest.raises(ValueError):
+        Training(spark, Settings()).files(folds="x")
+
+
 def test_stream(spark, tmp_path):
     model = spark.createDataFrame([("g", 0, "A", 0.5), ("g", 2, "C", -0.2)], "gene string, pos int, allele string, beta double")
     rows = spark.createDataFrame([("g", "s", "ATC"), ("g", "t", "AAA"), ("h", "s", "A")], "gene string, seq_id string, seq string")
