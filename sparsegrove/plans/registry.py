@@ -378,8 +378,8 @@ def fitted(spark, d, pairs, method="logistic", overlapping=False, folds=None, op
     return found, fit.fit_grid(spark, x, views.samples(spark, d), numbered_members(spark, found, overlapping), pairs, method, options, folds)
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return gene_table(*fitted(spark, d, [(0.1, 0.1)]))
+def flagship(spark: SparkSession, d: str, options: Options = Options()) -> DataFrame:
+    return gene_table(*fitted(spark, d, [(0.1, 0.1)], options=options))
 
 
 @query()
