@@ -139,6 +139,19 @@ def variable_columns(cells: DataFrame) -> DataFrame:
     return cells.groupBy("gene", "pos").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi")
 
 
+def numeric_features(columns: DataFrame, gene_order: Column | None = None) -> DataFrame:
+    """number_features() of numeric columns (gene, pos): they have no allele and no support, and are named gene_pos."""
+    return number_features(columns.withColumn("allele", F.lit(None).cast("string")).withColumn("support", F.lit(None).cast("long")), gene_order)
+
+
+def numeric_values(numeric: DataFrame, bits: DataFrame, column: str) -> DataFrame:
+    """gene, seq_id, value and the column's value for every column of bits (gene, pos and it) that is not 0 in a sample; nulls and NaN are 0.
+    A sample's numbers meet their gene's columns as one row, so no cell is shuffled."""
+    places = bits.groupBy("gene").agg(F.collect_list(F.struct("pos", column)).alias("_places"))
+    cells = numeric.join(places, "gene").select("gene", "seq_id", "vals", F.inline("_places"))
+    return cells.select("gene", "seq_id", F.nanvl(F.get("vals", "pos"), F.lit(0.0)).alias("value"), column).where("value <> 0")
+
+
 def missing_counts(samples: DataFrame, alignment: DataFrame) -> DataFrame:
     """gene, missing: how many of the samples a gene's alignment lacks, for genes that lack some."""
     own = samples.select("seq_id").distinct()

@@ -29,6 +29,7 @@ class Training:
     settings: Settings = field(default_factory=Settings)
     people: DataFrame | None = None
     sequences: DataFrame | None = None
+    numbers: DataFrame | None = None
     lines: DataFrame | None = None
     folds: DataFrame | None = None
     penalties: DataFrame | None = None
@@ -75,6 +76,16 @@ class Training:
         self.lines = lines
         return self
 
+    def numeric(self, numbers: DataFrame, lines: DataFrame | None = None) -> Training:
+        """gene, seq_id, vals in place of an alignment: each number that differs between samples is a feature. Samples without a row have
+        zeros, clones take the row of the sample they come from."""
+        if self.people is None:
+            raise ValueError("samples come first")
+        names = self.people.select("seq_id", "base_seq_id")
+        self.numbers = numbers.withColumnRenamed("seq_id", "base_seq_id").join(names, "base_seq_id").select("gene", "seq_id", "vals")
+        self.lines = lines
+        return self
+
     def given(self, folds: DataFrame | None = None, group_weights: DataFrame | None = None) -> Training:
         """Folds (seq_id, fold from 1 on) and penalty weights of groups (group_ord, weight, or group, weight with genes as groups' names)."""
         self.folds, self.penalties = folds or self.folds, group_weights or self.penalties
@@ -95,13 +106,23 @@ class Training:
             self.folds = text.read_folds(self.spark, folds, order).select("seq_id", "fold")
         return self
 
+    def varying(self) -> DataFrame:
+        """gene, pos of the numeric columns that differ between samples; a sample without a row has a zero there."""
+        people = self.people.count()
+        ranges = encode.numeric_cells(self.numbers).groupBy("gene", "pos").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"))
+        return ranges.where((F.col("lo") < F.col("hi")) | ((F.col("n") < people) & (F.col("lo") != 0))).select("gene", "pos")
+
     def encoded(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The design, its features and the membership of groups with weights."""
         s = self.settings
-        cells = encode.explode_cells(self.sequences, s.data_type)
-        options = encode.EncodeOptions(s.data_type, s.bit_count, s.drop_singletons)
-        found = encode.number_features(encode.kept_bits(encode.allele_counts(cells), options))
-        x = encode.one_hot(self.sequences, found, s.data_type)
+        if self.numbers is not None:
+            found = encode.numeric_features(self.varying())
+            x = encode.numeric_values(self.numbers, found, "feature_id").select("feature_id", "seq_id", "value")
+        else:
+            cells = encode.explode_cells(self.sequences, s.data_type)
+            options = encode.EncodeOptions(s.data_type, s.bit_count, s.drop_singletons)
+            found = encode.number_features(encode.kept_bits(encode.allele_counts(cells), options))
+            x = encode.one_hot(self.sequences, found, s.data_type)
         if self.lines is None:
             lines = found.select("gene").distinct().select(F.xxhash64("gene").alias("group_ord"), F.lit(0).alias("gene_ord"), "gene")
         else:
@@ -134,7 +155,8 @@ class Training:
         people = self.people.select("seq_id", "trait")
         subsets = screen.parts_needed(x.count(), found.count(), s.memory) if s.subsets == 0 else s.subsets
         if subsets is not None and subsets > 1:
-            sizes = self.sequences.groupBy("gene").agg(F.sum(F.octet_length("seq")).alias("bytes"))
+            held, length = (self.sequences, F.octet_length("seq")) if self.numbers is None else (self.numbers, 8 * F.size("vals"))
+            sizes = held.groupBy("gene").agg(F.sum(length).alias("bytes"))
             kept_bits, _ = screen.screened(self.spark, x, people, found, members, sizes, subsets, pairs, s.method, options, self.lines)
             kept_bits = stored(kept_bits.select("feature_id"), "screened")
             x, members = x.join(kept_bits, "feature_id", "left_semi"), members.join(kept_bits, "feature_id", "left_semi")
@@ -156,8 +178,11 @@ class Training:
         pss = bits.groupBy(*model, "gene", "pos").agg(F.sum(F.abs("beta")).alias("pss"))
         gss = bits.groupBy(*model, "gene").agg(F.sum(F.abs("beta")).alias("gss"))
         weights = bits.groupBy("gene", "pos", "allele").agg(F.collect_list(F.struct(*model, "beta")).alias("weights"))
-        carried = encode.hits(self.sequences, weights, "weights", self.settings.data_type).select("seq_id", "gene", F.inline("weights"))
-        gsc = carried.groupBy(*model, "seq_id", "gene").agg(F.sum("beta").alias("contribution"))
+        if self.numbers is None:
+            carried = encode.hits(self.sequences, weights, "weights", self.settings.data_type).select("seq_id", "gene", F.lit(1.0).alias("value"), F.inline("weights"))
+        else:
+            carried = encode.numeric_values(self.numbers, weights, "weights").select("seq_id", "gene", "value", F.inline("weights"))
+        gsc = carried.groupBy(*model, "seq_id", "gene").agg(F.sum(F.col("value") * F.col("beta")).alias("contribution"))
         shifts = F.broadcast(models.select(*model, "intercept").distinct())  # one row a model
         every = self.people.select("seq_id", F.col("trait").alias("response")).join(shifts)
         totals = gsc.groupBy(*model, "seq_id").agg(F.sum("contribution").alias("_sum"))

@@ -396,9 +396,15 @@ def optimality(spark, d, loss, share, options):
     """gene, optimal: whether the conditions of a minimum hold in each gene, to a millionth of the site penalty, for a fitted model. Its residuals,
     gradient and conditions are computed anew from the tables."""
     x, found = views.design(spark, d)
-    x, people, members = stored(x, "design"), views.samples(spark, d), views.members(found)
-    model = stored(fit.fit_grid(spark, x, people, numbered_members(spark, found), [(share, share)], loss, options), "model")
+    x = stored(x, "design")
+    people = views.samples(spark, d)
     start = gradient(spark, d, x) if loss == "logistic" else penalty.weighted_sums(x, people.select("seq_id", F.col("trait").alias("b")))
+    return conditions(spark, x, found, people, start, loss, share, options)
+
+
+def conditions(spark, x, found, people, start, loss, share, options):
+    members = views.members(found)
+    model = stored(fit.fit_grid(spark, x, people, numbered_members(spark, found), [(share, share)], loss, options), "model")
     level = with_level(stored(start, "gradient"), penalty.lambda1_max(start), share)
     most = penalty.lambda2_max(level, members, F.col("_level"))
     levels = penalty.lambda1_max(start).join(most).select((F.col("lambda1_max") * share).alias("l1"), (F.col("lambda2_max") * share).alias("l2"))
@@ -423,6 +429,17 @@ def sgl_leastr_optimality(spark, d):
     return optimality(spark, d, "leastr", 0.6, Options(iterations=400, stop=4, tolerance=1e-10))
 
 
+@query(f"WITH {SQL_NUMERIC} SELECT DISTINCT gene, true AS optimal FROM n JOIN embeddings ON vec_id = seq_id WHERE label IS NOT NULL GROUP BY gene, pos HAVING min(value) < max(value)")
+def numeric_leastr_optimality(spark, d):
+    """Least squares on numbers: the labels of vectors by their components, in groups of eight."""
+    numbers, people = views.numeric(spark, d), views.vector_labels(spark, d)
+    numbers = numbers.join(people.select("seq_id"), "seq_id", "left_semi")
+    found = stored(encode.numeric_features(encode.variable_columns(encode.numeric_cells(numbers)).withColumn("_g", views.gene_number()), F.col("_g")), "features")
+    x = stored(encode.numeric_values(numbers, found, "feature_id").select("feature_id", "seq_id", "value"), "design")
+    start = penalty.weighted_sums(x, people.select("seq_id", F.col("trait").alias("b")))
+    return conditions(spark, x, found, people, start, "leastr", 0.2, Options(iterations=200, stop=4, tolerance=1e-11))
+
+
 @query()
 def ol_sgl_logistic_fit(spark, d):
     return gene_table(*fitted(spark, d, [(0.2, 0.2)], overlapping=True))

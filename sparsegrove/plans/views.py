@@ -96,6 +96,12 @@ def numeric(spark: SparkSession, d: str) -> DataFrame:
     return v.select(F.col("vec_id").alias("seq_id"), F.explode(parts).alias("p")).select("p.gene", "seq_id", F.transform("p.vals", lambda x: x.cast("double")).alias("vals"))
 
 
+def vector_labels(spark: SparkSession, d: str) -> DataFrame:
+    """seq_id, trait: the vectors' labels as numbers."""
+    v = table(spark, d, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL AND label IS NOT NULL")
+    return v.select(F.col("vec_id").alias("seq_id"), F.col("label").cast("double").alias("trait"))
+
+
 def tree(spark: SparkSession, d: str) -> DataFrame:
     """Regions, nations and customers under one root; customers are the leaves."""
     region = table(spark, d, "region").select((F.col("r_regionkey").cast("long") + 1).alias("node_id"), F.lit(0).cast("long").alias("parent_id"), F.col("r_name").alias("name"), F.lit(False).alias("is_leaf"))

@@ -3,7 +3,7 @@ predictions and trees."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lambda_label, name_parts, normalize_sequence
@@ -39,17 +39,28 @@ def stem(path):
 
 
 def read_fasta(spark: SparkSession, paths: list[str] | str, data_type: str | None = None, samples: DataFrame | None = None) -> DataFrame:
-    """gene, seq_id, seq: a file is a gene, a record's id its whole header, its lines are joined. With a data_type characters are
-    normalised; with samples only theirs are kept. Of repeated ids the last stays; empty records are left out."""
-    whole = spark.read.text(paths, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("gene"), F.posexplode(F.split("value", "(^|\n)>")).alias("_at", "record"))
-    parts = F.split("record", "\r?\n", 2)
-    records = whole.select("gene", "_at", F.trim(parts[0]).alias("seq_id"), F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), "\\s", "").alias("seq")).where("seq <> '' AND seq_id <> ''")
-    last = records.groupBy("gene", "seq_id").agg(F.max_by("seq", "_at").alias("seq"))
+    """gene, seq_id, seq: a file, or a folder gene=<name> of files, is a gene, a record's id its whole header, its lines are joined. With a
+    data_type characters are normalised; with samples only theirs are kept. Of repeated ids the last stays; empty records are left out.
+    Records are cut by Spark's reader, so a large file is read by many tasks, and a record lies where it starts."""
+    file, parts = F.col("_metadata.file_path"), F.split("value", "\r?\n", 2)
+    folder = F.regexp_extract(file, "/gene=([^/]*)/[^/]*$", 1)
+    place = F.struct(file, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at")  # a block is read by one task, in order
+    scan = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", True).text(paths)
+    header = F.trim(F.regexp_replace(parts[0], "^>", ""))
+    sequence = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), "\\s", "")
+    records = scan.select(F.when(folder != "", F.url_decode(folder)).otherwise(stem(file)).alias("gene"), place, header.alias("seq_id"), sequence.alias("seq")).where("seq <> '' AND seq_id <> ''")
     if samples is not None:
-        last = last.join(samples.select(F.col("seq_id").cast("string").alias("seq_id")).distinct(), "seq_id", "left_semi")
+        records = records.join(samples.select(F.col("seq_id").cast("string").alias("seq_id")).distinct(), "seq_id", "left_semi")
+    last = records.groupBy("gene", "seq_id").agg(F.max_by("seq", "_at").alias("seq"))
     return last.select("gene", "seq_id", F.col("seq") if data_type is None else normalize_sequence(F.col("seq"), data_type).alias("seq"))
 
 
+def write_fasta(alignment: DataFrame, path: str, width: int = 60) -> None:
+    """A folder gene=<name> for each gene, its records in lines of `width` characters."""
+    body = F.array_join(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), "\n")
+    alignment.select("gene", F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit("\n"), body).alias("value")).write.partitionBy("gene").text(path)
+
+
 def check_lengths(alignment: DataFrame) -> None:
     """Sequences of one gene with different lengths are an error."""
     bad = alignment.groupBy("gene").agg(F.min(F.length("seq")).alias("lo"), F.max(F.length("seq")).alias("hi")).where("lo <> hi").limit(3).collect()
@@ -220,18 +231,86 @@ def read_vector(spark: SparkSession, path: str) -> list[float]:
     return [float(x) for x in (text["value"] if text else "").split()]
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """rows with `number`, from 0 on, by their place in the files in order of name. Only the sizes of blocks are numbered one after the other."""
+    key = ["_file", "_start"]
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    sizes = placed.groupBy(*key).agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"))  # one row a block
+    before = sizes.select(*key, "_least", (F.sum("_n").over(Window.orderBy(*key)) - F.col("_n")).alias("_before"))
+    return placed.join(before, key).withColumn("number", F.col("_before") + F.col("_id") - F.col("_least")).drop("_id", "_least", "_before", *key)
+
+
+def write_cells(cells: DataFrame, path: str, sep: str = ",") -> None:
+    """line, at, value as lines of values in order of `at`. Each value is a record of Spark's writer, sorted in ranges: the parts, put
+    together by name, are the file, and no line is held whole. A separator ends each value, also a line's last."""
+    starts = cells.groupBy("line").agg(F.min("at").alias("_first"))
+    head = F.when((F.col("at") == F.col("_first")) & (F.col("line") > 0), "\n").otherwise("")
+    cells.join(starts, "line").orderBy("line", "at").select(F.concat(head, F.col("value")).alias("value")).write.option("lineSep", sep).text(path)
+
+
+def read_cells(spark: SparkSession, path: str, lines_at_most: int, sep: str = ",") -> DataFrame:
+    """line, at, value of a few long lines, which many tasks read: a value is a record. Blank values are left out; more lines are an error."""
+    records = in_order(spark.read.option("lineSep", sep).text(path))
+    breaks = records.where(F.instr("value", "\n") > 0).select("number", F.regexp_count("value", F.lit("\n")).alias("n")).orderBy("number").limit(lines_at_most + 1).collect()
+    starts, line = [(0, -1, 0)], 0  # line, the record in which it starts, the records before
+    for r in breaks:
+        starts += [(line + i, r["number"], r["number"]) for i in range(1, r["n"] + 1)]
+        line += r["n"]
+    parts = records.select("number", F.posexplode(F.split("value", "\n")).alias("_part", "value"))
+    known = spark.createDataFrame(starts, "line int, _record long, _before long")
+    line_before = F.expr("CAST(" + " + ".join(["0", *[f"IF(number > {r['number']}, {r['n']}, 0)" for r in breaks]]) + " AS INT)")
+    found = parts.withColumn("line", line_before + F.col("_part")).where("trim(value) <> ''").join(F.broadcast(known), "line")
+    if not found.where(F.col("line") >= lines_at_most).isEmpty():
+        raise ValueError(f"there are more than {lines_at_most} lines")
+    return found.select("line", (F.col("number") - F.col("_before")).alias("at"), F.trim("value").alias("value"))
+
+
+def write_group_index(index: DataFrame, path: str) -> None:
+    """Three lines of starts, ends and weights of the groups in their order. index: group_ord, start, end, weight."""
+    values = F.posexplode(F.array(*[F.col(c).cast("string") for c in ("start", "end", "weight")])).alias("line", "value")
+    write_cells(index.select(F.col("group_ord").alias("at"), values), path)
+
+
 def read_group_index(spark: SparkSession, path: str) -> DataFrame:
     """group_ord, start, end, weight from three lines of starts, ends and weights."""
-    rows = [[float(v) for v in line.replace(",", "\t").split("\t") if v.strip()] for line in spark.read.text(path, wholetext=True).first()["value"].splitlines() if line.strip()]
-    if len(rows) != 3 or len({len(r) for r in rows}) != 1:
+    cells = read_cells(spark, path, 3)
+    rows = cells.groupBy(F.col("at").cast("int").alias("group_ord")).agg(*[F.max(F.when(F.col("line") == i, F.col("value").cast("double"))).alias(c) for i, c in enumerate(("start", "end", "weight"))])
+    if not rows.where("start IS NULL OR end IS NULL OR weight IS NULL").isEmpty():
         raise ValueError("a group index has three lines of equal length")
-    return spark.createDataFrame([(i, int(a), int(b), w) for i, (a, b, w) in enumerate(zip(*rows, strict=True))], "group_ord int, start long, end long, weight double")
+    return rows.select("group_ord", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "weight").orderBy("group_ord")
+
+
+def write_field(members: DataFrame, path: str) -> None:
+    """One line of the features of all groups, by group and slot. members: group_ord, slot, feature_id."""
+    write_cells(members.select(F.lit(0).alias("line"), F.struct("group_ord", "slot").alias("at"), F.col("feature_id").cast("string").alias("value")), path)
+
+
+def read_field(spark: SparkSession, path: str) -> DataFrame:
+    """at, feature_id: the slots of a field, from 1 on, as a group index counts them."""
+    return read_cells(spark, path, 1).select((F.col("at") + 1).alias("at"), F.col("value").cast("long").alias("feature_id"))
+
+
+def write_design(x: DataFrame, samples: DataFrame, features: int, path: str, together: int = 1024) -> None:
+    """A dense table, a row for each sample (seq_id, ord from 0 on) and a column for each of the features 1 to `features`; what x lacks is 0.
+    A record of the writer is `together` columns of a row, so a row is never one value."""
+    block = F.floor((F.col("feature_id") - 1) / together)
+    held = x.join(samples.select("seq_id", "ord"), "seq_id").groupBy("ord", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("feature_id", "value"))).alias("_cells"))
+    every = samples.select("ord", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((features - 1) // together).cast("long"))).alias("block"))
+    low, high = F.col("block") * together, F.least((F.col("block") + 1) * together, F.lit(features))
+    zeros = lambda n: F.array_repeat(F.lit("0"), n.cast("int"))
+    known = F.coalesce("_cells", F.array().cast(held.schema["_cells"].dataType))
+    gap = lambda c, i: c["feature_id"] - F.when(i == 0, low).otherwise(F.get("_cells", i - 1)["feature_id"]) - 1
+    inner = F.flatten(F.transform(known, lambda c, i: F.concat(zeros(gap(c, i)), F.array(c["value"].cast("string")))))
+    last = F.coalesce(F.get("_cells", F.size("_cells") - 1)["feature_id"], low)
+    values = F.array_join(F.concat(inner, zeros(high - last)), ",")
+    rows = every.join(held, ["ord", "block"], "left").select(F.col("ord").alias("line"), F.col("block").alias("at"), values.alias("value"))
+    write_cells(rows, path)
 
 
 def read_design(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """feature_id, ord, value of a dense table without header, a row for each sample in file order; zeros are left out."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "line")).where("trim(line) <> ''")
-    cells = rows.select("ord", F.posexplode(F.split("line", sep)).alias("_at", "v")).where("trim(v) <> ''")
+    rows = in_order(spark.read.text(path)).where("trim(value) <> ''")
+    cells = rows.select(F.col("number").alias("ord"), F.posexplode(F.split("value", sep)).alias("_at", "v")).where("trim(v) <> ''")
     return cells.select((F.col("_at") + 1).cast("long").alias("feature_id"), "ord", F.trim("v").cast("double").alias("value")).where("value <> 0")
 
 
