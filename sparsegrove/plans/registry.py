@@ -762,3 +762,106 @@ def scores_file(spark, d):
     text.write_scores(people_of(spark, d)[1], path)
     rows = spark.read.option("sep", "\t").option("nullValue", "nan").schema("seq_id string, response double, sps double, spp double").csv(path)
     return rows.withColumn("spp", F.round("spp", 7))
+
+
+@query("SELECT doc_id::VARCHAR AS seq_id, upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', '-', 'g')) AS seq FROM documents WHERE doc_id IS NOT NULL AND text <> ''")
+def fasta_file(spark, d):
+    """All documents as records of one alignment, in lines of 60 characters, cut into records again by the blocks of its files."""
+    path = file(spark, "fasta")
+    docs = views.table(spark, d, "documents").where("doc_id IS NOT NULL AND text <> ''")
+    text.write_fasta(docs.select(F.lit("texts").alias("gene"), F.col("doc_id").alias("seq_id"), encode.normalize_sequence(F.col("text"), "protein").alias("seq")), path)
+    return text.read_fasta(spark, path, "protein").where("gene = 'texts'").select("seq_id", "seq")
+
+
+@query(f"WITH {SQL_OVERLAP}, s AS (SELECT group_ord, count(*) AS size FROM field GROUP BY ALL) SELECT CAST(row_number() OVER (ORDER BY group_ord) - 1 AS INTEGER) AS group_ord, CAST(sum(size) OVER (ORDER BY group_ord) - size + 1 AS BIGINT) AS start, CAST(sum(size) OVER (ORDER BY group_ord) AS BIGINT) AS \"end\", sqrt(size) AS weight FROM s")
+def group_index_file(spark, d):
+    """The groups in three long lines; a group is known by its place in them."""
+    path, found = file(spark, "groups"), views.features(spark, d)
+    text.write_group_index(groups.group_index(groups.field(found, views.overlap_groups(found))), path)
+    return text.read_group_index(spark, path)
+
+
+@query(f"WITH {SQL_OVERLAP} SELECT row_number() OVER (ORDER BY group_ord, slot) AS at, feature_id FROM field")
+def field_file(spark, d):
+    """The features of all groups in one long line."""
+    path, found = file(spark, "field"), views.features(spark, d)
+    text.write_field(groups.field(found, views.overlap_groups(found)), path)
+    return text.read_field(spark, path)
+
+
+@query(f"WITH {SQL_NUMERIC}, f AS (SELECT gene, pos, row_number() OVER (ORDER BY CAST(substr(gene, 2) AS INTEGER), pos) AS feature_id FROM n GROUP BY gene, pos HAVING min(value) < max(value)), o AS (SELECT vec_id AS seq_id, row_number() OVER (ORDER BY vec_id) - 1 AS ord FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL) SELECT feature_id, ord, value FROM n JOIN f USING (gene, pos) JOIN o USING (seq_id) WHERE value <> 0")
+def design_file(spark, d):
+    """The design of the vectors as a dense table, a row a vector."""
+    path, numbers = file(spark, "design"), views.numeric(spark, d)
+    found = stored(encode.numeric_features(encode.variable_columns(encode.numeric_cells(numbers)).withColumn("_g", views.gene_number()), F.col("_g")), "features")
+    people = views.numbered(numbers.select("seq_id").distinct(), "seq_id")
+    text.write_design(encode.numeric_values(numbers, found, "feature_id"), people, found.count(), path, 24)
+    return text.read_design(spark, path)
+
+
+@query(f"WITH {views.SQL_CELLS}, present AS (SELECT DISTINCT gene, seq_id FROM cells), genes AS (SELECT DISTINCT gene FROM present) SELECT g.gene, s.seq_id::VARCHAR AS seq_id FROM genes g, samples s ANTI JOIN present p ON p.gene = g.gene AND p.seq_id = s.seq_id")
+def missing_file(spark, d):
+    path = file(spark, "missing")
+    text.write_missing(missing_log(spark, d), path)
+    return spark.read.option("sep", "\t").schema("gene string, seq_id string").csv(path)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS ord, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS trait FROM labels WHERE quality IS NOT NULL")
+def response_file(spark, d):
+    """A trait a line, in the order of the samples."""
+    path = file(spark, "response")
+    text.write_response(views.numbered(views.samples(spark, d), "seq_id"), path)
+    return text.in_order(spark.read.text(path)).select(F.col("number").alias("ord"), F.col("value").cast("double").alias("trait"))
+
+
+@query(f"WITH {SQL_RANKED}, p AS (SELECT CASE WHEN st < 0 THEN 1.0 ELSE -1.0 END AS sign, CASE WHEN st < 0 THEN np ELSE nn END AS n, CAST(ceil(abs(st)) AS BIGINT) AS d FROM t WHERE abs(st) >= 1), c AS (SELECT sign, i, ((i + 1) * 2654435761 % 4294967296) % n + 1 AS class_rank FROM (SELECT *, unnest(range(d)) AS i FROM p WHERE n > 0)) SELECT seq_id::VARCHAR AS seq_id, trait FROM s UNION ALL SELECT seq_id || CASE WHEN sign > 0 THEN '_pos_dup' ELSE '_neg_dup' END || (-i), trait FROM c JOIN r ON r.trait = sign AND r.class_rank = c.class_rank")
+def hypothesis_file(spark, d):
+    """Ids and traits after upsampling."""
+    path = file(spark, "hypothesis")
+    text.write_hypothesis(upsample(spark, d), path)
+    return text.read_traits(spark, path)
+
+
+@query(f"WITH {views.SQL_FEATURES} SELECT gene, size, CAST(substr(gene, 2) AS INTEGER) % 7 + 0.5::DOUBLE AS weight FROM groups")
+def group_weights_file(spark, d):
+    """Penalty weights of groups from a file of names and weights."""
+    path, sizes = file(spark, "weights"), groups.gene_groups(views.features(spark, d))
+    index = sizes.select(views.gene_number().alias("group_ord"), "gene", "size", "weight")
+    given = (F.pmod("group_ord", F.lit(7)) + F.lit(0.5)).cast("string")
+    index.select(F.concat_ws("\t", "gene", given).alias("line")).write.text(path)
+    names = index.select("group_ord", F.col("gene").alias("group"))
+    return groups.group_weights(index, text.read_group_weights(spark, path), names).select("gene", "size", "weight")
+
+
+@query("WITH t AS (SELECT hour(ts) % 2 AS table_id, user_id AS seq_id, event_type AS field, sum(CAST(floor(coalesce(value, 0) * 64) AS BIGINT))::DOUBLE / 4096 AS contribution FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL), m AS (SELECT seq_id, field, avg(contribution) AS contribution FROM t GROUP BY ALL), s AS (SELECT seq_id, sum(contribution) AS prediction FROM m GROUP BY ALL), f AS (SELECT DISTINCT field FROM m) SELECT s.seq_id::VARCHAR AS seq_id, CASE WHEN s.seq_id % 3 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS response, round(prediction, 9) AS prediction, f.field, coalesce(m.contribution, 0) AS contribution FROM s CROSS JOIN f LEFT JOIN m ON m.seq_id = s.seq_id AND m.field = f.field")
+def merged_file(spark, d):
+    """The merged prediction table, written wide and read again."""
+    path = file(spark, "merged")
+    merged = view.merge_predictions(views.tables_of_predictions(spark, d))
+    fields = [r[0] for r in merged.select("field").distinct().orderBy("field").collect()]  # the event types: a handful
+    people = merged.groupBy("seq_id").agg(F.sum("contribution").alias("sps")).withColumn("response", views.response())
+    text.write_predictions(people, merged.withColumnRenamed("field", "group"), 0.0, fields, path)
+    return text.read_predictions(spark, path).select("seq_id", "response", r9("prediction").alias("prediction"), "field", "contribution")
+
+
+@query(f"WITH {views.SQL_MODEL} SELECT 'gss' AS stat, gene AS name, sum(abs(beta)) AS value FROM model WHERE beta <> 0 GROUP BY gene UNION ALL SELECT 'pss', gene || '_' || pos, sum(abs(beta)) FROM model WHERE beta <> 0 GROUP BY gene, pos UNION ALL SELECT 'hss', '', sum(abs(beta)) FROM model")
+def stats_files(spark, d):
+    """The scores of positions, genes and the hypothesis as files of their own."""
+    path = file(spark, "stats")
+    model = views.model(stored(views.features(spark, d), "features"))
+    per_site = score.position_scores(model)
+    tables = {"pss": per_site, "gss": score.gene_scores(model), "hss": score.hypothesis_score(score.gene_scores(model))}
+    text.write_statistics(tables, path)
+    return text.read_statistics(spark, path)
+
+
+@query(f"WITH {views.SQL_APPLY} SELECT doc_id AS seq_id, CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS response, coalesce(total, 0) + 0.125 AS sps FROM (SELECT doc_id FROM documents WHERE text <> '') JOIN labels USING (doc_id) LEFT JOIN applied ON seq_id = doc_id WHERE quality IS NOT NULL")
+def apply_response(spark, d):
+    """The model applied with a response file: only its sequences stay."""
+    from . import api
+
+    path = file(spark, "responses")
+    views.samples(spark, d).select(F.concat_ws("\t", F.col("seq_id").cast("string"), F.col("trait").cast("string"))).write.text(path)
+    found = stored(views.features(spark, d), "features")
+    response = text.read_traits(spark, path, response=True).withColumn("seq_id", F.col("seq_id").cast("long"))
+    return api.predict(views.alignment(spark, d), views.model(found), 0.125, response=response, data_type="protein")[0].select("seq_id", "response", "sps")

@@ -5,7 +5,7 @@ Each view has the SQL that other engines build it with, so that a query and its
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import encode, groups
@@ -60,6 +60,15 @@ def gene_number(gene="gene"):
     return F.substring(gene, 2, 10).cast("int")
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ord, from 0 on by the key: rows are sorted in ranges, and only the ranges' sizes are summed one after the other."""
+    placed = stored(rows.orderBy(key).withColumn("_part", F.spark_partition_id()), "sorted")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return placed.withColumn("_in", inside).join(before, "_part").withColumn("ord", F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_before")
+
+
 def features(spark: SparkSession, d: str, options: encode.EncodeOptions = OPTIONS) -> DataFrame:
     bits = encode.kept_bits(encode.allele_counts(cells(spark, d)), options)
     return encode.number_features(bits.withColumn("gene_ord", gene_number()), F.col("gene_ord"))

@@ -343,3 +343,22 @@ def write_missing(missing: DataFrame, path: str) -> None:
 def write_scores(scores: DataFrame, path: str) -> None:
     """seq_id, response, sps, spp."""
     write_table(scores, path, ["seq_id", "response", "sps", "spp"])
+
+
+def write_statistics(tables: dict[str, DataFrame], path: str) -> None:
+    """A folder of names and values for each statistic: positions by gene_pos, genes by name, the hypothesis without one."""
+    for stat, table in tables.items():
+        keys = [c for c in ("seq_id", "gene", "pos") if c in table.columns]
+        value = next(c for c in table.columns if c not in keys)
+        name = F.concat_ws("_", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+        write_table(table.select(name.alias("name"), F.col(value).alias("value")), f"{path}/{stat}.txt", ["name", "value"], ["name"])
+
+
+def read_statistics(spark: SparkSession, path: str, stats: tuple[str, ...] = ("pss", "gss", "hss")) -> DataFrame:
+    """stat, name, value of written statistics; nan is null."""
+    rows = lambda stat: spark.read.option("sep", "\t").option("emptyValue", "").option("nullValue", "nan").schema("name string, value double").csv(f"{path}/{stat}.txt")
+    out = None
+    for stat in stats:
+        own = rows(stat).select(F.lit(stat).alias("stat"), F.coalesce("name", F.lit("")).alias("name"), "value")
+        out = own if out is None else out.unionByName(own)
+    return out
