@@ -38,17 +38,23 @@ def stem(path):
     return F.regexp_replace(F.regexp_extract(path, "([^/\\\\]*)$", 1), r"\.[^.]*$", "")
 
 
+def unescaped(path):
+    """A path without its percent codes; others are left as they are."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def read_fasta(spark: SparkSession, paths: list[str] | str, data_type: str | None = None, samples: DataFrame | None = None) -> DataFrame:
     """gene, seq_id, seq: a file, or a folder gene=<name> of files, is a gene, a record's id its whole header, its lines are joined. With a
-    data_type characters are normalised; with samples only theirs are kept. Of repeated ids the last stays; empty records are left out.
+    data_type characters are normalised; with samples only theirs are kept. Of repeated ids the last stays; empty records are left out, as is
+    a further `>` before an id.
     Records are cut by Spark's reader, so a large file is read by many tasks, and a record lies where it starts."""
-    file, parts = F.col("_metadata.file_path"), F.split("value", "\r?\n", 2)
+    file, parts = unescaped(F.col("_metadata.file_path")), F.split("value", "\r?\n", 2)
     folder = F.regexp_extract(file, "/gene=([^/]*)/[^/]*$", 1)
-    place = F.struct(file, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at")  # a block is read by one task, in order
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at")  # a block is read by one task, in order
     scan = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", True).text(paths)
     header = F.trim(F.regexp_replace(parts[0], "^>", ""))
     sequence = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), "\\s", "")
-    records = scan.select(F.when(folder != "", F.url_decode(folder)).otherwise(stem(file)).alias("gene"), place, header.alias("seq_id"), sequence.alias("seq")).where("seq <> '' AND seq_id <> ''")
+    records = scan.select(F.when(folder != "", unescaped(folder)).otherwise(stem(file)).alias("gene"), place, header.alias("seq_id"), sequence.alias("seq")).where("seq <> '' AND seq_id <> ''")
     if samples is not None:
         records = records.join(samples.select(F.col("seq_id").cast("string").alias("seq_id")).distinct(), "seq_id", "left_semi")
     last = records.groupBy("gene", "seq_id").agg(F.max_by("seq", "_at").alias("seq"))
@@ -72,7 +78,7 @@ def read_numeric(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """gene, seq_id, vals: tab-separated numbers after the id; `-` and `?` are 0."""
     cells = F.split("value", "\t")
     number = lambda c: F.when(F.trim(c).isin("-", "?"), 0.0).otherwise(F.trim(c).cast("double"))
-    rows = spark.read.text(paths).where("trim(value) <> ''").select(stem(F.col("_metadata.file_path")).alias("gene"), F.trim(cells[0]).alias("seq_id"), F.expr("slice(split(value, '\t'), 2, size(split(value, '\t')))").alias("_v"))
+    rows = spark.read.text(paths).where("trim(value) <> ''").select(stem(unescaped(F.col("_metadata.file_path"))).alias("gene"), F.trim(cells[0]).alias("seq_id"), F.expr("slice(split(value, '\t'), 2, size(split(value, '\t')))").alias("_v"))
     return rows.select("gene", "seq_id", F.transform("_v", number).alias("vals"))
 
 

@@ -42,6 +42,82 @@ def test_fasta_and_lists(spark, tmp_path):
     assert {r["gene"]: r["bytes"] for r in text.alignment_bytes(spark, [two]).collect()} == {"g2": 6}
 
 
+@pytest.fixture
+def small_blocks(spark):
+    """f(bytes): files are read in blocks of so many bytes."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    yield lambda n: [spark.conf.set(k, f"{n}b") for k in keys]
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def plain_fasta(content):
+    out = {}
+    for record in ("\n" + content).replace("\r", "").split("\n>")[1:]:
+        name, _, body = record.partition("\n")
+        if name.strip() and "".join(body.split()):
+            out[name.strip()] = "".join(body.split())
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 16, 50, 1000])
+def test_fasta_records_over_blocks(spark, tmp_path, small_blocks, block):
+    content = ">a\nAC\nGT\n>long one\n" + "ACGT\n" * 9 + ">empty\n>\nAA\n>b\r\nC\r\nG\r\n\n>a\nTT\n>last\nG"
+    path = put(tmp_path, "g.fa", content)
+    small_blocks(block)
+    found = text.read_fasta(spark, path)
+    assert {r["seq_id"]: r["seq"] for r in found.collect()} == plain_fasta(content)
+    assert spark.read.option("lineSep", "\n>").text(path).rdd.getNumPartitions() == -(-len(content) // block)
+
+
+def test_fasta_written_and_read(spark, tmp_path, small_blocks):
+    rows = [(g, f"s{i}", ("ACGT" * 50)[i : i + 20 * i + 1]) for i in range(9) for g in ("one", "a b/c=d", "x_1")]
+    text.write_fasta(spark.createDataFrame(rows, "gene string, seq_id string, seq string"), str(tmp_path / "f"), 7)
+    small_blocks(40)
+    assert {tuple(r) for r in text.read_fasta(spark, str(tmp_path / "f")).collect()} == set(rows)
+    text.write_fasta(spark.createDataFrame([], "gene string, seq_id string, seq string"), str(tmp_path / "none"))
+    assert text.read_fasta(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 20, 100000])
+def test_long_lines_and_dense_tables(spark, tmp_path, small_blocks, block):
+    index = [(i, 3 * i + 1, 3 * i + 3, i + 0.5) for i in range(40)]
+    text.write_group_index(spark.createDataFrame(index, "group_ord int, start long, end long, weight double").repartition(5), str(tmp_path / "i"))
+    members = [(g, slot, 100 * g + slot) for g in range(6) for slot in range(1, 5)]
+    text.write_field(spark.createDataFrame(members, "group_ord int, slot int, feature_id long").repartition(3), str(tmp_path / "f"))
+    cells = [(f, f"s{i}", f + i / 8) for f in range(1, 12) for i in range(7) if (f * i) % 3 == 1]
+    people = spark.createDataFrame([(f"s{i}", i) for i in range(7)], "seq_id string, ord long")
+    text.write_design(spark.createDataFrame(cells, "feature_id long, seq_id string, value double"), people, 11, str(tmp_path / "d"), 4)
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "d").glob("part-*"))).decode().split("\n")
+    held = {(f, int(s[1:])): v for f, s, v in cells}
+    assert [[float(v) for v in line.rstrip(",").split(",")] for line in whole] == [[held.get((f, i), 0.0) for f in range(1, 12)] for i in range(7)]
+    small_blocks(block)
+    assert [tuple(r) for r in text.read_group_index(spark, str(tmp_path / "i")).collect()] == index
+    assert [r["feature_id"] for r in text.read_field(spark, str(tmp_path / "f")).orderBy("at").collect()] == [m[2] for m in members]
+    with pytest.raises(ValueError):
+        text.read_field(spark, str(tmp_path / "i"))
+    one = put(tmp_path, "d.csv", "\n".join(whole))
+    assert {(r["feature_id"], r["ord"]): r["value"] for r in text.read_design(spark, one).collect()} == held
+
+
+def test_numeric_training(spark):
+    rows = [(g, f"s{i}", [float(i < 5) if g == "g" else 0.25, (i * 7 % 10) / 8, 3.0]) for i in range(10) for g in ("g", "h") if (g, i) != ("h", 3)]
+    numbers = spark.createDataFrame(rows, "gene string, seq_id string, vals array<double>")
+    traits = spark.createDataFrame([(f"s{i}", 2.0 if i < 5 else -1.0) for i in range(10)], "seq_id string, trait double")
+    run = Training(spark, Settings(method="leastr", l1="0.05", l2="0.05", solver_options={"maxIter": "12"})).samples(traits).numeric(numbers)
+    x, found, _ = run.encoded()
+    assert {r["name"] for r in found.collect()} == {"g_0", "g_1", "h_0", "h_1", "h_2"}  # s3 lacks h, so its constants differ from zero
+    values = {(r["name"], r["seq_id"]): r["value"] for r in x.join(found, "feature_id").collect()}
+    assert values == {(f"{g}_{p}", s): v for g, s, vals in rows for p, v in enumerate(vals) if v and (g, p) != ("g", 2)}
+    tables = run.scores(models := run.fit())
+    beta = {r["feature_id"]: r["beta"] for r in models.where("feature_id IS NOT NULL").collect()}
+    names = {r["feature_id"]: r["name"] for r in found.collect()}
+    want = {f"s{i}": sum(b * values.get((names[f], f"s{i}"), 0.0) for f, b in beta.items()) for i in range(10)}
+    assert {r["seq_id"]: r["sps"] for r in tables["sps"].collect()} == pytest.approx(want)
+    assert tables["evaluation"].first()["rmse"] < 1.0
+
+
 def test_numbers_grids_and_options(spark, tmp_path):
     rows = text.read_numeric(spark, put(tmp_path, "n.txt", "a\t1.5\t-\nb\t?\t2\n")).collect()
     assert {(r["gene"], r["seq_id"], tuple(r["vals"])) for r in rows} == {("n", "a", (1.5, 0.0)), ("n", "b", (0.0, 2.0))}
