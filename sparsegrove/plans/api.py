@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import shared_hash
@@ -23,7 +23,8 @@ from ..sources import text
 
 @dataclass
 class Training:
-    """One hypothesis. Every step returns the run itself or a DataFrame. seconds: the wall-clock time of the phases so far."""
+    """One hypothesis. Every step returns the run itself or a DataFrame. seconds: the wall-clock time of the phases so far; rows: those of the
+    tables that each phase wrote, counted while they were written."""
 
     spark: SparkSession
     settings: Settings = field(default_factory=Settings)
@@ -34,6 +35,7 @@ class Training:
     folds: DataFrame | None = None
     penalties: DataFrame | None = None
     seconds: dict[str, float] = field(default_factory=dict)
+    rows: list[tuple[str, str, int]] = field(default_factory=list)
 
     def samples(self, traits: DataFrame) -> Training:
         """seq_id, trait; zeros are left out. Balances the classes as the settings say."""
@@ -139,7 +141,7 @@ class Training:
         subsets the genes are screened first, and the grid is fitted on those that are kept."""
         s = self.settings
         began = time.perf_counter()
-        x, found, members = (stored(t, "encoded") for t in self.encoded())
+        x, found, members = (self.counted("preprocessing", n, t) for n, t in zip(("design", "features", "members"), self.encoded(), strict=True))
         self.seconds["preprocessing"] = time.perf_counter() - began
         began = time.perf_counter()
         pairs = [(float(a), float(b)) for a, b in s.grid()]
@@ -165,10 +167,29 @@ class Training:
         else:
             models, kept = fit.fit_grid(self.spark, x, people, members, pairs, s.method, options, folds), [(i, False) for i in range(len(pairs))]
         table = self.spark.createDataFrame(kept, "grid_ord int, below_min_groups boolean")
-        out = stored(models.join(F.broadcast(table), "grid_ord").join(found.select("feature_id", "gene", "pos", "allele"), "feature_id", "left"), "models")
+        out = self.counted("fit", "models", models.join(F.broadcast(table), "grid_ord").join(found.select("feature_id", "gene", "pos", "allele"), "feature_id", "left"))
         self.seconds["fit"] = time.perf_counter() - began
         return out
 
+    def counted(self, phase: str, name: str, df: DataFrame) -> DataFrame:
+        """df as a table, its rows noted."""
+        seen = Observation()
+        out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        self.rows.append((phase, name, seen.get.get("n", 0)))
+        return out
+
+    def analysed(self, models: DataFrame) -> dict[str, DataFrame]:
+        """scores() as tables, so that the time and rows of the analysis are those of its whole work."""
+        began = time.perf_counter()
+        tables = {name: self.counted("analysis", name, t) for name, t in self.scores(models).items()}
+        self.seconds["analysis"] = time.perf_counter() - began
+        return tables
+
+    def phases(self) -> DataFrame:
+        """phase, table, rows, seconds (of the phase) of what the run has written so far."""
+        known = [(phase, name, n, self.seconds.get(phase)) for phase, name, n in self.rows]
+        return self.spark.createDataFrame(known, "phase string, table string, rows long, seconds double")
+
     def scores(self, models: DataFrame) -> dict[str, DataFrame]:
         """Long tables over all models: pss, gss, hss, sps, gsc and evaluation, and the summaries of those models that pass the quality
         cutoffs. Settings.stats picks tables by letter (all by default); with summary_only there are summaries and evaluation only."""

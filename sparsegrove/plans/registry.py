@@ -476,6 +476,26 @@ def sgl_grid_early_stop(spark, d):
     return models.groupBy("grid_ord", "l1", "l2", "nz_groups").agg(F.count("feature_id").alias("n_bits"), F.round(F.sum(F.abs("beta")), 6).alias("hss")).join(flags, "grid_ord")
 
 
+SQL_PHASES = """WITH c AS (SELECT c_name AS seq_id, CASE WHEN c_acctbal > 4500 THEN 1.0 ELSE -1.0 END AS trait, rpad(c_mktsegment, 10, '-') AS segment, lpad(CAST(abs(CAST(round(c_acctbal * 100) AS BIGINT)) AS VARCHAR), 9, '0') AS balance, lpad(c_custkey::VARCHAR, 9, '0') AS number FROM customer),
+g AS (SELECT seq_id, 'segment' AS gene, segment AS seq FROM c UNION ALL SELECT seq_id, 'balance', balance FROM c UNION ALL SELECT seq_id, 'number', number FROM c),
+l AS (SELECT gene, seq_id, unnest(string_split(seq, '')) AS ch, generate_subscripts(string_split(seq, ''), 1) AS pos FROM g),
+a AS (SELECT gene, pos, ch, count(*) AS n FROM l WHERE ch <> '-' GROUP BY ALL),
+f AS (SELECT gene, pos, ch, n FROM a JOIN (SELECT gene, pos FROM a GROUP BY ALL HAVING count(*) >= 2) USING (gene, pos) WHERE n >= 2)
+SELECT 'preprocessing' AS phase, 'design' AS "table", CAST(sum(n) AS BIGINT) AS rows FROM f UNION ALL SELECT 'preprocessing', unnest(['features', 'members']), count(*) FROM f UNION ALL SELECT 'analysis', unnest(['sps', 'hss', 'evaluation']), unnest([(SELECT count(*) FROM c), 1, 1])"""
+
+
+@query(SQL_PHASES)
+def phase_rows(spark, d):
+    """The rows that the phases of a run over the customers wrote, where they do not depend on the weights."""
+    from . import api
+
+    customers = views.table(spark, d, "customer")
+    traits = customers.select(F.col("c_name").alias("seq_id"), F.when(F.col("c_acctbal") > 4500, 1.0).otherwise(-1.0).alias("trait"))
+    run = api.Training(spark, grid.Settings(bit_count=2, stats="HS", solver_options={"maxIter": "2"})).samples(traits).alignment(views.customer_alignment(spark, d))
+    run.analysed(run.fit())
+    return run.phases().where("table IN ('design', 'features', 'members', 'sps', 'hss', 'evaluation')").select("phase", "table", "rows")
+
+
 @query()
 def all_clades_fit(spark, d):
     """A model for every named clade of the customers' tree, each a hypothesis of its own over one design."""

@@ -177,6 +177,8 @@ def test_training_and_prediction(spark):
     folds = Training(spark, Settings(kfold=3, solver_options=FEW)).samples(traits).alignment(sequences).fit()
     assert {r["fold"] for r in folds.select("fold").distinct().collect()} == {0, 1, 2, 3}  # and one on all samples
     assert set(run.seconds) == {"preprocessing", "fit", "analysis"}
+    phases = {(r["phase"], r["table"]): r["rows"] for r in run.phases().collect()}
+    assert phases["preprocessing", "members"] == phases["preprocessing", "features"] > 0 and phases["fit", "models"] == models.count()
     short = Training(spark, Settings(stats="GH", summary_only=True, solver_options=FEW)).samples(traits).alignment(sequences)
     assert set(short.scores(short.fit())) == {"evaluation", "gss_summary", "hss_summary"}
     early = Training(spark, Settings(l1_grid=("0.1", "0.9", "0.4"), l2_grid=("0.1", "0.9", "0.4"), min_groups=1, solver_options=FEW)).samples(traits).alignment(sequences).fit()
