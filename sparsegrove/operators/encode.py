@@ -49,25 +49,32 @@ def windows(texts: DataFrame, width: int = 40, seq_id: str = "seq_id", text: str
     return explode_cells(pieces(texts, width, seq_id, text, data_type), None)
 
 
-def indexed_sites(bits: DataFrame, column: str) -> DataFrame:
-    """gene, sites: an array over the gene's positions of pos, alleles (the bits' alleles as one string, null for none) and values
-    (the column's values, in the same order). bits: gene, pos, allele and the column."""
+#: Positions of a gene whose bits meet its sequences as one row.
+SITES = 10_000
+
+
+def indexed_sites(bits: DataFrame, column: str, width: int = SITES) -> DataFrame:
+    """gene, _window, sites: an array over each `width` positions of a gene of pos, alleles (the bits' alleles as one string, null for none)
+    and values (the column's values, in the same order), so no row holds a whole long gene. bits: gene, pos, allele and the column."""
     each = bits.groupBy("gene", "pos").agg(F.sort_array(F.collect_list(F.struct("allele", F.col(column).alias("value")))).alias("_bits"))
-    every = each.groupBy("gene").agg(F.max("pos").alias("_last")).select("gene", F.explode(F.sequence(F.lit(0), "_last")).alias("pos"))
+    window = F.expr(f"CAST(pos DIV {width} AS INT)").alias("_window")
+    every = each.groupBy("gene", window).agg(F.max("pos").alias("_last")).select("gene", "_window", F.explode(F.sequence(F.col("_window") * width, F.col("_last").cast("int"))).alias("pos"))
     site = F.struct("pos", F.array_join("_bits.allele", "").alias("alleles"), F.col("_bits.value").alias("values"))
-    return every.join(each, ["gene", "pos"], "left").groupBy("gene").agg(F.sort_array(F.collect_list(site)).alias("sites"))
+    return every.join(each, ["gene", "pos"], "left").groupBy("gene", "_window").agg(F.sort_array(F.collect_list(site)).alias("sites"))
 
 
-def hits(alignment: DataFrame, bits: DataFrame, column: str, data_type: str | None = None, salts: int = 1) -> DataFrame:
-    """gene, seq_id, pos and the column's value for every bit that a sequence carries. The sequences meet their gene's sites as one row,
-    and the characters that match no bit go no further. salts: the groups that a gene's sequences are dealt to."""
-    sites = indexed_sites(bits, column)
-    salted = alignment.withColumn("_salt", F.pmod(F.xxhash64("seq_id"), F.lit(salts)))
-    met = salted.join(sites.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["gene", "_salt"])
+def hits(alignment: DataFrame, bits: DataFrame, column: str, data_type: str | None = None, salts: int = 1, width: int = SITES) -> DataFrame:
+    """gene, seq_id, pos and the column's value for every bit that a sequence carries. Each `width` characters of a sequence meet their gene's
+    sites there as one row, and the characters that match no bit go no further. salts: the groups that a gene's sequences are dealt to."""
+    sites = indexed_sites(bits, column, width)
+    windows_ = F.sequence(F.lit(0), F.expr(f"CAST((greatest(length(seq), 1) - 1) DIV {width} AS INT)"))
+    cut = alignment.select("gene", "seq_id", "seq", F.explode(windows_).alias("_window")).withColumn("seq", F.substr("seq", F.col("_window") * width + 1, F.lit(width)))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("seq_id"), F.lit(salts)))
+    met = salted.join(sites.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["gene", "_window", "_salt"])
     seq = F.col("seq") if data_type is None else normalize_sequence(F.col("seq"), data_type)
-    place = "instr(get(sites, pos).alleles, ch)"
-    cells = met.select("gene", "seq_id", "sites", F.posexplode(F.split(seq, "")).alias("pos", "ch")).where(f"ch <> '' AND {place} > 0")
-    return cells.select("gene", "seq_id", "pos", F.expr(f"get(get(sites, pos).values, {place} - 1)").alias(column))
+    place = "instr(get(sites, _at).alleles, ch)"
+    cells = met.select("gene", "seq_id", "sites", "_window", F.posexplode(F.split(seq, "")).alias("_at", "ch")).where(f"ch <> '' AND {place} > 0")
+    return cells.select("gene", "seq_id", (F.col("_window") * width + F.col("_at")).alias("pos"), F.expr(f"get(get(sites, _at).values, {place} - 1)").alias(column))
 
 
 def allele_counts(cells: DataFrame) -> DataFrame:

@@ -197,6 +197,17 @@ def test_hits_are_those_of_a_join(spark):
         assert {(r["gene"], r["seq_id"], r["pos"], r["feature_id"]) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("width", [1, 3, 7, 10_000])
+def test_hits_of_long_genes_in_windows(spark, width):
+    rows = [("g", "a", "ACGTACGTACGTACGTACGT"), ("g", "b", "ACG"), ("g", "c", ""), ("g", "d", "\U0001f600CG\U0001f600ACGTC\u00e9"), ("h", "a", "TTT"), ("h", "n", None)]
+    aligned = spark.createDataFrame(rows, "gene string, seq_id string, seq string")
+    known = [("g", p, c, 10 * p + i) for p in (0, 2, 3, 8, 9, 17) for i, c in enumerate("ACGT\u00e9")] + [("h", 2, "T", 999)]
+    marked = spark.createDataFrame(known, "gene string, pos int, allele string, id int")
+    want = {(r["gene"], r["seq_id"], r["pos"], r["id"]) for r in encode.explode_cells(aligned).join(marked.withColumnRenamed("allele", "ch"), ["gene", "pos", "ch"]).collect()}
+    found = encode.hits(aligned, marked, "id", salts=2, width=width).collect()
+    assert {(r["gene"], r["seq_id"], r["pos"], r["id"]) for r in found} == want and len(found) == len(want) > 8
+
+
 def test_pieces_of_whole_texts(spark):
     texts = spark.createDataFrame([(1, "abcdefg\nhié漢"), (2, ""), (3, None)], "seq_id int, text string")
     got = sorted((r["gene"], r["seq_id"], r["seq"]) for r in encode.pieces(texts, 4).collect())
