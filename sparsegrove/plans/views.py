@@ -24,8 +24,15 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").where("quality IS NOT NULL").select(F.col("doc_id").alias("seq_id"), F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("trait"))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt to all cores by a key where they lie in fewer files than there are cores, as a file may be one block that only one
+    task reads; else as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), "text")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), "text"), "seq_id")
     return docs.join(samples(spark, d), "seq_id").select("seq_id", "text")
 
 
@@ -47,7 +54,7 @@ def salts(spark: SparkSession, d: str) -> int:
 def alignment(spark: SparkSession, d: str) -> DataFrame:
     """gene, seq_id, seq: the whole texts of all documents, labelled or not, in genes of 40 characters."""
     docs = table(spark, d, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("seq_id"), "text")
-    return encode.pieces(docs, WIDTH, data_type="protein")
+    return encode.pieces(spread(docs, "seq_id"), WIDTH, data_type="protein")
 
 
 def gene_lines(found: DataFrame, together: int = 4) -> DataFrame:
