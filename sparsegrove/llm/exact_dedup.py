@@ -3,7 +3,7 @@
 The grouping key is (hash, text). Spark sums each task's copies before the shuffle, so a text that holds a third
 of all rows reaches the reducers once per task, and texts that only share a hash stay apart because their bytes
 differ. Documents find their class again by (hash, SHA-256): two texts of one class key would have to collide in
-both. That join carries no texts, and adaptive execution splits its hot keys.
+both. That join carries no texts; the documents of a large class are dealt to several tasks, each of which has the class's row.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, table
+from .common import MOST_HEAVY, Scratch, for_each_salt, id_and_text, salted, table
+
+#: Documents of a class in one task.
+CLASS_ROWS = 1 << 17
 
 
 def md5_bits(text: Column) -> Column:
@@ -39,8 +42,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     base = base.withColumn("_hash", content_hash(F.col("_text")))
     sha = F.sha2(F.col("_text").cast("binary"), 256)
     classes = base.groupBy("_hash", "_text").agg(F.count(F.lit(1)).alias("group_size"), best("_id").alias("keep_id")).select("_hash", sha.alias("text_sha256"), "group_size", "keep_id")
-    members = base.select("_id", "_hash", sha.alias("text_sha256"))
-    return members.join(classes, ["_hash", "text_sha256"]).select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    classes = Scratch(df.sparkSession, "copies").write(classes, "classes")
+    most = max(CLASS_ROWS, -(-(classes.agg(F.sum("group_size")).first()[0] or 0) // MOST_HEAVY))
+    heavy = classes.where(F.col("group_size") > most).groupBy("text_sha256").agg(F.ceil(F.sum("group_size") / most).alias("_parts"))  # at most MOST_HEAVY
+    members = salted(base.select("_id", "_hash", sha.alias("text_sha256")), heavy, "text_sha256", "_id")
+    found = members.join(for_each_salt(classes, heavy, "text_sha256"), ["_hash", "text_sha256", "_salt"])
+    return found.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from sparsegrove.llm import exact_dedup as module
 from sparsegrove.llm.exact_dedup import exact_dedup
 
 
@@ -32,3 +33,13 @@ def test_null_ids_repeats_empty_tables_and_clashing_columns(make_docs):
     assert rows(exact_dedup(make_docs(["A", "a"]), normalise=F.lower)) == {(0, 0, 2, True), (1, 0, 2, False)}
     with pytest.raises(ValueError):
         exact_dedup(docs, keep="first")
+
+
+def test_large_classes_are_dealt_to_several_tasks(make_docs, monkeypatch):
+    texts = ["hot"] * 60 + ["warm"] * 9 + ["a", "b", None, ""]
+    docs = make_docs(texts + texts[:3], [*range(len(texts)), 0, 1, 2])
+    plain = sorted(exact_dedup(docs, keep="largest").collect(), key=str)
+    monkeypatch.setattr(module, "CLASS_ROWS", 4)
+    assert sorted(exact_dedup(docs, keep="largest").collect(), key=str) == plain
+    hot = [r for r in plain if r["keep_id"] == 59]
+    assert len(hot) == 63 and {r["group_size"] for r in hot} == {63} and [r["doc_id"] for r in hot if r["kept"]] == [59]
