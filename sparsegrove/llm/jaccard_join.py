@@ -8,8 +8,9 @@ the frequent tokens. If no rare token is shared, t - r frequent ones may still b
 and the other document may have floor(n * (1 - p) / p) tokens of its own in between, each breaking k - 1; so
 k * (t - r) + (k - 1) * floor(n * (1 - p) / p) + k frequent tokens leave a combination that both documents index.
 
-Documents of the same words are one class. Classes that share a signature are candidates, but never all pairs of a signature's
-list as rows. First each is compared with its signature's most central class, one that shares most with others, and takes
+Documents of the same words are one class. Classes that share a signature are candidates, but the pairs of a signature's
+list are never rows of a table: where members neither link nor share a label its blocks all meet, which are rows as the square
+of the number of blocks. First each is compared with its signature's most central class, one that shares most with others, and takes
 that one's label if they link. Then the lists are read as groups: pairs with different labels and sizes that allow a link
 are compared by sketch, in blocks, first each member with one partner, then, with the labels that this gives, all with all. A sketch is a string of bits, of which each token flips one; two sketches differ in at most
 as many bits as the sets differ in tokens, so a pair whose sketches differ more than linked sets can is none, for certain.
@@ -35,8 +36,8 @@ BLOCK = 1 << 20
 COUNTERS, SLICE = 1 << 20, 1 << 12
 #: Bits of a sketch; members of a list that are compared in one block; pairs that are compared at once.
 SKETCH, LIST, PAIRS = 2048, 1024, 1 << 16
-#: Rows of a heavy mark in one group.
-SPREAD = 4096
+#: Rows of a heavy mark in one group, documents of a class of the same words in one task.
+SPREAD, CLASS_ROWS = 4096, 1 << 17
 
 
 def token_counters(docs: DataFrame, size: int) -> np.ndarray:
@@ -286,7 +287,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(df.sparkSession, "jaccard")
     made = scratch.write(signed(docs, token_counters(docs, words_per_token), words_per_token, percent, combination, id_type), "signed")
     sets = scratch.write(made.select("_id", "_n", "_words"), "sets")
-    classes = scratch.write(sets.where("_words IS NOT NULL").groupBy("_words").agg(F.min("_id").alias("_class")), "classes")
+    classes = scratch.write(sets.where("_words IS NOT NULL").groupBy("_words").agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_copies")), "classes")
     firsts = made.where("size(_signatures) > 0").join(classes, [made["_words"] == classes["_words"], made["_id"] == classes["_class"]], "left_semi")
     single = firsts.select("_id", "_n", F.explode("_signatures").alias("_mark"))
     common = scratch.write(single.groupBy("_mark").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1"), "common")
@@ -336,7 +337,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labelled = components(links, "a", "b", scratch).select(F.col("node").alias("_class"), F.col("label").alias("_label"))
     scratch.drop(marks, bits, common, central, some)
     of_class = classes.join(labelled, "_class", "left").select("_words", F.coalesce("_label", "_class").alias("_component"))
-    out = scratch.write(sets.join(of_class, "_words", "left").select("_id", "_n", F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("_component")), "components")
+    most = max(CLASS_ROWS, -(-(classes.agg(F.sum("_copies")).first()[0] or 0) // MOST_HEAVY))
+    copied = classes.where(F.col("_copies") > most).select("_words", F.ceil(F.col("_copies") / most).alias("_parts"))  # at most MOST_HEAVY
+    out = scratch.write(salted(sets, copied, "_words", "_id").join(for_each_salt(of_class, copied, "_words"), ["_words", "_salt"], "left").select("_id", "_n", F.when(F.col("_id").isNotNull(), F.coalesce("_component", "_id")).alias("_component")), "components")
     scratch.drop(sets, classes)
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"))
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparsegrove.llm import components as hubs
 from sparsegrove.llm import jaccard_join as jj
 from tests.llm.brute import components
 
@@ -108,3 +109,13 @@ def test_a_very_large_group_of_near_copies(make_docs, words, monkeypatch):
     base = " ".join(rng.choice(words) for _ in range(80))
     texts = [edited(rng, base, words, 2) for _ in range(400)] + [edited(rng, base, words, 30) for _ in range(60)]
     assert found(make_docs(texts), words_per_token=3, percent=90) == components(dict(enumerate(texts)), 3, 90)
+
+
+def test_large_classes_and_hubs_are_dealt_to_several_tasks(make_docs, words, monkeypatch):
+    rng = random.Random(17)
+    base = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(2)]
+    texts = [base[0]] * 40 + [base[1]] * 5 + [edited(rng, rng.choice(base), words, 3) for _ in range(60)] + [None, "one"]
+    rng.shuffle(texts)
+    monkeypatch.setattr(jj, "CLASS_ROWS", 4)
+    monkeypatch.setattr(hubs, "HUB", 2)
+    assert found(make_docs(texts), words_per_token=3, percent=90) == components(dict(enumerate(texts)), 3, 90)
