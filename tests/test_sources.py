@@ -101,6 +101,20 @@ def test_long_lines_and_dense_tables(spark, tmp_path, small_blocks, block):
     assert {(r["feature_id"], r["ord"]): r["value"] for r in text.read_design(spark, one).collect()} == held
 
 
+def test_dense_tables_of_many_parts(spark, tmp_path, small_blocks):
+    """Parts that are read as they lie, with rows of several records."""
+    cells = [(f, f"s{i}", float(100 * i + f)) for f in range(1, 12) for i in range(60) if (f * i) % 3 == 1]
+    people = spark.createDataFrame([(f"s{i}", i) for i in range(60)], "seq_id string, ord long")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # no parts are put together
+    text.write_design(spark.createDataFrame(cells, "feature_id long, seq_id string, value double"), people, 11, str(tmp_path / "d"), 2)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len([p for p in (tmp_path / "d").glob("part-*") if p.stat().st_size]) > 2
+    for block in (50, 100000):
+        small_blocks(block)
+        assert {(r["feature_id"], f"s{r['ord']}", r["value"]) for r in text.read_design(spark, str(tmp_path / "d")).collect()} == set(cells)
+
+
 def test_numeric_training(spark):
     rows = [(g, f"s{i}", [float(i < 5) if g == "g" else 0.25, (i * 7 % 10) / 8, 3.0]) for i in range(10) for g in ("g", "h") if (g, i) != ("h", 3)]
     numbers = spark.createDataFrame(rows, "gene string, seq_id string, vals array<double>")
