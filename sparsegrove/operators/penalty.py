@@ -87,8 +87,8 @@ def p_prox(vector, level: float, p: float, steps: int = 60, inner: int = 10):
     """argmin of |x - v|^2 / 2 + level * |x|_p for an array column v and p between 1 and infinity, by fixed numbers of steps.
 
     The point is zero iff the dual norm of v is at most level. Else x solves x + c x^(p-1) = |v| with c = level * |x|_p^(1-p): log c is
-    found by halving, from its lower bound at |x|_p = |v|_p on, and each coordinate by Newton from an upper bound, in x for p from 2 on
-    and in x^(p-1) below, where the left side is convex."""
+    found by halving, from its lower bound at |x|_p = |v|_p on. For p = 1.5, 2 and 3 each coordinate is the root of a linear or quadratic
+    equation; for others it is found by Newton from an upper bound, in x for p from 2 on and in x^(p-1) below, where the left side is convex."""
     if not 1 < p < 1e6 or level <= 0:
         raise ValueError("p lies between 1 and 1e6, and the level is positive")
     e, q = p - 1.0, p / (p - 1.0)
@@ -96,24 +96,29 @@ def p_prox(vector, level: float, p: float, steps: int = 60, inner: int = 10):
     count = lambda n: F.sequence(F.lit(1), F.lit(n))
 
     def root(a, c):
+        if p == 1.5:
+            return F.pow(2 * a / (F.sqrt(c * c + 4 * a) + c), F.lit(2.0))
+        if p == 2:
+            return a / (1 + c)
+        if p == 3:
+            return 2 * a / (1 + F.sqrt(1 + 4 * c * a))
         if e >= 1:
             step = lambda x, _: F.greatest(x - (x + c * F.pow(x, F.lit(e)) - a) / (1 + c * e * F.pow(x, F.lit(e - 1))), F.lit(0.0))
             return F.aggregate(count(inner), F.least(a, F.pow(a / c, r)), step)
         step = lambda u, _: F.greatest(u - (F.pow(u, r) + c * u - a) / (c + r * F.pow(u, r - 1)), F.lit(0.0))
         return F.pow(F.aggregate(count(inner), F.least(a / c, F.pow(a, F.lit(e))), step), r)
 
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  an expression in a lambda is else evaluated wherever it stands
     sizes = F.transform(vector, F.abs)
 
     def halved(ends, _):
-        mid = (ends["low"] + ends["high"]) / 2
-        c = F.exp(mid)
-        norm = F.pow(F.aggregate(F.transform(sizes, lambda a: F.pow(root(a, c), F.lit(p))), F.lit(0.0), lambda t, x: t + x), F.lit(e / p))
-        below = c * norm < level
-        return F.struct(F.when(below, mid).otherwise(ends["low"]).alias("low"), F.when(below, ends["high"]).otherwise(mid).alias("high"))
+        norm = lambda c: F.pow(F.aggregate(sizes, F.lit(0.0), lambda t, a: t + F.pow(root(a, c), F.lit(p))), F.lit(e / p))
+        cut = lambda mid, below: F.struct(F.when(below, mid).otherwise(ends["low"]).alias("low"), F.when(below, ends["high"]).otherwise(mid).alias("high"))
+        return once((ends["low"] + ends["high"]) / 2, lambda mid: once(once(F.exp(mid), lambda c: c * norm(c) < level), lambda below: cut(mid, below)))
 
     low = F.log(F.lit(level)) - e * F.log(p_norm(vector, p))
     ends = F.aggregate(count(steps), F.struct(low.alias("low"), (low + 50).alias("high")), halved)
-    found = F.transform(F.array(ends), lambda b: F.transform(vector, lambda v: F.signum(v) * root(F.abs(v), F.exp((b["low"] + b["high"]) / 2))))[0]
+    found = once(once(ends, lambda b: F.exp((b["low"] + b["high"]) / 2)), lambda c: F.transform(vector, lambda v: F.signum(v) * root(F.abs(v), c)))
     return F.when(p_norm(vector, q) > level, found).otherwise(F.transform(vector, lambda v: v * 0.0))
 
 
