@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparsegrove.functions.columns import lambda_label, name_parts, normalize_sequence
-from sparsegrove.operators import balance, encode, grid, groups, prox, score, tree, view
+from sparsegrove.operators import balance, encode, grid, groups, penalty, prox, score, tree, view
 from sparsegrove.operators.grid import Settings
 
 
@@ -312,3 +312,29 @@ def test_genes_dealt_by_bytes(spark):
     held = [r[1] for r in dealt(sizes, 7).join(sizes, "gene").groupBy("part").agg(F.sum("bytes")).collect()]
     assert len(held) == 7 and max(held) - min(held) <= 400 and max(held) <= 1.05 * min(held)
     assert parts_needed(10, 10, 1 << 20) == 1 and parts_needed(1 << 20, 0, 1 << 22) == 4
+
+
+def test_p_prox_evaluates_each_norm_once(spark):
+    """A step of the halving has one norm, and for p = 1.5 no inner iteration."""
+    plan = spark.createDataFrame([(1, [3.0, -4.0])], "id int, u array<double>").select(penalty.p_prox(F.col("u"), 0.7, 1.5).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.split("AS x")[0].count("aggregate(") <= 5  # the dual norm, the halving, where it starts (two ends), its norm
+
+
+def test_missing_log_is_compressed(spark, tmp_path):
+    from sparsegrove.sources import text
+
+    rows = [(f"w{g}", f"s{i}") for g in range(20) for i in range(300)]
+    text.write_missing(spark.createDataFrame(rows, "gene string, seq_id string"), str(tmp_path / "m"))
+    assert sum(p.stat().st_size for p in (tmp_path / "m").glob("part-*")) < sum(len(g) + len(s) + 2 for g, s in rows) / 3
+    assert sorted(tuple(r) for r in spark.read.option("sep", "\t").csv(str(tmp_path / "m")).collect()) == sorted(rows)
+
+
+def test_a_gene_meets_the_applied_model_in_several_groups(spark, monkeypatch):
+    from sparsegrove.plans import registry, views
+
+    want = {name: set(registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()) for name in ("apply_model", "apply_response")}
+    used, once = [], score.contributions
+    monkeypatch.setattr(views, "TOGETHER", 60)
+    monkeypatch.setattr(score, "contributions", lambda a, m, t=None, salts=1: (used.append(salts), once(a, m, t, salts))[1])
+    assert {name: set(registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()) for name in want} == want
+    assert len(used) == 2 and min(used) > 1
