@@ -338,3 +338,16 @@ def test_a_gene_meets_the_applied_model_in_several_groups(spark, monkeypatch):
     monkeypatch.setattr(score, "contributions", lambda a, m, t=None, salts=1: (used.append(salts), once(a, m, t, salts))[1])
     assert {name: set(registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()) for name in want} == want
     assert len(used) == 2 and min(used) > 1
+
+
+def test_genes_are_ranked_once_for_all_shares(spark, monkeypatch):
+    """However often the share is lowered, scores and sizes are read a fixed number of times; genes without a size weigh nothing."""
+    from sparsegrove.operators import screen
+
+    ranked, shares = [], score.shares
+    monkeypatch.setattr(screen, "shares", lambda genes: (ranked.append(1), shares(genes))[1])
+    scores = spark.createDataFrame([(f"g{i}", float(2**-i)) for i in range(16)], "gene string, gss double")
+    sizes = spark.createDataFrame([(f"g{i}", 10) for i in range(15)], "gene string, bytes long")
+    assert {r["gene"] for r in screen.selected_genes(scores, sizes, 15).collect()} == {"g0"}
+    assert {r["gene"] for r in screen.selected_genes(scores, sizes, 40).collect()} == {"g0"}  # the last share that is tried
+    assert len(ranked) == 2
