@@ -259,3 +259,23 @@ def test_small_files(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "y")).collect()] == ["1.0", "-1.0", "1.0"]
     text.write_hypothesis(samples, str(tmp_path / "h"))
     assert text.read_traits(spark, str(tmp_path / "h")).count() == 3
+
+
+def test_a_run_encodes_once_and_deals_the_sequences_of_a_gene(spark, monkeypatch):
+    """Features and scores are tables that all later steps read, and a gene's sequences meet its sites in several groups."""
+    from sparsegrove.operators import encode
+    from sparsegrove.plans import api
+
+    kept, groups, stored, hits = [], [], api.stored, encode.hits
+    monkeypatch.setattr(api, "TOGETHER", 3)
+    monkeypatch.setattr(api, "stored", lambda df, name: (kept.append(name), stored(df, name))[1])
+    monkeypatch.setattr(encode, "hits", lambda a, bits, column, kind=None, salts=1: (groups.append(salts), hits(a, bits, column, kind, salts))[1])
+    sequences = spark.createDataFrame([(g, f"s{i}", ("A" if i < 4 else "C") + "ACG"[i % 3]) for i in range(8) for g in ("g", "h")], "gene string, seq_id string, seq string")
+    traits = spark.createDataFrame([(f"s{i}", 1.0 if i < 4 else -1.0) for i in range(8)], "seq_id string, trait double")
+    run = Training(spark, Settings(stats="S", solver_options=FEW)).samples(traits).alignment(sequences)
+    x, found, _ = run.encoded()
+    assert kept == ["features"] and x.count() == 32 and found.count() == 10
+    models = spark.createDataFrame([(0, 0, 1, 0.5, 0.25, "g", 0, "A")], "fold int, grid_ord int, feature_id long, beta double, intercept double, gene string, pos int, allele string")
+    tables = run.scores(models)
+    assert kept == ["features", "sps"] and groups == [3, 3]
+    assert {(r["seq_id"], r["sps"]) for r in tables["sps"].collect()} == {(f"s{i}", 0.75 if i < 4 else 0.25) for i in range(8)}
